@@ -37,12 +37,12 @@ def texts_as_bytes(column: pa.Array) -> list[bytes]:
     return [whole[a:b] for a, b in zip(at[:-1], at[1:])]
 
 
-def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into slices of bounded text; a single text is never cut."""
     at, _ = utf8_buffers(batch.column(batch.schema.get_field_index(text)))
     first, n = 0, batch.num_rows
     while first < n:
-        last = int(np.searchsorted(at, at[first] + SLICE_BYTES, side="right")) - 1
+        last = int(np.searchsorted(at, at[first] + size, side="right")) - 1
         last = min(max(last, first + 1), first + SLICE_ROWS, n)
         yield batch.slice(first, last - first)
         first = last
@@ -54,6 +54,7 @@ def map_text(
     text: str,
     fn: Callable[[pa.Array], list[pa.Array]],
     fields: list[StructField],
+    size: int = SLICE_BYTES,
 ) -> DataFrame:
     """``keep`` columns unchanged beside the columns that ``fn`` computes from each slice of texts."""
     ship(df.sparkSession)
@@ -62,7 +63,7 @@ def map_text(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, size):
                 kept = [part.column(part.schema.get_field_index(c)) for c in keep]
                 made = fn(part.column(part.schema.get_field_index(text)))
                 yield pa.RecordBatch.from_arrays([*kept, *made], names)

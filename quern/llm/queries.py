@@ -4,20 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quern.llm.exact_dedup import exact_dedup
+from quern.llm.flac import media_features
+from quern.llm.license_scan import scan_licenses
 from quern.llm.mixing import mix_sources
 from quern.llm.packing import pack
+from quern.llm.secret_scan import KINDS, find_secrets, joined
 from quern.llm.simhash import simhash_components
 from quern.llm.toxicity import toxicity
 from quern.runtime import read
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(read(spark, sf_dir, "documents"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in KINDS]
+    base = joined(F.filter("found", lambda s: s["kind"] != KINDS[3]))
+    return found.select("doc_id", *counts[:3], F.sha2(base, 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), counts[3])
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -37,12 +56,19 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_features(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op2_toxicity": op2_toxicity,
+    "op3_licenses": op3_licenses,
     "op4_mixing": op4_mixing,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_packing": op7_packing,
     "op8_simhash": op8_simhash,
+    "op10_flac": op10_flac,
 }
 
 ORACLE_SQL: dict[str, str] = {
