@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from quern.llm.exact_dedup import exact_dedup
 from quern.llm.flac import media_features
+from quern.llm.html_text import extract_text
 from quern.llm.license_scan import scan_licenses
 from quern.llm.mixing import mix_sources
 from quern.llm.packing import pack
+from quern.llm.pii import pseudonymize
 from quern.llm.secret_scan import KINDS, find_secrets, joined
 from quern.llm.simhash import simhash_components
 from quern.llm.toxicity import toxicity
@@ -47,6 +49,16 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+#: Key of the registered query alone; whoever replaces real data passes a secret of their own.
+DEMONSTRATION_KEY = b"quern demonstration key"
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replaced = pseudonymize(read(spark, sf_dir, "documents"), DEMONSTRATION_KEY)
+    places = F.transform("entities", lambda e: F.concat_ws(":", e["type"], e["start"], e["end"]))
+    return replaced.select("doc_id", F.size("entities").cast("long").alias("n_entities"), F.array_join(places, ",").alias("entities"), "text")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
@@ -56,6 +68,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(read(spark, sf_dir, "pages"))
+
+
 def op10_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(read(spark, sf_dir, "documents"))
 
@@ -66,8 +82,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_licenses": op3_licenses,
     "op4_mixing": op4_mixing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_pii": op6_pii,
     "op7_packing": op7_packing,
     "op8_simhash": op8_simhash,
+    "op9_html_text": op9_html_text,
     "op10_flac": op10_flac,
 }
 
