@@ -37,9 +37,9 @@ def texts_as_bytes(column: pa.Array) -> list[bytes]:
     return [whole[a:b] for a, b in zip(at[:-1], at[1:])]
 
 
-def slices(batch: pa.RecordBatch, text: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into slices of bounded text; a single text is never cut."""
-    at, _ = utf8_buffers(batch.column(batch.schema.get_field_index(text)))
+def slices(batch: pa.RecordBatch, text: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into slices of bounded text (its ``text``-th column); a single text is never cut."""
+    at, _ = utf8_buffers(batch.column(text))
     first, n = 0, batch.num_rows
     while first < n:
         last = int(np.searchsorted(at, at[first] + size, side="right")) - 1
@@ -63,12 +63,20 @@ def map_text(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text, size):
-                kept = [part.column(part.schema.get_field_index(c)) for c in keep]
-                made = fn(part.column(part.schema.get_field_index(text)))
-                yield pa.RecordBatch.from_arrays([*kept, *made], names)
+            for part in slices(batch, len(keep), size):
+                columns = part.columns
+                yield pa.RecordBatch.from_arrays([*columns[:-1], *fn(columns[-1])], names)
 
-    return df.select(*keep, text).mapInArrow(run, schema)
+    columns = [F.col(f"`{c}`") for c in (*keep, text)]
+    return df.select(*columns[:-1], columns[-1].alias(unused(keep) + "text")).mapInArrow(run, schema)
+
+
+def unused(columns: list[str]) -> str:
+    """A prefix that no column begins with."""
+    prefix = "__"
+    while any(c.startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
 
 
 def narrow(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:

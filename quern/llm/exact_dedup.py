@@ -145,7 +145,7 @@ def _candidates(df: DataFrame, hasher: Hasher, table: np.ndarray) -> DataFrame:
         bits = shared.value
         turn = TaskContext.get().partitionId()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, 0):
                 texts = texts_as_bytes(part.column(0))
                 fps, out, salts = [], [], []
                 for t, k in zip(texts, hasher.keys(texts)):

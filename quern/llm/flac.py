@@ -631,7 +631,7 @@ def pcm_blocks(df: DataFrame, id_col: str = "doc_id", media_col: str = "media")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "media", SLICE):
+            for part in slices(batch, 1, SLICE):
                 ids, rows = part.column(0), []
                 for i, (stream, frames) in enumerate(decode(texts_as_bytes(part.column(1)))):
                     rows += [(i, b, f.first, f.size, stream.channels, f.bits, f.good, pcm(f) if f.good else None) for b, f in enumerate(frames)]

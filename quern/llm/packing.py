@@ -230,7 +230,7 @@ def pack(
             return pa.RecordBatch.from_arrays(arrays, names)
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, 1):
                 id_type = part.column(0).type
                 for doc_id, text in zip(part.column(0).to_pylist(), texts_as_bytes(part.column(1))):
                     ids = np.array([*encode(text.decode()), end_id], np.uint32)

@@ -87,7 +87,7 @@ def _sums(sample: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((4, 1 << HASH_BITS))
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, 1):
                 row, code, count = features(*utf8_buffers(part.column(1)))
                 toxic = part.column(0).to_numpy(zero_copy_only=False)[row] == 1
                 value = np.log1p(count)
@@ -123,7 +123,7 @@ def _values(sample: DataFrame, used: np.ndarray) -> list:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, 1):
                 row, code, count = features(*utf8_buffers(part.column(1)), shared.value)
                 ends = np.searchsorted(row, np.arange(part.num_rows + 1))
                 lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int32())) for x in (code, count)]
