@@ -9,6 +9,11 @@ Within a bucket the fingerprints lie as bit planes: plane ``b`` holds bit ``b``
 word.  Carry-save counters add up differences for a block of queries against a block of lanes at
 once; queries whose lanes all exceed the radius are abandoned.
 
+``similarity`` adds links between texts that share that much (Jaccard) of their five-word shingles, which
+64 bits cannot tell: the shingles' 1,520-bit SimHash estimates it to about 0.02, and two standard errors
+are allowed, so that texts at that similarity itself are found.  76 bands of 20 bits deal the wide fingerprints to buckets; a sorted stream compares each row with the first and the last
+row of its bucket, so candidates grow with the rows and never with their pairs.
+
 Results that are defined: a null text equals an empty one, and a text without words has fingerprint
 zero, linked like any other; ids that are null never name a component; an empty table gives no rows.
 """
@@ -24,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from quern.llm.common import map_text, narrow, texts_as_bytes
 from quern.runtime import cut, ship
@@ -57,6 +62,44 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * total > len(hashes)).tobytes(), "big")
 
 
+#: Wide fingerprints: bands and their bits, and the distance that the first 64 bits of a candidate may have.
+BANDS = 76
+BAND_BITS = 20
+WIDE = BANDS * BAND_BITS
+WORDS = -(-WIDE // BITS)
+SCREEN = 20
+
+
+def wide_fingerprint(text: bytes, shingle: int = 5) -> np.ndarray | None:
+    """Bits of the WIDE-bit SimHash over the distinct shingles; None without words."""
+    words = text.lower().split()
+    if not words:
+        return None
+    parts = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
+    hashes = np.fromiter((xxhash.xxh64_intdigest(p, SEED) for p in parts), np.uint64, len(parts))
+    spread = (np.arange(WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    total = np.zeros(WORDS * BITS, np.int64)
+    for i in range(0, len(hashes), 256):
+        mixed = hashes[i : i + 256, None] * spread[None, :]
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(32)
+        total += np.unpackbits(mixed.view(np.uint8).reshape(len(mixed), -1), axis=1).sum(axis=0, dtype=np.int64)
+    return (2 * total > len(hashes))[:WIDE].astype(np.uint8)
+
+
+def band_keys(bits: np.ndarray) -> np.ndarray:
+    """Band number and bits as one integer, for each row of a bit matrix."""
+    values = bits.reshape(len(bits), BANDS, BAND_BITS) @ (1 << np.arange(BAND_BITS, dtype=np.int64))
+    return values + (np.arange(BANDS, dtype=np.int64) << BAND_BITS)
+
+
+def most_bits(similarity: float) -> int:
+    """The Hamming distance of wide fingerprints that texts of a Jaccard similarity keep, two standard errors included."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(WIDE * share + 2 * np.sqrt(WIDE * share * (1 - share)))
+
+
 def planes(prints: np.ndarray) -> np.ndarray:
     """Bit planes (64, words) of uint64 fingerprints: bit i % 64 of word i // 64 belongs to print i."""
     lanes = -(-len(prints) // BITS) * BITS
@@ -223,6 +266,59 @@ def edges(reps: DataFrame, bucket_limit: int = 4096, radius: int = RADIUS) -> Da
     return rows.repartition("mask", "val").sortWithinPartitions("mask", "val").mapInArrow(run, schema)
 
 
+def similar_edges(reps: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) of fingerprints whose wide SimHashes are near enough; ``reps`` has fp and wide."""
+    ship(reps.sparkSession)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                fp, wide = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_pylist()
+                bits = np.unpackbits(np.frombuffer(b"".join(wide), np.uint8).reshape(len(wide), -1), axis=1)[:, :WIDE]
+                head = np.packbits(bits[:, :BITS], axis=1).view(">u8").astype(np.uint64).ravel().view(np.int64)
+                columns = [band_keys(bits).ravel(), np.repeat(fp, BANDS), np.repeat(head, BANDS)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "fp", "head"])
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = None  # (key, fp, head) of the bucket that may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, fp, head = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            if last is not None:
+                key, fp, head = (np.concatenate([[f, x], c]) for f, x, c in zip(first, last, (key, fp, head)))
+            start = np.r_[True, key[1:] != key[:-1]]
+            leader = np.maximum.accumulate(np.where(start, np.arange(len(key)), 0))
+            made = []
+            for other in (leader, np.maximum(np.arange(len(key)) - 1, leader)):
+                near = np.bitwise_count((head ^ head[other]).view(np.uint64)) <= SCREEN
+                at = np.nonzero(near & (fp != fp[other]))[0]
+                made.append(np.stack([fp[at], fp[other[at]]]))
+            pairs = np.concatenate(made, axis=1)
+            u, v = np.maximum(*pairs), np.minimum(*pairs)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+            i = leader[-1]
+            first, last = (key[i], fp[i], head[i]), (key[-1], fp[-1], head[-1])
+
+    limit = most_bits(similarity)
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                part = batch.slice(i, 4096)
+                a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(part.num_rows, -1) for c in (2, 3))
+                near = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= limit
+                yield pa.RecordBatch.from_arrays([part.column(c).filter(pa.array(near)) for c in (0, 1)], ["u", "v"])
+
+    pairs_of = StructType([StructField("u", LongType()), StructField("v", LongType())])
+    bands = reps.where("wide IS NOT NULL").select("fp", "wide").mapInArrow(deal, "key long, fp long, head long")
+    found = cut(bands.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(pair, pairs_of).distinct())
+    wide = reps.select("fp", "wide")
+    sides = found.join(wide.select(F.col("fp").alias("u"), F.col("wide").alias("a")), "u").join(wide.select(F.col("fp").alias("v"), F.col("wide").alias("b")), "v")
+    return sides.select("u", "v", "a", "b").mapInArrow(verify, pairs_of)
+
+
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     """(u, root) for every u that is not its own root, by alternating large and small stars."""
     now = cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -244,24 +340,40 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
 
 
 def simhash_components(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = RADIUS, bucket_limit: int = 4096
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = 3,
+    radius: int = RADIUS,
+    bucket_limit: int = 4096,
+    similarity: float | None = None,
 ) -> DataFrame:
     """One row per row of ``df``: doc_id, fingerprint (hex), component_id, kept, text_key.
 
+    ``similarity`` also links texts of that similarity of five-word shingles.
     ``kept`` marks one row of each component: the smallest id, and of rows that repeat it the first.
     """
     docs = narrow(df, id_col, text_col)
     docs = docs.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
 
     def compute(column: pa.Array) -> list[pa.Array]:
-        prints = np.array([fingerprint(t, shingle) for t in texts_as_bytes(column)], np.uint64)
-        return [pa.array(prints.view(np.int64), pa.int64())]
-
-    rows = cut(map_text(docs, ["doc_id", "text_key"], "text", compute, [StructField("fp", LongType())]).withColumn("row_key", F.monotonically_increasing_id()))
+        texts = texts_as_bytes(column)
+        made = [pa.array(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64), pa.int64())]
+        if similarity is not None:
+            wide = (wide_fingerprint(t) for t in texts)
+            made.append(pa.array([None if w is None else np.packbits(w).tobytes() for w in wide], pa.binary()))
+        return made
+
+    fields = [StructField("fp", LongType()), *([] if similarity is None else [StructField("wide", BinaryType())])]
+    rows = cut(map_text(docs, ["doc_id", "text_key"], "text", compute, fields).withColumn("row_key", F.monotonically_increasing_id()))
     # Nulls sort last here: an id that is null names a component only where there is no other.
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row_key"))).alias("lead")
-    reps = cut(rows.groupBy("fp").agg(lead))
-    roots = cut(components(edges(reps.select("fp"), bucket_limit, radius)))
+    # Rows of one fingerprint are one node, whose wide fingerprint is that of the smallest.
+    reps = cut(rows.groupBy("fp").agg(lead, *([] if similarity is None else [F.min("wide").alias("wide")])))
+    links = edges(reps.select("fp"), bucket_limit, radius)
+    if similarity is not None:
+        links = links.unionByName(similar_edges(reps, similarity))
+    roots = cut(components(links))
     placed = reps.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "lead", F.coalesce("root", "fp").alias("root"))
     first = cut(placed.groupBy("root").agg(F.min("lead").alias("first")))
     named = cut(cut(placed).join(first, "root").select("fp", "first"))

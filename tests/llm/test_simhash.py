@@ -110,6 +110,35 @@ def test_chains_are_components(spark):
     assert got_roots[1001] == 1000
 
 
+def test_similar_texts_are_linked(spark, empty):
+    """Copies with a few changed words are found, texts that share half of their words are not."""
+    import random
+
+    rng = random.Random(8)
+
+    def text(n):
+        return [f"w{rng.randrange(5000)}" for _ in range(n)]
+
+    rows, want, n = [], {}, 0
+    for _ in range(25):
+        base = text(400)
+        first = n
+        for change in ((), (50,), (100, 300), (7, 200, 390)):
+            words = list(base)
+            for at in change:
+                words[at] = "changed"
+            rows.append((n, " ".join(words)))
+            want[n] = first
+            n += 1
+        rows.append((n, " ".join(base[:200] + text(200))))
+        want[n] = n
+        n += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in simhash_components(docs, similarity=0.8).collect()}
+    assert found == want
+    assert simhash_components(empty, similarity=0.8).count() == 0
+
+
 def test_query_against_brute_force(spark, sf, texts):
     assert got(queries.op8_simhash(spark, sf)) == brute_components(list(texts.items()))
 
