@@ -51,7 +51,12 @@ def moving_average(value: str, by: list[str], order: str, rows: int = 50) -> Col
 
 
 def score_plan(n: Column, context: int, stride: int) -> Column:
-    """Windows of a document of n tokens: start, end and first target; every target is scored once."""
+    """Windows of a document of n tokens: start, end and first target; every target is scored once.
+
+    The first token of a window has no context there, so windows must overlap: stride < context.
+    """
+    if not 0 < stride < context:
+        raise ValueError("every target is scored once only where 0 < stride < context")
     last = F.greatest(F.ceil((n - context) / stride), F.lit(0)).cast("int")
     starts = F.transform(F.sequence(F.lit(0), last), lambda i: i * stride)
 
