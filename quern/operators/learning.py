@@ -61,6 +61,35 @@ def scored_by(df: DataFrame, text_col: str, scorer: Callable[[list[str]], list[f
     return df.sortWithinPartitions(F.length(text_col).desc()).mapInPandas(run, f"{keys}, score double")
 
 
+def document_nll(docs: DataFrame, id_col: str, tokens: Column, loss: Callable[[list[int], int], float], context: int, stride: int) -> DataFrame:
+    """(id, nll_sum, token_count): an injected loss over overlapping windows that scores every target once.
+
+    ``loss(window, first)`` gives the summed loss of the targets window[first:], each seen with what precedes it.
+    """
+    from quern.operators.windows import score_plan
+
+    ship(docs.sparkSession)
+    planned = docs.select(id_col, tokens.alias("__t")).select(id_col, "__t", F.explode_outer(score_plan(F.size("__t"), context, stride)).alias("w"))
+    windows = planned.select(
+        id_col,
+        F.when(F.col("w").isNotNull(), F.slice("__t", F.col("w.start").cast("int") + 1, (F.col("w.end") - F.col("w.start")).cast("int"))).alias("ids"),
+        (F.col("w.first_target") - F.col("w.start")).cast("int").alias("first"),
+    )
+
+    @F.pandas_udf("double")
+    def losses(ids: pd.Series, first: pd.Series) -> pd.Series:
+        return pd.Series([0.0 if x is None else float(loss([int(i) for i in x], int(k))) for x, k in zip(ids, first)], ids.index)
+
+    scored = windows.withColumn("nll", losses("ids", "first"))
+    count = F.coalesce(F.size("ids") - F.col("first"), F.lit(0))
+    return scored.groupBy(id_col).agg(F.sum("nll").alias("nll_sum"), F.sum(F.when(F.col("ids").isNotNull(), count).otherwise(0)).alias("token_count"))
+
+
+def unigram_loss(window: list[int], first: int) -> float:
+    """A deterministic stand-in for a model: a token's loss grows with its id."""
+    return sum((t % 97) / 97 for t in window[first:])
+
+
 def greedy_soup(ranked: DataFrame, goal: float, tolerance: float = 1e-12) -> DataFrame:
     """(run, accepted) of a few ranked candidates: each joins while the trial's score does not fall.
 

@@ -37,9 +37,11 @@ def upper_median_rate(spark, sf_dir):
     return aggregates.upper_median(table(spark, sf_dir, "events").where("event_id > 1"), ["user_id"], "value")
 
 
-@query("moving_average_50", "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 6) AS average FROM events")
+@query("moving_average_50", "SELECT event_id, avg(round(value * 100)::BIGINT) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS average FROM events")
 def moving_average_50(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.round(windows.moving_average("value", ["user_id"], "event_id"), 6).alias("average"))
+    """Whole hundredths, so that sums are exact in any order."""
+    cents = table(spark, sf_dir, "events").select("event_id", "user_id", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    return cents.select("event_id", windows.moving_average("cents", ["user_id"], "event_id").alias("average"))
 
 
 @query("last_write_wins", "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1")

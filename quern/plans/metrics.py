@@ -262,6 +262,18 @@ def model_scores(spark, sf_dir):
     return learning.scored_by(items, "text", learning.vowel_share, "conv_id long, turn long")
 
 
+@query(
+    "document_nll",
+    r"""WITH t AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''), lambda x: length(x)) AS t FROM documents)
+    SELECT doc_id, round(coalesce(list_sum(list_transform(list_slice(t, 2, len(t)), lambda x: (x % 97) / 97.0)), 0), 6) AS nll_sum, greatest(len(t) - 1, 0)::BIGINT AS token_count FROM t""",
+)
+def document_nll(spark, sf_dir):
+    """Word lengths stand for ids; the windows of 256 that overlap by half count every target once, as SQL does without windows."""
+    ids = F.transform(text.split_words(F.col("text")), lambda w: F.length(w))
+    scored = learning.document_nll(table(spark, sf_dir, "documents"), "doc_id", ids, learning.unigram_loss, 256, 128)
+    return scored.select("doc_id", F.round("nll_sum", 6).alias("nll_sum"), "token_count")
+
+
 # ------------------------------------------------------------------- decisions and reports
 
 
@@ -317,6 +329,15 @@ def integrity_checklist(spark, sf_dir):
     return decisions.checklist(docs, *checks)
 
 
+@query("selection_gate", "SELECT s_name AS run FROM supplier WHERE s_suppkey = 3")
+def selection_gate(spark, sf_dir):
+    """The one listed run whose record names it; none or several are errors."""
+    from quern.sources.readers import exactly_one
+
+    record = F.broadcast(spark.createDataFrame([(3,)], "idx long"))
+    return exactly_one(_runs(spark, sf_dir).join(record, "idx").select("run"), "selected run")
+
+
 @query("recipe_epochs", "SELECT l_returnflag AS config, l_linestatus AS arm, list_sort(list(DISTINCT l_linenumber)) AS epochs, max(l_linenumber) AS last FROM lineitem GROUP BY ALL")
 def recipe_epochs(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("config"), F.col("l_linestatus").alias("arm"), F.col("l_linenumber").alias("epoch"))
@@ -403,10 +424,11 @@ def tradeoff_points(spark, sf_dir):
     return parts.crossJoin(F.broadcast(base)).select("p_partkey", (F.regexp_extract("p_brand", r"#(\d+)", 1).cast("int") / 100.0).alias("alpha"), (F.col("p_retailprice") - F.col("base")).alias("change"))
 
 
-@query("training_curve", "SELECT user_id, event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 6) AS smoothed FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) = 1)")
+@query("training_curve", "SELECT user_id, event_id, avg(round(value * 100)::BIGINT) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS smoothed FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) = 1)")
 def training_curve(spark, sf_dir):
     rows = windows.last_write(table(spark, sf_dir, "events"), ["user_id", "ts"], "event_id")
-    return rows.select("user_id", "event_id", F.round(windows.moving_average("value", ["user_id"], "event_id"), 6).alias("smoothed"))
+    rows = rows.withColumn("cents", F.round(F.col("value") * 100).cast("long"))
+    return rows.select("user_id", "event_id", windows.moving_average("cents", ["user_id"], "event_id").alias("smoothed"))
 
 
 @query("key_numbers", "SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(DISTINCT source) FROM documents) AS sources, (SELECT count(*) FROM benchmark) AS items")

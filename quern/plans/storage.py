@@ -133,3 +133,27 @@ def encoded_documents(spark, sf_dir):
 def decoded_documents(spark, sf_dir):
     encoded = tokenizing.encode(table(spark, sf_dir, "benchmark").select("item_id", "text"), "text")
     return tokenizing.decode(encoded, "ids").select("item_id", F.col("decoded").alias("text"))
+
+
+@query("corpus_build", "SELECT count(*) AS documents, (SELECT count(DISTINCT source) FROM documents) AS sources FROM documents")
+def corpus_build(spark, sf_dir):
+    """A whole build with exclusion, deduplication, panels, shards and manifest; its funnel accounts for every document."""
+    from quern.operators import exclusion
+    from quern.plans.build import Config, build
+
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("id"), "source", F.lit(None).cast("string").alias("url"), F.lit("").alias("title"), "text"
+    )
+    index = exclusion.index_grams(table(spark, sf_dir, "benchmark"), F.col("text"))
+    made = build(spark, docs, _place(spark), Config(), index)
+    return made["funnel"].agg(F.sum("n").alias("documents"), F.count_distinct("source").alias("sources"))
+
+
+@query("run_record_scan", "SELECT count(*) AS n, 4::BIGINT AS total FROM range(2)")
+def run_record_scan(spark, sf_dir):
+    """JSON documents under a glob, one row each."""
+    place = _place(spark)
+    for i in (1, 3):
+        sinks.publish_json(spark, f"{place}/run{i}/run.json", {"step": i, "status": "completed"})
+    found = readers.run_records(spark, f"{place}/*/run.json", "step long, status string")
+    return found.agg(F.count(F.lit(1)).alias("n"), F.sum("step").alias("total"))
