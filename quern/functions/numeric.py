@@ -52,20 +52,20 @@ def safe_nll(value: Column, least: float | None = None, most: float | None = Non
     return F.coalesce(good, F.lit(False))
 
 
-# ------------------------------------------------------------------- portable MinHash
+# ------------------------------------------------------------------- MinHash
 
-#: Modulus of the permutations, as in 61-bit universal hashing.
+# Modulus, components, bands, and the seed of the exact family's permutations.
 MERSENNE = (1 << 61) - 1
+LOW = (1 << 32) - 1
 COMPONENTS = 32
 BANDS = 8
+SEED = 424242
 ROWS = COMPONENTS // BANDS
 
 
 def permutation(i: int) -> tuple[int, int]:
-    """Odd multiplier and offset of component i, by a fixed linear rule."""
-    a = (i * 2 + 1) * 0x9E3779B97F4A7C15 % MERSENNE | 1
-    b = (i + 1) * 0xC2B2AE3D27D4EB4F % MERSENNE
-    return a, b
+    """Odd multiplier and offset of the portable family, below 2**31: with a 32-bit hash all fits a signed long."""
+    return ((2 * i + 1) * 0x9E3779B1 % (1 << 31)) | 1, (i + 1) * 0x85EBCA6B % (1 << 31)
 
 
 def shingle_hash(shingle: Column) -> Column:
@@ -74,7 +74,6 @@ def shingle_hash(shingle: Column) -> Column:
 
 
 def permuted(h: Column, i: int) -> Column:
-    """((a * h + b) mod 2**61 - 1) mod 2**32 in decimal arithmetic, which never wraps."""
+    """((a * h + b) mod 2**61 - 1) mod 2**32, in generated code on longs."""
     a, b = permutation(i)
-    value = F.lit(a).cast("decimal(20,0)") * h.cast("decimal(11,0)") + F.lit(b).cast("decimal(20,0)")
-    return (value % F.lit(MERSENNE).cast("decimal(19,0)")).cast("long").bitwiseAND(F.lit((1 << 32) - 1))
+    return ((F.lit(a).cast("long") * h + F.lit(b).cast("long")) % F.lit(MERSENNE)).bitwiseAND(F.lit(LOW))

@@ -7,6 +7,7 @@ whose earlier neighbours are settled, over the rows that have a neighbour at all
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 import numpy as np
@@ -14,8 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.numeric import BANDS, COMPONENTS, MERSENNE, ROWS, permuted, shingle_hash
-from quern.functions.text import grams, split_words
+from quern.functions.numeric import BANDS, COMPONENTS, LOW, MERSENNE, ROWS, SEED, permuted, shingle_hash
+from quern.functions.text import grams, normalize, split_words
 from quern.runtime import cut, ship
 
 SHINGLE = 5
@@ -42,8 +43,12 @@ def unseen(df: DataFrame, seen: DataFrame, key: str) -> DataFrame:
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """(id, sketch) with the portable hash family; a text under five words has an all-zero sketch."""
-    shingles = df.select(id_col, F.explode(grams(split_words(F.col(text_col)), SHINGLE)).alias("s")).distinct()
+    """(id, sketch) with the portable hash family over five-word shingles of the normalised text.
+
+    Minima are taken before the shuffle, so it moves 32 numbers a document and task; a text under five
+    words has an all-zero sketch.
+    """
+    shingles = df.select(id_col, F.explode(grams(split_words(normalize(F.col(text_col))), SHINGLE)).alias("s"))
     hashed = shingles.select(id_col, shingle_hash(F.col("s")).alias("h"))
     mins = hashed.groupBy(id_col).agg(*(F.min(permuted(F.col("h"), i)).alias(f"m{i}") for i in range(COMPONENTS)))
     made = mins.select(id_col, F.array(*(F.col(f"m{i}") for i in range(COMPONENTS))).alias("sketch"))
@@ -51,26 +56,36 @@ def sketches(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     return df.select(id_col).join(made, id_col, "left").withColumn("sketch", F.coalesce("sketch", zero))
 
 
-def exact_sketches(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """(id, sketch) with 32-bit xxHash shingles and 61-bit permutations, in an Arrow UDF."""
+def _exact_family() -> tuple[np.ndarray, np.ndarray]:
+    draws = np.random.RandomState(SEED)
+    multipliers = draws.randint(1, 2**32, size=COMPONENTS, dtype=np.uint64) | np.uint64(1)
+    return multipliers, draws.randint(0, 2**32, size=COMPONENTS, dtype=np.uint64)
+
+
+def exact_sketch(text: str | None) -> list[int]:
+    """32-bit xxHash shingles of the exactly normalised text under 64-bit permutations."""
     import xxhash
 
-    from quern.functions.numeric import permutation
+    parts = unicodedata.normalize("NFKC", text or "").casefold().split()
+    if len(parts) < SHINGLE:
+        return [0] * COMPONENTS
+    hashes = {xxhash.xxh32_intdigest(" ".join(parts[i : i + SHINGLE])) for i in range(len(parts) - SHINGLE + 1)}
+    values = np.fromiter(hashes, np.uint64, len(hashes))
+    a, b = _exact_family()
+    least = np.full(COMPONENTS, LOW, np.uint64)
+    for i in range(0, len(values), 4096):
+        block = (values[i : i + 4096, None] * a + b) % np.uint64(MERSENNE) & np.uint64(LOW)
+        least = np.minimum(least, block.min(axis=0))
+    return least.tolist()
+
 
+def exact_sketches(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
+    """(id, sketch) of the exact family, in one Arrow UDF and without a shuffle."""
     ship(df.sparkSession)
-    pairs = [permutation(i) for i in range(COMPONENTS)]
 
     @F.pandas_udf("array<long>")
     def sketch(texts: pd.Series) -> pd.Series:
-        def one(text: str) -> list[int]:
-            parts = (text or "").split()
-            if len(parts) < SHINGLE:
-                return [0] * COMPONENTS
-            hashes = {xxhash.xxh32_intdigest(" ".join(parts[i : i + SHINGLE])) for i in range(len(parts) - SHINGLE + 1)}
-            values = np.array(sorted(hashes), dtype=object)
-            return [int(min((a * values + b) % MERSENNE & 0xFFFFFFFF)) for a, b in pairs]
-
-        return texts.map(one)
+        return texts.map(exact_sketch)
 
     return df.select(id_col, sketch(F.col(text_col)).alias("sketch"))
 

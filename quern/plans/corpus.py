@@ -287,13 +287,13 @@ def _sketch_sql() -> str:
     from quern.functions.numeric import COMPONENTS, MERSENNE, permutation
 
     parts = ", ".join(
-        f"coalesce(min((({a}::HUGEINT * h + {b}::HUGEINT) % {MERSENNE}::HUGEINT) & 4294967295::HUGEINT), 0)::BIGINT AS m{i}" for i in range(COMPONENTS) for a, b in [permutation(i)]
+        f"coalesce(min((({a}::BIGINT * h + {b}) % {MERSENNE}) & 4294967295), 0)::BIGINT AS m{i}" for i in range(COMPONENTS) for a, b in [permutation(i)]
     )
     joined = ", ".join(f"m{i}" for i in range(COMPONENTS))
     return rf"""
-    w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents),
+    w AS (SELECT doc_id, list_filter(string_split({normal('text')}, ' '), lambda x: x <> '') AS w FROM documents),
     s AS (SELECT DISTINCT doc_id, unnest({grams_of('w', 5)}) AS s FROM w),
-    h AS (SELECT doc_id, ('0x' || substr(md5(s), 1, 8))::UBIGINT::HUGEINT AS h FROM s),
+    h AS (SELECT doc_id, ('0x' || substr(md5(s), 1, 8))::BIGINT AS h FROM s),
     m AS (SELECT d.doc_id, {parts} FROM documents d LEFT JOIN h USING (doc_id) GROUP BY d.doc_id),
     k AS (SELECT doc_id, [{joined}] AS sketch FROM m)"""
 

@@ -73,6 +73,31 @@ def test_near_copies(spark, make):
     assert rows(dedup.near_reasons(sketched, "doc_id"), "doc_id", "near") == [(1, False), (2, True), (3, False), (4, False), (5, True)]
 
 
+def test_exact_sketch_against_definition():
+    import xxhash
+
+    words = [f"w{i % 50}" for i in range(120)]
+    a, b = dedup._exact_family()
+    want = [min((int(x) * xxhash.xxh32_intdigest(" ".join(words[i : i + 5])) + int(y)) % (1 << 64) % ((1 << 61) - 1) & 0xFFFFFFFF for i in range(116)) for x, y in zip(a, b)]
+    assert dedup.exact_sketch("  ".join(words).upper()) == want
+    assert dedup.exact_sketch("a b c d") == dedup.exact_sketch(None) == [0] * 32
+
+
+def test_golden_near_copies(spark):
+    """After length, benchmark and exact reasons, the exact family rejects four more documents of the middle tables."""
+    import os
+
+    from quern.plans.corpus import staged
+
+    base = "/root/testdata/sf0.01"
+    if not os.path.isdir(base):
+        pytest.skip("no test tables")
+    kept = staged(spark, base).where("reason IS NULL").select("doc_id")
+    docs = kept.join(spark.read.parquet(f"{base}/documents.parquet").select("doc_id", "text"), "doc_id")
+    sketched = cut(dedup.exact_sketches(docs, "doc_id"))
+    assert dedup.near_reasons(sketched, "doc_id").where("near").count() == 4
+
+
 def test_sequential_oracle_on_real_rows(spark, sf):
     """The set-based near-copy result equals first-wins over the same sketches in id order."""
     sketched = cut(dedup.sketches(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id"))
