@@ -23,7 +23,7 @@ def test_contracts():
 
 def test_build(spark, tmp_path):
     bench = "one two three four five six seven eight nine ten eleven twelve thirteen"
-    pad = " ".join(f"w{i}" for i in range(80))
+    pad = " ".join(f"w{i}" for i in range(500))
     rows = [
         (0, "a", "http://x.org/1", f"{pad} first text"),
         (1, "a", "http://x.org/2", f"{pad.upper()} FIRST text"),  # exact copy
