@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.numeric import BANDS, COMPONENTS, LOW, MERSENNE, ROWS, SEED, permuted, shingle_hash
 from quern.functions.text import grams, normalize, split_words
-from quern.runtime import cut, ship
+from quern.runtime import cut, ship, spread
 
 SHINGLE = 5
 LEAST_EQUAL = 28
@@ -48,7 +48,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     Minima are taken before the shuffle, so it moves 32 numbers a document and task; a text under five
     words has an all-zero sketch.
     """
-    shingles = df.select(id_col, F.explode(grams(split_words(normalize(F.col(text_col))), SHINGLE)).alias("s"))
+    shingles = spread(df.select(id_col, text_col)).select(id_col, F.explode(grams(split_words(normalize(F.col(text_col))), SHINGLE)).alias("s"))
     hashed = shingles.select(id_col, shingle_hash(F.col("s")).alias("h"))
     mins = hashed.groupBy(id_col).agg(*(F.min(permuted(F.col("h"), i)).alias(f"m{i}") for i in range(COMPONENTS)))
     made = mins.select(id_col, F.array(*(F.col(f"m{i}") for i in range(COMPONENTS))).alias("sketch"))
@@ -87,7 +87,7 @@ def exact_sketches(df: DataFrame, id_col: str, text_col: str = "text") -> DataFr
     def sketch(texts: pd.Series) -> pd.Series:
         return texts.map(exact_sketch)
 
-    return df.select(id_col, sketch(F.col(text_col)).alias("sketch"))
+    return spread(df.select(id_col, text_col)).select(id_col, sketch(F.col(text_col)).alias("sketch"))
 
 
 def band_rows(sketched: DataFrame, id_col: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.text import grams, normalize, title_key, words
+from quern.runtime import spread
 
 SIZE = 13
 #: The exclusion side is broadcast only where it has at most so many grams; beyond, it is shuffled.
@@ -35,7 +36,7 @@ def small(df: DataFrame, most: int = BROADCAST_GRAMS) -> DataFrame:
 
 def contaminated(docs: DataFrame, id_col: str, index: DataFrame, n: int = SIZE) -> DataFrame:
     """Distinct ids of documents that share a gram with the index."""
-    return gram_rows(docs, id_col, F.col("text"), n).join(small(index), "gram", "left_semi").select(id_col).distinct()
+    return gram_rows(spread(docs.select(id_col, "text")), id_col, F.col("text"), n).join(small(index), "gram", "left_semi").select(id_col).distinct()
 
 
 def decontaminate(docs: DataFrame, id_col: str, index: DataFrame, titles: DataFrame | None = None, title_col: str | None = None) -> DataFrame:
