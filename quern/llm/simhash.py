@@ -9,10 +9,12 @@ Within a bucket the fingerprints lie as bit planes: plane ``b`` holds bit ``b``
 word.  Carry-save counters add up differences for a block of queries against a block of lanes at
 once; queries whose lanes all exceed the radius are abandoned.
 
-``similarity`` adds links between texts that share that much (Jaccard) of their five-word shingles, which
-64 bits cannot tell: the shingles' 1,520-bit SimHash estimates it to about 0.02, and two standard errors
-are allowed, so that texts at that similarity itself are found.  76 bands of 20 bits deal the wide fingerprints to buckets; a sorted stream compares each row with the first and the last
-row of its bucket, so candidates grow with the rows and never with their pairs.
+``similarity`` adds links between texts that share that much (Jaccard) of their distinct five-word shingles,
+which 64 bits cannot tell.  128 MinHash values in 32 bands of four deal the texts to buckets, whose keys are
+64-bit digests, so that buckets do not fill as the corpus grows: a pair at 0.8 shares none with probability
+5e-8, whatever the number of rows.  All rows of a bucket are compared: first each with the bucket's least row,
+then, in blocks, those that are not in one component yet, unless their values agree five standard errors too
+seldom.  Every pair is verified by its shingles before it is a link.
 
 Results that are defined: a null text equals an empty one, and a text without words has fingerprint
 zero, linked like any other; ids that are null never name a component; an empty table gives no rows.
@@ -29,7 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from quern.llm.common import map_text, narrow, texts_as_bytes
 from quern.runtime import cut, ship
@@ -62,42 +64,57 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * total > len(hashes)).tobytes(), "big")
 
 
-#: Wide fingerprints: bands and their bits, and the distance that the first 64 bits of a candidate may have.
-BANDS = 76
-BAND_BITS = 20
-WIDE = BANDS * BAND_BITS
-WORDS = -(-WIDE // BITS)
-SCREEN = 20
+#: MinHash bands and the values of each; the first byte of every value is the signature.
+BANDS = 32
+BAND_ROWS = 4
+#: Rows of a bucket that are compared with as many others at a time.
+PART = 1024
+_ODD = (np.arange(BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+_MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
-def wide_fingerprint(text: bytes, shingle: int = 5) -> np.ndarray | None:
-    """Bits of the WIDE-bit SimHash over the distinct shingles; None without words."""
+def shingle_set(text: bytes, shingle: int = 5) -> np.ndarray:
+    """Sorted XXH64 of the distinct word shingles; empty without words."""
     words = text.lower().split()
-    if not words:
-        return None
-    parts = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
-    hashes = np.fromiter((xxhash.xxh64_intdigest(p, SEED) for p in parts), np.uint64, len(parts))
-    spread = (np.arange(WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    total = np.zeros(WORDS * BITS, np.int64)
-    for i in range(0, len(hashes), 256):
-        mixed = hashes[i : i + 256, None] * spread[None, :]
-        mixed ^= mixed >> np.uint64(32)
-        mixed *= np.uint64(0xD6E8FEB86659FD93)
-        mixed ^= mixed >> np.uint64(32)
-        total += np.unpackbits(mixed.view(np.uint8).reshape(len(mixed), -1), axis=1).sum(axis=0, dtype=np.int64)
-    return (2 * total > len(hashes))[:WIDE].astype(np.uint8)
+    parts = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else ()
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(p, SEED) for p in parts), np.uint64, len(parts)))
+
+
+def _mixed(values: np.ndarray) -> np.ndarray:
+    values ^= values >> np.uint64(32)
+    values *= _MIX
+    values ^= values >> np.uint64(32)
+    return values
+
+
+def minima(shingles: np.ndarray) -> np.ndarray:
+    """The least value of each permutation over the shingles."""
+    least = np.full(len(_ODD), np.uint64(0xFFFFFFFFFFFFFFFF))
+    for i in range(0, len(shingles), 256):
+        np.minimum(least, _mixed(shingles[i : i + 256, None] * _ODD[None, :]).min(axis=0), out=least)
+    return least
+
 
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """A digest of each band's number and values."""
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least.reshape(BANDS, BAND_ROWS).T:
+        key = _mixed((key ^ column) * _ODD[1])
+    return key.view(np.int64)
 
-def band_keys(bits: np.ndarray) -> np.ndarray:
-    """Band number and bits as one integer, for each row of a bit matrix."""
-    values = bits.reshape(len(bits), BANDS, BAND_BITS) @ (1 << np.arange(BAND_BITS, dtype=np.int64))
-    return values + (np.arange(BANDS, dtype=np.int64) << BAND_BITS)
 
+def least_agreement(similarity: float) -> int:
+    """Values of a signature on which texts of a similarity agree, five standard errors allowed."""
+    n = BANDS * BAND_ROWS
+    return int(n * similarity - 5 * np.sqrt(n * similarity * (1 - similarity)))
 
-def most_bits(similarity: float) -> int:
-    """The Hamming distance of wide fingerprints that texts of a Jaccard similarity keep, two standard errors included."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(WIDE * share + 2 * np.sqrt(WIDE * share * (1 - share)))
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two sorted sets reaches ``similarity``."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
 
 
 def planes(prints: np.ndarray) -> np.ndarray:
@@ -266,57 +283,81 @@ def edges(reps: DataFrame, bucket_limit: int = 4096, radius: int = RADIUS) -> Da
     return rows.repartition("mask", "val").sortWithinPartitions("mask", "val").mapInArrow(run, schema)
 
 
-def similar_edges(reps: DataFrame, similarity: float) -> DataFrame:
-    """Links (u, v) of fingerprints whose wide SimHashes are near enough; ``reps`` has fp and wide."""
-    ship(reps.sparkSession)
+def candidates(members: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) of nodes of one bucket (key) and different roots whose signatures agree well enough.
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                fp, wide = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_pylist()
-                bits = np.unpackbits(np.frombuffer(b"".join(wide), np.uint8).reshape(len(wide), -1), axis=1)[:, :WIDE]
-                head = np.packbits(bits[:, :BITS], axis=1).view(">u8").astype(np.uint64).ravel().view(np.int64)
-                columns = [band_keys(bits).ravel(), np.repeat(fp, BANDS), np.repeat(head, BANDS)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "fp", "head"])
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = last = None  # (key, fp, head) of the bucket that may go on
+    ``members`` has key, node, root, signature and the bucket's rows n; larger buckets are compared in blocks.
+    """
+    ship(members.sparkSession)
+    enough = least_agreement(similarity)
+
+    def compare(rows: pa.Table) -> pa.RecordBatch:
+        node, root, own, low, high = (rows.column(c).to_numpy() for c in ("node", "root", "own", "low", "high"))
+        signature = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(len(node), -1)
+        left, right = np.nonzero(own == low[0])[0], np.nonzero(own == high[0])[0]
+        made = []
+        for i in range(0, len(left), 64):
+            x, y = left[i : i + 64, None], right[None, :]
+            pair = (root[x] != root[y]) & ((node[x] < node[y]) | (low[0] != high[0]))
+            if pair.any():
+                pair &= (signature[x] == signature[y]).sum(axis=2) >= enough
+                p, q = np.nonzero(pair)
+                made.append(np.stack([node[left[i + p]], node[right[q]]]))
+        found = np.concatenate(made, axis=1) if made else np.zeros((2, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(found.max(axis=0)), pa.array(found.min(axis=0))], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = None  # the block that may go on in the next batch
         for batch in batches:
-            if not batch.num_rows:
+            rows = pa.Table.from_batches([batch])
+            rows = (rows if tail is None else pa.concat_tables([tail, rows])).combine_chunks()
+            if not rows.num_rows:
                 continue
-            key, fp, head = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            if last is not None:
-                key, fp, head = (np.concatenate([[f, x], c]) for f, x, c in zip(first, last, (key, fp, head)))
-            start = np.r_[True, key[1:] != key[:-1]]
-            leader = np.maximum.accumulate(np.where(start, np.arange(len(key)), 0))
-            made = []
-            for other in (leader, np.maximum(np.arange(len(key)) - 1, leader)):
-                near = np.bitwise_count((head ^ head[other]).view(np.uint64)) <= SCREEN
-                at = np.nonzero(near & (fp != fp[other]))[0]
-                made.append(np.stack([fp[at], fp[other[at]]]))
-            pairs = np.concatenate(made, axis=1)
-            u, v = np.maximum(*pairs), np.minimum(*pairs)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-            i = leader[-1]
-            first, last = (key[i], fp[i], head[i]), (key[-1], fp[-1], head[-1])
-
-    limit = most_bits(similarity)
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 4096):
-                part = batch.slice(i, 4096)
-                a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(part.num_rows, -1) for c in (2, 3))
-                near = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= limit
-                yield pa.RecordBatch.from_arrays([part.column(c).filter(pa.array(near)) for c in (0, 1)], ["u", "v"])
+            keys = [rows.column(c).to_numpy() for c in ("key", "low", "high")]
+            start = np.nonzero(np.r_[True, reduce(np.logical_or, (k[1:] != k[:-1] for k in keys))])[0].tolist()
+            for a, b in zip(start, start[1:]):
+                yield compare(rows.slice(a, b - a))
+            tail = rows.slice(start[-1])
+        if tail is not None:
+            yield compare(tail)
+
+    parts = F.ceil(F.col("n") / PART).cast("long")
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("node"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "root", "signature")
+    blocks = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return blocks.mapInArrow(run, StructType([StructField("u", LongType()), StructField("v", LongType())])).distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose shingles are alike; ``sets`` has node and its shingles."""
+    ship(pairs.sparkSession)
 
-    pairs_of = StructType([StructField("u", LongType()), StructField("v", LongType())])
-    bands = reps.where("wide IS NOT NULL").select("fp", "wide").mapInArrow(deal, "key long, fp long, head long")
-    found = cut(bands.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(pair, pairs_of).distinct())
-    wide = reps.select("fp", "wide")
-    sides = found.join(wide.select(F.col("fp").alias("u"), F.col("wide").alias("a")), "u").join(wide.select(F.col("fp").alias("v"), F.col("wide").alias("b")), "v")
-    return sides.select("u", "v", "a", "b").mapInArrow(verify, pairs_of)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = ([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(c)] for c in (2, 3))
+            same = pa.array([alike(a, b, similarity) for a, b in zip(*sides)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(same) for c in (0, 1)], ["u", "v"])
+
+    both = cut(pairs).join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
+    return cut(both.select("u", "v", "a", "b").mapInArrow(run, StructType([StructField("u", LongType()), StructField("v", LongType())])))
+
+
+def similar_edges(reps: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) of nodes whose shingles are alike; ``reps`` has node, text_key, bands and signature, ``docs`` text_key and text."""
+    bands = reps.where("bands IS NOT NULL").select("node", F.explode("bands").alias("key"))
+    shared = cut(bands.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    members = cut(bands.join(shared, "key"))
+    # Only texts that share a bucket are read again for their shingles.
+    wanted = cut(reps.join(members.select("node").distinct(), "node", "left_semi").select("node", "text_key"))
+    again = docs.select("text_key", "text").join(wanted, "text_key")
+    found = map_text(again, ["node"], "text", lambda c: [pa.array([shingle_set(t).tobytes() for t in texts_as_bytes(c)], pa.binary())], [StructField("shingles", BinaryType())])
+    sets = cut(found.groupBy("node").agg(F.first("shingles").alias("shingles")))
+    near = verified(members.where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v")).distinct(), sets, similarity)
+    roots = cut(components(near))
+    placed = cut(members.where("n > 2").join(roots.withColumnRenamed("u", "node"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
+    mixed = cut(placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key", "n"))
+    rest = placed.join(mixed, "key").join(reps.select("node", "signature"), "node")
+    return near.unionByName(verified(candidates(rest, similarity), sets, similarity))
 
 
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:
@@ -358,26 +399,41 @@ def simhash_components(
 
     def compute(column: pa.Array) -> list[pa.Array]:
         texts = texts_as_bytes(column)
-        made = [pa.array(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64), pa.int64())]
+        prints = np.array([fingerprint(t, shingle) for t in texts], np.uint64)
+        made = [pa.array(prints.view(np.int64), pa.int64())]
         if similarity is not None:
-            wide = (wide_fingerprint(t) for t in texts)
-            made.append(pa.array([None if w is None else np.packbits(w).tobytes() for w in wide], pa.binary()))
+            sets = [shingle_set(t) for t in texts]
+            least = [minima(x) if len(x) else None for x in sets]
+            node = [xxhash.xxh64_intdigest(p.tobytes() + x.tobytes(), SEED) for p, x in zip(prints, sets)]
+            made.append(pa.array(np.array(node, np.uint64).view(np.int64), pa.int64()))
+            made.append(pa.array([None if x is None else band_keys(x) for x in least], pa.list_(pa.int64())))
+            made.append(pa.array([None if x is None else (x & np.uint64(0xFF)).astype(np.uint8).tobytes() for x in least], pa.binary()))
         return made
 
-    fields = [StructField("fp", LongType()), *([] if similarity is None else [StructField("wide", BinaryType())])]
-    rows = cut(map_text(docs, ["doc_id", "text_key"], "text", compute, fields).withColumn("row_key", F.monotonically_increasing_id()))
+    fields = [StructField("fp", LongType())]
+    if similarity is not None:
+        fields += [StructField("node", LongType()), StructField("bands", ArrayType(LongType())), StructField("signature", BinaryType())]
+    rows = map_text(docs, ["doc_id", "text_key"], "text", compute, fields).withColumn("row_key", F.monotonically_increasing_id())
+    rows = cut(rows if similarity is not None else rows.withColumn("node", F.col("fp")))
     # Nulls sort last here: an id that is null names a component only where there is no other.
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row_key"))).alias("lead")
-    # Rows of one fingerprint are one node, whose wide fingerprint is that of the smallest.
-    reps = cut(rows.groupBy("fp").agg(lead, *([] if similarity is None else [F.min("wide").alias("wide")])))
-    links = edges(reps.select("fp"), bucket_limit, radius)
-    if similarity is not None:
-        links = links.unionByName(similar_edges(reps, similarity))
+    # Rows of one fingerprint are one node; for the similarity, rows of one fingerprint and one set of shingles.
+    more = [] if similarity is None else [F.min("text_key").alias("text_key"), *(F.first(c).alias(c) for c in ("bands", "signature"))]
+    reps = cut(rows.groupBy("node").agg(lead, F.first("fp").alias("fp"), *more))
+    if similarity is None:
+        links = edges(reps.select("fp"), bucket_limit, radius)
+    else:
+        least = cut(reps.groupBy("fp").agg(F.min("node").alias("least")))
+        close = edges(least.select("fp"), bucket_limit, radius)
+        for side in ("u", "v"):
+            close = close.join(least.select(F.col("fp").alias(side), F.col("least").alias(f"{side}_node")), side)
+        same = reps.join(least, "fp").where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+        links = close.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")).unionByName(same).unionByName(similar_edges(reps, docs, similarity))
     roots = cut(components(links))
-    placed = reps.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "lead", F.coalesce("root", "fp").alias("root"))
+    placed = reps.join(roots.withColumnRenamed("u", "node"), "node", "left").select("node", "lead", F.coalesce("root", "node").alias("root"))
     first = cut(placed.groupBy("root").agg(F.min("lead").alias("first")))
-    named = cut(cut(placed).join(first, "root").select("fp", "first"))
-    return rows.join(named, "fp").select(
+    named = cut(cut(placed).join(first, "root").select("node", "first"))
+    return rows.join(named, "node").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("first.doc_id").alias("component_id"),

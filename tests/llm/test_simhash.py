@@ -149,3 +149,27 @@ def test_odd_rows(odd, plain, empty):
     rows = found.collect()
     assert sum(r["kept"] for r in rows) == len({(r["component_id"], r["fingerprint"]) for r in rows if r["kept"]})
     assert simhash_components(empty).count() == 0
+
+
+def test_all_rows_of_a_bucket_are_compared(spark, monkeypatch):
+    """Pairs in one bucket are found whichever rows lie beside them, and in blocks too."""
+    from quern.llm import simhash
+
+    monkeypatch.setattr(simhash, "PART", 7)
+    rng = np.random.default_rng(4)
+    rows, want = [], set()
+    for i in range(40):
+        print_ = rng.integers(0, 256, 128, dtype=np.uint8)
+        rows += [(1, i, i, 80, bytes(print_)), (1, 1000 - i, 1000 - i, 80, bytes(np.where(np.arange(128) < 20, print_ + 1, print_).astype(np.uint8)))]
+        want.add((1000 - i, i))
+    members = spark.createDataFrame(rows, "key long, node long, root long, n long, signature binary")
+    assert {(r["u"], r["v"]) for r in simhash.candidates(members, 0.8).collect()} == want
+
+
+def test_bands_find_pairs_at_the_similarity():
+    from quern.llm.simhash import band_keys, minima
+
+    rng = np.random.default_rng(6)
+    for _ in range(2000):  # 80 of 100 shingles shared
+        pool = rng.integers(0, 1 << 63, 100, dtype=np.uint64)
+        assert (band_keys(minima(pool[:90])) == band_keys(minima(pool[10:]))).any()
