@@ -151,6 +151,11 @@ def test_odd_rows(odd, plain, empty):
     assert simhash_components(empty).count() == 0
 
 
+def jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for w in [t.split()] for i in range(max(1, len(w) - 4))} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
 def test_all_rows_of_a_bucket_are_compared(spark, monkeypatch):
     """Pairs in one bucket are found whichever rows lie beside them, and in blocks too."""
     from quern.llm import simhash
@@ -173,3 +178,20 @@ def test_bands_find_pairs_at_the_similarity():
     for _ in range(2000):  # 80 of 100 shingles shared
         pool = rng.integers(0, 1 << 63, 100, dtype=np.uint64)
         assert (band_keys(minima(pool[:90])) == band_keys(minima(pool[10:]))).any()
+
+
+def test_similarity_is_exact_on_both_sides_of_the_bound(spark):
+    """Texts of distinct words that share a run: at 0.8 linked, a little under it not."""
+    rows, want = [], {}
+    for k in range(60):
+        shared = 72 if k % 2 else 71  # of 90 and of 89 shingles
+        words = [f"k{k}w{i}" for i in range(shared + 4)]
+        a, b = words + [f"k{k}a{i}" for i in range(9)], words + [f"k{k}b{i}" for i in range(9)]
+        a, b = " ".join(a), " ".join(b)
+        for n, t in ((2 * k, a), (2 * k + 1, b)):
+            rows.append((n, t))
+        linked = jaccard(a, b) >= 0.8 or (definition(a) ^ definition(b)).bit_count() <= 2
+        want[2 * k], want[2 * k + 1] = 2 * k, 2 * k if linked else 2 * k + 1
+    assert {jaccard(rows[0][1], rows[1][1]), jaccard(rows[2][1], rows[3][1])} == {71 / 89, 72 / 90}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash_components(docs, similarity=0.8).collect()} == want
