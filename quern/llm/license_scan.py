@@ -37,6 +37,20 @@ NOTICES = {
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
+#: Short reference lines, each a template of its own length beside the notices; 0.7 of one takes its name and version.
+REFERENCES = [
+    ("apache-2.0", "the apache license version 2 0"),
+    ("bsd", "the bsd license"),
+    ("bsd", "bsd 2 clause license"),
+    ("bsd", "bsd 3 clause license"),
+    ("bsd", "2 clause bsd license"),
+    ("bsd", "3 clause bsd license"),
+    ("isc", "the isc license"),
+    ("mit", "the mit license"),
+    ("mit", "under mit license"),
+    ("mpl-2.0", "the mozilla public license version 2 0"),
+    ("mpl-2.0", "the mozilla public license v 2 0"),
+]
 #: Diagonals at most so far apart are one span; it must cover this share of a notice's 2-grams.
 GAP = 2
 COVER = 0.7
@@ -44,16 +58,16 @@ STRETCH = 1.5
 
 
 def templates(spark: SparkSession) -> DataFrame:
-    """(h, a, b, label, exact, tpos, grams) of every 2-gram of every template."""
+    """(h, a, b, template, label, exact, tpos, grams) of every 2-gram of every template."""
     rows = []
-    for exact, table in ((True, BASE), (False, NOTICES)):
-        for label, text in table.items():
+    for exact, table in ((True, BASE.items()), (False, [*NOTICES.items(), *REFERENCES])):
+        for label, text in table:
             words = text.split()
             grams = list(zip(words, words[1:]))
             assert len(grams) <= 62, label  # places fit the bits of a long
-            rows += [(a, b, label, exact, i, len(grams)) for i, (a, b) in enumerate(grams)]
-    table = spark.createDataFrame(rows, "a string, b string, label string, exact boolean, tpos int, grams int")
-    return table.select(F.xxhash64("a", "b").alias("h"), "a", "b", "label", "exact", "tpos", "grams")
+            rows += [(a, b, text, label, exact, i, len(grams)) for i, (a, b) in enumerate(grams)]
+    table = spark.createDataFrame(rows, "a string, b string, template string, label string, exact boolean, tpos int, grams int")
+    return table.select(F.xxhash64("a", "b").alias("h"), "a", "b", "template", "label", "exact", "tpos", "grams")
 
 
 def words_of(text: Column) -> Column:
@@ -74,7 +88,7 @@ def _votes(docs: DataFrame) -> DataFrame:
     same = (F.col("dh") == F.col("h")) & (F.col("da") == F.col("a")) & (F.col("db") == F.col("b"))
     joined = grams.join(F.broadcast(table), same, "left")  # a fixed table of a few hundred rows
     kept = joined.where(F.col("label").isNotNull() | (F.coalesce("dpos", F.lit(0)) == 0))
-    return kept.select("doc_id", "row_key", "n_words", "label", "exact", "grams", "tpos", "dpos")
+    return kept.select("doc_id", "row_key", "n_words", "template", "label", "exact", "grams", "tpos", "dpos")
 
 
 def license_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -85,7 +99,7 @@ def license_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     votes = _votes(narrow(df, id_col, text_col)).repartition("row_key")
     votes = votes.withColumn("diagonal", F.col("dpos") - F.col("tpos"))
     # Votes of an exact phrase stay on their own diagonal; for notices neighbours merge below.
-    by = ["row_key", "label", "exact", "diagonal"]
+    by = ["row_key", "template", "label", "exact", "diagonal"]
     sums = votes.groupBy(*by).agg(
         F.first("doc_id").alias("doc_id"),
         F.first("n_words").alias("n_words"),
@@ -94,10 +108,10 @@ def license_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.min("dpos").alias("low"),
         F.max("dpos").alias("high"),
     )
-    order = Window.partitionBy("row_key", "label", "exact").orderBy("diagonal")
+    order = Window.partitionBy("row_key", "template", "label", "exact").orderBy("diagonal")
     apart = F.when(F.col("diagonal") - F.lag("diagonal").over(order) <= F.when(F.col("exact"), 0).otherwise(GAP), 0).otherwise(1)
     marked = sums.withColumn("new", apart).withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    spans = marked.groupBy("row_key", "label", "exact", "span").agg(
+    spans = marked.groupBy("row_key", "template", "label", "exact", "span").agg(
         F.first("doc_id").alias("doc_id"),
         F.first("n_words").alias("n_words"),
         F.first("grams").alias("grams"),

@@ -33,6 +33,22 @@ def test_notices_survive_edits(spark):
     assert found[2]["labels"] == ""
 
 
+def test_short_reference_lines(spark):
+    lines = {
+        "Licensed under the Apache License, Version 2.0.": "apache-2.0",
+        "Licensed under the Apache License, Version 1.1.": "",
+        "Released under the MIT License.": "mit",
+        "Available under the BSD 3-Clause License": "bsd",
+        "Subject to the Mozilla Public License, version 2.0": "mpl-2.0",
+        "Subject to the Eclipse Public License, Version 2.0": "",
+        "Licensed under CC BY-NC 4.0.": "cc-by-nc",
+        "Released under the terms of a license": "",
+    }
+    rows = [(i, "some words before. " + line + " And after it") for i, line in enumerate(lines)]
+    found = {r["doc_id"]: r["labels"] for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [",".join(x for x in found[i].split(",") if x != "cc-by") for i in range(len(rows))] == list(lines.values())
+
+
 def test_odd_rows(odd, plain, empty):
     rows = scan_licenses(odd).collect()
     assert len(rows) == odd.count()
