@@ -256,7 +256,8 @@ def detect(text: str) -> list[tuple[int, int, str]]:
     return sorted(found)
 
 
-_START = re.compile(rf"(?<!\w)(?:(?:{'|'.join(TITLES)})\.? [^\W\d_]|(?:{_FIRST})(?!\w) [^\W\d_])")
+#: Every place where _PERSON finds a listed first name or a title before a letter; nothing is consumed.
+_START = re.compile(rf"(?<!\w)(?=(?:{'|'.join(TITLES)})\.? [^\W\d_]|(?:{_FIRST})(?!\w))")
 
 
 def _mentions(text: str):

@@ -43,6 +43,15 @@ def test_names_keep_gender_script_and_coreference():
     assert made["Петров"][0].isupper() and "CYRILLIC" in __import__("unicodedata").name(made["Петров"][0])
 
 
+def test_names_before_punctuation_breaks_and_ends():
+    for text in ("Dear Maria, hello", "Ask Maria.", "(Maria)", "name: Maria\nhere", "Maria"):
+        out, made, kinds = one(text)
+        assert kinds == ["first"] and "Maria" in made and "Maria" not in out
+    assert {"Peter", "Paul", "Schmidt"} <= set(one("Peter Paul Schmidt")[1])
+    assert "Schmidt" in one("Herr Dr. Schmidt")[1]
+    assert one("Mariana, Annabel and Petersburg")[2] == []
+
+
 def test_ordinary_text_stays():
     text = "In 2024 the 3 rivers, version 1.2.3, took 12 of 345 days; Dr. no one. A1B2 10:30 5-4-3"
     assert detect(text) == [] and replace(text, KEY)[0] == text
