@@ -53,6 +53,15 @@ def shard_roundtrip(spark, sf_dir):
     return sinks.shard_rows(rows, "source", "doc_id", "ids").select("part", (F.length("shard") / 2).cast("long").alias("tokens"), "documents")
 
 
+@query("shard_whole_texts", r"SELECT source AS part, sum(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')))::BIGINT AS tokens, count(*) AS documents FROM documents GROUP BY source")
+def shard_whole_texts(spark, sf_dir):
+    """uint16 shards of the word lengths of whole texts, each source in numbered shards of a fixed size."""
+    ids = F.transform(text.split_words(F.col("text")), lambda w: F.length(w))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", ids.alias("ids"))
+    shards = sinks.numbered_shards(rows, "source", "doc_id", "ids").select("part", (F.length("shard") / 2).cast("long").alias("tokens"), "documents")
+    return shards.groupBy("part").agg(F.sum("tokens").alias("tokens"), F.sum("documents").alias("documents"))
+
+
 @query("manifest_roundtrip", "SELECT doc_id, source FROM documents")
 def manifest_roundtrip(spark, sf_dir):
     place = _place(spark)

@@ -54,6 +54,51 @@ def shard_rows(df: DataFrame, part: str, order: str, tokens: str) -> DataFrame:
     return rows.repartition("part").sortWithinPartitions("part", "o").mapInPandas(pack, "part string, shard binary, tokens long, documents long")
 
 
+def numbered_shards(df: DataFrame, part: str, order: str, tokens: str, most_tokens: int = 1 << 20) -> DataFrame:
+    """(part, number, shard bytes, tokens, documents): as shard_rows, each part cut into shards of ``most_tokens``.
+
+    A shard holds the tokens from number * most_tokens on, whichever documents they belong to, so no cell and no
+    task grows with the part; a document is counted in the shard where it begins.
+    """
+    from quern.operators import aggregates
+
+    ship(df.sparkSession)
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        at, chunks, documents = None, [], 0
+
+        def made() -> pd.DataFrame:
+            whole = np.concatenate(chunks)
+            if len(whole) and (whole.min() < 0 or whole.max() > 0xFFFF):
+                raise ValueError("token id outside uint16")
+            return pd.DataFrame({"part": [at[0]], "number": [at[1]], "shard": [whole.astype("<u2").tobytes()], "tokens": [len(whole)], "documents": [documents]})
+
+        for batch in batches:
+            for p, k, ids, begins in zip(batch["part"], batch["number"], batch["tokens"], batch["begins"]):
+                if (p, k) != at:
+                    if at is not None:
+                        yield made()
+                    at, chunks, documents = (p, k), [], 0
+                chunks.append(np.asarray(ids, np.int64))
+                documents += int(begins)
+        if at is not None:
+            yield made()
+
+    size = F.size("tokens").cast("long")
+    rows = df.select(F.col(part).alias("part"), F.col(order).alias("o"), F.col(tokens).alias("tokens")).withColumn("place", F.struct("part", "o")).withColumn("size", size)
+    summed = aggregates.running(rows, "place", "size").withColumn("at", F.col("upto") - F.col("size"))
+    first = summed.groupBy("part").agg(F.min("at").alias("first")).withColumnRenamed("part", "p")
+    placed = summed.join(first, F.col("part").eqNullSafe(F.col("p"))).withColumn("at", F.col("at") - F.col("first"))
+    numbers = F.sequence(F.floor(F.col("at") / most_tokens), F.floor((F.col("at") + F.greatest("size", F.lit(1)) - 1) / most_tokens))
+    pieces = placed.withColumn("number", F.explode(numbers))
+    start = F.greatest(F.lit(0), F.col("number") * most_tokens - F.col("at"))
+    stop = F.least(F.col("size"), (F.col("number") + 1) * most_tokens - F.col("at"))
+    cells = pieces.select("part", "number", "at", "o", F.slice("tokens", (start + 1).cast("int"), (stop - start).cast("int")).alias("tokens"), (start == 0).alias("begins"))
+    return cells.repartition("part", "number").sortWithinPartitions("part", "number", "at", "o").mapInPandas(pack, "part string, number long, shard binary, tokens long, documents long")
+
+
 def freeze(df: DataFrame, path: str) -> None:
     """A record that is written once; a second write is an error."""
     df.write.mode("errorifexists").json(path)

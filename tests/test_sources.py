@@ -59,6 +59,16 @@ def test_shards(spark, tmp_path):
         sinks.shard_rows(df.withColumn("ids", F.array(F.lit(70_000))), "part", "o", "ids").collect()
 
 
+def test_numbered_shards_hold_whole_texts(spark):
+    """250 tokens of a document are all there, in shards of 100 whatever the documents' bounds."""
+    rows = [("p", 2, list(range(250))), ("p", 1, [7] * 30), ("p", 3, []), ("q", 1, [3])]
+    df = spark.createDataFrame(rows, "part string, o long, ids array<int>")
+    got = sorted(sinks.numbered_shards(df, "part", "o", "ids", 100).collect())
+    assert [(r["part"], r["number"], r["tokens"], r["documents"]) for r in got] == [("p", 0, 100, 2), ("p", 1, 100, 0), ("p", 2, 80, 1), ("q", 0, 1, 1)]
+    whole = np.concatenate([np.frombuffer(r["shard"], "<u2") for r in got[:3]])
+    assert whole.tolist() == [7] * 30 + list(range(250))
+
+
 def test_frozen_records_and_manifests(spark, tmp_path):
     df = spark.createDataFrame([(1,)], "x long")
     sinks.freeze(df, str(tmp_path / "r"))
