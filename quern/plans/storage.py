@@ -144,6 +144,13 @@ def decoded_documents(spark, sf_dir):
     return tokenizing.decode(encoded, "ids").select("item_id", F.col("decoded").alias("text"))
 
 
+@query("decoded_whole_documents")
+def decoded_whole_documents(spark, sf_dir):
+    """decoded_documents over the whole documents; a null text counts as empty."""
+    encoded = tokenizing.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return tokenizing.decode(encoded, "ids").select("doc_id", F.col("decoded").alias("text"))
+
+
 @query("corpus_build", "SELECT count(*) AS documents, (SELECT count(DISTINCT source) FROM documents) AS sources FROM documents")
 def corpus_build(spark, sf_dir):
     """A whole build with exclusion, deduplication, panels, shards and manifest; its funnel accounts for every document."""

@@ -98,6 +98,22 @@ def next_token_pairs(spark, sf_dir):
     return pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("eval_chunks_documents")
+def eval_chunks_documents(spark, sf_dir):
+    """eval_chunks over whole documents; tests hold it against plain Python."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", text.words(text.normalize(F.col("text"))).alias("w"))
+    chunks = rows.select("doc_id", F.posexplode(windows.eval_chunks(F.col("w"), 8)).alias("i", "c"))
+    return chunks.select("doc_id", (F.col("i") * 8).alias("s"), F.array_join("c", " ").alias("chunk"))
+
+
+@query("next_token_pairs_documents")
+def next_token_pairs_documents(spark, sf_dir):
+    """next_token_pairs over whole documents; tests hold it against plain Python."""
+    rows = table(spark, sf_dir, "documents").select(text.words(text.normalize(F.col("text"))).alias("w"))
+    pairs = rows.where(F.size("w") >= 2).select(F.inline(F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - 1).alias("x"), F.slice("w", F.lit(2), F.size("w") - 1).alias("y"))))
+    return pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "pack_positions",
     f"WITH {_T}, o AS (SELECT doc_id, source, tokens, {_BEFORE} AS b FROM t) SELECT doc_id, source, b // 512 AS first_sequence, (b + greatest(tokens, 1) - 1) // 512 AS last_sequence, b % 512 AS \"offset\" FROM o",

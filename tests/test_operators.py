@@ -269,3 +269,18 @@ def test_merges(spark):
     df = spark.createDataFrame([("héllo",)], "t string")
     assert tokenizing.decode(tokenizing.encode(df, "t"), "ids").first()["decoded"] == "héllo"
     assert tokenizing.bytes_per_token(df, "t").first()["bytes_per_token"] == 1.0
+
+
+def test_pairs_chunks_and_decoding_cover_whole_documents(spark, tmp_path):
+    from collections import Counter
+
+    from quern.plans.registry import QUERIES
+
+    texts = {1: " ".join(f"w{i % 90}" for i in range(300)), 2: "one two", 3: "single", 4: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    words = {i: (t or "").split() for i, t in texts.items()}
+    pairs = Counter(p for w in words.values() for p in zip(w, w[1:]))
+    assert {(r["x"], r["y"]): r["n"] for r in QUERIES["next_token_pairs_documents"](spark, str(tmp_path)).collect()} == pairs
+    chunks = {(i, s, " ".join(w[s : s + 9])) for i, w in words.items() if len(w) >= 2 for s in range(0, len(w) - 1, 8)}
+    assert {tuple(r) for r in QUERIES["eval_chunks_documents"](spark, str(tmp_path)).collect()} == chunks
+    assert {r["doc_id"]: r["text"] for r in QUERIES["decoded_whole_documents"](spark, str(tmp_path)).collect()} == {i: t or "" for i, t in texts.items()}
