@@ -3,18 +3,21 @@
 A document of n ids gives its full windows at once; what remains is placed, in the order of arrival,
 into the fill level that makes the sum of squared counts of partly filled windows smallest.  The counts
 lie in an array over the levels.  Each task packs the documents that it reads, without a shuffle, and
-holds open windows only: beyond ``max_open`` of them, and at its end, the emptiest windows are cut up
-to fill the fullest.  The one window that stays partly filled is split into power-of-two sequences, so
-a task pads nothing.
+holds open windows only.  The sum of squares keeps these few (2,000 documents of any length leave some
+hundreds); ``max_open`` of :func:`pack` bounds the memory of a task all the same: beyond it, and at the task's
+end, the emptiest windows are cut up to fill the fullest, and the placing goes on.  The one window that stays
+partly filled is split into power-of-two sequences, so a task pads nothing.
 
 Results that are defined: a null or empty text is the closing id alone; documents that repeat an id
-are packed one by one; a null id is carried along; an empty table gives no rows.
+are packed one by one; a null id is carried along; a text of any length is encoded in blocks; extra columns
+are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -29,10 +32,12 @@ from quern.runtime import ship
 
 WINDOW = 2048
 END = 1
+#: Open windows of a task; each holds at most WINDOW ids of four bytes.
+MAX_OPEN = 16_384
 #: Sequence ids are the task's number and the sequence's number within it.
 SEQUENCE_BITS = 40
 
-_ENCODERS: dict[str, Callable[[str], list[int]]] = {}
+_ENCODERS: dict[str, Callable[[str], np.ndarray]] = {}
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -42,11 +47,28 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
-def encoder(path: str) -> Callable[[str], list[int]]:
-    """Ids of a text under a byte-level BPE tokenizer file, by rank merging over its own vocabulary.
+#: A place where no token of a byte-level vocabulary goes on: one blank between two other characters.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+_VOID = re.compile(r"\s{2000}")
 
-    In such a file the ids of merged tokens are their ranks.  A probe text is encoded by ``tokenizers``
-    too; where the two differ, ``tokenizers`` itself is used.  Strings of special tokens are ordinary text.
+
+def text_blocks(text: str, size: int = 1 << 20) -> Iterator[str]:
+    """The text in blocks of bounded length (where it has such blanks), none of which cuts a token."""
+    at = 0
+    while at < len(text):
+        blank = _CUT.search(text, at + size) if at + size < len(text) else None
+        end = blank.start() if blank else len(text)
+        yield text[at:end]
+        at = end
+
+
+def encoder(path: str) -> Callable[[str], np.ndarray]:
+    """Ids of a text under a byte-level BPE tokenizer file, as ``tokenizers`` gives them without added special tokens.
+
+    A block that holds a special token's string, or so long a run of blanks that rank merging would overflow its
+    stack, goes to ``tokenizers``.  Other blocks are encoded by rank merging over
+    the file's own vocabulary, in which the ids of merged tokens are their ranks; a probe text is encoded both ways,
+    and where the two differ, ``tokenizers`` encodes all texts.
     """
     if path not in _ENCODERS:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,22 +77,33 @@ def encoder(path: str) -> Callable[[str], list[int]]:
         from tokenizers import Tokenizer
 
         slow = Tokenizer.from_file(path)
-        slow.encode_special_tokens = True
 
-        def by_tokenizers(text: str) -> list[int]:
-            return slow.encode(text, add_special_tokens=False).ids
+        def by_tokenizers(text: str) -> np.ndarray:
+            return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
         probe = "Ünïcode  and\n\n\tspaces, don't 1234567 $$$ 漢字 🙂 end. "
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        fixed = {x["content"] for x in spec.get("added_tokens", [])}
+        fixed = [x["content"] for x in spec.get("added_tokens", [])]
+        # A special token that reaches over blanks may lie across two blocks.
+        wide = any(x.get("lstrip") or x.get("rstrip") or re.search(r"\s", x["content"]) for x in spec.get("added_tokens", []))
         alphabet = _byte_alphabet()
         chosen = by_tokenizers
         try:
             ranks = {bytes(alphabet[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in fixed}
-            fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-            if fast(probe) == by_tokenizers(probe):
-                chosen = fast
+            merge = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+            def of_block(text: str) -> np.ndarray:
+                if any(token in text for token in fixed) or _VOID.search(text):
+                    return by_tokenizers(text)
+                return np.array(merge(text), np.uint32)
+
+            def by_ranks(text: str) -> np.ndarray:
+                blocks = [of_block(b) for b in ([text] if wide else text_blocks(text))]
+                return blocks[0] if len(blocks) == 1 else np.concatenate([np.zeros(0, np.uint32), *blocks])
+
+            if np.array_equal(by_ranks(probe), by_tokenizers(probe)):
+                chosen = by_ranks
         except (KeyError, ValueError):
             pass  # not a byte-level vocabulary
         _ENCODERS[path] = chosen
@@ -80,7 +113,7 @@ def encoder(path: str) -> Callable[[str], list[int]]:
 class Packer:
     """Level array and open windows of one task; a piece is (tag, start, ids)."""
 
-    def __init__(self, window: int = WINDOW, max_open: int = 4096) -> None:
+    def __init__(self, window: int = WINDOW, max_open: int = MAX_OPEN) -> None:
         self.window, self.max_open = window, max_open
         self.counts = np.zeros(window + 1, np.int64)
         self.open: list[list[list[tuple]]] = [[] for _ in range(window + 1)]
@@ -188,6 +221,7 @@ def pack(
     window: int = WINDOW,
     end_id: int = END,
     with_ids: bool = False,
+    max_open: int = MAX_OPEN,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, on request, its ids.
 
@@ -207,7 +241,7 @@ def pack(
 
             path = public_tokenizers.path("byte_bpe_50k.json")
         encode = encoder(path)
-        packer = Packer(window)
+        packer = Packer(window, max_open)
         base, made = TaskContext.get().partitionId() << SEQUENCE_BITS, 0
         id_type = None
         rows: list[tuple] = []
@@ -233,11 +267,11 @@ def pack(
             for part in slices(batch, 1):
                 id_type = part.column(0).type
                 for doc_id, text in zip(part.column(0).to_pylist(), texts_as_bytes(part.column(1))):
-                    ids = np.array([*encode(text.decode()), end_id], np.uint32)
+                    ids = np.append(encode(text.decode()), np.uint32(end_id))
                     for sequence in packer.add((doc_id, len(ids)), ids):
                         emit(sequence)
-                if len(rows) > 4096:
-                    yield flush()
+                        if len(rows) > 4096:
+                            yield flush()
         for sequence in packer.close():
             emit(sequence)
         if rows:

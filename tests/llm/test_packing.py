@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from quern.llm.packing import Packer, encoder, pack
+from quern.llm.packing import Packer, encoder, pack, text_blocks
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -17,7 +17,35 @@ def test_encoder_equals_the_tokenizer_file(texts, plain):
     fast = encoder(PATH)
     more = [r["text"] or "" for r in plain.collect()]
     for t in [*texts.values(), *more, "a  b \n\n c\t", "don't  'll  1234   漢字"]:
-        assert fast(t) == slow.encode(t, add_special_tokens=False).ids
+        assert fast(t).tolist() == slow.encode(t, add_special_tokens=False).ids
+    for t in (" " * 300_000, "a" + "\n \t" * 50_000 + "b", "x" * 200_000, "one two " * 300_000):
+        assert np.array_equal(fast(t), slow.encode(t, add_special_tokens=False).ids)
+
+
+def test_special_strings_are_encoded_as_the_library_does():
+    slow, fast = Tokenizer.from_file(PATH), encoder(PATH)
+    special = [t.content for t in slow.get_added_tokens_decoder().values()]
+    assert special
+    for token in special:
+        for t in (token, f"hello {token} x", f"a{token}{token}\n b", f"{token[:-1]} {token[1:]}"):
+            assert fast(t).tolist() == slow.encode(t, add_special_tokens=False).ids
+    assert len(fast(f"hello {special[0]} x")) == 4
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.text(alphabet=st.sampled_from(list("ab1 \n\t.'é漢\u00a0\u2003")), max_size=60), st.integers(1, 8))
+def test_blocks_do_not_cut_tokens(text, size):
+    slow, fast = Tokenizer.from_file(PATH), encoder(PATH)
+    assert [i for block in text_blocks(text, size) for i in fast(block).tolist()] == slow.encode(text, add_special_tokens=False).ids
+
+
+def test_open_windows_stay_few():
+    rng = np.random.default_rng(9)
+    packer, most = Packer(2048), 0
+    for i, n in enumerate(rng.integers(1, 2048, 2000).tolist()):
+        list(packer.add(i, np.zeros(n, np.uint32)))
+        most = max(most, packer.n_open)
+    assert most < 1000
 
 
 @settings(deadline=None, max_examples=30)
