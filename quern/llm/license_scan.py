@@ -3,12 +3,14 @@
 Every rolling 2-gram of a document's words is joined by its hash (and then by its words) to the places
 at which the templates have it.  A match votes for the diagonal document place - template place.
 Votes are summed by diagonal; neighbouring diagonals, which an inserted or missing word shifts, are
-merged; a merged span is verified by the share of distinct template places that it covers and by its
-length.  The templates are a fixed table, so they are broadcast whatever the corpus; documents are
-scanned once, and only matches and one row per document are shuffled.
+merged; a merged span is verified by the best of its windows of at most ``STRETCH`` templates in length: the
+share of distinct template places that the window's votes cover.  So stray matches beside a notice, which may
+lengthen a span, do not hide it.  The templates are a fixed table, so they are broadcast whatever the corpus;
+documents are scanned once, and only matches and one row per document are shuffled.
 
 Results that are defined: a null text counts as empty (no words, no places, null first and last word);
-rows that repeat an id are scanned one by one; an empty table gives no rows.
+rows that repeat an id are scanned one by one; a text of any length counts whole; extra columns are ignored,
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -55,6 +57,7 @@ REFERENCES = [
 GAP = 2
 COVER = 0.7
 STRETCH = 1.5
+UNIT = 1 << 20
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -98,31 +101,46 @@ def license_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     votes = _votes(narrow(df, id_col, text_col)).repartition("row_key")
     votes = votes.withColumn("diagonal", F.col("dpos") - F.col("tpos"))
-    # Votes of an exact phrase stay on their own diagonal; for notices neighbours merge below.
-    by = ["row_key", "template", "label", "exact", "diagonal"]
-    sums = votes.groupBy(*by).agg(
-        F.first("doc_id").alias("doc_id"),
-        F.first("n_words").alias("n_words"),
-        F.first("grams").alias("grams"),
-        F.expr("bit_or(shiftleft(1L, tpos))").alias("places"),
-        F.min("dpos").alias("low"),
-        F.max("dpos").alias("high"),
-    )
-    order = Window.partitionBy("row_key", "template", "label", "exact").orderBy("diagonal")
+    # Votes of an exact phrase stay on their own diagonal; for notices neighbours merge.
+    by = ["row_key", "template", "label", "exact"]
+    order = Window.partitionBy(*by).orderBy("diagonal")
     apart = F.when(F.col("diagonal") - F.lag("diagonal").over(order) <= F.when(F.col("exact"), 0).otherwise(GAP), 0).otherwise(1)
-    marked = sums.withColumn("new", apart).withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    spans = marked.groupBy("row_key", "template", "label", "exact", "span").agg(
+    marked = votes.withColumn("new", apart).withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # A window of a span begins at a vote and reaches as far as a notice may be stretched.  Places are scaled, so that
+    # one frame fits all templates: d places times floor(UNIT / reach) are within UNIT exactly where d <= reach < 1000.
+    reach = F.floor(STRETCH * (F.col("grams") + 1) - 2)
+    scaled = F.col("dpos").cast("long") * F.floor(UNIT / reach)
+    window = Window.partitionBy(*by, "span").orderBy("scaled").rangeBetween(Window.currentRow, UNIT)
+    windows = marked.withColumn("scaled", scaled).select(
+        *by,
+        "span",
+        "doc_id",
+        "n_words",
+        "grams",
+        "dpos",
+        F.bit_count(F.expr("bit_or(shiftleft(1L, tpos))").over(window)).alias("covered"),
+        F.max("dpos").over(window).alias("high"),
+    )
+    best = F.struct("covered", (-F.col("high") + F.col("dpos")).alias("shortness"), (-F.col("dpos")).alias("early"), "dpos", "high")
+    spans = windows.groupBy(*by, "span").agg(
         F.first("doc_id").alias("doc_id"),
         F.first("n_words").alias("n_words"),
         F.first("grams").alias("grams"),
-        F.bit_count(F.expr("bit_or(places)")).alias("covered"),
-        F.min("low").cast("long").alias("first_word"),
-        (F.max("high") + 2).cast("long").alias("end_word"),
+        F.max(best).alias("best"),
+    )
+    score = F.when(F.col("label").isNull(), 0.0).otherwise(F.col("best.covered") / F.col("grams"))
+    verified = F.when(F.col("exact"), score == 1).otherwise(score >= COVER)
+    return spans.select(
+        "row_key",
+        "doc_id",
+        "n_words",
+        "label",
+        "exact",
+        F.col("best.dpos").cast("long").alias("first_word"),
+        (F.col("best.high") + 2).cast("long").alias("end_word"),
+        score.alias("score"),
+        F.coalesce(verified, F.lit(False)).alias("verified"),
     )
-    score = F.when(F.col("label").isNull(), 0.0).otherwise(F.col("covered") / F.col("grams"))
-    fits = F.col("end_word") - F.col("first_word") <= STRETCH * (F.col("grams") + 1)
-    verified = F.when(F.col("exact"), score == 1).otherwise((score >= COVER) & fits)
-    return spans.select("row_key", "doc_id", "n_words", "label", "exact", "first_word", "end_word", score.alias("score"), F.coalesce(verified, F.lit(False)).alias("verified"))
 
 
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
