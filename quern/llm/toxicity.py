@@ -6,10 +6,12 @@ smoothed sums in class 1 and 0; features whose counts differ by fewer than ``min
 are left out.  A logistic regression is fitted on r * value, so the weight of a feature is r * w.
 
 ``max_labelled`` bounds the labelled rows that the classifier is fitted on (those with the smallest
-hash of their id); scoring reads every row and every whole text.
+hash of their id and, where rows repeat an id, of their text); scoring reads every row and every whole text.
 
 Results that are defined: a null text scores like an empty one; labels that are null are not learnt
-from; where one class has no labelled row, every score is 0; an empty table gives no rows.
+from; rows that repeat an id are each learnt from and scored; where one class has no labelled row, every score
+is 0; a text of any length is read in parts of bounded size; extra columns are ignored, whatever their names;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ SIZES = (3, 4, 5, 6)
 HASH_BITS = 18
 MAX_LABELLED = 20_000
 FOLDS = 5
+#: Bytes whose n-grams are counted at a time; a longer text is counted in parts.
+PART = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -46,31 +50,56 @@ def _lower(raw: np.ndarray) -> np.ndarray:
     return raw + ((raw >= 65) & (raw <= 90)).astype(np.uint8) * np.uint8(32)
 
 
+def _codes(framed: np.ndarray) -> Iterator[np.ndarray]:
+    """For each length of :data:`SIZES` the features of all n-grams that begin at a byte, in order."""
+    values = framed.astype(np.uint64)
+    rolling = np.zeros(len(values), np.uint64)
+    for k in range(1, max(SIZES) + 1):
+        if len(values) < k:
+            return
+        rolling = rolling[: len(values) - k + 1] * np.uint64(1000003) + values[k - 1 :]
+        if k in SIZES:
+            yield (((rolling + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+
+
+def _long(raw: np.ndarray, used: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(feature, count) of one text, a bounded part of it at a time."""
+    counts = np.zeros(1 << HASH_BITS, np.int64)
+    reach = max(SIZES) - 1
+    for a in range(0, len(raw) + 2, PART):
+        b = min(a + PART + reach, len(raw) + 2)  # the last n-grams of a part reach into the next
+        framed = np.full(b - a, 32, np.uint8)
+        first, last = max(a - 1, 0), min(b - 1, len(raw))
+        framed[first + 1 - a : last + 1 - a] = _lower(raw[first:last])
+        for code in _codes(framed):
+            counts += np.bincount(code[:PART], minlength=1 << HASH_BITS)
+    if used is not None:
+        counts[~used] = 0
+    code = np.nonzero(counts)[0]
+    return code, counts[code]
+
+
 def features(at: np.ndarray, raw: np.ndarray, used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, feature, count) of the texts raw[at[i]:at[i + 1]], each framed by blanks; ``used`` keeps some features."""
     size = np.diff(at)
     n = len(size)
+    if n == 1 and size[0] > PART:
+        code, counts = _long(raw, used)
+        return np.zeros(len(code), np.int64), code, counts
     framed = np.full(int(at[-1]) + 2 * n, 32, np.uint8)
     start = at[:-1] + 2 * np.arange(n)
     row = np.repeat(np.arange(n), size + 2)
     place = np.arange(int(at[-1])) + 2 * np.repeat(np.arange(n), size) + 1
     framed[place] = _lower(raw)
     end = np.repeat(start + size + 2, size + 2)
-    values = framed.astype(np.uint64)
-    rolling = np.zeros(len(values), np.uint64)
     rows, codes = [], []
-    for k in range(1, max(SIZES) + 1):
-        if len(values) < k:
-            break
-        rolling = rolling[: len(values) - k + 1] * np.uint64(1000003) + values[k - 1 :]
-        if k in SIZES:
-            code = ((rolling + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HASH_BITS)
-            inside = np.arange(len(code)) + k <= end[: len(code)]
-            if used is not None:
-                inside &= used[code]
-            keep = np.nonzero(inside)[0]
-            rows.append(row[keep])
-            codes.append(code[keep].astype(np.int64))
+    for k, code in zip(SIZES, _codes(framed)):
+        inside = np.arange(len(code)) + k <= end[: len(code)]
+        if used is not None:
+            inside &= used[code]
+        keep = np.nonzero(inside)[0]
+        rows.append(row[keep])
+        codes.append(code[keep])
     if not rows:
         none = np.zeros(0, np.int64)
         return none, none, none
@@ -171,7 +200,14 @@ def train(
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     # The bound on labelled rows bounds what is broadcast: two numbers a row.
-    sample = cut(docs.join(F.broadcast(chosen), "doc_id").select("toxic", "text"))
+    sample = cut(docs.join(F.broadcast(chosen), "doc_id").select("toxic", "text", F.xxhash64("doc_id").alias("a"), F.xxhash64("text").alias("b")))
+    if sample.count() > max_labelled:  # rows repeat an id
+        # A key may be shared by equal rows, which give equal features; the last key's rows are cut to the bound.
+        edge = sample.select("a", "b").orderBy("a", "b").limit(max_labelled).agg(F.max(F.struct("a", "b")).alias("m")).first()["m"]
+        key = F.struct("a", "b")
+        last = F.struct(F.lit(edge["a"]).alias("a"), F.lit(edge["b"]).alias("b"))
+        below = sample.where(key < last)
+        sample = cut(below.unionByName(sample.where(key == last).limit(max_labelled - below.count())))
     rows, positive = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("toxic").cast("long")), F.lit(0))).first()
     none = Model(np.zeros(1 << HASH_BITS), -np.inf)
     if positive in (0, rows):
