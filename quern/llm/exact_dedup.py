@@ -2,12 +2,14 @@
 
 A fingerprint is (length, four residues).  Residue ``j`` of bytes ``b[0..n)`` is
 ``sum(b[i] * B_j**(n-1-i)) mod 2**31-1``.  It composes: ``H(a+b) = H(a) * B**len(b) + H(b)``, so
-chunks are hashed in parallel and joined by length-shifted arithmetic.  Equal fingerprints are not
+chunks are hashed in parallel (those of a huge text by many tasks) and joined by length-shifted arithmetic.
+Equal fingerprints are not
 trusted: the texts that share one are compared chunk by chunk in a stream, and a fingerprint that two
 different texts share is split by their SHA-256.
 
 Results that are defined: a null text equals an empty one; of rows that repeat an id within a group,
-exactly one is kept; null ids sort below all others; an empty table gives no rows.
+exactly one is kept; null ids sort below all others; a text of any length is hashed in segments; extra columns
+are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,13 +17,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, BooleanType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StringType, StructField, StructType
 
 from quern.llm.common import map_text, narrow, slices, texts_as_bytes
 from quern.runtime import cut, ship
@@ -31,6 +34,8 @@ CHUNK = 1024
 SEGMENT = 1 << 18
 #: Bits of the bounded map of repeated fingerprints: 2 MB, whatever the size of the corpus.
 MAP_BITS = 24
+#: Longer texts are hashed in pieces of this size by many tasks.
+HUGE = 16 << 20
 #: Copies of one text are dealt over so many tasks before their representatives meet.
 SALTS = 64
 
@@ -54,7 +59,7 @@ class Hasher:
         object.__setattr__(self, "powers", table.astype(np.float64))
 
     def segments(self, parts: list[bytes]) -> np.ndarray:
-        """Residues of each part, all chunks in one matrix product."""
+        """Residues of each part (at most SEGMENT bytes), all chunks in one matrix product."""
         rows = np.array([max(1, -(-len(p) // CHUNK)) for p in parts], np.int64)
         ends = np.cumsum(rows)
         grid = np.zeros(int(ends[-1]) * CHUNK, np.uint8)
@@ -77,20 +82,32 @@ class Hasher:
         return (a[0] + b[0], *((x * pow(base, b[0], self.prime) + y) % self.prime for x, y, base in zip(a[1:], b[1:], self.bases)))
 
     def many(self, texts: list[bytes]) -> list[tuple[int, ...]]:
-        parts = [t[i : i + SEGMENT] for t in texts for i in range(0, max(1, len(t)), SEGMENT)]
-        if not parts:
-            return []
-        prints = iter((len(p), *r) for p, r in zip(parts, self.segments(parts).tolist()))
-        out = []
-        for t in texts:
-            whole = next(prints)
-            for _ in range(SEGMENT, len(t), SEGMENT):
-                whole = self.join(whole, next(prints))
-            out.append(whole)
+        """Fingerprints of texts; some segments of them at a time."""
+        out: list[tuple[int, ...]] = [(0, *(0 for _ in self.bases))] * len(texts)
+        pieces = ((i, t[a : a + SEGMENT]) for i, t in enumerate(texts) for a in range(0, len(t), SEGMENT))
+        held: list[tuple[int, bytes]] = []
+        size = 0
+
+        def add() -> None:
+            for (i, part), residues in zip(held, self.segments([p for _, p in held]).tolist()):
+                own = (len(part), *residues)
+                out[i] = self.join(out[i], own) if out[i][0] else own
+
+        for piece in pieces:
+            held.append(piece)
+            size += -(-len(piece[1]) // CHUNK) * CHUNK
+            if size >= 4 * SEGMENT:
+                add()
+                held, size = [], 0
+        if held:
+            add()
         return out
 
+    def key(self, whole: tuple[int, ...]) -> bytes:
+        return whole[0].to_bytes(8, "big") + b"".join(x.to_bytes(4, "big") for x in whole[1:])
+
     def keys(self, texts: list[bytes]) -> list[bytes]:
-        return [p[0].to_bytes(8, "big") + b"".join(x.to_bytes(4, "big") for x in p[1:]) for p in self.many(texts)]
+        return [self.key(whole) for whole in self.many(texts)]
 
 
 def _slot(key: bytes) -> int:
@@ -98,8 +115,14 @@ def _slot(key: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(key, digest_size=4).digest(), "big") >> (32 - MAP_BITS)
 
 
-def fingerprints(df: DataFrame, hasher: Hasher | None = None) -> DataFrame:
-    """doc_id, text_key, fp, slot, text_sha256 of every row of (doc_id, text)."""
+_PRINT = [StructField("fp", BinaryType()), StructField("slot", LongType()), StructField("text_sha256", StringType())]
+
+
+def fingerprints(df: DataFrame, hasher: Hasher | None = None, huge: int = HUGE) -> DataFrame:
+    """doc_id, text_key, fp, slot, text_sha256 of every row of (doc_id, text).
+
+    Texts above ``huge`` bytes are cut into pieces that many tasks hash; their fingerprints are composed from these.
+    """
     hasher = hasher or Hasher()
 
     def compute(column: pa.Array) -> list[pa.Array]:
@@ -111,9 +134,45 @@ def fingerprints(df: DataFrame, hasher: Hasher | None = None) -> DataFrame:
             pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
         ]
 
-    fields = [StructField("fp", BinaryType()), StructField("slot", LongType()), StructField("text_sha256", StringType())]
     keyed = df.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return map_text(keyed, ["doc_id", "text_key"], "text", compute, fields)
+    large = F.coalesce(F.octet_length("text"), F.lit(0)) > huge
+    usual = map_text(keyed.where(~large), ["doc_id", "text_key"], "text", compute, _PRINT)
+    return usual.unionByName(_composed(keyed.where(large), hasher, huge))
+
+
+def _composed(df: DataFrame, hasher: Hasher, piece: int) -> DataFrame:
+    """The same columns for huge texts: pieces are dealt out, hashed, and composed in order."""
+    keep = [df.schema["doc_id"], df.schema["text_key"], StructField("text_sha256", StringType()), StructField("row", LongType()), StructField("part", LongType())]
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for one in slices(batch, 2, 0):
+                text = texts_as_bytes(one.column(2))[0]
+                row += 1
+                digest = hashlib.sha256(text).hexdigest()
+                for part, a in enumerate(range(0, len(text), piece)):
+                    values = [pa.array([digest]), pa.array([row], pa.int64()), pa.array([part], pa.int64()), pa.array([text[a : a + piece]], pa.binary())]
+                    yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), *values], [*(f.name for f in keep), "body"])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = hasher.many(texts_as_bytes(batch.column(5)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(found, pa.list_(pa.int64()))], [*(f.name for f in keep), "print"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [hasher.key(reduce(hasher.join, (tuple(p["print"]) for p in parts))) for parts in batch.column(3).to_pylist()]
+            slots = pa.array([_slot(k) for k in keys], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(keys, pa.binary()), slots, batch.column(2)], ["doc_id", "text_key", "fp", "slot", "text_sha256"])
+
+    ship(df.sparkSession)
+    pieces = df.select("doc_id", "text_key", "text").mapInArrow(dealt, StructType([*keep, StructField("body", BinaryType())]))
+    prints = pieces.repartition("row", "part").mapInArrow(hashed, StructType([*keep, StructField("print", ArrayType(LongType()))]))
+    # A piece's fingerprint takes some fifty bytes, so the list of a text of the longest kind stays small.
+    parts = F.sort_array(F.collect_list(F.struct("part", "print"))).alias("parts")
+    whole = prints.groupBy("row").agg(*(F.first(c).alias(c) for c in ("doc_id", "text_key", "text_sha256")), parts).drop("row")
+    return whole.mapInArrow(joined, StructType([*keep[:2], *_PRINT]))
 
 
 def _repeated_map(groups: DataFrame) -> np.ndarray:
@@ -176,10 +235,9 @@ def _compare(rows: DataFrame, *by: str) -> DataFrame:
             )
 
         for batch in batches:
-            for i in range(batch.num_rows):
-                key = tuple(batch.column(batch.schema.get_field_index(c))[i].as_py() for c in by)
-                body = batch.column(batch.schema.get_field_index("body"))[i].as_py()
-                seen = batch.column(batch.schema.get_field_index("differs"))[i].as_py()
+            columns = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (*by, "differs")}
+            bodies = texts_as_bytes(batch.column(batch.schema.get_field_index("body")))
+            for body, seen, *key in zip(bodies, columns["differs"], *(columns[c] for c in by)):
                 if key != at:
                     if at is not None:
                         yield made()
@@ -200,11 +258,11 @@ def collided(df: DataFrame, hasher: Hasher, groups: DataFrame) -> DataFrame:
     return _compare(firsts, "fp").where("differs").select("fp")
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hasher: Hasher | None = None) -> DataFrame:
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hasher: Hasher | None = None, huge: int = HUGE) -> DataFrame:
     """One row per row of ``df``: doc_id, keep_id, group_size, kept, text_sha256, fingerprint, text_key, row_key."""
     hasher = hasher or Hasher()
     docs = narrow(df, id_col, text_col)
-    prints = cut(fingerprints(docs, hasher).withColumn("row_key", F.monotonically_increasing_id()))
+    prints = cut(fingerprints(docs, hasher, huge).withColumn("row_key", F.monotonically_increasing_id()))
 
     def grouped(rows: DataFrame) -> DataFrame:
         best = F.max(F.struct("doc_id", "row_key")).alias("best")

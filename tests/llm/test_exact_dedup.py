@@ -27,6 +27,17 @@ def test_fingerprint_against_definition():
             assert value == r
 
 
+def test_huge_texts_are_composed_of_pieces(spark, odd):
+    from quern.llm.common import narrow
+    from quern.llm.exact_dedup import fingerprints
+
+    docs = narrow(odd, "doc_id", "text")
+    whole = Counter(map(tuple, fingerprints(docs).collect()))
+    for huge in (1, 20, 100_000):
+        assert Counter(map(tuple, fingerprints(docs, huge=huge).collect())) == whole
+    check(odd, huge=20)
+
+
 def test_chunkwise_comparison():
     assert _same(b"a" * 200_000, b"a" * 200_000)
     assert not _same(b"a" * 200_000, b"a" * 199_999 + b"b")
