@@ -2,12 +2,15 @@
 
 The tree builder closes and opens what HTML leaves out (paragraphs, list items, table rows and cells,
 options, head and body) and never fails: unknown, misnested or unclosed tags have a defined place.
-What a style sheet of simple selectors, a style or hidden attribute, or the element's kind hides is
-left out; all other text is kept.  Blocks begin on lines of their own, paragraphs are set apart by a
-blank line, list items get markers and indents, and the cells of a table are aligned in columns.
+What the element's kind, a hidden attribute or the cascade of style sheets and style attributes hides is left
+out; all other text is kept.  The cascade knows importance, specificity and order, and selectors of one element
+(type, classes, id); rules of other selectors and of media but the screen do not hide.  Blocks begin on lines of
+their own, paragraphs are set apart by a blank line, list items get markers and indents, and the cells of a table
+are aligned in columns: every cell begins in its column, on the next line where one before it is too long.
 
 Results that are defined: a null or empty page gives an empty text; nesting beyond 300 elements is
-flattened, as browsers do; repeated rows give equal results; an empty table gives no rows.
+flattened, as browsers do; repeated rows give equal results; the time for a page of any length grows in
+proportion to it; extra columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql.types import StringType, StructField
 from quern.llm.common import map_text, narrow
 
 DEPTH = 300
-#: Cells are padded to the width of their column, but to no more than this.
+#: A column is as wide as its widest line, but no wider than this; longer lines run on, and what follows goes below.
 PAD = 60
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -59,12 +62,11 @@ _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
 _STOP = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-_GONE = re.compile(r"display\s*:\s*none", re.IGNORECASE)
-_UNSEEN = re.compile(r"visibility\s*:\s*(hidden|collapse)", re.IGNORECASE)
-_SEEN = re.compile(r"visibility\s*:\s*visible", re.IGNORECASE)
-_AS_IS = re.compile(r"white-space\s*:\s*(pre|break-spaces)", re.IGNORECASE)
-_SIMPLE = re.compile(r"^([A-Za-z][\w-]*)?((?:[.#][\w-]+)*)$")
+_CSS = re.compile("[{};\"']")
+_ENDS = {q: re.compile(rf"(?:[^{q}\\\n]|\\.)*+{q}", re.DOTALL) for q in "\"'"}
+_SELECTOR = re.compile(r"(\*|[A-Za-z][\w-]*)?((?:[.#][\w-]+)*)")
+_MARK = re.compile(r"[.#][\w-]+")
+_PROPERTIES = frozenset(("display", "visibility", "white-space"))
 
 
 class Node:
@@ -86,7 +88,10 @@ def _tag_end(text: str, at: int) -> int:
     while m := _STOP.search(text, at):
         if m[0] == ">":
             return m.end()
-        close = text.find(m[0], m.end()) if text[: m.start()].rstrip().endswith("=") else m.start()
+        before = m.start() - 1
+        while before >= at and text[before].isspace():
+            before -= 1
+        close = text.find(m[0], m.end()) if before >= at and text[before] == "=" else m.start()
         if close < 0:
             return first + 1 if first >= 0 else len(text)
         at = close + 1
@@ -232,32 +237,112 @@ def build(text: str) -> Node:
     return root
 
 
+def _uncommented(css: str) -> str:
+    out, at = [], 0
+    while (start := css.find("/*", at)) >= 0:
+        out.append(css[at:start])
+        end = css.find("*/", start + 2)
+        at = len(css) if end < 0 else end + 2
+    return " ".join([*out, css[at:]])
+
+
+def _on_screen(rule: str) -> bool:
+    """Whether an at-rule's block holds for any screen."""
+    name, _, rest = rule.lower().partition(" ")
+    if name == "@media" or rule.lower().startswith("@media("):
+        return any(q.strip() in ("", "all", "screen", "only screen", "only all") for q in rest.split(",")) and name == "@media"
+    return name == "@layer" or name == "@supports" and "not" not in rest
+
+
+def rules(css: str):
+    """(selectors, declarations) of the blocks that hold on a screen, in order, by one pass."""
+    css = _uncommented(css)
+    at = scan = 0
+    open_: list[tuple[str, bool]] = []  # text before each brace, and whether its block holds
+    while m := _CSS.search(css, scan):
+        scan, sign = m.end(), m[0]
+        if sign in _ENDS:
+            # A string that is not closed ends with its line.
+            end = _ENDS[sign].match(css, scan)
+            line = css.find("\n", scan)
+            scan = end.end() if end else len(css) if line < 0 else line + 1
+        elif sign == "{":
+            head = css[at : m.start()].strip()
+            holds = not open_ or open_[-1][1]
+            open_.append((head, holds and (_on_screen(head) if head.startswith("@") else True)))
+            at = scan
+        elif sign == "}":
+            if open_:
+                head, holds = open_.pop()
+                if holds and not head.startswith("@"):
+                    yield head, css[at : m.start()]
+            at = scan
+        elif not open_ or open_[-1][0].startswith("@"):
+            at = scan  # a statement such as @import
+
+
+def declared(block: str) -> dict[str, tuple[bool, str]]:
+    """(important, value) of the properties that hide text or keep its blanks."""
+    found: dict[str, tuple[bool, str]] = {}
+    for part in block.split(";"):
+        name, colon, value = part.partition(":")
+        name = name.strip().lower()
+        if colon and name in _PROPERTIES:
+            value, _, mark = value.lower().partition("!")
+            important = mark.strip() == "important"
+            if name not in found or important >= found[name][0]:
+                found[name] = (important, value.strip())
+    return found
+
+
 class Sheet:
-    """Simple selectors whose elements a style sheet hides."""
+    """Rules of simple selectors, by a mark, type or ``*`` that an element must have."""
 
     def __init__(self, root: Node) -> None:
-        self.gone: list[tuple[str, list[str]]] = []
+        self.rules: dict[str, list[tuple]] = {}
+        self.size = 0
         todo = [root]
         while todo:
             node = todo.pop()
-            for child in node.children:
-                if isinstance(child, Node):
-                    if child.name == "style":
-                        self._add("".join(c for c in child.children if isinstance(c, str)))
-                    todo.append(child)
+            if node.name == "style":
+                self._add("".join(c for c in node.children if isinstance(c, str)))
+            todo += [c for c in reversed(node.children) if isinstance(c, Node)]  # sheets in document order
 
     def _add(self, css: str) -> None:
-        for m in _RULE.finditer(re.sub(r"/\*.*?\*/", "", html.unescape(css), flags=re.DOTALL)):
-            if _GONE.search(m[2]) or _UNSEEN.search(m[2]):
-                for selector in m[1].split(","):
-                    if (s := _SIMPLE.match(selector.strip())) and selector.strip():
-                        self.gone.append(((s[1] or "").lower(), re.findall(r"[.#][\w-]+", s[2])))
-
-    def hides(self, node: Node, values: dict[str, str]) -> bool:
-        if not self.gone:
-            return False
-        marks = {"." + c for c in values.get("class", "").split()} | {"#" + values["id"]} if "id" in values else {"." + c for c in values.get("class", "").split()}
-        return any((not tag or tag == node.name) and marks.issuperset(need) for tag, need in self.gone)
+        for selectors, block in rules(css):
+            if not (own := declared(block)):
+                continue
+            for selector in selectors.split(","):
+                s = _SELECTOR.fullmatch(selector.strip())
+                if not s or not s[0]:
+                    continue
+                marks = _MARK.findall(s[2])
+                tag = "" if s[1] in (None, "*") else s[1].lower()
+                ids = sum(m[0] == "#" for m in marks)
+                self.size += 1
+                rank = (0, ids, len(marks) - ids, bool(tag), self.size)
+                self.rules.setdefault(marks[0] if marks else tag or "*", []).append((rank, tag, frozenset(marks), own))
+
+    def style(self, node: Node, values: dict[str, str]) -> dict[str, str]:
+        """The winning values of an element."""
+        found: dict[str, tuple] = {}
+
+        def put(own: dict[str, tuple[bool, str]], rank: tuple) -> None:
+            for name, (important, value) in own.items():
+                if name not in found or (important, rank) >= found[name][0]:
+                    found[name] = ((important, rank), value)
+
+        if self.rules:
+            marks = {"." + c for c in values.get("class", "").split()}
+            if "id" in values:
+                marks.add("#" + values["id"])
+            for key in (*marks, node.name, "*"):
+                for rank, tag, need, own in self.rules.get(key, ()):
+                    if (not tag or tag == node.name) and need <= marks:
+                        put(own, rank)
+        if "style" in values:
+            put(declared(values["style"]), (1,))
+        return {name: value for name, (_, value) in found.items()}
 
 
 class Writer:
@@ -351,32 +436,33 @@ class Renderer:
     def __init__(self, root: Node) -> None:
         self.sheet = Sheet(root)
 
-    def render(self, node: Node, shown: bool = True) -> list[str]:
+    def render(self, node: Node, shown: bool = True, as_is: bool = False) -> list[str]:
         writer = Writer()
         for child in node.children:
-            self.walk(child, writer, shown, False, 0)
+            self.walk(child, writer, shown, as_is, 0)
         return writer.result()
 
+    def state(self, node: Node, values: dict[str, str], shown: bool, as_is: bool) -> tuple[bool, bool, bool]:
+        """Whether the element is not displayed, whether its own text is visible, and whether its blanks are kept."""
+        if node.name in HIDDEN:
+            return True, False, as_is
+        if not values and not self.sheet.rules:
+            return node.name == "dialog", shown, as_is
+        own = self.sheet.style(node, values)
+        display, space = own.get("display", "revert"), own.get("white-space", "")
+        gone = display == "none" or display == "revert" and ("hidden" in values or node.name == "dialog" and "open" not in values)
+        shown = {"visible": True, "initial": True, "hidden": False, "collapse": False}.get(own.get("visibility", ""), shown)
+        return gone, shown, space.startswith(("pre", "break-spaces")) or as_is and space not in ("normal", "nowrap", "initial")
+
     def walk(self, node, out: Writer, shown: bool, as_is: bool, depth: int) -> None:
         if isinstance(node, str):
             if shown:
                 out.verbatim(node) if as_is else out.text(node)
             return
         name = node.name
-        if name in HIDDEN:
-            return
         values = node.values() if node.attributes else {}
-        if values or self.sheet.gone:
-            style = values.get("style", "")
-            if "hidden" in values or _GONE.search(style) or self.sheet.hides(node, values) or name == "dialog" and "open" not in values:
-                return
-            if _UNSEEN.search(style):
-                shown = False
-            elif _SEEN.search(style):
-                shown = True
-            if _AS_IS.search(style):
-                as_is = True
-        elif name == "dialog":
+        gone, shown, as_is = self.state(node, values, shown, as_is)
+        if gone:
             return
         if name == "br":
             out.newline()
@@ -389,7 +475,7 @@ class Renderer:
                 out.text(" " + values["value"] + " ")
             return
         if name == "table":
-            self.table(node, out, shown, depth)
+            self.table(node, out, shown, as_is, depth)
             return
         children = node.children
         if name == "details" and "open" not in values:
@@ -436,23 +522,25 @@ class Renderer:
                 out.marker = marker if out.marker else ""
             out.breaks(gap)
 
-    def table(self, node: Node, out: Writer, shown: bool, depth: int) -> None:
-        """Cells in a grid, each column padded to its widest line."""
+    def table(self, node: Node, out: Writer, shown: bool, as_is: bool, depth: int) -> None:
+        """Cells in a grid, each column as wide as its widest line up to PAD."""
         out.breaks(2)
         rows: list[list[tuple[list[str], int, int]]] = []
 
-        def visit(parent: Node, seen: bool) -> None:
+        def visit(parent: Node, seen: bool, kept: bool) -> None:
             for child in parent.children:
                 if isinstance(child, str):
                     if seen and child.strip():
                         out.text(child)
                     continue
-                values = child.values() if child.attributes else {}
-                if child.name in HIDDEN or "hidden" in values or _GONE.search(values.get("style", "")) or self.sheet.hides(child, values):
+                if child.name not in ("thead", "tbody", "tfoot", "tr", "col", "colgroup"):
+                    self.walk(child, out, seen, kept, depth)  # captions and what is out of place
+                    continue
+                gone, now, same = self.state(child, child.values() if child.attributes else {}, seen, kept)
+                if gone:
                     continue
-                now = False if _UNSEEN.search(values.get("style", "")) else seen
                 if child.name in ("thead", "tbody", "tfoot"):
-                    visit(child, now)
+                    visit(child, now, same)
                 elif child.name == "tr":
                     row = []
                     for cell in child.children:
@@ -461,15 +549,12 @@ class Renderer:
                                 row.append(([" ".join(cell.split())], 1, 1))
                             continue
                         own = cell.values() if cell.attributes else {}
-                        if cell.name in HIDDEN or "hidden" in own or _GONE.search(own.get("style", "")) or self.sheet.hides(cell, own):
-                            continue
-                        unseen = _UNSEEN.search(own.get("style", ""))
-                        row.append((self.render(cell, now and not unseen), _number(own, "colspan"), _number(own, "rowspan")))
+                        gone, visible, kept_cell = self.state(cell, own, now, same)
+                        if not gone:
+                            row.append((self.render(cell, visible, kept_cell), _number(own, "colspan"), _number(own, "rowspan")))
                     rows.append(row)
-                elif child.name not in ("col", "colgroup"):
-                    self.walk(child, out, now, False, depth)  # captions and what is out of place
 
-        visit(node, shown)
+        visit(node, shown, as_is)
         out.breaks(1)
         grid: list[dict[int, list[str]]] = []
         taken: dict[int, int] = {}  # column: rows that a cell above still covers
@@ -491,16 +576,24 @@ class Renderer:
         for line in grid:
             for c, lines in line.items():
                 widths[c] = min(PAD, max([widths.get(c, 0), *map(_width, lines)]))
-        used = sorted(c for c, w in widths.items() if w)
+        starts: dict[int, int] = {}
+        place = 0
+        for c in sorted(c for c, w in widths.items() if w):
+            starts[c] = place
+            place += widths[c] + 2
         for line in grid:
-            made = []
-            for i in range(max([0, *(len(x) for x in line.values())])):
-                cells = []
-                for c in used:
-                    s = line[c][i] if c in line and i < len(line[c]) else ""
-                    cells.append(s + " " * (widths[c] - _width(s)))
-                made.append("  ".join(cells).rstrip())
-            out.rows([m for m in made if m])
+            cells = [(starts[c], line[c]) for c in starts if c in line]
+            for i in range(max([0, *(len(lines) for _, lines in cells)])):
+                made, end = [], 0
+                for start, lines in cells:
+                    if i < len(lines) and lines[i]:
+                        if made and start < end + 2:  # a line longer than its column
+                            out.rows(["".join(made)])
+                            made, end = [], 0
+                        made.append(" " * (start - end) + lines[i])
+                        end = start + _width(lines[i])
+                if made:
+                    out.rows(["".join(made).rstrip()])
         out.breaks(2)
 
 

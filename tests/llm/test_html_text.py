@@ -24,6 +24,106 @@ def test_visibility():
     assert page_text("<details><summary>s</summary>rest</details><details open><summary>t</summary>more</details>") == "s\nt\nmore"
 
 
+def test_cascade():
+    def shown(css, body="<p class=x id=i>seen</p>"):
+        return page_text(f"<style>{css}</style>{body}")
+
+    assert shown("@media print{.x{display:none}}") == "seen"
+    assert shown("@media screen{.x{display:none}}") == shown("@media print, all {p{color:red} .x{display:none}}") == ""
+    assert shown("@media (max-width:600px){.x{display:none}}") == "seen"
+    assert shown("@import 'a.css'; @font-face{font-family:a} .x{display:none}") == ""
+    assert shown(".x{display:none}.x{display:block}") == "seen"
+    assert shown(".x{display:none !important}.x{display:block}") == ""
+    assert shown("#i{display:block} .x{display:none} p{display:none}") == "seen"
+    assert shown("p.x{display:none} p{display:block}") == ""
+    assert shown(".x{display:none}", "<p class=x style='display:block'>seen</p>") == "seen"
+    assert shown(".x{display:none!important}", "<p class=x style='display:block'>seen</p>") == ""
+    assert shown("/* .x{ */ .y{display:none} /* } */ .x::after{content:'}'} .q{display:none}", "<p class=x>seen<b class=q>no</b></p>") == "seen"
+    assert shown("[hidden]{} .x{display:block}", "<p class=x hidden>seen</p><p hidden>no</p>") == "seen"
+    assert shown(".nav .x{display:none}") == "seen"
+    assert shown("<!-- .x{display:none;") == "seen"
+
+
+def test_visibility_in_tables():
+    page = "<div style='visibility:hidden'><table><tr><td>no<td style='visibility:visible'>yes<td>no</table></div>"
+    assert page_text(page).strip() == "yes"
+    assert page_text("<style>.a{visibility:hidden}.a{visibility:visible}</style><table><tr class=a><td>yes</table>") == "yes"
+    assert page_text("<table hidden><tr><td>no</table><table><tr hidden><td>no<tr><td>yes</table>") == "yes"
+
+
+def test_columns_wider_than_the_bound_stay_aligned():
+    long = "word " * 20
+    page = f"<table><tr><td>{long}<td>right<tr><td>a<td>b<tr><td>{'x' * 61}<td>c</table>"
+    lines = page_text(page).split("\n")
+    assert lines == [long.strip(), " " * 62 + "right", "a" + " " * 61 + "b", "x" * 61, " " * 62 + "c"]
+
+
+def test_time_grows_in_proportion():
+    import time
+
+    for make in (
+        lambda n: "<style>" + "a" * n,
+        lambda n: "<style>" + "/*" * (n // 2),
+        lambda n: "<style>" + '\\"' * (n // 2),
+        lambda n: "<style>" + "a{" * (n // 2),
+        lambda n: "<style>" + "a{}" * (n // 3) + "</style>x",
+        lambda n: "<a " + 'b="c" \'' * (n // 7),
+        lambda n: "<p>" * (n // 3),
+        lambda n: "<table>" * 20 + "<tr><td>x" * (n // 9),
+        lambda n: "<b <b <b" * (n // 8),
+    ):
+        began = time.time()
+        page_text(make(1_000_000))
+        assert time.time() - began < 12, make(30)
+    began = time.time()
+    page_text("<style>" + "brace-free " * 100_000)
+    assert time.time() - began < 1
+
+
+def brute_words(page):
+    """Words of a page, by the standard library's event parser and a stack of what hides."""
+    from html.parser import HTMLParser
+
+    from quern.llm.html_text import HIDDEN, VOID
+
+    class Events(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.stack, self.words = [], []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in VOID:
+                self.words.append(" ")
+                return
+            style = dict(attrs).get("style") or ""
+            self.stack.append((tag, tag in HIDDEN or "hidden" in dict(attrs) or "display:none" in style.replace(" ", "")))
+            self.words.append(" ")
+
+        def handle_endtag(self, tag):
+            names = [t for t, _ in self.stack]
+            if tag in names:
+                del self.stack[len(names) - 1 - names[::-1].index(tag) :]
+            self.words.append(" ")
+
+        def handle_data(self, data):
+            if not any(h for _, h in self.stack):
+                self.words.append(data)
+
+    events = Events()
+    events.feed(page)
+    events.close()
+    return "".join("".join(events.words).split())
+
+
+def test_query_against_an_event_parser(spark, sf):
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    hidden = "<div hidden>no</div><p style='display: none'>no</p><ul><li>one<li>two</ul><table><tr><td>a<td>b</table>"
+    pages |= {-i: page + hidden for i, page in list(pages.items())[:40]}
+    for page in pages.values():
+        got = "".join(w for w in page_text(page).split() if w != "-")
+        assert got == brute_words(page).replace("-", "") or got.replace("-", "") == brute_words(page).replace("-", "")
+
+
 def test_white_space_and_broken_markup():
     assert page_text("<pre>\n a\n   b</pre>") == " a\n   b"
     assert page_text("a < b <a title='x>y'>c</a> <b>d <i>e</b> f</i>") == "a < b c d e f"
