@@ -1,18 +1,22 @@
 """Secret scan: fixed patterns, and strings that two character Markov models call random.
 
 One order-1 model is trained on labelled random strings and one on labelled ordinary identifiers.  A
-candidate is a long run of identifier or base64 characters; it is a secret where the log-likelihood
-ratio of the models passes a threshold set on held-back ordinary samples.  The models add spans of
-kind ``markov`` outside the spans of the patterns; those always stay.
+candidate is a run of identifier or base64 characters outside the spans of the patterns, at least ``shortest``
+long.  Each of its stretches whose log-likelihood ratio passes a threshold, set on held-back labelled samples, is
+a secret, however ordinary what surrounds it in the run: the ratio is added up along the run, begins anew where
+that is better, and a stretch ends where the sum has fallen by the threshold.  A stretch is widened to whole
+letters-and-digits words.  The models add spans of kind ``markov``; those of the patterns always stay.
 
 Results that are defined: a null text counts as empty and has no spans; equal rows give equal results;
-offsets are code points, ends exclusive; an empty table gives no rows.
+offsets are code points, ends exclusive; the time for a text of any length grows in proportion to it; extra
+columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +33,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_-][A-Za-z0-9+/_=.-]{14,}[A-Za-z0-9+/_=-]")
+#: Runs and secrets of fewer characters are too short to tell.
+SHORTEST = 16
+RUN = re.compile(r"[A-Za-z0-9+/_=.-]+")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-"
 RANDOM_ALPHABETS = (
@@ -59,7 +65,13 @@ PARTS = (
     "aber achtung arbeit aufgabe beziehung deutsch einheit entwicklung freiheit gesellschaft heute keit lich möglich nicht schaft "
     "ung verein wissenschaft zeit zusammen aujourd avec beaucoup chaque développement eau eaux entreprise être eux jour lettre "
     "mentalité oiseau pays quelque question toujours travail vie ahora ciudad desarrollo donde gobierno hacia mundo nación "
-    "nosotros palabra pueblo siempre tiempo trabajo universidad vida"
+    "nosotros palabra pueblo siempre tiempo trabajo universidad vida "
+    "qwerty asdf zxcv hjkl xyzzy plugh foo bar baz qux lorem ipsum"
+).split()
+#: Short technical words, with or without numbers.
+TECHNICAL = (
+    "f fp bf int uint utf sha md aes rsa gfx rdna cdna mfma avx sse x86 arm amd nv sm cu h264 mp3 ip ipv tcp udp http tls ssl ssh "
+    "k v x y z n m id idx ptr buf cfg ctx src dst tmp str num len max min avg std fft gpu cpu ram ssd nvme usb pci rev ver qty px dpi ghz khz mb gb"
 ).split()
 
 
@@ -71,10 +83,19 @@ def samples(label: int, n: int, seed: int) -> list[str]:
     out = []
     for _ in range(n):
         words = rng.choices(PARTS, k=rng.randint(2, 7))
-        style = rng.randrange(9)
+        style = rng.randrange(12)
         if style == 8:
             out.append("".join(rng.choices("0123456789", k=rng.randint(12, 20))))
             continue
+        if style == 11:  # lines and fillers
+            out.append(rng.choice(ALPHABET) * rng.randint(8, 60))
+            continue
+        if style > 8:
+            parts = [rng.choice(TECHNICAL) + rng.choice(("", "", str(rng.randint(0, 9)), str(1 << rng.randint(1, 12)), str(rng.randint(10, 2000)))) for _ in range(rng.randint(3, 8))]
+            parts = [x if rng.random() < 0.8 else "x".join(str(1 << rng.randint(0, 8)) for _ in range(rng.randint(2, 3))) for x in parts]
+            parts = [x if rng.random() < 0.7 else rng.choice(PARTS) for x in parts]
+            out.append(rng.choice("__--./").join(parts) if style == 9 else "_".join(parts).upper())
+            continue
         if style == 0:
             text = words[0] + "".join(w.capitalize() for w in words[1:])
         elif style == 1:
@@ -107,6 +128,57 @@ class Model:
         code = _codes(text)
         return float(self.first[code[0]] + self.step[code[:-1], code[1:]].sum()) if len(code) else 0.0
 
+    def best(self, text: str) -> float:
+        """The ratio of the best stretch of a string."""
+        code = _codes(text)
+        if not len(code):
+            return 0.0
+        sums = np.concatenate([[0.0], np.cumsum(self.step[code[:-1], code[1:]])])
+        return float((sums - np.minimum.accumulate(sums - self.first[code])).max())
+
+    def stretches(self, text: str, shortest: int = SHORTEST) -> list[tuple[int, int, float]]:
+        """(start, end, ratio) of the secrets in a run of characters of the alphabet."""
+        if len(text) < shortest or self.best(text) <= self.threshold:
+            return []
+        code = _codes(text)
+        first, step = self.first[code].tolist(), [0.0, *self.step[code[:-1], code[1:]].tolist()]
+        found: list[tuple[int, int, float]] = []
+        start, end, at, total, best = 0, 1, 0, first[0], first[0]
+        while True:
+            at += 1
+            over = at == len(code)
+            if not over:
+                total += step[at]
+            if over or total < best - self.threshold or best <= self.threshold and total <= first[at]:
+                if best > self.threshold:
+                    found.append((start, end, best))
+                    over, at = end == len(code), end  # what follows the stretch may begin another
+                if over:
+                    break
+                start, end, total, best = at, at + 1, first[at], first[at]
+            elif total > best:
+                best, end = total, at + 1
+        wide: list[tuple[int, int, float]] = []
+        for a, b, ratio in found:
+            while a and text[a - 1].isalnum() and text[a].isalnum():
+                a -= 1
+            while b < len(text) and text[b].isalnum() and text[b - 1].isalnum():
+                b += 1
+            while a < b and text[a] in "/._-=+":
+                a += 1
+            while a < b and text[b - 1] in "/._-":
+                b -= 1
+            if wide and a < wide[-1][1]:
+                a, ratio = wide[-1][0], ratio + wide.pop()[2]
+            wide.append((a, b, ratio))
+        return [x for x in wide if x[1] - x[0] >= shortest and _varied(text[x[0] : x[1]])]
+
+
+def _varied(text: str) -> bool:
+    """Whether pairs of characters seldom come back: fillers such as ``=-=-`` repeat few."""
+    head = text[:64]
+    return 2 * len(set(zip(head, head[1:]))) >= len(head) - 1
+
 
 _CODE = np.full(128, len(ALPHABET) - 1, np.int64)
 _CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
@@ -132,13 +204,13 @@ def _chain(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def train(random_strings: list[str], ordinary: list[str], held_random: list[str], held_ordinary: list[str], rate: float = 1e-3) -> Model:
     """Models from labelled samples.
 
-    The threshold lies midway between the ratios that all but ``rate`` of the held-back ordinary samples
-    stay below and all but ``10 * rate`` of the held-back random ones stay above.
+    The threshold lies midway between the ratios that the best stretches of all but ``rate`` of the held-back
+    ordinary samples stay below and all but ``10 * rate`` of the held-back random ones stay above.
     """
     a, b = _chain(random_strings), _chain(ordinary)
     open_model = Model(a[0] - b[0], a[1] - b[1], 0.0)
-    low = np.quantile([open_model.ratio(t) for t in held_ordinary], 1 - rate)
-    high = np.quantile([open_model.ratio(t) for t in held_random], 10 * rate)
+    low = np.quantile([open_model.best(t) for t in held_ordinary], 1 - rate)
+    high = np.quantile([open_model.best(t) for t in held_random], 10 * rate)
     return Model(open_model.first, open_model.step, float(max(low, (low + high) / 2)))
 
 
@@ -156,15 +228,31 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def scan(text: str, model: Model) -> list[dict]:
+def pieces(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """(start, end) of the runs, without what the sorted pattern spans cover."""
+    at, i = 0, 0
+    for m in RUN.finditer(text):
+        if m.end() - m.start() < 2:
+            continue
+        at = m.start()
+        while i < len(base) and base[i][2] <= at:
+            i += 1
+        j = i
+        while j < len(base) and base[j][0] < m.end():
+            if base[j][0] > at:
+                yield at, base[j][0]
+            at = max(at, base[j][2])
+            j += 1
+        if at < m.end():
+            yield at, m.end()
+
+
+def scan(text: str, model: Model, shortest: int = SHORTEST) -> list[dict]:
     base = base_spans(text)
     found = [{"kind": KINDS[k], "start": s, "end": e, "ratio": None} for s, k, e in base]
-    for m in CANDIDATE.finditer(text):
-        if any(s < m.end() and m.start() < e for s, _, e in base):
-            continue
-        ratio = model.ratio(m[0])
-        if ratio > model.threshold:
-            found.append({"kind": KINDS[3], "start": m.start(), "end": m.end(), "ratio": ratio})
+    for a, b in pieces(text, base):
+        if b - a >= shortest:
+            found += [{"kind": KINDS[3], "start": a + s, "end": a + e, "ratio": r} for s, e, r in model.stretches(text[a:b], shortest)]
     return sorted(found, key=lambda x: (x["start"], KINDS.index(x["kind"])))
 
 
@@ -172,12 +260,12 @@ SPAN = StructType([StructField("kind", StringType()), StructField("start", Integ
 _ARROW_SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("ratio", pa.float64())]))
 
 
-def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
+def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None, shortest: int = SHORTEST) -> DataFrame:
     """One row per row of ``df``: doc_id and its spans, by start, then by kind as listed in KINDS."""
     shared = df.sparkSession.sparkContext.broadcast(model or default_model())
 
     def compute(column: pa.Array) -> list[pa.Array]:
-        return [pa.array([scan(t or "", shared.value) for t in column.to_pylist()], _ARROW_SPAN)]
+        return [pa.array([scan(t or "", shared.value, shortest) for t in column.to_pylist()], _ARROW_SPAN)]
 
     return map_text(narrow(df, id_col, text_col), ["doc_id"], "text", compute, [StructField("found", ArrayType(SPAN))])
 

@@ -1,8 +1,9 @@
 import hashlib
 import re
+from collections import Counter
 
 from quern.llm import queries
-from quern.llm.secret_scan import KINDS, base_spans, default_model, find_secrets, samples, scan
+from quern.llm.secret_scan import KINDS, base_spans, default_model, find_secrets, pieces, samples, scan
 
 
 def brute(text):
@@ -27,8 +28,72 @@ def test_base_spans_are_exact():
 
 def test_models_tell_random_strings_from_identifiers():
     model = default_model()
-    assert sum(model.ratio(t) > model.threshold for t in samples(1, 2000, 1001)) > 1960
-    assert sum(model.ratio(t) > model.threshold for t in samples(0, 2000, 1002)) <= 4
+    assert sum(bool(model.stretches(t)) for t in samples(1, 2000, 1001)) > 1960
+    assert sum(bool(model.stretches(t)) for t in samples(0, 2000, 1002)) <= 4
+
+
+def brute_chains(texts):
+    """{(a, b): log probability} of an order-1 chain, counted by dictionaries; a is None for the first character."""
+    import math
+
+    from quern.llm.secret_scan import ALPHABET
+
+    texts = ["".join(c if c in ALPHABET else ALPHABET[-1] for c in t) for t in texts]
+    first, step, into = Counter(t[0] for t in texts), Counter(p for t in texts for p in zip(t, t[1:])), Counter(c for t in texts for c in t[1:])
+    size, total, starts = len(ALPHABET), sum(step.values()), sum(first.values())
+    out_of = Counter(a for t in texts for a in t[:-1])
+    overall = {c: (into[c] + 0.5) / (total + 0.5 * size) for c in ALPHABET}
+    chain = {(None, c): math.log((first[c] + 0.5) / (starts + 0.5 * size)) for c in ALPHABET}
+    return chain | {(a, b): math.log((step[a, b] + 10 * overall[b]) / (out_of[a] + 10)) for a in ALPHABET for b in ALPHABET}
+
+
+def test_ratios_and_best_stretches_against_brute_force():
+    from quern.llm.secret_scan import train
+
+    model = default_model()
+    secret, plain = (brute_chains(samples(label, 20_000, 7)) for label in (1, 0))
+
+    def ratio(t):
+        t = "".join(c if c.isascii() else "-" for c in t)  # the last of the alphabet stands for all others
+        return sum(secret[p] - plain[p] for p in zip([None, *t], t))
+
+    for t in [*samples(1, 15, 3), *samples(0, 15, 3), "a" * 40, "/usr/lib/x"]:
+        assert abs(model.ratio(t) - ratio(t)) < 1e-6
+        assert abs(model.best(t) - max(ratio(t[i:j]) for i in range(len(t)) for j in range(i + 1, len(t) + 1))) < 1e-6
+        assert bool(model.stretches(t, 1)) == (model.best(t) > model.threshold and len(set(zip(t, t[1:]))) > 1)
+    assert train(samples(1, 500, 1), samples(0, 500, 1), samples(1, 200, 2), samples(0, 200, 2)).threshold > 0
+
+
+def test_secrets_inside_ordinary_runs():
+    model = default_model()
+    for token in ("mtx6t5Bc6o3HdPhjANR4vJxImHA2MN82", "Qz7Xw2Lk9Vb4Jt8Rp3Gn6Ys1Hd5Fc0Ma", "9f8ZkQ2mVx7LwT4rJbN3yHd6"):
+        for before, after in (("src/main/java/com/company/project/module/", ".json"), ("https", "/index"), ("the_document_store_of_", "")):
+            run = before + token + after
+            (a, b, _), = model.stretches(run)
+            assert a <= run.index(token) <= a + 6 and b >= run.index(token) + len(token) and b - a < len(token) + 8
+    for run in ("xyzzy_qwerty_zxcvb_hjkl", "gfx1030_rdna2_mfma_f32_16x16x4", "a" * 100, "=-" * 30, "0" * 64, "ThisIsAVeryLongCamelCaseIdentifierName"):
+        assert model.stretches(run) == []
+
+
+def test_runs_beside_pattern_spans_are_scored():
+    model = default_model()
+    token = "Qz7Xw2Lk9Vb4Jt8Rp3Gn6Ys1Hd5Fc0Ma"
+    text = f"password=hunter2hunter2 {token}/{'0a' * 16}/{token[::-1]}"
+    found = scan(text, model)
+    assert [s["kind"] for s in found] == ["assign", "markov", "hex", "markov"]
+    assert [text[s["start"] : s["end"]] for s in found if s["kind"] == "markov"] == [token, token[::-1]]
+    assert list(pieces("ab/cd ef", [(1, 0, 4), (6, 1, 7)])) == [(0, 1), (4, 5), (7, 8)]
+
+
+def test_time_grows_in_proportion():
+    import random
+    import time
+
+    rng, model = random.Random(1), default_model()
+    mixed = "".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEF0123456789", k=40)) + "_some_ordinary_words_between_" for _ in range(15_000))
+    began = time.time()
+    assert len(scan(mixed, model)) > 10_000 and len(scan("secret=abcdefg/" * 60_000, model)) > 0
+    assert time.time() - began < 20
 
 
 def test_model_adds_spans_and_keeps_base_ones():
@@ -39,14 +104,16 @@ def test_model_adds_spans_and_keeps_base_ones():
 
 
 def test_query_against_brute_force(spark, sf, texts):
-    rows = queries.op1_secrets(spark, sf).collect()
+    rows, model = queries.op1_secrets(spark, sf).collect(), default_model()
     assert sorted(r["doc_id"] for r in rows) == sorted(texts)
     for r in rows:
         base = brute(texts[r["doc_id"]])
         joined = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in base)
         assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == i for _, k, _ in base) for i in range(3)]
-        assert set(filter(None, joined.split(","))) <= set(r["spans"].split(","))
+        model_spans = [(s["start"], s["kind"], s["end"]) for s in scan(texts[r["doc_id"]], model) if s["kind"] == "markov"]
+        every = sorted([(s, KINDS[k], e) for s, k, e in base] + model_spans, key=lambda x: (x[0], KINDS.index(x[1])))
+        assert r["spans"] == ",".join(f"{k}:{s}:{e}" for s, k, e in every) and r["n_markov"] == len(model_spans)
 
 
 def test_odd_rows(odd, empty):
