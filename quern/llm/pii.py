@@ -3,15 +3,23 @@
 A surrogate comes from a keyed bijection of the entity's own domain (strings of the same shape, a list of
 names of the same gender and script, numbers of the same length), built as one cycle: a Feistel network P
 over the domain gives x -> P^-1(P(x) + 1).  So distinct entities get distinct surrogates, equal ones equal
-surrogates in all documents, and nothing stays as it was, without any table of the corpus.  Collision
-checks walk the cycle on past values that are not allowed (listed names, reserved addresses); the walk
-keeps the map one to one.  ``collisions`` audits this over a corpus.
+surrogates in all documents, and nothing stays as it was, without any table of the corpus.
 
-A person is found by a listed first name or a title before a capitalised name; further whole-word
-mentions of the same names in the document get the same surrogates.
+What is mapped is the entity, not its spelling: an address without regard to case, a number without its blanks
+and signs, a telephone number without its country or trunk prefix, a name without regard to case.  The
+surrogate is then written in the form of the mention, so all mentions of an entity stay together.  Check digits
+follow from the mapped body; a wrong check digit stays wrong by the same difference.  Walks on the cycle pass
+over values that are not allowed (listed names, reserved addresses), which keeps the map one to one.
+``collisions`` checks this over a corpus, and ``checked`` refuses a result that fails.
+
+Persons are found by lists and cues, not by a model: a listed first name (and the capitalised word behind it), the
+words behind a title, before a listed surname, behind phrases such as "my name is", before "said" or an e-mail
+address, and Han or Hangul names by surname, honorific or phrase.  Further whole-word mentions of the same names in
+the document get the same surrogates.  Names without any of these stay.
 
 Results that are defined: a null text stays null; texts without entities stay as they are; repeated rows
-give equal results; an empty table gives no rows.
+give equal results; the time for a text of any length grows in proportion to it; extra columns are ignored,
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from quern.llm.common import map_text, narrow
+from quern.runtime import cut
 
 #: Listed first names by script and gender.
 FIRST_NAMES = {
@@ -40,9 +49,32 @@ FIRST_NAMES = {
 }
 TITLES = ("Mrs", "Mr", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Madame", "Mme", "Monsieur", "Señora", "Señor", "Sra", "Sr")
 
+#: Surnames that make the capitalised word before them a name.
+SURNAMES = frozenset(
+    "Smith Johnson Williams Brown Jones Miller Davis Wilson Anderson Taylor Müller Schmidt Schneider Fischer Weber Wagner Becker Hoffmann "
+    "Dupont Dubois Moreau Laurent García Martínez López Sánchez Pérez González Rodríguez Hernández Rossi Ferrari Bianchi Silva Santos Oliveira "
+    "Nguyen Nguyễn Tran Trần Pham Sato Suzuki Takahashi Tanaka Watanabe Ito Yamamoto Nakamura Kobayashi Kato Wang Zhang Liu Chen Yang Huang Zhao "
+    "Kim Choi Jung Singh Kumar Sharma Gupta Patel Khan Ahmed Hassan Hussein Ibrahim Kowalski Nowak Ivanov Petrov Novák Kovács Jensen Hansen Larsson".split()
+)
+#: Phrases before a name, without what separates them.
+CUES = (
+    "my name is", "his name is", "her name is", "contact person", "signed by", "yours sincerely", "sincerely", "kind regards", "best regards", "dear",
+    "mein name ist", "ich heiße", "mit freundlichen grüßen", "sehr geehrter", "sehr geehrte", "je m'appelle", "cordialement", "me llamo", "mi nombre es", "atentamente", "меня зовут", "с уважением",
+)
+#: Capitalised words that follow such phrases and are no names.
+NO_NAMES = frozenset("Sir Madam Sirs All Team Customer Customers Colleague Colleagues Friend Friends Reader Readers Everyone Editor The And Damen Herren Kunde Kunden Name Date Address Phone Email".split())
+SAID = (" said", " says", " wrote", " writes", " told ", " asked", " replied", " sagte", " schrieb", " dijo", " escribió", " a dit", " a écrit", " сказал")
+HAN_SURNAMES = "佐藤 鈴木 高橋 田中 渡辺 伊藤 山本 中村 小林 加藤 吉田 山田 佐々木 松本 井上 木村 清水 欧阳 司马 上官 诸葛".split()
+
 _LISTED = {name: key for key, names in FIRST_NAMES.items() for name in names}
-_CAPITAL = r"[^\W\d_a-zß-öø-ÿ][^\W\d_]+(?:[-'’][^\W\d_]+)*"
-_FIRST = "|".join(sorted(map(re.escape, _LISTED), key=lambda x: (-len(x), x)))
+_SPELT = {spelt: name for name in _LISTED for spelt in (name, name.upper())}
+_TITLES = frozenset(TITLES)
+#: Words that begin with a capital letter, or are of a script without case.
+_CAPITAL = re.compile(r"(?<!\w)[^\W\d_a-zß-öø-ÿ][^\W\d_]*(?:[-'’][^\W\d_]+)*")
+_WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
+_HAN = re.compile(
+    rf"(?:{'|'.join(HAN_SURNAMES)})[\u4e00-\u9fff]{{1,2}}|[\u4e00-\u9fff]{{2,4}}(?=さん|様|氏|先生|女士)|(?<=我叫)[\u4e00-\u9fff]{{2,3}}|(?<=姓名[::])[\u4e00-\u9fff]{{2,4}}|[\uac00-\ud7a3]{{2,4}}(?= ?(?:씨|님))"
+)
 #: In this order; a later kind never overlaps an earlier one.
 PATTERNS = [
     ("email", re.compile(r"(?<![\w.+-])[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-])")),
@@ -52,8 +84,6 @@ PATTERNS = [
     ("ip", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)")),
     ("phone", re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,12}(?:[ .-]\d{1,9}){0,4}|(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4})(?![\w-])")),
 ]
-_PERSON = re.compile(rf"(?<!\w)(?:(?P<title>{'|'.join(TITLES)})\.? )?(?:(?P<first>{_FIRST})(?!\w) ?)?(?P<last>(?<= ){_CAPITAL})?")
-
 
 # ------------------------------------------------------------------- keyed bijections
 
@@ -95,10 +125,24 @@ class Cycle:
 _VOWELS = {"latin": "aeiouy", "cyrillic": "аеёиоуыэюя", "greek": "αεηιουω"}
 
 
+#: Other letters are exchanged within their range and case.
+_RANGES = ((0xC0, 0x17F), (0x370, 0x3FF), (0x400, 0x4FF), (0x531, 0x587), (0x5D0, 0x5EA), (0x620, 0x64A), (0x904, 0x939), (0xE01, 0xE2E), (0x1E00, 0x1EFF), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
+
+
 @lru_cache(maxsize=None)
 def _classes() -> dict[str, str]:
     """For each replaceable character all characters of its class, in order."""
     found: dict[str, str] = {}
+    for low, high in _RANGES:
+        by_kind: dict[str, list[str]] = {}
+        for c in map(chr, range(low, high + 1)):
+            kind = unicodedata.category(c)
+            if kind in ("Lo", "Ll", "Lu") and (kind == "Lo" or len(c.lower()) == len(c.upper()) == 1 and c.lower() != c.upper() and c.lower().upper() == c.upper() and c.upper().lower() == c.lower()):
+                by_kind.setdefault(kind, []).append(c)
+        # Capital letters are exchanged as their small ones are, so that case can be put back.
+        small = "".join(x for x in by_kind.get("Ll", []) if x.upper() in by_kind.get("Lu", []))
+        for own in (small, small.upper(), "".join(by_kind.get("Lo", []))):
+            found |= dict.fromkeys(own, own)
     digits = "0123456789"
     found |= dict.fromkeys(digits, digits)
     scripts = {"latin": [chr(c) for c in range(ord("a"), ord("z") + 1)], "cyrillic": [chr(c) for c in range(0x430, 0x450)], "greek": [chr(c) for c in range(0x3B1, 0x3CA) if c != 0x3C2]}
@@ -166,9 +210,13 @@ def _card(text: str, key: bytes) -> str:
 
 def _iban(text: str, key: bytes) -> str:
     plain = text.replace(" ", "")
+
+    def right(body: str) -> int:
+        return 98 - int("".join(str(int(c, 36)) for c in body + plain[:2] + "00")) % 97
+
     body = same_shape(plain[4:], key, "iban" + plain[:2])
-    value = int("".join(str(int(c, 36)) for c in body + plain[:2] + "00"))
-    return _refill(text, plain[:2] + f"{98 - value % 97:02}" + body)
+    check = (right(body) + int(plain[2:4]) - right(plain[4:])) % 100  # a wrong one stays wrong by as much
+    return _refill(text, plain[:2] + f"{check:02}" + body)
 
 
 _PRIVATE = ((10 << 24, 8), (172 << 24 | 16 << 16, 12), (192 << 24 | 168 << 16, 16), (127 << 24, 8), (169 << 24 | 254 << 16, 16))
@@ -194,76 +242,149 @@ def _ip(text: str, key: bytes) -> str:
     return ".".join(map(str, out.to_bytes(4, "big")))
 
 
+def _recased(form: str, made: str) -> str:
+    """``made`` in the case of ``form``, character by character."""
+    return "".join(m.upper() if f.isupper() else m for f, m in zip(form, made))
+
+
+def _reserved(domain: str) -> bool:
+    return bool(re.search(r"(^|\.)example\.(com|org|net)$", domain))
+
+
 def _email(text: str, key: bytes) -> str:
-    local, _, domain = text.rpartition("@")
-    name, dot, top = domain.lower().rpartition(".")
-    reserved = re.search(r"(^|\.)example\.(com|org|net)$", domain, re.IGNORECASE)
-    return same_shape(local, key, "email@" + domain.lower()) + "@" + (domain if reserved else same_shape(name, key, "domain." + top) + dot + top)
+    local, _, domain = text.lower().rpartition("@")
+    name, dot, top = domain.rpartition(".")
+    new = domain if _reserved(domain) else same_shape(name, key, "domain." + top, lambda s: not _reserved(s + dot + top)) + dot + top
+    return _recased(text, same_shape(local, key, "email@" + domain) + "@" + new)
 
 
-def _phone(text: str, key: bytes) -> str:
+def _national(text: str) -> tuple[str, str]:
+    """The number without and its digits within: country code and trunk zeros stay, the rest is the entity."""
     country = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d\d(?=\d)", text)
-    head = country[0] if country else ""
-    return head + same_shape(text[len(head) :], key, "phone" + head)
+    head = len(country[0]) if country else 0
+    digits = re.sub(r"\D", "", text[head:])
+    if not head and len(digits) == 11 and digits[0] == "1":
+        return "1", digits[1:]
+    core = digits.lstrip("0")
+    return re.sub(r"\D", "", text[:head]) + digits[: len(digits) - len(core)], core
 
 
-def _script(text: str) -> str:
-    name = unicodedata.name(text[0], "")
-    return next((s for s in ("cyrillic", "greek") if name.startswith(s.upper())), "latin")
+def _phone(text: str, key: bytes) -> str:
+    head, core = _national(text)
+    # A core never begins with a zero, nor one of eleven digits with a one: such would read as another's prefix.
+    barred = "01" if len(core) == 11 else "0"
+    return _refill(text, head + same_shape(core, key, "phone", lambda s: s[0] not in barred))
 
 
 def _listed(key: bytes, name: str) -> str:
-    names = FIRST_NAMES[_LISTED[name]]
-    return names[Cycle(key, "first" + "".join(_LISTED[name]), len(names)).next(names.index(name))]
+    names = FIRST_NAMES[_LISTED[_SPELT[name]]]
+    made = names[Cycle(key, "first" + "".join(_LISTED[_SPELT[name]]), len(names)).next(names.index(_SPELT[name]))]
+    return made.upper() if name.isupper() else made
 
 
 def _surname(text: str, key: bytes) -> str:
-    return same_shape(text, key, "surname", lambda s: s not in _LISTED and s not in TITLES)
+    lower = text.lower()
+    if len(lower) != len(text) or _recased(text, lower) != text:  # letters whose case is not one to one
+        return same_shape(text, key, "name", lambda s: s not in _SPELT and s not in _TITLES)
+    return _recased(text, same_shape(lower, key, "surname", lambda s: s.capitalize() not in _SPELT and s.capitalize() not in _TITLES))
 
 
 MAKERS = {"email": _email, "iban": _iban, "ssn": lambda t, k: same_shape(t, k, "ssn"), "card": _card, "ip": _ip, "phone": _phone, "first": lambda t, k: _listed(k, t), "last": _surname}
 
 
+def canonical(kind: str, text: str) -> str:
+    """What all spellings of an entity have in common."""
+    if kind == "phone":
+        return _national(text)[1]
+    if kind in ("iban", "ssn", "card"):
+        return re.sub(r"\W", "", text)
+    return text if kind == "ip" else text.lower()
+
+
 def detect(text: str) -> list[tuple[int, int, str]]:
     """(start, end, type) of the entities in order, none overlapping another."""
     found: list[tuple[int, int, str]] = []
-    taken: list[tuple[int, int]] = []
+    taken = bytearray()
 
-    def free(a: int, b: int) -> bool:
-        return all(b <= x or y <= a for x, y in taken)
+    def take(a: int, b: int, kind: str) -> None:
+        nonlocal taken
+        taken = taken or bytearray(len(text))
+        if taken.find(1, a, b) < 0:
+            taken[a:b] = bytes([1]) * (b - a)
+            found.append((a, b, kind))
 
     digits = any(c.isdigit() for c in text)
     for kind, pattern in PATTERNS:
         if (kind == "email" and "@" not in text) or not digits and kind != "email":
             continue
         for m in pattern.finditer(text):
-            if kind == "phone" and not 8 <= sum(c.isdigit() for c in m[0]) <= 16:
+            if kind == "phone" and (not 8 <= sum(c.isdigit() for c in m[0]) <= 16 or not _national(m[0])[1]):
                 continue
-            if free(m.start(), m.end()):
-                found.append((m.start(), m.end(), kind))
-                taken.append((m.start(), m.end()))
-    names: dict[str, str] = {}
-    for m in _mentions(text):
-        if m["first"]:
-            names[m["first"]] = "first"
-        if m["last"] and (m["title"] or m["first"]) and m["last"] not in TITLES:
-            names.setdefault(m["last"], "first" if m["last"] in _LISTED else "last")
+            take(m.start(), m.end(), kind)
+    names = _names(text, [a for a, _, kind in found if kind == "email"])
     if names:
-        whole = re.compile(r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, names), key=lambda x: (-len(x), x))) + r")(?!\w)")
-        for m in whole.finditer(text):
-            if free(m.start(), m.end()):
-                found.append((m.start(), m.end(), names[m[0]]))
+        for m in _WORD.finditer(text):
+            if m[0] in names:
+                take(m.start(), m.end(), names[m[0]])
+            elif not m[0].isalpha():  # parts of a word with hyphens or apostrophes
+                for part in re.finditer(r"[^-'’]+", m[0]):
+                    if part[0] in names:
+                        take(m.start() + part.start(), m.start() + part.end(), names[part[0]])
+    if not text.isascii():
+        for m in _HAN.finditer(text):
+            take(m.start(), m.end(), "last")
     return sorted(found)
 
 
-#: Every place where _PERSON finds a listed first name or a title before a letter; nothing is consumed.
-_START = re.compile(rf"(?<!\w)(?=(?:{'|'.join(TITLES)})\.? [^\W\d_]|(?:{_FIRST})(?!\w))")
-
+def _names(text: str, emails: list[int]) -> dict[str, str]:
+    """Words of the text that are names of persons, and whether they are listed first names."""
+    words = [(m.start(), m.end(), m[0]) for m in _CAPITAL.finditer(text) if m[0][0].isupper()]
+    names: dict[str, str] = {}
 
-def _mentions(text: str):
-    """Matches of title, first and last name; both lists are rare, so candidates are looked up first."""
-    for m in _START.finditer(text):
-        yield _PERSON.match(text, m.start())
+    def add(word: str) -> None:
+        if word not in _TITLES and word not in NO_NAMES:
+            names[word] = "first" if word in _SPELT else "last"
+
+    def next_to(i: int, j: int, after: tuple[str, ...] = (" ",)) -> bool:
+        return 0 <= i and j < len(words) and text[words[i][1] : words[j][0]] in after
+
+    ends = {b: i for i, (_, b, _) in enumerate(words)}
+    for a in emails:  # First Last <address>
+        i = ends.get(len(text[max(0, a - 3) : a].rstrip(" <(")) + max(0, a - 3))
+        if i is not None and next_to(i - 1, i):
+            add(words[i][2])
+            add(words[i - 1][2])
+    for i, (a, b, word) in enumerate(words):
+        if word in _SPELT:
+            add(word)
+            if next_to(i, i + 1) and len(words[i + 1][2]) > 1:
+                add(words[i + 1][2])
+        elif word in _TITLES:
+            j = i
+            while next_to(j, j + 1, (" ", ". ") if j == i else (" ",)) and j - i < 4 and len(words[j + 1][2]) > 1:
+                j += 1
+                add(words[j][2])
+        else:
+            if (word in SURNAMES or word.capitalize() in SURNAMES) and next_to(i - 1, i) and words[i - 1][2] not in NO_NAMES | _TITLES and len(words[i - 1][2]) > 1:
+                add(word)
+                add(words[i - 1][2])
+            if text.startswith(SAID, b) and next_to(i - 1, i) and len(words[i - 1][2]) > 1:
+                add(word)
+                add(words[i - 1][2])
+            if word not in NO_NAMES and len(word) > 1 and _cued(text[max(0, a - 28) : a]):
+                add(word)
+                j = i
+                while next_to(j, j + 1) and j - i < 3 and len(words[j + 1][2]) > 1:
+                    j += 1
+                    add(words[j][2])
+    return names
+
+
+def _cued(before: str) -> bool:
+    before = before.rstrip(" \n").lower()
+    if before.endswith("name:"):  # of a form; not that of a file or a host
+        return not before.endswith(("username:", "filename:", "hostname:", "file name:", "host name:", "domain name:", "brand name:", "user name:"))
+    return (before := before.rstrip(",:")).endswith(CUES) and not before.endswith("endear")
 
 
 @lru_cache(maxsize=1 << 16)
@@ -276,13 +397,14 @@ def replace(text: str, key: bytes) -> tuple[str, list[dict]]:
     for start, end, kind in detect(text):
         new = surrogate(kind, text[start:end], key)
         out += [text[at:start], new]
-        rows.append({"type": kind, "start": start, "end": end, "original": text[start:end], "surrogate": new})
+        old = text[start:end]
+        rows.append({"type": kind, "start": start, "end": end, "original": old, "surrogate": new, "entity": canonical(kind, old), "stands": canonical(kind, new)})
         at = end
     return "".join([*out, text[at:]]), rows
 
 
-_ENTITY = StructType([StructField("type", StringType()), *(StructField(c, IntegerType()) for c in ("start", "end")), *(StructField(c, StringType()) for c in ("original", "surrogate"))])
-_ARROW = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("original", pa.string()), ("surrogate", pa.string())]))
+_ENTITY = StructType([StructField("type", StringType()), *(StructField(c, IntegerType()) for c in ("start", "end")), *(StructField(c, StringType()) for c in ("original", "surrogate", "entity", "stands"))])
+_ARROW = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), *((c, pa.string()) for c in ("original", "surrogate", "entity", "stands"))]))
 
 
 def pseudonymize(df: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -300,9 +422,17 @@ def pseudonymize(df: DataFrame, key: bytes, id_col: str = "doc_id", text_col: st
 
 
 def collisions(replaced: DataFrame) -> DataFrame:
-    """Types whose surrogate stands for several originals, whose original has several, or is its own; none is right."""
-    pairs = replaced.select(F.explode("entities").alias("e")).select("e.type", "e.original", "e.surrogate").distinct()
-    shared = pairs.groupBy("type", "surrogate").agg(F.count_distinct("original").alias("n")).where("n > 1").select("type", F.col("surrogate").alias("value"), F.lit("shared").alias("fault"))
-    split = pairs.groupBy("type", "original").agg(F.count_distinct("surrogate").alias("n")).where("n > 1").select("type", F.col("original").alias("value"), F.lit("split").alias("fault"))
-    same = pairs.where("original = surrogate").select("type", F.col("original").alias("value"), F.lit("unchanged").alias("fault"))
+    """(type, value, fault): surrogates that stand for several entities, entities that have several or are their own; none is right."""
+    pairs = replaced.select(F.explode("entities").alias("e")).select("e.type", "e.entity", "e.stands").distinct()
+    shared = pairs.groupBy("type", F.col("stands").alias("value")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("type", "value", F.lit("shared").alias("fault"))
+    split = pairs.groupBy("type", F.col("entity").alias("value")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("type", "value", F.lit("split").alias("fault"))
+    same = pairs.where("entity = stands").select("type", F.col("entity").alias("value"), F.lit("unchanged").alias("fault"))
     return shared.unionByName(split).unionByName(same)
+
+
+def checked(replaced: DataFrame) -> DataFrame:
+    """``replaced``, if no two entities share a surrogate and no entity has two; an error that tells the faults otherwise."""
+    faults = cut(collisions(replaced))
+    if not faults.isEmpty():
+        raise ValueError(f"surrogates collide: {[tuple(r) for r in faults.groupBy('type', 'fault').count().collect()]}")
+    return replaced

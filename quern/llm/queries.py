@@ -13,7 +13,7 @@ from quern.llm.html_text import extract_text
 from quern.llm.license_scan import scan_licenses
 from quern.llm.mixing import mix_sources
 from quern.llm.packing import pack
-from quern.llm.pii import pseudonymize
+from quern.llm.pii import checked, pseudonymize
 from quern.llm.secret_scan import KINDS, find_secrets, joined
 from quern.llm.simhash import simhash_components
 from quern.llm.toxicity import toxicity
@@ -54,7 +54,7 @@ DEMONSTRATION_KEY = b"quern demonstration key"
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    replaced = pseudonymize(read(spark, sf_dir, "documents"), DEMONSTRATION_KEY)
+    replaced = checked(pseudonymize(read(spark, sf_dir, "documents"), DEMONSTRATION_KEY))
     places = F.transform("entities", lambda e: F.concat_ws(":", e["type"], e["start"], e["end"]))
     return replaced.select("doc_id", F.size("entities").cast("long").alias("n_entities"), F.array_join(places, ",").alias("entities"), "text")
 

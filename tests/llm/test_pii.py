@@ -1,7 +1,7 @@
 import pytest
 
 from quern.llm import queries
-from quern.llm.pii import Cycle, _luhn, collisions, detect, pseudonymize, replace
+from quern.llm.pii import Cycle, _luhn, canonical, checked, collisions, detect, pseudonymize, replace, surrogate
 
 KEY = b"test key"
 
@@ -52,6 +52,86 @@ def test_names_before_punctuation_breaks_and_ends():
     assert one("Mariana, Annabel and Petersburg")[2] == []
 
 
+def valid(iban):
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+
+
+def test_check_digits_do_not_make_entities_collide():
+    a, b = one("DE89370400440532013000 and DE88370400440532013000")[1].values()
+    assert a != b and a[4:] == b[4:] and valid(a) and not valid(b)
+    made = [surrogate("iban", f"DE{n:02}370400440532013000", KEY) for n in range(100)]
+    assert len(set(made)) == 100
+    cards = [surrogate("card", f"411111111111111{n}", KEY) for n in range(10)]
+    assert len(set(cards)) == 10 and [_luhn(c[:-1]) == int(c[-1]) for c in cards] == [n == 1 for n in range(10)]
+
+
+def test_spellings_of_one_entity_stay_together():
+    for kind, spellings in {
+        "phone": ["+1 555 123 4567", "555-123-4567", "+1 (555) 123-4567", "1-555-123-4567"],
+        "email": ["John.Doe@acme.com", "john.doe@acme.com", "JOHN.DOE@Acme.com"],
+        "iban": ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000"],
+        "card": ["4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111"],
+        "last": ["Schmidt", "SCHMIDT"],
+        "first": ["Anna", "ANNA"],
+    }.items():
+        made = [surrogate(kind, t, KEY) for t in spellings]
+        assert len({canonical(kind, t) for t in spellings}) == len({canonical(kind, m) for m in made}) == 1, (kind, made)
+        for t, m in zip(spellings, made):
+            assert [c.isdigit() for c in t] == [c.isdigit() for c in m] or kind == "first"
+            assert [c.isupper() for c in t] == [c.isupper() for c in m] or kind == "first"
+    german = [surrogate("phone", t, KEY) for t in ("+49 30 1234567", "030 1234567", "+49 (0)30 1234567")]
+    assert len({canonical("phone", m) for m in german}) == 1 and german[1][0] == "0"
+
+
+def test_numbers_are_one_to_one_with_and_without_prefixes():
+    numbers = [p + f"{n:06}" for n in range(0, 400) for p in ("0", "00", "1", "9", "")]
+    made = [surrogate("phone", n, KEY) for n in numbers]
+    assert len(set(made)) == len(set(numbers)) and all(len(a) == len(b) for a, b in zip(numbers, made))
+
+
+def test_persons_beyond_the_list():
+    for text, names in {
+        "KENJI Tanaka came": ["KENJI", "Tanaka"],
+        "yesterday Hiroshi Sato came": ["Hiroshi", "Sato"],
+        "mit 田中太郎 und 王小明先生": ["田中太郎", "王小明"],
+        "Mr. Nguyễn Văn Hùng paid": ["Nguyễn", "Văn", "Hùng"],
+        "my name is Oluwaseun Adeyemi.": ["Oluwaseun", "Adeyemi"],
+        "Kind regards,\nZofia Wójcik": ["Zofia", "Wójcik"],
+        "Amara Okafor <amara@x.org> wrote": ["Amara", "Okafor"],
+        "then Priya Raman said no": ["Priya", "Raman"],
+        "меня зовут Зинаида Орлова": ["Зинаида", "Орлова"],
+    }.items():
+        out, made, _ = one(text)
+        assert set(names) <= set(made), (text, made)
+        for n in names:
+            assert n not in out and len(made[n]) == len(n)
+            assert [c.isupper() for c in n] == [c.isupper() for c in made[n]]
+    assert set(one("Name: Zofia Wójcik")[1]) == {"Zofia", "Wójcik"}
+    for text in ("Dear Sir or Madam", "Dear Customer", "the file name Report", "File name: Report", "The Hague and New York agree"):
+        assert detect(text) == []
+    assert one("Иван пришёл домой")[2] == ["first"]
+
+
+def test_time_grows_in_proportion():
+    import time
+
+    for make in (lambda n: " ".join(f"+1 202 555 {i:04}" for i in range(n)), lambda n: " ".join(f"Anna Name{chr(97 + i % 26) * (i // 26 + 2)}" for i in range(n // 10))):
+        began = time.time()
+        replace(make(8000), KEY)
+        assert time.time() - began < 20
+
+
+def test_check_refuses_collisions(spark):
+    import pytest
+
+    rows = spark.createDataFrame([(1, "mail a.b@c.de and d.e@f.org")], "doc_id long, text string")
+    made = pseudonymize(rows, KEY)
+    assert checked(made).count() == 1
+    broken = made.selectExpr("doc_id", "text", "transform(entities, e -> named_struct('type', e.type, 'entity', e.entity, 'stands', 'x')) AS entities")
+    with pytest.raises(ValueError, match="shared"):
+        checked(broken)
+
+
 def test_ordinary_text_stays():
     text = "In 2024 the 3 rivers, version 1.2.3, took 12 of 345 days; Dr. no one. A1B2 10:30 5-4-3"
     assert detect(text) == [] and replace(text, KEY)[0] == text
@@ -62,6 +142,7 @@ def test_distinct_and_coreferent_over_a_corpus(spark):
     made = pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), KEY)
     assert collisions(made).count() == 0
     assert made.selectExpr("explode(entities) e").select("e.type", "e.original").distinct().count() == 70 + 90 + 35
+    assert made.selectExpr("explode(entities) e").select("e.type", "e.stands").distinct().count() == 70 + 90 + 35
 
 
 def test_queries_and_odd_rows(spark, sf, odd, empty):
