@@ -10,14 +10,12 @@ word.  Carry-save counters add up differences for a block of queries against a b
 once; queries whose lanes all exceed the radius are abandoned.
 
 ``similarity`` adds links between texts that share that much (Jaccard) of their distinct five-word shingles,
-which 64 bits cannot tell.  128 MinHash values in 32 bands of four deal the texts to buckets, whose keys are
-64-bit digests, so that buckets do not fill as the corpus grows: a pair at 0.8 shares none with probability
-5e-8, whatever the number of rows.  All rows of a bucket are compared: first each with the bucket's least row,
-then, in blocks, those that are not in one component yet, unless their values agree five standard errors too
-seldom.  Every pair is verified by its shingles before it is a link.
+which 64 bits cannot tell; ``shingle_links`` finds them through the same bit-sliced comparison and verifies each.
 
 Results that are defined: a null text equals an empty one, and a text without words has fingerprint
-zero, linked like any other; ids that are null never name a component; an empty table gives no rows.
+zero, linked like any other; ids that are null never name a component; rows that repeat an id or a text each
+get their row; a text of any length is read in blocks of bounded size; extra columns are ignored, whatever
+their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,132 +31,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
+from quern.llm.bitslice import as_rows, within
 from quern.llm.common import map_text, narrow, texts_as_bytes
+from quern.llm.shingle_links import SEED, band_keys, minima, shingle_set, signature, similar_edges, word_blocks
 from quern.runtime import cut, ship
 
 BITS = 64
 RADIUS = 2
 #: Lanes and queries that are compared at a time.
 BLOCK = 512
-SEED = 42
 
 
-def fingerprint(text: bytes, shingle: int = 3) -> int:
-    """Majority bits of the XXH64 of all word shingles."""
-    words = text.lower().split()  # on bytes: A-Z alone, and \x20 \x09-\x0D alone
-    if not words:
-        return 0
+def _digests(words: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 of all shingles of at least ``shingle`` words."""
     line = b" ".join(words)
-    if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(line, SEED)]
-    else:
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        end = np.cumsum(size + 1) - 1
-        first, last = (end - size)[: 1 - shingle].tolist(), end[shingle - 1 :].tolist()
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(line[a:b], SEED) for a, b in zip(first, last)]
-    total = np.zeros(BITS, np.int64)
-    for i in range(0, len(hashes), 1 << 16):
-        block = np.array(hashes[i : i + (1 << 16)], np.dtype(">u8"))
-        total += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > len(hashes)).tobytes(), "big")
-
-
-#: MinHash bands and the values of each; the first byte of every value is the signature.
-BANDS = 32
-BAND_ROWS = 4
-#: Rows of a bucket that are compared with as many others at a time.
-PART = 1024
-_ODD = (np.arange(BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-_MIX = np.uint64(0xD6E8FEB86659FD93)
-
-
-def shingle_set(text: bytes, shingle: int = 5) -> np.ndarray:
-    """Sorted XXH64 of the distinct word shingles; empty without words."""
-    words = text.lower().split()
-    parts = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else ()
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(p, SEED) for p in parts), np.uint64, len(parts)))
-
-
-def _mixed(values: np.ndarray) -> np.ndarray:
-    values ^= values >> np.uint64(32)
-    values *= _MIX
-    values ^= values >> np.uint64(32)
-    return values
-
-
-def minima(shingles: np.ndarray) -> np.ndarray:
-    """The least value of each permutation over the shingles."""
-    least = np.full(len(_ODD), np.uint64(0xFFFFFFFFFFFFFFFF))
-    for i in range(0, len(shingles), 256):
-        np.minimum(least, _mixed(shingles[i : i + 256, None] * _ODD[None, :]).min(axis=0), out=least)
-    return least
-
-
-def band_keys(least: np.ndarray) -> np.ndarray:
-    """A digest of each band's number and values."""
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in least.reshape(BANDS, BAND_ROWS).T:
-        key = _mixed((key ^ column) * _ODD[1])
-    return key.view(np.int64)
-
-
-def least_agreement(similarity: float) -> int:
-    """Values of a signature on which texts of a similarity agree, five standard errors allowed."""
-    n = BANDS * BAND_ROWS
-    return int(n * similarity - 5 * np.sqrt(n * similarity * (1 - similarity)))
-
-
-def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """Whether the Jaccard similarity of two sorted sets reaches ``similarity``."""
-    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= similarity * (len(a) + len(b) - both) - 1e-9
-
-
-def planes(prints: np.ndarray) -> np.ndarray:
-    """Bit planes (64, words) of uint64 fingerprints: bit i % 64 of word i // 64 belongs to print i."""
-    lanes = -(-len(prints) // BITS) * BITS
-    bits = np.zeros((BITS, lanes), np.uint8)
-    bits[:, : len(prints)] = (prints[None, :] >> np.arange(BITS, dtype=np.uint64)[:, None]).astype(np.uint8) & 1
-    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
-
-
-def within(queries: np.ndarray, lanes: np.ndarray, radius: int = RADIUS, every: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """(query, lane) index pairs at Hamming distance <= radius."""
-    table = planes(lanes)
-    alive = np.arange(len(queries))
-    digits = [np.zeros((len(alive), table.shape[1]), np.uint64) for _ in range(radius.bit_length())]
-    over = np.zeros((len(alive), table.shape[1]), np.uint64)
-    left = queries
-    full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    for b in range(BITS):
-        flip = (left >> np.uint64(b) & np.uint64(1)) * full
-        carry = table[b][None, :] ^ flip[:, None]
-        for digit in digits:
-            digit_and = digit & carry
-            digit ^= carry
-            carry = digit_and
-        over |= carry
-        if b % every == every - 1:
-            above, equal = np.zeros_like(over), np.full_like(over, full)
-            for place in reversed(range(len(digits))):
-                if radius >> place & 1:
-                    equal &= digits[place]
-                else:
-                    above |= equal & digits[place]
-                    equal &= ~digits[place]
-            over |= above
-            keep = (over != full).any(axis=1)
-            if not keep.any():
-                return np.zeros(0, np.int64), np.zeros(0, np.int64)
-            if not keep.all():
-                alive, left, over = alive[keep], left[keep], over[keep]
-                digits = [d[keep] for d in digits]
-    found = np.unpackbits((~over).view(np.uint8), axis=1, bitorder="little")[:, : len(lanes)]
-    at, lane = np.nonzero(found)
-    return alive[at], lane
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    end = np.cumsum(size + 1) - 1
+    first, last = (end - size)[: len(words) - shingle + 1].tolist(), end[shingle - 1 :].tolist()
+    return np.array([xxhash.xxh64_intdigest(line[a:b], SEED) for a, b in zip(first, last)], np.dtype(">u8"))
+
+
+def fingerprint(text: bytes, shingle: int = 3) -> int:
+    """Majority bits of the XXH64 of all word shingles, a bounded block of words at a time."""
+    total, n, tail = np.zeros(BITS, np.int64), 0, []
+
+    def add(hashes: np.ndarray) -> None:
+        nonlocal n
+        n += len(hashes)
+        for i in range(0, len(hashes), 1 << 16):
+            total[:] += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+
+    for words in word_blocks(text):
+        words = tail + words
+        if len(words) >= shingle:
+            add(_digests(words, shingle))
+        tail = words[max(0, len(words) - shingle + 1) :]
+    if not n and tail:
+        add(_digests(tail, len(tail)))
+    return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big") if n else 0
 
 
 def _spanning(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -176,10 +86,10 @@ def _spanning(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 def bucket_edges(prints: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest (child, root) of the links among distinct fingerprints, blocks of lanes at a time."""
-    labels = np.arange(len(prints))
+    labels, rows = np.arange(len(prints)), as_rows(prints)
     for i in range(0, len(prints), BLOCK):
         for j in range(i, len(prints), BLOCK):
-            a, b = within(prints[i : i + BLOCK], prints[j : j + BLOCK], radius)
+            a, b = within(rows[i : i + BLOCK], rows[j : j + BLOCK], radius)
             if len(a):
                 _spanning(labels, a + i, b + j)
     child = np.nonzero(labels != np.arange(len(prints)))[0]
@@ -283,101 +193,26 @@ def edges(reps: DataFrame, bucket_limit: int = 4096, radius: int = RADIUS) -> Da
     return rows.repartition("mask", "val").sortWithinPartitions("mask", "val").mapInArrow(run, schema)
 
 
-def candidates(members: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (u, v) of nodes of one bucket (key) and different roots whose signatures agree well enough.
+def components(links: DataFrame) -> DataFrame:
+    """(u, root) for every u that is not its own root, by alternating large and small stars.
 
-    ``members`` has key, node, root, signature and the bucket's rows n; larger buckets are compared in blocks.
+    The rounds of a chain grow with the logarithm of its length, and end by themselves.
     """
-    ship(members.sparkSession)
-    enough = least_agreement(similarity)
-
-    def compare(rows: pa.Table) -> pa.RecordBatch:
-        node, root, own, low, high = (rows.column(c).to_numpy() for c in ("node", "root", "own", "low", "high"))
-        signature = np.frombuffer(b"".join(rows.column("signature").to_pylist()), np.uint8).reshape(len(node), -1)
-        left, right = np.nonzero(own == low[0])[0], np.nonzero(own == high[0])[0]
-        made = []
-        for i in range(0, len(left), 64):
-            x, y = left[i : i + 64, None], right[None, :]
-            pair = (root[x] != root[y]) & ((node[x] < node[y]) | (low[0] != high[0]))
-            if pair.any():
-                pair &= (signature[x] == signature[y]).sum(axis=2) >= enough
-                p, q = np.nonzero(pair)
-                made.append(np.stack([node[left[i + p]], node[right[q]]]))
-        found = np.concatenate(made, axis=1) if made else np.zeros((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(found.max(axis=0)), pa.array(found.min(axis=0))], ["u", "v"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = None  # the block that may go on in the next batch
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = (rows if tail is None else pa.concat_tables([tail, rows])).combine_chunks()
-            if not rows.num_rows:
-                continue
-            keys = [rows.column(c).to_numpy() for c in ("key", "low", "high")]
-            start = np.nonzero(np.r_[True, reduce(np.logical_or, (k[1:] != k[:-1] for k in keys))])[0].tolist()
-            for a, b in zip(start, start[1:]):
-                yield compare(rows.slice(a, b - a))
-            tail = rows.slice(start[-1])
-        if tail is not None:
-            yield compare(tail)
-
-    parts = F.ceil(F.col("n") / PART).cast("long")
-    dealt = members.withColumn("own", F.pmod(F.xxhash64("node"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "root", "signature")
-    blocks = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return blocks.mapInArrow(run, StructType([StructField("u", LongType()), StructField("v", LongType())])).distinct()
-
-
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose shingles are alike; ``sets`` has node and its shingles."""
-    ship(pairs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sides = ([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(c)] for c in (2, 3))
-            same = pa.array([alike(a, b, similarity) for a, b in zip(*sides)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(same) for c in (0, 1)], ["u", "v"])
-
-    both = cut(pairs).join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
-    return cut(both.select("u", "v", "a", "b").mapInArrow(run, StructType([StructField("u", LongType()), StructField("v", LongType())])))
-
-
-def similar_edges(reps: DataFrame, docs: DataFrame, similarity: float) -> DataFrame:
-    """Links (u, v) of nodes whose shingles are alike; ``reps`` has node, text_key, bands and signature, ``docs`` text_key and text."""
-    bands = reps.where("bands IS NOT NULL").select("node", F.explode("bands").alias("key"))
-    shared = cut(bands.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    members = cut(bands.join(shared, "key"))
-    # Only texts that share a bucket are read again for their shingles.
-    wanted = cut(reps.join(members.select("node").distinct(), "node", "left_semi").select("node", "text_key"))
-    again = docs.select("text_key", "text").join(wanted, "text_key")
-    found = map_text(again, ["node"], "text", lambda c: [pa.array([shingle_set(t).tobytes() for t in texts_as_bytes(c)], pa.binary())], [StructField("shingles", BinaryType())])
-    sets = cut(found.groupBy("node").agg(F.first("shingles").alias("shingles")))
-    near = verified(members.where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v")).distinct(), sets, similarity)
-    roots = cut(components(near))
-    placed = cut(members.where("n > 2").join(roots.withColumnRenamed("u", "node"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
-    mixed = cut(placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key", "n"))
-    rest = placed.join(mixed, "key").join(reps.select("node", "signature"), "node")
-    return near.unionByName(verified(candidates(rest, similarity), sets, similarity))
-
-
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """(u, root) for every u that is not its own root, by alternating large and small stars."""
     now = cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    for _ in range(rounds):
-        if now.isEmpty():
+    while True:
+        # Settled: every u has one v, and no v is a u.
+        ends = now.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        loose = ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).agg(F.count(F.when((F.col("up") > 1) | (F.col("up") * F.col("down") > 0), 1)))
+        if not loose.first()[0]:
             return now.withColumnRenamed("v", "root")
         # Large star: every larger neighbour of u moves to the least of u and its neighbours.
-        both = cut(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
-        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         # Small star: u and its smaller neighbours move to the least of them.
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = cut(moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        loose = now.select("u").groupBy("u").count().where("count > 1").select("u").unionByName(now.select("u").join(now.select(F.col("v").alias("u")).distinct(), "u", "left_semi"))
-        if loose.isEmpty():
-            return now.withColumnRenamed("v", "root")
-    raise RuntimeError("components did not settle")
 
 
 def simhash_components(
@@ -407,18 +242,25 @@ def simhash_components(
             node = [xxhash.xxh64_intdigest(p.tobytes() + x.tobytes(), SEED) for p, x in zip(prints, sets)]
             made.append(pa.array(np.array(node, np.uint64).view(np.int64), pa.int64()))
             made.append(pa.array([None if x is None else band_keys(x) for x in least], pa.list_(pa.int64())))
-            made.append(pa.array([None if x is None else (x & np.uint64(0xFF)).astype(np.uint8).tobytes() for x in least], pa.binary()))
+            made.append(pa.array([None if x is None else signature(x).tobytes() for x in least], pa.binary()))
+            made.append(pa.array([len(x) for x in sets], pa.int64()))
         return made
 
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        """(node, shingles) of a table of (node, text_key), read again from one text of each."""
+        again = docs.select("text_key", "text").join(nodes, "text_key")
+        found = map_text(again, ["node"], "text", lambda c: [pa.array([shingle_set(t).tobytes() for t in texts_as_bytes(c)], pa.binary())], [StructField("shingles", BinaryType())])
+        return found.groupBy("node").agg(F.first("shingles").alias("shingles"))
+
     fields = [StructField("fp", LongType())]
     if similarity is not None:
-        fields += [StructField("node", LongType()), StructField("bands", ArrayType(LongType())), StructField("signature", BinaryType())]
+        fields += [StructField("node", LongType()), StructField("bands", ArrayType(LongType())), StructField("signature", BinaryType()), StructField("n_shingles", LongType())]
     rows = map_text(docs, ["doc_id", "text_key"], "text", compute, fields).withColumn("row_key", F.monotonically_increasing_id())
     rows = cut(rows if similarity is not None else rows.withColumn("node", F.col("fp")))
     # Nulls sort last here: an id that is null names a component only where there is no other.
     lead = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row_key"))).alias("lead")
     # Rows of one fingerprint are one node; for the similarity, rows of one fingerprint and one set of shingles.
-    more = [] if similarity is None else [F.min("text_key").alias("text_key"), *(F.first(c).alias(c) for c in ("bands", "signature"))]
+    more = [] if similarity is None else [F.min("text_key").alias("text_key"), *(F.first(c).alias(c) for c in ("bands", "signature", "n_shingles"))]
     reps = cut(rows.groupBy("node").agg(lead, F.first("fp").alias("fp"), *more))
     if similarity is None:
         links = edges(reps.select("fp"), bucket_limit, radius)
@@ -428,8 +270,8 @@ def simhash_components(
         for side in ("u", "v"):
             close = close.join(least.select(F.col("fp").alias(side), F.col("least").alias(f"{side}_node")), side)
         same = reps.join(least, "fp").where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
-        links = close.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")).unionByName(same).unionByName(similar_edges(reps, docs, similarity))
-    roots = cut(components(links))
+        links = close.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")).unionByName(same).unionByName(similar_edges(reps, sets_of, components, similarity))
+    roots = components(links)
     placed = reps.join(roots.withColumnRenamed("u", "node"), "node", "left").select("node", "lead", F.coalesce("root", "node").alias("root"))
     first = cut(placed.groupBy("root").agg(F.min("lead").alias("first")))
     named = cut(cut(placed).join(first, "root").select("node", "first"))

@@ -5,7 +5,8 @@ import pytest
 import xxhash
 
 from quern.llm import queries
-from quern.llm.simhash import bucket_edges, components, edges, fingerprint, planes, simhash_components, within
+from quern.llm.bitslice import as_rows, planes, within
+from quern.llm.simhash import bucket_edges, components, edges, fingerprint, simhash_components
 
 
 def definition(text):
@@ -59,8 +60,8 @@ def test_bit_sliced_comparison(radius):
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
     near = base[rng.integers(0, 40, 160)] ^ (np.uint64(1) << rng.integers(0, 64, 160).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 160).astype(np.uint64))
     a, b = np.concatenate([base, near]), near
-    assert planes(b).shape == (64, 3)
-    q, lane = within(a, b, radius)
+    assert planes(as_rows(b)).shape == (64, 3)
+    q, lane = within(as_rows(a), as_rows(b), radius)
     want = np.nonzero(np.bitwise_count(a[:, None] ^ b[None, :]) <= radius)
     assert sorted(zip(q.tolist(), lane.tolist())) == sorted(zip(want[0].tolist(), want[1].tolist()))
 
@@ -156,23 +157,69 @@ def jaccard(a, b):
     return len(x & y) / len(x | y)
 
 
-def test_all_rows_of_a_bucket_are_compared(spark, monkeypatch):
-    """Pairs in one bucket are found whichever rows lie beside them, and in blocks too."""
-    from quern.llm import simhash
+@pytest.mark.parametrize("radius", [0, 10, 49])
+def test_bit_sliced_comparison_of_bytes(radius):
+    rng = np.random.default_rng(radius)
+    a = rng.integers(0, 256, (30, 128), dtype=np.uint8)
+    b = np.where(rng.random((90, 128)) < rng.random((90, 1)), a[rng.integers(0, 30, 90)], rng.integers(0, 256, (90, 128), dtype=np.uint8))
+    q, lane = within(a, b, radius, 8)
+    want = np.nonzero((a[:, None] != b[None]).sum(axis=2) <= radius)
+    assert len(want[0]) and sorted(zip(q.tolist(), lane.tolist())) == sorted(zip(want[0].tolist(), want[1].tolist()))
+
+
+def shingles_of(t):
+    w = t.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def linked_brute(texts):
+    """Component roots of texts by shingle similarity and fingerprint, every pair compared."""
+    sets, prints = [shingles_of(t) for t in texts], [definition(t) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if label[i] != label[j] and (both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) or (prints[i] ^ prints[j]).bit_count() <= 2):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("part", [16, 1024])
+def test_crowd_with_one_boilerplate(spark, monkeypatch, part):
+    """One passage in all texts fills the buckets; every link of every pair is found, in parts and blocks too."""
+    from quern.llm import shingle_links
+
+    monkeypatch.setattr(shingle_links, "PART", part)
+    rng = np.random.default_rng(12)
+    shared = [f"s{i}" for i in range(120)]
+    texts = []
+    for k in range(150):
+        own = [f"k{k}w{i}" for i in range(int(rng.integers(5, 60)))]
+        texts.append(shared + own)
+        other = list(texts[-1])
+        for at in rng.integers(0, len(other), int(rng.integers(0, 5))):
+            other[at] = f"x{rng.integers(1 << 30)}"
+        texts.append(other)
+    texts = [" ".join(t) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in simhash_components(docs, similarity=0.8).collect()}
+    assert [found[i] for i in range(len(texts))] == linked_brute(texts)
+
+
+def test_shingles_do_not_depend_on_blocks():
+    from quern.llm.shingle_links import shingle_set, word_blocks
 
-    monkeypatch.setattr(simhash, "PART", 7)
-    rng = np.random.default_rng(4)
-    rows, want = [], set()
-    for i in range(40):
-        print_ = rng.integers(0, 256, 128, dtype=np.uint8)
-        rows += [(1, i, i, 80, bytes(print_)), (1, 1000 - i, 1000 - i, 80, bytes(np.where(np.arange(128) < 20, print_ + 1, print_).astype(np.uint8)))]
-        want.add((1000 - i, i))
-    members = spark.createDataFrame(rows, "key long, node long, root long, n long, signature binary")
-    assert {(r["u"], r["v"]) for r in simhash.candidates(members, 0.8).collect()} == want
+    text = " ".join(f"Wort{i % 977}" for i in range(20_000)).encode()
+    assert [w for block in word_blocks(text, 100) for w in block] == text.lower().split()
+    assert len(shingle_set(text)) == 977
+    assert shingle_set(b"a b c").tolist() == shingle_set(b" A  b\nc ").tolist() != shingle_set(b"a c b").tolist()
+    long = " ".join(f"Wort{i % 977}" for i in range(160_000))  # more than one block
+    assert len(shingle_set(long.encode())) == 977 and fingerprint(long.encode()) == definition(long)
 
 
 def test_bands_find_pairs_at_the_similarity():
-    from quern.llm.simhash import band_keys, minima
+    from quern.llm.shingle_links import band_keys, minima
 
     rng = np.random.default_rng(6)
     for _ in range(2000):  # 80 of 100 shingles shared
