@@ -146,8 +146,8 @@ def _ratios(sums: DataFrame, rows: int, positive: int, alpha: float, min_z: floa
     return {r["feature"]: r["r"] for r in kept.select("feature", ratio.alias("r")).collect()}  # at most 2**HASH_BITS
 
 
-def _values(sample: DataFrame, used: np.ndarray) -> list:
-    """Used features of each labelled row; the number of rows has a bound and so has that of features."""
+def _values(sample: DataFrame, used: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Labels, and by batch the used features of each labelled row; the number of rows has a bound and so has that of features."""
     shared = sample.sparkSession.sparkContext.broadcast(used)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,26 +162,42 @@ def _values(sample: DataFrame, used: np.ndarray) -> list:
         [StructField("toxic", IntegerType()), StructField("codes", ArrayType(IntegerType())), StructField("counts", ArrayType(IntegerType()))]
     )
     table = sample.select("toxic", "text").mapInArrow(run, schema).toArrow()
-    return [table.column(c).combine_chunks() for c in range(3)]
+    y = table.column(0).to_numpy().astype(float)
+    sizes = [np.diff(c.offsets.to_numpy()) for c in table.column(1).chunks]
+    codes, counts = ([c.flatten().to_numpy() for c in table.column(i).chunks] for i in (1, 2))
+    return y, sizes, codes, counts
 
 
-def _logistic(values: list, ratio: np.ndarray, rounds: int, l2: float) -> Model:
-    """Full-batch AdaGrad on balanced classes; the same rows in another order give the same model up to rounding."""
-    y = values[0].to_numpy(zero_copy_only=False).astype(float)
-    row = np.repeat(np.arange(len(y)), np.diff(values[1].offsets.to_numpy()))
-    code = values[1].values.to_numpy()
-    value = np.log1p(values[2].values.to_numpy()) * ratio[code]
+def _logistic(values: tuple, ratio: np.ndarray, rounds: int, l2: float) -> Model:
+    """Full-batch AdaGrad on balanced classes; the same rows in another order give the same model up to rounding.
+
+    Only the Arrow batches stay in memory; rows and values are made anew for a batch at a time.
+    """
+    y, sizes, codes, counts = values
     size, n = len(ratio), len(y)
     each = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / n
+    value_of = np.log1p(np.arange(1 << 12))
+    starts = np.cumsum([0, *map(len, sizes)])
+
+    def parts():
+        for i, (own, code, count) in enumerate(zip(sizes, codes, counts)):
+            value = value_of[np.minimum(count, len(value_of) - 1)]
+            if len(count) and count.max() >= len(value_of):
+                value = np.log1p(count)
+            yield slice(starts[i], starts[i + 1]), np.repeat(np.arange(len(own)), own), code, value * ratio[code]
+
     w, bias, past, past_bias = np.zeros(size), 0.0, np.full(size, 1e-8), 1e-8
     for _ in range(rounds):
-        z = np.bincount(row, w[code] * value, minlength=n) + bias
-        error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) * each
-        step = np.bincount(code, error[row] * value, minlength=size) + l2 * w / n
+        step, total = l2 * w / n, 0.0
+        for rows, row, code, value in parts():
+            z = np.bincount(row, w[code] * value, minlength=rows.stop - rows.start) + bias
+            error = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y[rows]) * each[rows]
+            step += np.bincount(code, error[row] * value, minlength=size)
+            total += error.sum()
         past += step * step
         w -= 0.05 * step / np.sqrt(past)
-        past_bias += error.sum() ** 2
-        bias -= 0.2 * error.sum() / np.sqrt(past_bias)
+        past_bias += total**2
+        bias -= 0.2 * total / np.sqrt(past_bias)
     return Model(w * ratio, float(bias))
 
 
