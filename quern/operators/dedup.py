@@ -1,18 +1,19 @@
 """First-wins deduplication in a total order: exact digests, URLs, and MinHash near copies.
 
-Exact and URL repeats have closed forms as window ranks over all rows of the stage.  Near copies form a
-lexicographic greedy set: a row goes where an earlier row that stays is near it; rounds settle rows
-whose earlier neighbours are settled, over the rows that have a neighbour at all.
+Exact and URL repeats have closed forms: the least order of each key, taken before the shuffle, joined back to the
+rows.  Near copies form a lexicographic greedy set: a row goes where an earlier row that stays is near it; rounds
+settle rows whose earlier neighbours are settled, over the rows that have a neighbour at all.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.numeric import BANDS, COMPONENTS, LOW, MERSENNE, ROWS, SEED, permuted, shingle_hash
@@ -21,18 +22,33 @@ from quern.runtime import cut, ship, spread
 
 SHINGLE = 5
 LEAST_EQUAL = 28
+#: Distinct sketches of a bucket that are compared as they are; larger buckets are dealt again.
+BUCKET = 512
 
 
-def repeated(key: str, order: str, usable: Column | None = None) -> Column:
-    """Whether an earlier row has the same key; rows without a usable key never repeat."""
-    usable = F.lit(True) if usable is None else usable
-    rank = F.row_number().over(Window.partitionBy(key, usable).orderBy(order))
-    return usable & (rank > 1)
+def mark_repeated(df: DataFrame, key: str, order: str, name: str = "again", usable: Column | None = None) -> DataFrame:
+    """``df`` (narrow rows) with a column: whether a row that comes before in ``order`` has the same key.
+
+    Rows without a usable key never repeat; rows of equal order are the same row.
+    """
+    return _mark(cut(df), key, order, name, usable)
+
+
+def _mark(rows: DataFrame, key: str, order: str, name: str, usable: Column | None = None) -> DataFrame:
+    usable = F.lit(True) if usable is None else F.coalesce(usable, F.lit(False))
+    groups = rows.where(usable).groupBy(F.col(key).alias("__key")).agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias("__n"))
+    # Keys that repeat are few; where they are not, a hot key's rows are split by AQE, as both sides are written tables.
+    firsts = cut(groups.where("__n > 1").select("__key", "__first", F.lit(0).cast("long").alias("__side")))
+    # Rows without a usable key meet no group, and are dealt out by their order.
+    side = F.when(usable, F.lit(0).cast("long")).otherwise(F.xxhash64(order).bitwiseOR(F.lit(1)))
+    joined = rows.withColumn("__of", side).join(firsts, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__of") == F.col("__side")), "left")
+    return joined.withColumn(name, F.coalesce(F.col(order) > F.col("__first"), F.lit(False))).drop("__key", "__first", "__side", "__of")
 
 
 def exact_and_url_reasons(df: DataFrame, digest_col: str, url_col: str, order: str) -> DataFrame:
     """A ``reason`` column: exact_document, else same_url, both over all rows; null for rows that stay."""
-    marked = df.withColumn("__exact", repeated(digest_col, order)).withColumn("__url", repeated(url_col, order, F.coalesce(F.col(url_col) != "", F.lit(False))))
+    marked = _mark(cut(df), digest_col, order, "__exact")
+    marked = _mark(marked, url_col, order, "__url", F.col(url_col) != "")
     reason = F.when(F.col("__exact"), "exact_document").when(F.col("__url"), "same_url")
     return marked.withColumn("reason", reason).drop("__exact", "__url")
 
@@ -100,41 +116,153 @@ def equal_components(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda z: z))
 
 
-def near_pairs(sketched: DataFrame, id_col: str, least: int = LEAST_EQUAL) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct sketches' first rows that agree on enough components.
+def shared_buckets(classes: DataFrame, id_col: str, most: int = BUCKET) -> DataFrame:
+    """(id, mask, value): buckets in which every two sketches meet that differ in at most four of 32 components.
+
+    Such sketches share at least four of the eight bands, and agree on all components of one of five residues of
+    their places.  So a bucket of more than ``most`` sketches is dealt again by one more band, up to four, and last by
+    the residues: what is left in one bucket agrees on 16 components and more.
+    """
+    # The low bits of a mask name bands; above them stands the residue of places, from one on, or zero.
+    chosen = F.expr(f"filter(sketch, (x, i) -> (shiftright(mask, cast(i div {ROWS} as int)) & 1) = 1 or shiftright(mask, {BANDS}) = i % 5 + 1)")
+
+    def valued(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("value", F.xxhash64(chosen))
+
+    rows = valued(classes.select(id_col, "sketch", F.explode(F.array(*(F.lit(1 << b) for b in range(BANDS)))).alias("mask")))
+    done: list[DataFrame] = []
+    for level in range(5):
+        counts = cut(rows.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+        rows = cut(rows.join(counts, ["mask", "value"]))
+        if level == 4 or rows.where(F.col("n") > most).isEmpty():
+            return reduce(DataFrame.unionByName, [*done, rows.drop("n")])
+        done.append(rows.where(F.col("n") <= most).drop("n"))
+        large = rows.where(F.col("n") > most).drop("n", "value")
+        if level < 3:
+            more = F.filter(F.array(*(F.lit(1 << b) for b in range(BANDS))), lambda m: F.col("mask").bitwiseAND(m) == 0)
+            deeper = F.transform(more, lambda m: F.col("mask").bitwiseOR(m))
+        else:
+            deeper = F.transform(F.sequence(F.lit(1), F.lit(5)), lambda g: F.col("mask") + g * (1 << BANDS))
+        rows = valued(large.select(id_col, "sketch", F.explode(deeper).alias("mask")).dropDuplicates([id_col, "mask"]))
+    raise AssertionError("the last level returns")
+
+
+def near_pairs(sketched: DataFrame, id_col: str, least: int = LEAST_EQUAL, most: int = BUCKET) -> DataFrame:
+    """Pairs (a, b), a < b, of distinct sketches' first rows that agree on enough components (28 of 32 or more).
 
     Rows with equal sketches are one class, stood for by its first row, so hot classes make no pairs.
     """
+    if least < LEAST_EQUAL:
+        raise ValueError(f"buckets hold every pair only from {LEAST_EQUAL} equal components on")
     classes = sketched.groupBy("sketch").agg(F.min(id_col).alias(id_col))
-    rows = band_rows(classes, id_col)
-    left, right = (rows.select(F.col(id_col).alias(x), "band", "key") for x in "ab")
-    pairs = left.join(right, ["band", "key"]).where("a < b").select("a", "b").distinct()
-    pairs = pairs.join(classes.select(F.col(id_col).alias("a"), F.col("sketch").alias("sa")), "a").join(classes.select(F.col(id_col).alias("b"), F.col("sketch").alias("sb")), "b")
-    return pairs.select("a", "b", equal_components(F.col("sa"), F.col("sb")).alias("equal")).where(F.col("equal") >= least)
+    rows = shared_buckets(classes, id_col, most)
+    left, right = (rows.select(F.col(id_col).alias(x), F.col("sketch").alias(f"s{x}"), "mask", "value") for x in "ab")
+    same = equal_components(F.col("sa"), F.col("sb"))
+    return left.join(right, ["mask", "value"]).where("a < b").select("a", "b", same.alias("equal")).where(F.col("equal") >= least).distinct()
 
 
-def keep_first(pairs: DataFrame, rounds: int = 100) -> DataFrame:
-    """(id, kept) of every row in a pair: kept unless an earlier kept row is its neighbour."""
+def keep_first(pairs: DataFrame, rounds: int = 12) -> DataFrame:
+    """(id, kept) of every row in a pair: kept unless an earlier kept row is its neighbour.
+
+    Rounds settle rows whose earlier neighbours are settled.  A chain gains a row a round; what is open after ``rounds``
+    is settled in order, one component of open rows a task at a time.
+    """
     pairs = cut(pairs.select("a", "b"))
     status = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("kept", F.lit(None).cast("boolean")))
     for _ in range(rounds):
         if status.where("kept is null").isEmpty():
             return status
-        before = pairs.join(status.withColumnRenamed("id", "a").withColumnRenamed("kept", "ka"), "a").groupBy(F.col("b").alias("id")).agg(
-            F.max(F.coalesce(F.col("ka"), F.lit(False))).alias("near_kept"), F.max(F.col("ka").isNull()).alias("open")
-        )
-        joined = status.join(before, "id", "left")
+        joined = status.join(_earlier(pairs, status), "id", "left")
         decided = F.when(F.coalesce("near_kept", F.lit(False)), False).when(~F.coalesce("open", F.lit(False)), True)
         status = cut(joined.select("id", F.coalesce("kept", decided).alias("kept")))
-    raise RuntimeError("rounds did not settle")
-
-
-def near_reasons(sketched: DataFrame, id_col: str) -> DataFrame:
-    """(id, near): true where an earlier kept row has an equal or near sketch."""
-    classes = sketched.groupBy("sketch").agg(F.min(id_col).alias("first"))
-    status = keep_first(near_pairs(sketched, id_col))
-    placed = sketched.join(classes, "sketch").join(status.withColumnRenamed("id", "first"), "first", "left")
-    return placed.select(id_col, ((F.col(id_col) != F.col("first")) | ~F.coalesce("kept", F.lit(True))).alias("near"))
+    return _in_order(pairs, status) if not status.where("kept is null").isEmpty() else status
+
+
+def _earlier(pairs: DataFrame, status: DataFrame) -> DataFrame:
+    """(id, near_kept, open): whether an earlier neighbour is kept, and whether one is open."""
+    known = status.withColumnRenamed("id", "a").withColumnRenamed("kept", "ka")
+    return pairs.join(known, "a").groupBy(F.col("b").alias("id")).agg(F.max(F.coalesce(F.col("ka"), F.lit(False))).alias("near_kept"), F.max(F.col("ka").isNull()).alias("open"))
+
+
+def _in_order(pairs: DataFrame, status: DataFrame) -> DataFrame:
+    """Settle open rows by walking each component's pairs in the order of their later row."""
+    ship(pairs.sparkSession)
+    open_rows = status.where("kept is null").select("id")
+    inner = pairs.join(open_rows.withColumnRenamed("id", "a"), "a", "left_semi").join(open_rows.withColumnRenamed("id", "b"), "b", "left_semi")
+    numbered = open_rows.withColumn("n", F.xxhash64("id"))
+    links = inner.join(numbered.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(numbered.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+    roots = connected(links.select(F.col("na").alias("u"), F.col("nb").alias("v")))
+    placed = numbered.join(roots.withColumnRenamed("u", "n"), "n", "left").select("id", F.coalesce("root", "n").alias("root"))
+    # A row that the last round left without an earlier open one may have a kept neighbour since.
+    before = _earlier(pairs, status).where("near_kept").select("id", "near_kept")
+    alone = placed.join(before, "id", "left").select("root", F.col("id").alias("b"), F.lit(None).cast(placed.schema["id"].dataType).alias("a"), F.coalesce("near_kept", F.lit(False)).alias("near"))
+    listed = inner.join(placed.withColumnRenamed("id", "b"), "b").select("root", "b", "a", F.lit(False).alias("near")).unionByName(alone)
+    texts = listed.select("root", "b", F.to_json(F.struct("b")).alias("kb"), F.when(F.col("a").isNotNull(), F.to_json(F.struct(F.col("a").alias("b")))).alias("ka"), "near")
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        root, kept, now, near = None, set(), None, False
+        out: list[tuple[str, bool]] = []
+        for batch in batches:
+            for r, kb, ka, settled in zip(batch["root"], batch["kb"], batch["ka"], batch["near"]):
+                if (r, kb) != now:
+                    if now is not None:
+                        out.append((now[1], not near))
+                        if not near:
+                            kept.add(now[1])
+                    if r != root:
+                        root, kept = r, set()
+                    now, near = (r, kb), False
+                near = near or settled or ka in kept
+            if len(out) > 4096:
+                yield pd.DataFrame(out, columns=["key", "kept"])
+                out = []
+        if now is not None:
+            out.append((now[1], not near))
+        if out:
+            yield pd.DataFrame(out, columns=["key", "kept"])
+
+    walked = texts.repartition("root").sortWithinPartitions("root", "b").select("root", "kb", "ka", "near").mapInPandas(walk, "key string, kept boolean")
+    settled = cut(walked).withColumnRenamed("kept", "late")
+    keyed = status.withColumn("key", F.to_json(F.struct(F.col("id").alias("b"))))
+    return cut(keyed.join(settled, "key", "left").select("id", F.coalesce("kept", "late").alias("kept")))
+
+
+def connected(links: DataFrame) -> DataFrame:
+    """(u, root) for every u that is not the least of its component, by alternating large and small stars."""
+    now = cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    while True:
+        # Settled: every u has one v, and no v is a u.
+        ends = now.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        loose = ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).agg(F.count(F.when((F.col("up") > 1) | (F.col("up") * F.col("down") > 0), 1)))
+        if not loose.first()[0]:
+            return now.withColumnRenamed("v", "root")
+        # Large star: every larger neighbour of u moves to the least of u and its neighbours.
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        # Small star: u and its smaller neighbours move to the least of them.
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        moved = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = cut(moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+
+
+def near_reasons(sketched: DataFrame, id_col: str, prior: DataFrame | None = None) -> DataFrame:
+    """(id, near): true where an earlier kept row has an equal or near sketch.
+
+    All rows of ``prior``, with the same columns, come before and are kept.
+    """
+    rows = sketched.select(F.struct(F.lit(1).alias("late"), F.col(id_col).alias("id")).alias("row"), "sketch")
+    if prior is not None:
+        rows = rows.unionByName(prior.select(F.struct(F.lit(0).alias("late"), F.col(id_col).alias("id")).alias("row"), "sketch"))
+    rows = cut(rows)
+    pairs = near_pairs(rows, "row")
+    if prior is not None:
+        # Prior rows are kept whatever lies near them: among themselves they make no pairs.
+        pairs = pairs.where("b.late = 1")
+    status = keep_first(pairs)
+    classes = rows.groupBy("sketch").agg(F.min("row").alias("first"))
+    placed = rows.where("row.late = 1").join(classes, "sketch").join(status.withColumnRenamed("id", "first"), "first", "left")
+    return placed.select(F.col("row.id").alias(id_col), ((F.col("row") != F.col("first")) | ~F.coalesce("kept", F.lit(True))).alias("near"))
 
 
 def with_prior(new: DataFrame, prior: DataFrame, order: list[str]) -> DataFrame:

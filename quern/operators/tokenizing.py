@@ -1,4 +1,4 @@
-"""Byte-level tokens as Arrow UDFs, and the distributed part of vocabulary training.
+"""Byte-level tokens as Arrow UDFs, and the counts of pre-tokens; no tokenizer is trained here.
 
 The default vocabulary is the 256 bytes behind the special ids, so nothing needs to be at hand; a
 tokenizer file of the ``tokenizers`` library may take its place.
@@ -53,39 +53,15 @@ def decode(df: DataFrame, ids_col: str, path: str | None = None) -> DataFrame:
     return df.withColumn("decoded", text(F.col(ids_col)))
 
 
-def pretoken_counts(df: DataFrame, text_col: str) -> DataFrame:
-    """White-space pre-tokens with their counts, partly summed before the shuffle."""
-    words = df.select(F.explode(F.split(normalize(F.col(text_col)), " ")).alias("word")).where("word <> ''")
+def pretoken_counts(df: DataFrame, text_col: str, digits: bool = False) -> DataFrame:
+    """White-space pre-tokens with their counts, partly summed before the shuffle; on request every digit stands alone."""
+    text = normalize(F.col(text_col))
+    if digits:
+        text = F.regexp_replace(text, r"(\p{Nd})", " $1 ")
+    words = df.select(F.explode(F.split(text, " ")).alias("word")).where("word <> ''")
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def train_merges(counts: DataFrame, merges: int, most_words: int = 100_000) -> list[tuple[bytes, bytes]]:
-    """Byte-pair merges of a vocabulary fitted on the most frequent words (a bounded, documented sample).
-
-    The counts are distributed; the merge loop runs on the driver over at most ``most_words`` words.
-    """
-    rows = counts.orderBy(F.col("n").desc(), "word").limit(most_words).collect()
-    words = [([bytes([b]) for b in r["word"].encode()], r["n"]) for r in rows]
-    made: list[tuple[bytes, bytes]] = []
-    for _ in range(merges):
-        pairs: dict[tuple[bytes, bytes], int] = {}
-        for parts, n in words:
-            for pair in zip(parts, parts[1:]):
-                pairs[pair] = pairs.get(pair, 0) + n
-        if not pairs:
-            break
-        best = max(pairs, key=lambda p: (pairs[p], p))
-        made.append(best)
-        joined = best[0] + best[1]
-        for parts, _ in words:
-            i = 0
-            while i < len(parts) - 1:
-                if (parts[i], parts[i + 1]) == best:
-                    parts[i : i + 2] = [joined]
-                i += 1
-    return made
-
-
 def bytes_per_token(df: DataFrame, text_col: str, path: str | None = None) -> DataFrame:
     counted = encode(df, text_col, path).select(F.octet_length(text_col).alias("b"), (F.size("ids") - 1).alias("k"))
     return counted.agg((F.sum("b") / F.sum("k")).alias("bytes_per_token"))

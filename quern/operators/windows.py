@@ -2,36 +2,48 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import let
+from quern.runtime import cut
 
 
-def before(value: str, by: list[str], order: list) -> Column:
-    """Sum of the value over the rows before this one."""
-    window = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum(value).over(window), F.lit(0))
-
-
-def upto(value: str, by: list[str], order: list) -> Column:
-    return F.sum(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+def sums_before(df: DataFrame, by: list[str], order: list[str], **sums: str) -> DataFrame:
+    """Columns (name=value) that sum a value over the rows before each row of its group; ``order`` is unique in a group.
 
-
-def exact_cut(df: DataFrame, value: str, by: list[str], order: list, target: int) -> DataFrame:
+    No task holds a group: rows are dealt to ranges of group and order, each range adds up what it holds, and a group
+    that began in earlier ranges gets their totals, which are one row a range at most.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(df.repartitionByRange(parts, *by, *order).withColumn("__part", F.spark_partition_id()))
+    totals = ranged.groupBy("__part", *by).agg(*(F.coalesce(F.sum(v), F.lit(0)).alias(f"__{n}") for n, v in sums.items()))
+    across = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    groups = [F.col(b).alias(f"__by_{b}") for b in by]
+    earlier = totals.select(F.col("__part").alias("__of"), *groups, *(F.sum(f"__{n}").over(across).alias(f"__{n}") for n in sums)).where(F.col(f"__{next(iter(sums))}").isNotNull())
+    same = reduce(lambda x, y: x & y, (F.col(b).eqNullSafe(F.col(f"__by_{b}")) for b in by), F.col("__part") == F.col("__of"))
+    inner = Window.partitionBy("__part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = ranged.join(F.broadcast(earlier), same, "left")
+    made = {n: F.coalesce(F.col(f"__{n}"), F.lit(0)) + F.coalesce(F.sum(v).over(inner), F.lit(0)) for n, v in sums.items()}
+    return joined.withColumns(made).drop("__part", "__of", *(f"__by_{b}" for b in by), *(f"__{n}" for n in sums))
+
+
+def exact_cut(df: DataFrame, value: str, by: list[str], order: list[str], target: int) -> DataFrame:
     """Rows up to the budget, the last one shortened to meet it: offset and taken."""
-    marked = df.withColumn("offset", before(value, by, order)).where(F.col("offset") < target)
+    marked = sums_before(df, by, order, offset=value).where(F.col("offset") < target)
     return marked.withColumn("taken", F.least(F.col(value), target - F.col("offset")))
 
 
-def whole_rows(df: DataFrame, value: str, by: list[str], order: list, target: int) -> DataFrame:
+def whole_rows(df: DataFrame, value: str, by: list[str], order: list[str], target: int) -> DataFrame:
     """Whole rows while the sum before them is under the budget; else surplus."""
-    marked = df.withColumn("offset", before(value, by, order))
+    marked = sums_before(df, by, order, offset=value)
     return marked.withColumn("reason", F.when(F.col("offset") >= target, "surplus_train"))
 
 
 def quota(df: DataFrame, by: list[str], order: list, most: int) -> DataFrame:
-    """The first rows of each group."""
+    """The first rows of each group; each task takes its own first ones (WindowGroupLimit) before the shuffle."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= most)
 
 

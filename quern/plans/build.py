@@ -2,7 +2,8 @@
 
 A build reads documents (id, source, url, title, text), rejects in a fixed order of reasons, places the rest
 by digest into panels or training, encodes them and writes an index, panels, token shards, a funnel and, last,
-a manifest.  A finished build of the same configuration is not repeated; another configuration in its place
+a manifest.  A source's ids are one sequence, cut into numbered shards of a fixed number of ids; the index gives
+each document's place in it.  A finished build of the same configuration is not repeated; another configuration in its place
 is an error.
 """
 
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import PANELS, blocked_host, canonical_url, digest, host, normalize, normalize_exact, panel_of, title_key
-from quern.operators import dedup, exclusion, filters, tokenizing
+from quern.operators import dedup, exclusion, filters, tokenizing, windows
 from quern.runtime import cut
 from quern.sources import sinks
 
@@ -31,7 +32,7 @@ class Config:
     near: bool = True
     exact_text: bool = False  # NFKC and full case folding in an Arrow UDF
     panel_quota: int = 100
-    shards: int = 8
+    shard_tokens: int = 1 << 26  # 128 MB of two-byte ids
     tokenizer: str | None = None
     panels: tuple[str, ...] = field(default=tuple(PANELS))
 
@@ -57,11 +58,18 @@ def contract(config: Config | dict) -> str:
     return hashlib.sha256(json.dumps(record, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
 
 
+def prior_sketches(prior: DataFrame | None) -> DataFrame | None:
+    """(pos, sketch) of a prior corpus that has its sketches or texts; none of one that has neither."""
+    if prior is None or not {"sketch", "text"} & set(prior.columns):
+        return None
+    return prior.select("pos", "sketch") if "sketch" in prior.columns else dedup.sketches(prior, "pos")
+
+
 def reasons(docs: DataFrame, index: DataFrame | None, titles: DataFrame | None, prior: DataFrame | None, config: Config) -> DataFrame:
     """Documents (pos, id, source, url, title, text) with a digest and the first reason against them.
 
     length, blocklist, benchmark, exact copy, same URL, near copy; null for those that stay.  Rows of the
-    prior corpus (digest, url) come before all others.
+    prior corpus (digest, url and, where near copies of it go too, pos and text or sketch) come before all others.
     """
     normal = normalize_exact if config.exact_text else normalize
     rows = docs.withColumn("digest", digest(normal(F.coalesce("text", F.lit(""))))).withColumn("page", canonical_url(F.col("url")))
@@ -89,7 +97,7 @@ def reasons(docs: DataFrame, index: DataFrame | None, titles: DataFrame | None,
     if not config.near:
         return merged
     open_rows = merged.where("reason IS NULL").select("pos").join(docs.select("pos", "text"), "pos")
-    near = cut(dedup.near_reasons(cut(dedup.sketches(open_rows, "pos")), "pos"))
+    near = cut(dedup.near_reasons(dedup.sketches(open_rows, "pos"), "pos", prior_sketches(prior)))
     marked = merged.join(near, "pos", "left")
     return marked.withColumn("reason", F.coalesce("reason", F.when(F.col("near"), "approximate_near_document"))).drop("near")
 
@@ -120,13 +128,13 @@ def build(
     encoded = tokenizing.encode(kept, "text", config.tokenizer).drop("text")
     rank = F.row_number().over(Window.partitionBy("source", "panel").orderBy("digest", "pos"))
     panels = encoded.where("panel IS NOT NULL").withColumn("rank", rank).where(F.col("rank") <= config.panel_quota).drop("rank")
-    train = encoded.where("panel IS NULL").withColumn("part", F.concat_ws("-", "source", F.pmod(F.xxhash64("digest"), F.lit(config.shards)).cast("string")))
-    before = F.coalesce(F.sum(F.size("ids")).over(Window.partitionBy("part").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    entries = train.select("pos", "id", "source", "url", "digest", "chars", "part", before.alias("offset"), F.size("ids").alias("length"))
+    train = cut(encoded.where("panel IS NULL"))
+    entries = train.select("pos", "id", "source", "url", "digest", "chars", F.size("ids").cast("long").alias("length"))
+    entries = windows.sums_before(entries, ["source"], ["pos"], offset="length").withColumn("number", F.floor(F.col("offset") / config.shard_tokens))
     tables = {
         "index": entries,
         "panels": panels.withColumnRenamed("ids", "tokens"),
-        "shards": sinks.shard_rows(train, "part", "pos", "ids"),
+        "shards": sinks.numbered_shards(train, "source", "pos", "ids", config.shard_tokens),
         "funnel": filters.funnel(placed, ["source"]),
     }
     sinks.publish_manifest(spark, tables, folder)

@@ -40,8 +40,8 @@ def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
         digest(normalize(F.col("text"))).alias("digest"),
         filters.first_reason((~filters.length_ok(F.col("text")), "length"), (F.col("hit"), "benchmark_exact")).alias("early"),
     )
-    again = dedup.repeated("digest", "doc_id", F.col("early").isNull())
-    return early.withColumn("reason", F.coalesce("early", F.when(again, "exact_document")))
+    marked = dedup.mark_repeated(early, "digest", "doc_id", usable=F.col("early").isNull())
+    return marked.withColumn("reason", F.coalesce("early", F.when(F.col("again"), "exact_document"))).drop("again")
 
 
 @query(
@@ -214,7 +214,7 @@ def prefer_origin(spark, sf_dir):
 @query("url_dups", f"SELECT page_id, row_number() OVER (PARTITION BY c ORDER BY page_id) > 1 AND c <> '' AS again FROM (SELECT page_id, {URL_SQL} AS c FROM pages)")
 def url_dups(spark, sf_dir):
     keyed = table(spark, sf_dir, "pages").select("page_id", canonical_url(F.col("url")).alias("c"))
-    return keyed.select("page_id", dedup.repeated("c", "page_id", F.col("c") != "").alias("again"))
+    return dedup.mark_repeated(keyed, "c", "page_id", usable=F.col("c") != "").select("page_id", "again")
 
 
 @query(
@@ -235,7 +235,7 @@ def dedup_reasons_exact_url(spark, sf_dir):
 @query("exact_dups", f"SELECT doc_id, row_number() OVER (PARTITION BY {normal('text')} ORDER BY doc_id) > 1 AS again FROM documents")
 def exact_dups(spark, sf_dir):
     keyed = table(spark, sf_dir, "documents").select("doc_id", digest(normalize(F.col("text"))).alias("digest"))
-    return keyed.select("doc_id", dedup.repeated("digest", "doc_id").alias("again"))
+    return dedup.mark_repeated(keyed, "digest", "doc_id").select("doc_id", "again")
 
 
 @query("exact_dup_groups", f"SELECT sha256({normal('text')}) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -262,7 +262,7 @@ def quota_then_dedup(spark, sf_dir):
     rows = rows.withColumn("b", digest_bucket(F.col("digest"), 100))
     rank = F.row_number().over(Window.partitionBy("source", "b").orderBy("doc_id"))
     kept = rows.withColumn("r", rank).where("b >= 9 OR r <= 1")
-    return kept.withColumn("again", dedup.repeated("digest", "doc_id")).where("NOT again").select("doc_id", "source")
+    return dedup.mark_repeated(kept, "digest", "doc_id").where("NOT again").select("doc_id", "source")
 
 
 @query("seen_anti_join", f"WITH d AS (SELECT doc_id, {normal('text')} AS k FROM documents) SELECT doc_id FROM d WHERE doc_id % 2 = 1 AND k NOT IN (SELECT k FROM d WHERE doc_id % 2 = 0)")
@@ -280,7 +280,7 @@ def seen_anti_join(spark, sf_dir):
 def prior_corpus_first(spark, sf_dir):
     keyed = table(spark, sf_dir, "documents").select("doc_id", digest(normalize(F.col("text"))).alias("digest"))
     both = dedup.with_prior(keyed.where("doc_id % 3 <> 0"), keyed.where("doc_id % 3 = 0"), ["doc_id"])
-    return both.select("doc_id", "prior", dedup.repeated("digest", "__order").alias("again"))
+    return dedup.mark_repeated(both, "digest", "__order").select("doc_id", "prior", "again")
 
 
 def _sketch_sql() -> str:

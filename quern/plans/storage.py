@@ -45,12 +45,14 @@ def labelled_text(spark, sf_dir):
     return spark.read.text(place).groupBy(F.substring_index("value", " ", 1).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("shard_roundtrip", r"SELECT source AS part, sum(least(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')), 100))::BIGINT AS tokens, count(*) AS documents FROM documents GROUP BY source")
+@query("shard_roundtrip", r"WITH d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))::BIGINT AS n FROM documents), o AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY doc_id) - n AS begins FROM d) SELECT source AS part, (begins // 4096)::BIGINT AS number, count(*) AS documents FROM o GROUP BY ALL")
 def shard_roundtrip(spark, sf_dir):
-    """uint16 shards of word lengths, a hundred words a document at most."""
-    ids = F.transform(F.slice(text.split_words(F.col("text")), 1, 100), lambda w: F.length(w))
+    """uint16 shards of word lengths of whole texts, 4,096 a shard, written and read back: where each document begins."""
+    place = _place(spark)
+    ids = F.transform(text.split_words(F.col("text")), lambda w: F.length(w))
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", ids.alias("ids"))
-    return sinks.shard_rows(rows, "source", "doc_id", "ids").select("part", (F.length("shard") / 2).cast("long").alias("tokens"), "documents")
+    sinks.numbered_shards(rows, "source", "doc_id", "ids", 4096).write.parquet(place)
+    return spark.read.parquet(place).where("documents > 0").select("part", "number", "documents")
 
 
 @query("shard_whole_texts", r"SELECT source AS part, sum(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')))::BIGINT AS tokens, count(*) AS documents FROM documents GROUP BY source")
@@ -132,6 +134,12 @@ def pretoken_counts(spark, sf_dir):
     return tokenizing.pretoken_counts(table(spark, sf_dir, "documents"), "text")
 
 
+@query("digit_pretokens", f"SELECT unnest(string_split(regexp_replace({normal('text')}, '(\\p{{Nd}})', ' \\1 ', 'g'), ' ')) AS word, count(*) AS n FROM documents GROUP BY 1 HAVING word <> ''")
+def digit_pretokens(spark, sf_dir):
+    """Pre-tokens in which every digit stands alone."""
+    return tokenizing.pretoken_counts(table(spark, sf_dir, "documents"), "text", digits=True)
+
+
 @query("encoded_documents")
 def encoded_documents(spark, sf_dir):
     encoded = tokenizing.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")

@@ -22,17 +22,17 @@ _BEFORE = "coalesce(sum(tokens) OVER (PARTITION BY source ORDER BY doc_id ROWS B
 @query("doc_offsets", f"WITH {_T} SELECT doc_id, source, {_BEFORE} AS \"offset\", tokens FROM t")
 def doc_offsets(spark, sf_dir):
     rows = tokens(spark, sf_dir)
-    return rows.select("doc_id", "source", windows.before("tokens", ["source"], ["doc_id"]).alias("offset"), "tokens")
+    return windows.sums_before(rows.select("doc_id", "source", "tokens"), ["source"], ["doc_id"], offset="tokens").select("doc_id", "source", "offset", "tokens")
 
 
 @query("budget_exact_cut", f"WITH {_T}, o AS (SELECT doc_id, source, tokens, {_BEFORE} AS b FROM t) SELECT doc_id, source, b AS \"offset\", least(tokens, 5000 - b) AS taken FROM o WHERE b < 5000")
 def budget_exact_cut(spark, sf_dir):
-    return windows.exact_cut(tokens(spark, sf_dir), "tokens", ["source"], ["doc_id"], 5000).select("doc_id", "source", "offset", "taken")
+    return windows.exact_cut(tokens(spark, sf_dir).select("doc_id", "source", "tokens"), "tokens", ["source"], ["doc_id"], 5000).select("doc_id", "source", "offset", "taken")
 
 
 @query("budget_whole_docs", f"WITH {_T} SELECT doc_id, source, CASE WHEN {_BEFORE} >= 5000 THEN 'surplus_train' END AS reason FROM t")
 def budget_whole_docs(spark, sf_dir):
-    return windows.whole_rows(tokens(spark, sf_dir), "tokens", ["source"], ["doc_id"], 5000).select("doc_id", "source", "reason")
+    return windows.whole_rows(tokens(spark, sf_dir).select("doc_id", "source", "tokens"), "tokens", ["source"], ["doc_id"], 5000).select("doc_id", "source", "reason")
 
 
 @query("panel_quota", "SELECT doc_id, source, lang, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id)::INT AS rank FROM documents QUALIFY rank <= 3")
@@ -54,11 +54,11 @@ def panel_by_digest(spark, sf_dir):
 )
 def early_stop(spark, sf_dir):
     """Collection of a source ends at the first row where its characters and its quota are both reached."""
-    rows = table(spark, sf_dir, "documents").withColumn("is_en", (F.col("lang") == "en").cast("long"))
-    marked = rows.select("doc_id", "source", windows.upto("n_chars", ["source"], ["doc_id"]).alias("chars"), windows.upto("is_en", ["source"], ["doc_id"]).alias("en"))
-    done = (F.col("chars") >= 20000) & (F.col("en") >= 3)
-    stop = F.min(F.when(done, F.col("doc_id"))).over(Window.partitionBy("source"))
-    return marked.withColumn("stop", stop).where("doc_id <= stop").groupBy("source", "stop").agg(F.count(F.lit(1)).alias("collected"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", (F.col("lang") == "en").cast("long").alias("is_en"))
+    marked = windows.sums_before(rows, ["source"], ["doc_id"], chars="n_chars", en="is_en")
+    done = (F.col("chars") + F.col("n_chars") >= 20000) & (F.col("en") + F.col("is_en") >= 3)
+    stops = marked.where(done).groupBy("source").agg(F.min("doc_id").alias("stop"))
+    return rows.join(stops, "source").where("doc_id <= stop").groupBy("source", "stop").agg(F.count(F.lit(1)).alias("collected"))
 
 
 @query("first_n_labelled", "SELECT doc_id, quality FROM labels WHERE quality IS NOT NULL QUALIFY row_number() OVER (PARTITION BY quality ORDER BY doc_id) <= 20")
@@ -120,8 +120,7 @@ def next_token_pairs_documents(spark, sf_dir):
 )
 def pack_positions(spark, sf_dir):
     """Concatenate-and-cut packing as position arithmetic."""
-    start = windows.before("tokens", ["source"], ["doc_id"])
-    rows = tokens(spark, sf_dir).withColumn("b", start)
+    rows = windows.sums_before(tokens(spark, sf_dir).select("doc_id", "source", "tokens"), ["source"], ["doc_id"], b="tokens")
     first, offset = windows.circular(F.col("b"), 512)
     last, _ = windows.circular(F.col("b") + F.greatest("tokens", F.lit(1)) - 1, 512)
     return rows.select("doc_id", "source", first.alias("first_sequence"), last.alias("last_sequence"), offset.alias("offset"))
@@ -200,7 +199,7 @@ def top_hosts_sorted(spark, sf_dir):
 )
 def head_by_chars(spark, sf_dir):
     """Rows of each source up to and with the one that crosses the budget of characters."""
-    rows = table(spark, sf_dir, "documents").withColumn("b", windows.before("n_chars", ["source"], ["doc_id"]))
+    rows = windows.sums_before(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), ["source"], ["doc_id"], b="n_chars")
     return rows.where("b < 30000").select("doc_id", "source")
 
 

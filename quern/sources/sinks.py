@@ -24,7 +24,8 @@ def write_labelled_text(df: DataFrame, path: str, label: str, text: str) -> None
 def shard_rows(df: DataFrame, part: str, order: str, tokens: str) -> DataFrame:
     """(part, shard bytes, tokens, documents): little-endian uint16 ids of each part in order.
 
-    A part is the unit of a shard file and is bounded by its writer; ids above 65,535 are an error.
+    For parts that are known to be small: one is gathered in one task and one cell.  ``numbered_shards`` has no such
+    bound.  Ids above 65,535 are an error.
     """
     ship(df.sparkSession)
 
@@ -110,14 +111,15 @@ def publish_json(spark: SparkSession, path: str, record: dict) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     beside = jvm.org.apache.hadoop.fs.Path(path + ".tmp")
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     out = fs.create(beside, True)
     out.write(bytearray(text.encode()))
     out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    if not fs.rename(beside, target):
-        raise OSError(f"could not publish {path}")
+    # One rename that takes the place of what is there: a reader finds the old record or the new one, never none.
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.rename(beside, target, options)
 
 
 def append_events(df: DataFrame, path: str) -> None:

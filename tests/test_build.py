@@ -5,7 +5,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from quern.operators import exclusion
+from quern.operators import dedup, exclusion
 from quern.plans.build import Config, build, contract, inherited
 
 
@@ -18,7 +18,7 @@ def test_inheritance():
 
 
 def test_contracts():
-    assert contract(Config()) == contract(Config()) != contract(Config(shards=9))
+    assert contract(Config()) == contract(Config()) != contract(Config(shard_tokens=9))
 
 
 def test_build(spark, tmp_path):
@@ -36,7 +36,7 @@ def test_build(spark, tmp_path):
     ]
     docs = spark.createDataFrame(rows, "pos long, source string, url string, text string").select("pos", F.col("pos").cast("string").alias("id"), "source", "url", F.lit("").alias("title"), "text")
     index = exclusion.index_grams(spark.createDataFrame([(bench,)], "t string"), F.col("t"))
-    config = Config(blocklist=("bad.com",), shards=2)
+    config = Config(blocklist=("bad.com",), shard_tokens=100)
     folder = str(tmp_path / "out")
     made = build(spark, docs, folder, config, index)
     funnel = {(r["source"], r["reason"]): r["n"] for r in made["funnel"].collect()}
@@ -44,9 +44,12 @@ def test_build(spark, tmp_path):
     assert funnel[("b", "domain_blocklist")] == funnel[("b", "benchmark_exact")] == funnel[("b", "approximate_near_document")] == 1
     kept = {r["pos"] for r in made["index"].collect()} | {r["pos"] for r in made["panels"].collect()}
     assert kept == {0, 7}
-    shards = {r["part"]: np.frombuffer(r["shard"], "<u2") for r in made["shards"].collect()}
+    parts = sorted((r["part"], r["number"], bytes(r["shard"])) for r in made["shards"].collect())
+    assert len(parts) > 4 and {len(s) for _, _, s in parts} >= {200}
+    shards = {p: np.frombuffer(b"".join(s for q, _, s in parts if q == p), "<u2") for p in {p for p, _, _ in parts}}
     for r in made["index"].collect():
-        ids = shards[r["part"]][r["offset"] : r["offset"] + r["length"]]
+        assert r["number"] == r["offset"] // 100
+        ids = shards[r["source"]][r["offset"] : r["offset"] + r["length"]]
         assert ids[-1] == 2 and bytes((ids[:-1] - 4).astype(np.uint8)).decode() == rows[r["pos"]][3]
     assert build(spark, docs.limit(0), folder, config)["funnel"].count() == made["funnel"].count()  # already there
     with pytest.raises(ValueError):
@@ -61,3 +64,16 @@ def test_prior_corpus(spark, tmp_path):
     prior = docs.select(digest(normalize(F.col("text"))).alias("digest"), "url")
     made = build(spark, docs, str(tmp_path / "p"), Config(), prior=prior)
     assert [(r["reason"], r["n"]) for r in made["funnel"].collect()] == [("exact_document", 1)]
+
+
+def test_near_copies_of_a_prior_corpus(spark, tmp_path):
+    """Near copies of prior texts go, whichever prior rows are near each other; the others stay."""
+    base = [f"w{i}" for i in range(300)]
+    near, other = [*base[:299], "changed"], [f"u{i}" for i in range(300)]
+    schema = "pos long, id string, source string, url string, title string, text string"
+    docs = spark.createDataFrame([(0, "0", "a", None, "", " ".join(near)), (1, "1", "a", None, "", " ".join(other)), (2, "2", "a", None, "", " ".join([*other[:299], "last"]))], schema)
+    prior = spark.createDataFrame([(0, "x", " ".join(base)), (1, "y", " ".join(["first", *base[1:]]))], "pos long, digest string, text string").withColumn("url", F.lit(None).cast("string"))
+    for kind, old in (("t", prior), ("s", dedup.sketches(prior, "pos").withColumn("digest", F.lit("x")).withColumn("url", F.lit(None).cast("string")))):
+        made = build(spark, docs, str(tmp_path / kind), Config(), prior=old)
+        assert sorted((r["reason"], r["n"]) for r in made["funnel"].collect()) == [("approximate_near_document", 2), ("kept", 1)]
+        assert {r["pos"] for r in made["index"].collect()} | {r["pos"] for r in made["panels"].collect()} == {1}

@@ -110,6 +110,56 @@ def test_sequential_oracle_on_real_rows(spark, sf):
             kept.append(s)
 
 
+def test_hot_keys_and_missing_urls(spark):
+    """Most rows hold one digest, none a URL: first wins, and rows without a URL never repeat."""
+    n = 20_000
+    docs = spark.range(n).select("id", F.when(F.col("id") % 10 < 9, "hot").otherwise(F.col("id").cast("string")).alias("d"), F.when(F.col("id") % 2 == 0, "").alias("u"))
+    got = dedup.exact_and_url_reasons(docs, "d", "u", "id").groupBy("reason").count()
+    assert {r["reason"]: r["count"] for r in got.collect()} == {"exact_document": n * 9 // 10 - 1, None: n // 10 + 1}
+    nulls = docs.withColumn("d", F.lit(None).cast("string"))
+    assert rows(dedup.mark_repeated(nulls, "d", "id").where("not again"), "id") == [(0,)]
+
+
+@pytest.mark.parametrize("most", [512, 20, 2])
+def test_hot_bands_lose_no_pair(spark, most):
+    """Sketches of one boilerplate fill the bands; buckets dealt again still hold every near pair."""
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    base, made = rng.integers(0, 2**32, 32), []
+    for i in range(300):
+        sketch, k = base.copy(), int(rng.integers(0, 12))
+        sketch[rng.choice(32, k, replace=False)] = rng.integers(0, 2**32, k)
+        made.append((i, sketch.tolist()))
+    got = rows(dedup.near_pairs(spark.createDataFrame(made, "id long, sketch array<long>"), "id", most=most), "a", "b", "equal")
+    firsts: dict = {}
+    for i, s in made:
+        firsts.setdefault(tuple(s), i)
+    ids = sorted(firsts.values())
+    want = [(a, b, sum(x == y for x, y in zip(made[a][1], made[b][1]))) for n, a in enumerate(ids) for b in ids[n + 1 :]]
+    assert got == sorted(p for p in want if p[2] >= 28)
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 5, 6])
+def test_long_chains_are_settled(spark, rounds):
+    """More links than there are rounds: the rest is walked in order, component by component."""
+    edges = [(i, i + 1) for i in range(300)] + [(1000, 1002), (1001, 1002)]
+    got = dict(rows(dedup.keep_first(spark.createDataFrame(edges, "a long, b long"), rounds=rounds), "id", "kept"))
+    assert all(got[i] == (i % 2 == 0) for i in range(301)) and (got[1000], got[1001], got[1002]) == (True, True, False)
+
+
+def test_sums_before_across_ranges(spark):
+    rng = random.Random(2)
+    data = [("hot" if rng.random() < 0.7 else f"s{rng.randrange(5)}" if rng.random() < 0.9 else None, i, rng.randrange(100)) for i in range(2000)]
+    df = spark.createDataFrame(data, "s string, i long, n long").repartition(5)
+    got = dict(rows(windows.sums_before(df, ["s"], ["i"], at="n", k="i"), "i", "at"))
+    seen: dict = {}
+    for s, i, n in data:
+        assert got[i] == seen.get(s, 0)
+        seen[s] = seen.get(s, 0) + n
+    assert windows.sums_before(df.limit(0), ["s"], ["i"], at="n").count() == 0
+
+
 def test_budgets(spark):
     docs = spark.createDataFrame([("a", i, 100) for i in range(5)], "s string, i long, n long")
     assert rows(windows.exact_cut(docs, "n", ["s"], ["i"], 256), "i", "taken") == [(0, 100), (1, 100), (2, 56)]
@@ -263,9 +313,10 @@ def test_reconciliation_and_checks(spark):
     assert rows(made, "check", "status") == [("low", "FAIL"), ("set", "PASS")]
 
 
-def test_merges(spark):
-    counts = tokenizing.pretoken_counts(spark.createDataFrame([("aaab aaab ab",)], "t string"), "t")
-    assert tokenizing.train_merges(counts, 2)[0] == (b"a", b"a")
+def test_pretokens_and_byte_tokens(spark):
+    df = spark.createDataFrame([("aaab aaab x12 2",)], "t string")
+    assert rows(tokenizing.pretoken_counts(df, "t"), "word", "n") == [("2", 1), ("aaab", 2), ("x12", 1)]
+    assert rows(tokenizing.pretoken_counts(df, "t", digits=True), "word", "n") == [("1", 1), ("2", 2), ("aaab", 2), ("x", 1)]
     df = spark.createDataFrame([("héllo",)], "t string")
     assert tokenizing.decode(tokenizing.encode(df, "t"), "ids").first()["decoded"] == "héllo"
     assert tokenizing.bytes_per_token(df, "t").first()["bytes_per_token"] == 1.0
