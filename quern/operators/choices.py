@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +33,45 @@ def hellaswag_example(df: DataFrame) -> DataFrame:
     return _example(made, F.col("ctx"), F.col("endings"))
 
 
+def openbook_example(df: DataFrame) -> DataFrame:
+    """As arc_example, with the question in question_stem."""
+    return arc_example(df.withColumn("question", F.col("question_stem")))
+
+
+def sciq_example(df: DataFrame) -> DataFrame:
+    """Three distractors and the answer last; a supporting passage, where there is one, stands above the question."""
+    support = F.regexp_replace(F.coalesce("support", F.lit("")), r"^\s+|\s+$", "")
+    context = F.when(F.coalesce("support", F.lit("")) != "", F.concat(support, F.lit("\n"), F.col("question"))).otherwise(F.col("question"))
+    made = df.withColumn("label", F.lit(3)).withColumn("answer", F.col("correct_answer"))
+    return _example(made, context, F.array("distractor1", "distractor2", "distractor3", "correct_answer"))
+
+
+def social_example(df: DataFrame) -> DataFrame:
+    label = F.when(F.col("label").cast("string").isin("1", "2", "3"), F.col("label").cast("int") - 1)
+    options = F.array("answerA", "answerB", "answerC")
+    made = df.withColumn("answer", F.try_element_at(options, label + 1)).withColumn("label", label)
+    return _example(made, F.concat_ws(" ", "context", "question"), options)
+
+
+#: Formatters by the names of the nine sets.
+FORMATTERS = {
+    "arc_easy": arc_example,
+    "arc_challenge": arc_example,
+    "commonsense_qa": arc_example,
+    "openbookqa": openbook_example,
+    "piqa": lambda df: piqa_example(df),
+    "hellaswag": lambda df: hellaswag_example(df),
+    "winogrande": lambda df: winogrande_example(df),
+    "sciq": sciq_example,
+    "social_i_qa": social_example,
+}
+
+
+def examples(sets: dict[str, DataFrame]) -> DataFrame:
+    """(task, context, answer, choices, label, text) of all sets by their formatters; an unknown name is an error."""
+    return reduce(DataFrame.unionByName, [FORMATTERS[name](df).select(F.lit(name).alias("task"), "context", "answer", "choices", F.col("label").cast("int").alias("label"), "text") for name, df in sets.items()])
+
+
 def winogrande_example(df: DataFrame) -> DataFrame:
     label = F.when(F.col("answer").cast("string").isin("1", "2"), F.col("answer").cast("int") - 1)
     chosen = F.when(label == 0, F.col("option1")).when(label == 1, F.col("option2"))
@@ -106,5 +146,37 @@ def choice_loss(scores: DataFrame) -> DataFrame:
     )
 
 
+def gold_loss(tokens: DataFrame, scope: str = "sequence") -> DataFrame:
+    """Mean loss over the gold rows' tokens: (task, item, idx, label, in_continuation, logp), one row a token.
+
+    ``sequence`` counts all tokens of the gold choice, ``continuation`` those of its answer alone.
+    """
+    if scope not in ("sequence", "continuation"):
+        raise ValueError(f"no scope {scope}")
+    gold = tokens.where(F.col("idx") == F.col("label"))
+    own = gold if scope == "sequence" else gold.where("in_continuation")
+    return own.groupBy("task").agg((-F.sum("logp") / F.count(F.lit(1))).alias("loss"), F.count(F.lit(1)).alias("tokens"))
+
+
+def replay_loss(loss: Column, replayed: Column, weight: float) -> Column:
+    """A task loss with a share of the loss on replayed text."""
+    return (1 - weight) * loss + weight * replayed
+
+
+def verified_requests(recorded: DataFrame, made: DataFrame, keys: list[str]) -> DataFrame:
+    """Two recordings (keys, context, continuation, score) joined by their keys: requests, mismatches, gaps and the worst difference by task."""
+    a = recorded.select(*keys, *(F.col(c).alias(f"__a_{c}") for c in ("context", "continuation", "score")), F.lit(True).alias("__a"))
+    b = made.select(*keys, *(F.col(c).alias(f"__b_{c}") for c in ("context", "continuation", "score")), F.lit(True).alias("__b"))
+    joined = a.join(b, keys, "full")
+    gap = F.col("__a").isNull() | F.col("__b").isNull()
+    same = F.col("__a_context").eqNullSafe(F.col("__b_context")) & F.col("__a_continuation").eqNullSafe(F.col("__b_continuation"))
+    return joined.groupBy("task").agg(
+        F.count(F.lit(1)).alias("requests"),
+        F.count(F.when(~gap & ~same, 1)).alias("mismatches"),
+        F.count(F.when(gap, 1)).alias("gaps"),
+        F.max(F.abs(F.col("__a_score") - F.col("__b_score"))).alias("worst"),
+    )
+
+
 def log_ratio(count: Column) -> Column:
     return F.log(count) / math.log(2)

@@ -38,12 +38,12 @@ def go(proxy: Column, baseline: Column) -> Column:
 
 
 def consistent(nll_sum: Column, count: Column, nll: Column, ppl: Column) -> Column:
-    """nll is the quotient of its parts and the log of the perplexity, within 1e-9."""
+    """nll is the quotient of its parts and the log of the perplexity, within 1e-9; no count and nulls are not."""
 
     def close(a: Column, b: Column) -> Column:
         return F.abs(a - b) <= 1e-9 * F.greatest(F.abs(a), F.abs(b))
 
-    return F.coalesce((count > 0) & close(nll, nll_sum / count) & close(F.log(ppl), nll), F.lit(False))
+    return F.coalesce((count > 0) & close(nll, F.try_divide(nll_sum, count)) & close(F.log(ppl), nll), F.lit(False))
 
 
 def checklist(rows: DataFrame, *checks: tuple[str, Column]) -> DataFrame:
@@ -106,3 +106,58 @@ def first_crossing(rows: DataFrame, by: list[str], order: str, value: str, miles
     marks = F.array(*map(F.lit, milestones))
     passed = F.array_max(F.filter(marks, lambda m: (F.col("__upto") - F.col(value) < m) & (m <= F.col("__upto"))))
     return rows.withColumn("__upto", upto).withColumn("milestone", passed).where("milestone IS NOT NULL").drop("__upto")
+
+
+def gate(results: DataFrame, weights: DataFrame, panel: str = "selection") -> DataFrame:
+    """(run, status) of selection records (run, panel, official_used, hash) against the weights (run, hash) at hand.
+
+    A record passes that rests on the reserved panel, used no official scores, names weights that are there, and these are unchanged.
+    """
+    joined = results.join(weights.select("run", F.col("hash").alias("__now")), "run", "left")
+    status = (
+        F.when(~F.col("panel").eqNullSafe(F.lit(panel)), "other_panel")
+        .when(F.coalesce("official_used", F.lit(True)), "official_scores_used")
+        .when(F.col("__now").isNull(), "not_listed")
+        .when(F.col("__now") != F.col("hash"), "weights_changed")
+        .otherwise("accepted")
+    )
+    return joined.select("run", status.alias("status"))
+
+
+def expanded(selected: DataFrame, members: DataFrame, recipes: DataFrame) -> DataFrame:
+    """(run, config, arm, epoch) of selected runs; a soup (members: soup, run) stands for its members; a run without a recipe is an error."""
+    parts = selected.select(F.col("run").alias("selected")).join(members.select("soup", F.col("run").alias("part")), F.col("selected") == F.col("soup"), "left")
+    runs = parts.select("selected", F.coalesce("part", "selected").alias("part"))
+    found = runs.join(recipes.withColumnRenamed("run", "part"), "part", "left")
+    known = F.when(F.col("config").isNotNull(), F.col("config")).otherwise(F.raise_error(F.concat(F.lit("no recipe recorded for "), F.col("part"))).cast("string"))
+    return found.select(F.col("selected").alias("run"), known.alias("config"), "arm", "epoch")
+
+
+def final_choice(candidate: Column, fallback: Column, guard: Column) -> Column:
+    """The candidate where its guard holds, else the fallback; an unknown guard counts as failed."""
+    return F.when(F.coalesce(guard, F.lit(False)), F.coalesce(candidate, fallback)).otherwise(fallback)
+
+
+def decay_plans(events: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Plans (step, start, steps) of each run in order, with ``fault``: starts_in_the_past, no_steps, already_decaying; null where accepted.
+
+    A plan may not start before the step at which it is read, and none may follow once the accepted one has begun.
+    An equal plan read again is no change.  Rejected plans leave the accepted one as it is.
+    """
+    window = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    past = (F.col("start") < F.col("step")) | (F.col("steps") < 1)
+    # Every plan accepted so far starts at or after its own step; the first that begins before a later read closes the run.
+    seen = events.withColumn("__good", F.when(~past, F.struct("step", "start", "steps")))
+    rows = seen.withColumn("__before", F.collect_list("__good").over(window))
+    # A fold over the few earlier plans of the run: the accepted one changes only while it has not begun.
+    start = F.lit(None).cast("struct<step:bigint,start:bigint,steps:bigint>")
+    fold = F.aggregate("__before", start, lambda kept, x: F.when(kept.isNull() | (x["step"] <= kept["start"]), x).otherwise(kept))
+    rows = rows.withColumn("__kept", fold)
+    same = F.coalesce((F.col("__kept.start") == F.col("start")) & (F.col("__kept.steps") == F.col("steps")), F.lit(False))
+    fault = (
+        F.when(same, F.lit(None))
+        .when(F.coalesce(F.col("step") > F.col("__kept.start"), F.lit(False)), "already_decaying")
+        .when(F.col("start") < F.col("step"), "starts_in_the_past")
+        .when(F.col("steps") < 1, "no_steps")
+    )
+    return rows.withColumn("fault", fault).drop("__good", "__before", "__kept")

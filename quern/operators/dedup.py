@@ -265,6 +265,16 @@ def near_reasons(sketched: DataFrame, id_col: str, prior: DataFrame | None = Non
     return placed.select(F.col("row.id").alias(id_col), ((F.col("row") != F.col("first")) | ~F.coalesce("kept", F.lit(True))).alias("near"))
 
 
+def near_any(sketched: DataFrame, prior: DataFrame, id_col: str) -> DataFrame:
+    """(id, near): whether a row's sketch is equal or near to one of the prior rows'."""
+    both = cut(sketched.select(id_col, "sketch", F.lit(1).alias("late")).unionByName(prior.select(id_col, "sketch", F.lit(0).alias("late"))))
+    classes = cut(both.groupBy("sketch").agg(F.min("late").alias("late"), F.min(F.struct("late", id_col)).alias("row")))
+    pairs = near_pairs(classes.select("sketch", "row"), "row")
+    found = pairs.where("a.late = 0").select(F.col("b").alias("row")).distinct().withColumn("found", F.lit(True))
+    placed = classes.join(found, "row", "left").select("sketch", ((F.col("late") == 0) | F.coalesce("found", F.lit(False))).alias("near"))
+    return both.where("late = 1").join(placed, "sketch").select(id_col, "near")
+
+
 def with_prior(new: DataFrame, prior: DataFrame, order: list[str]) -> DataFrame:
     """Prior rows first, so that they win; the ``prior`` flag tells them apart."""
     return reduce(DataFrame.unionByName, [prior.withColumn("prior", F.lit(0)), new.withColumn("prior", F.lit(1))]).withColumn(

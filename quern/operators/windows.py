@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -42,6 +44,14 @@ def whole_rows(df: DataFrame, value: str, by: list[str], order: list[str], targe
     return marked.withColumn("reason", F.when(F.col("offset") >= target, "surplus_train"))
 
 
+def head_by(df: DataFrame, value: str, by: list[str], order: list[str], target: int) -> DataFrame:
+    """Rows of each group up to and with the one that reaches the target; a group that never reaches it is an error."""
+    short = df.groupBy(*by).agg(F.sum(value).alias("__sum")).where(F.coalesce("__sum", F.lit(0)) < target).limit(1).collect()
+    if short:
+        raise ValueError(f"{tuple(short[0])[:-1]} holds {short[0]['__sum']} of {target}")
+    return sums_before(df, by, order, __at=value).where(F.col("__at") < target).drop("__at")
+
+
 def quota(df: DataFrame, by: list[str], order: list, most: int) -> DataFrame:
     """The first rows of each group; each task takes its own first ones (WindowGroupLimit) before the shuffle."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= most)
@@ -102,3 +112,24 @@ def shifted_pairs(tokens: Column) -> Column:
 def circular(position: Column, total: int) -> tuple[Column, Column]:
     """(cycle, cursor) of a position in an endlessly repeated sequence."""
     return F.floor(position / total).cast("long"), F.pmod(position, F.lit(total)).cast("long")
+
+
+def stream_signature(shards: list[tuple[str, int]]) -> str:
+    """Digest of the files and lengths that a stream of tokens runs over."""
+    return hashlib.sha256(json.dumps([[name, n] for name, n in shards]).encode()).hexdigest()
+
+
+def stream_state(shards: list[tuple[str, int]], consumed: int) -> dict:
+    """State of a circular stream after so many tokens."""
+    total = sum(n for _, n in shards)
+    return {"signature": stream_signature(shards), "cycles": consumed // total, "cursor": consumed % total, "consumed": consumed}
+
+
+def resumed(state: dict, shards: list[tuple[str, int]]) -> int:
+    """Tokens consumed by a saved state; another set of shards or figures that disagree are errors."""
+    total = sum(n for _, n in shards)
+    if state["signature"] != stream_signature(shards):
+        raise ValueError("the stream's shards are not those of the saved state")
+    if not 0 <= state["cursor"] < total or state["cycles"] * total + state["cursor"] != state["consumed"]:
+        raise ValueError("the saved state disagrees with itself")
+    return state["consumed"]

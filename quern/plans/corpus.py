@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import blocked_host, canonical_url, digest, host, normalize, split_of, title_key, words as word_list
 from quern.functions.text import grams as gram_list
-from quern.operators import dedup, exclusion, filters
+from quern.operators import dedup, exclusion, filters, windows
 from quern.operators.decisions import symmetric_difference
 from quern.plans.base import grams_of, normal, query, table, words
+from quern.runtime import cut
 
 BLOCKED = ["example.org", "ththble.example.net"]
 
@@ -318,16 +319,89 @@ def lsh_candidates(spark, sf_dir):
 
 @query("near_pairs", f"WITH {_PAIRS_SQL} SELECT a, b, equal FROM e WHERE equal >= 28")
 def near_pairs(spark, sf_dir):
-    from quern.runtime import cut
-
     return dedup.near_pairs(cut(dedup.sketches(table(spark, sf_dir, "documents"), "doc_id")), "doc_id")
 
 
 @query("near_kept")
 def near_kept(spark, sf_dir):
-    from quern.runtime import cut
+    return dedup.near_reasons(dedup.sketches(table(spark, sf_dir, "documents"), "doc_id"), "doc_id")
+
+
+_PRIOR_SQL = f"""{_sketch_sql()}, c AS (SELECT doc_id, sketch FROM k), {_BANDS_SQL},
+    p AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM c2 x JOIN c2 y USING (band, key) WHERE x.doc_id % 2 = 1 AND y.doc_id % 2 = 0),
+    e AS (SELECT DISTINCT a FROM p JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = p.b WHERE len(list_filter(list_zip(x.sketch, y.sketch), lambda z: z[1] = z[2])) >= 28)"""
+
+
+@query("near_prior", f"WITH {_PRIOR_SQL} SELECT doc_id, doc_id IN (SELECT a FROM e) AS near_prior FROM documents WHERE doc_id % 2 = 1")
+def near_prior(spark, sf_dir):
+    """Documents of odd ids that are a copy or a near copy of one of even id, the prior corpus."""
+    sketched = dedup.sketches(table(spark, sf_dir, "documents"), "doc_id")
+    return dedup.near_any(sketched.where("doc_id % 2 = 1"), sketched.where("doc_id % 2 = 0"), "doc_id").select("doc_id", F.col("near").alias("near_prior"))
+
+
+@query("near_prior_kept")
+def near_prior_kept(spark, sf_dir):
+    """First wins among documents of odd ids behind a prior corpus of even ids, which all stay."""
+    sketched = dedup.sketches(table(spark, sf_dir, "documents"), "doc_id")
+    return dedup.near_reasons(sketched.where("doc_id % 2 = 1"), "doc_id", sketched.where("doc_id % 2 = 0"))
 
-    return dedup.near_reasons(cut(dedup.sketches(table(spark, sf_dir, "documents"), "doc_id")), "doc_id")
+
+def _cascade_rows(spark, sf_dir):
+    """Documents with every reason that a cascade may name: URLs are the sources with the id's hundreds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    index = exclusion.index_grams(table(spark, sf_dir, "benchmark"), F.col("text"))
+    hit = exclusion.contaminated(docs, "doc_id", index).withColumn("hit", F.lit(True))
+    rows = docs.join(hit, "doc_id", "left").select(
+        "doc_id",
+        "source",
+        digest(normalize(F.col("text"))).alias("digest"),
+        F.concat(F.lit("https://"), "source", F.lit("/"), F.floor(F.col("doc_id") / 100)).alias("u"),
+        (~filters.length_ok(F.col("text"))).alias("short"),
+        F.coalesce("hit", F.lit(False)).alias("hit"),
+        (F.col("lang") == "es").alias("preferred"),
+        F.col("source").isin("src0", "src1").alias("blocked"),
+    )
+    return rows
+
+
+_ORDERS_SQL = f"""{_CASCADE_SQL},
+    f AS (SELECT d.doc_id, d.source, sha256({normal('d.text')}) AS digest, 'https://' || d.source || '/' || d.doc_id // 100 AS u, NOT length(d.text) BETWEEN 240 AND 200000 AS short, d.doc_id IN (SELECT doc_id FROM hit) AS hit, d.lang = 'es' AS preferred, d.source IN ('src0', 'src1') AS blocked FROM documents d)"""
+
+
+@query(
+    "cascade_first_corpus",
+    f"""WITH {_ORDERS_SQL}, e AS (SELECT *, CASE WHEN short THEN 'length' WHEN hit THEN 'benchmark_exact' END AS early FROM f),
+    q AS (SELECT *, CASE WHEN early IS NULL AND row_number() OVER (PARTITION BY source, early IS NULL ORDER BY doc_id) > 30 THEN 'quota' ELSE early END AS early2 FROM e)
+    SELECT doc_id, CASE WHEN early2 IS NOT NULL THEN early2 WHEN row_number() OVER (PARTITION BY digest, early2 IS NULL ORDER BY doc_id) > 1 THEN 'exact_document' END AS reason FROM q""",
+)
+def cascade_first_corpus(spark, sf_dir):
+    """The order length, benchmark, quota (30 documents a source), exact copy."""
+    rows = _cascade_rows(spark, sf_dir).withColumn("early", filters.first_reason((F.col("short"), "length"), (F.col("hit"), "benchmark_exact"))).withColumn("one", F.col("early").isNull().cast("long"))
+    placed = windows.sums_before(rows.select("doc_id", "source", "digest", "early", "one"), ["source"], ["doc_id"], before="one")
+    placed = placed.withColumn("early", F.coalesce("early", F.when(F.col("before") >= 30, "quota")))
+    marked = dedup.mark_repeated(placed.select("doc_id", "digest", "early"), "digest", "doc_id", usable=F.col("early").isNull())
+    return marked.select("doc_id", F.coalesce("early", F.when(F.col("again"), "exact_document")).alias("reason"))
+
+
+@query(
+    "cascade_extension",
+    f"""WITH {_ORDERS_SQL}, e AS (SELECT *, CASE WHEN short THEN 'length' WHEN hit THEN 'benchmark_exact' WHEN preferred THEN 'prefer_origin' END AS early FROM f)
+    SELECT doc_id, CASE WHEN early IS NOT NULL THEN early WHEN row_number() OVER (PARTITION BY digest, early IS NULL ORDER BY doc_id) > 1 THEN 'exact_document'
+    WHEN row_number() OVER (PARTITION BY u, early IS NULL ORDER BY doc_id) > 1 THEN 'same_url' END AS reason FROM e""",
+)
+def cascade_extension(spark, sf_dir):
+    """The order length, benchmark, preferred origin, exact copy, URL, before near copies and surplus."""
+    rows = _cascade_rows(spark, sf_dir)
+    early = filters.first_reason((F.col("short"), "length"), (F.col("hit"), "benchmark_exact"), (F.col("preferred"), "prefer_origin"))
+    staged_rows = cut(rows.select("doc_id", "digest", "u", early.alias("early")))
+    late = dedup.exact_and_url_reasons(staged_rows.where("early IS NULL"), "digest", "u", "doc_id").select("doc_id", F.col("reason").alias("late"))
+    return staged_rows.join(late, "doc_id", "left").select("doc_id", F.coalesce("early", "late").alias("reason"))
+
+
+@query("cascade_reused", "SELECT doc_id, CASE WHEN source IN ('src0', 'src1') THEN 'domain_blocklist' END AS reason FROM documents")
+def cascade_reused(spark, sf_dir):
+    """Rows of an earlier corpus meet the blocklist alone; two sources stand for blocked domains."""
+    return table(spark, sf_dir, "documents").select("doc_id", filters.first_reason((F.col("source").isin("src0", "src1"), "domain_blocklist")).alias("reason"))
 
 
 @query("minhash_exact")

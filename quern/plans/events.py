@@ -101,6 +101,29 @@ def stream_dedup(spark, sf_dir):
     return spark.read.schema("digest string").parquet(f"{place}/out/batch=*")
 
 
+@query("stream_near_dedup")
+def stream_near_dedup(spark, sf_dir):
+    """Documents in three files; two are there at the first start and one at the second.
+
+    Repeats of digest and section of URL and near copies of earlier batches go; tests hold it against first wins row by row.
+    """
+    place = _place(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("https://"), "source", F.lit("/"), F.floor(F.col("doc_id") / 400))).alias("url"))
+    for third in range(3):
+        docs.where(F.col("doc_id") % 3 == third).repartition(1).write.mode("append").parquet(f"{place}/in")
+        if third:
+            stream = incremental.file_stream(spark, f"{place}/in", docs.schema, files=1)
+            incremental.run_available(stream, incremental.deduplicated(place), f"{place}/checkpoint")
+    return spark.read.schema("doc_id long, digest string").parquet(f"{place}/out/batch=*").select("doc_id")
+
+
+@query("decay_plans")
+def decay_plans(spark, sf_dir):
+    """Events stand for plans that a run reads: which are refused, and why; tests hold it against a fold in plain Python."""
+    rows = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("step"), (F.col("event_id") + F.round(F.col("value")).cast("long") % 997 - 50).alias("start"), (F.col("event_id") % 7).alias("steps"))
+    return decisions.decay_plans(rows, ["user_id"], "step")
+
+
 @query("stream_latest_status", "SELECT user_id, count(*) AS events, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
 def stream_latest_status(spark, sf_dir):
     place, source = _place(spark), table(spark, sf_dir, "events")

@@ -5,7 +5,9 @@ Where a query needs a model's output, a deterministic figure from the tables sta
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import numeric, text
@@ -136,10 +138,20 @@ def bytes_per_token(spark, sf_dir):
     return docs.groupBy("lang").agg(by_word.alias("by_word"), by_char.alias("by_char"), (by_word / by_char - 1).alias("gain"))
 
 
-@query("tokenizer_adoption", "SELECT 'v16384' AS chosen")
+@query(
+    "tokenizer_adoption",
+    """WITH v AS (SELECT s_name AS name, s_suppkey AS vocab, 4 + s_acctbal / 20000 AS mixture, 4 + s_nationkey / 50.0 AS benchmark FROM supplier),
+    g AS (SELECT unnest([0.0, 0.02, 0.05, 5.0])::DOUBLE AS gain),
+    c AS (SELECT g.gain, v.* FROM g, v, v AS o WHERE o.vocab = 0 AND v.vocab > 0 AND least(v.mixture / o.mixture - 1, v.benchmark / o.benchmark - 1) >= g.gain),
+    l AS (SELECT gain, list({'name': name, 'mixture': mixture} ORDER BY vocab) AS l FROM c GROUP BY gain)
+    SELECT g.gain, coalesce(list_reduce(l, lambda s, x: CASE WHEN x.mixture / s.mixture - 1 >= g.gain THEN x ELSE s END).name, (SELECT name FROM v WHERE vocab = 0)) AS chosen FROM g LEFT JOIN l USING (gain)""",
+)
 def tokenizer_adoption(spark, sf_dir):
-    rows = [("v1", 16384, 4.005, 4.047), ("v16384", 16384, 4.105, 4.184), ("v20480", 20480, 4.15, 4.289)]
-    return decisions.adoption(spark.createDataFrame(rows, "name string, vocab int, mixture double, benchmark double"), "v1", 0.02)
+    """Suppliers stand for vocabularies, the first for the one in use; the rule under four gains that it may ask for."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("vocab"), (4 + F.col("s_acctbal") / 20000).alias("mixture"), (4 + F.col("s_nationkey") / 50.0).alias("benchmark"))
+    base = rows.where("vocab = 0").first()["name"]
+    chosen = [decisions.adoption(rows, base, gain).select(F.lit(gain).alias("gain"), "chosen") for gain in (0.0, 0.02, 0.05, 5.0)]
+    return reduce(DataFrame.unionByName, chosen)
 
 
 @query("mixture_weights", "SELECT name, CASE WHEN name IN ('edu', 'dclm') THEN share + 0.2 / 2 ELSE share END AS share FROM (VALUES ('edu', 0.3), ('dclm', 0.3), ('wiki', 0.2)) v(name, share)")
@@ -241,18 +253,116 @@ def question_formatting(spark, sf_dir):
     return pairs.select("conv_id", "turn", "p.context", "p.continuation")
 
 
-@query("boundary_pairs", r"SELECT item_id, trim(text, ' ') AS context, '  x' AS continuation FROM benchmark")
+def _cleaned(x: str) -> str:
+    return rf"replace(regexp_replace(replace(trim({x}, ' ' || chr(10)), ' [title]', '. '), '\[.*?\]', '', 'g'), '  ', ' ')"
+
+
+@query(
+    "activity_formatting",
+    f"""SELECT conv_id, turn, {_cleaned("role || ': ' || text || ' ' || upper('m') || lower('X [note] ' || role)")} AS context, ' ' || {_cleaned("text || ' [title] a'")} AS continuation FROM conversations""",
+)
+def activity_formatting(spark, sf_dir):
+    """An activity, two parts of a context and an ending, with notes and titles cleaned."""
+    ctx_b = F.concat(F.lit("mX [note] "), F.col("role"))
+    pairs = choices.activity_pairs(F.col("role"), F.col("text"), ctx_b, F.array(F.concat("text", F.lit(" [title] a"))))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(pairs).alias("p")).select("conv_id", "turn", "p.context", "p.continuation")
+
+
+@query(
+    "blank_formatting",
+    "SELECT item_id, unnest([substr(text, 1, 20) || 'Ann', substr(text, 1, 20) || 'Bob']) AS context, ' ' || trim(substr(text, 21)) AS continuation FROM benchmark",
+)
+def blank_formatting(spark, sf_dir):
+    """A blank behind twenty characters, filled by either name; what follows is scored."""
+    sentence = F.concat(F.substring("text", 1, 20), F.lit("_"), F.expr("substr(text, 21)"))
+    pairs = choices.blank_pairs(sentence, F.array(F.lit("Ann"), F.lit("Bob")))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.explode(pairs).alias("p")).select("item_id", "p.context", "p.continuation")
+
+
+_KEYS = "['A', 'B', 'C', 'D']"
+_EXAMPLES = f"""WITH w AS (SELECT item_id AS i, text AS t, string_split(text, ' ') AS w FROM benchmark),
+    a AS (SELECT unnest(['arc_easy', 'arc_challenge', 'commonsense_qa']) AS task, i, t, w, i % 4 AS k FROM w UNION ALL SELECT 'openbookqa', i, t, w, (i + 1) % 4 FROM w),
+    e AS (SELECT task, t AS context, w[k + 1] AS answer, k AS label, 3 AS n FROM a WHERE k < 3
+    UNION ALL SELECT 'piqa', t, w[i % 3 + 1], i % 3, 2 FROM w WHERE i % 3 < 2
+    UNION ALL SELECT 'hellaswag', t, w[i % 4 + 1], i % 4, 4 FROM w WHERE i % 5 <> 0
+    UNION ALL SELECT 'sciq', CASE WHEN i % 2 = 1 THEN w[4] || chr(10) || t ELSE t END, w[4], 3, 4 FROM w
+    UNION ALL SELECT 'social_i_qa', w[1] || ' ' || t, w[i % 5], i % 5 - 1, 3 FROM w WHERE i % 5 BETWEEN 1 AND 3),
+    x AS (SELECT task, context, trim(answer, ' ' || chr(10)) AS answer, label, n, context || ' ' || trim(answer, ' ' || chr(10)) AS text FROM e WHERE answer <> ''
+    UNION ALL SELECT 'winogrande', w[1], CASE WHEN i % 3 = 1 THEN w[2] ELSE w[3] END || substr(t, length(w[1]) + 2), i % 3 - 1, 2, w[1] || CASE WHEN i % 3 = 1 THEN w[2] ELSE w[3] END || substr(t, length(w[1]) + 2) FROM w WHERE i % 3 > 0)"""
+
+
+@query("benchmark_examples", f"{_EXAMPLES} SELECT task, context, answer, label::INT AS label, n::INT AS n, text FROM x")
+def benchmark_examples(spark, sf_dir):
+    """All nine sets in one form; benchmark items stand for their rows, some of them unusable."""
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("i"), F.col("text").alias("t"), F.split("text", " ").alias("w"))
+
+    def word(n: int):
+        return F.try_element_at("w", F.lit(n))
+
+    def keyed(shift: int):
+        key = F.element_at(F.array(*map(F.lit, "ABCD")), ((F.col("i") + shift) % 4 + 1).cast("int"))
+        return key.alias("answerKey"), F.struct(F.array(*map(F.lit, "ABC")).alias("label"), F.slice("w", 1, 3).alias("text")).alias("choices")
+
+    arc = rows.select(F.col("t").alias("question"), *keyed(0))
+    sets = {
+        "arc_easy": arc,
+        "arc_challenge": arc,
+        "commonsense_qa": arc,
+        "openbookqa": rows.select(F.col("t").alias("question_stem"), *keyed(1)),
+        "piqa": rows.select(F.col("t").alias("goal"), word(1).alias("sol1"), word(2).alias("sol2"), (F.col("i") % 3).alias("label")),
+        "hellaswag": rows.select(F.col("t").alias("ctx"), F.slice("w", 1, 4).alias("endings"), F.when(F.col("i") % 5 != 0, (F.col("i") % 4).cast("string")).otherwise("").alias("label")),
+        "winogrande": rows.select(F.concat(word(1), F.lit("_"), F.expr("substr(t, length(w[0]) + 2)")).alias("sentence"), word(2).alias("option1"), word(3).alias("option2"), (F.col("i") % 3).cast("string").alias("answer")),
+        "sciq": rows.select(F.when(F.col("i") % 2 == 1, F.concat(F.lit(" "), word(4), F.lit(" "))).otherwise("").alias("support"), F.col("t").alias("question"), *(word(n).alias(f"distractor{n}") for n in (1, 2, 3)), word(4).alias("correct_answer")),
+        "social_i_qa": rows.select(word(1).alias("context"), F.col("t").alias("question"), *(word(n).alias(f"answer{c}") for n, c in enumerate("ABC", 1)), (F.col("i") % 5).cast("string").alias("label")),
+    }
+    return choices.examples(sets).select("task", "context", "answer", "label", F.size("choices").alias("n"), "text")
+
+
+@query(
+    "boundary_pairs",
+    r"""WITH c AS (SELECT item_id, text || repeat(' ', (item_id % 4)::INT) AS c, substr(text, 1, 5) AS k FROM benchmark)
+    SELECT item_id, regexp_replace(c, '\s+$', '') AS context, substr(c, length(regexp_replace(c, '\s+$', '')) + 1) || k AS continuation, length(c) - length(regexp_replace(c, '\s+$', '')) AS moved FROM c""",
+)
 def boundary_pairs(spark, sf_dir):
-    pair = choices.boundary_pair(F.concat(F.trim("text"), F.lit("  ")), F.lit("x"))
-    return table(spark, sf_dir, "benchmark").select("item_id", pair.alias("p")).select("item_id", "p.context", "p.continuation")
+    """Contexts that end with none to three blanks, and the text's first characters as continuation."""
+    context = F.concat(F.col("text"), F.repeat(F.lit(" "), (F.col("item_id") % 4).cast("int")))
+    pair = choices.boundary_pair(context, F.substring("text", 1, 5))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", context.alias("c"), pair.alias("p"))
+    return rows.select("item_id", "p.context", "p.continuation", (F.length("c") - F.length("p.context")).cast("long").alias("moved"))
 
 
-@query("formatter_check", "SELECT l_returnflag AS task, count(*) AS n, count(*) FILTER (l_linestatus <> 'F') AS mismatches, max(abs(l_extendedprice - l_extendedprice * (1 - l_tax))) AS worst FROM lineitem GROUP BY ALL")
+_VERIFY = """WITH q AS (SELECT role AS task, conv_id, turn, text, length(text) AS n FROM conversations),
+    a AS (SELECT *, 'Question: ' || text || chr(10) || 'Answer:' AS context, ' ' || task AS continuation, n / 8.0 AS score FROM q WHERE conv_id % 7 <> 0),
+    b AS (SELECT *, 'Question: ' || text || chr(10) || 'Answer:' AS context, CASE WHEN conv_id % 5 = 0 THEN task ELSE ' ' || task END AS continuation, n / 8.0 + CASE WHEN turn = 1 THEN 0.25 ELSE 0 END AS score FROM q WHERE turn <> 2)"""
+
+
+@query(
+    "formatter_check",
+    f"""{_VERIFY} SELECT coalesce(a.task, b.task) AS task, count(*) AS requests, count(*) FILTER (a.task IS NOT NULL AND b.task IS NOT NULL AND (a.context <> b.context OR a.continuation <> b.continuation)) AS mismatches,
+    count(*) FILTER (a.task IS NULL OR b.task IS NULL) AS gaps, max(abs(a.score - b.score)) AS worst
+    FROM a FULL JOIN b ON a.task = b.task AND a.conv_id = b.conv_id AND a.turn = b.turn GROUP BY 1""",
+)
 def formatter_check(spark, sf_dir):
-    """Two recordings of the same requests: rows, mismatches and the worst difference by task."""
-    rows = table(spark, sf_dir, "lineitem")
-    diff = F.abs(F.col("l_extendedprice") - F.col("l_extendedprice") * (1 - F.col("l_tax")))
-    return rows.groupBy(F.col("l_returnflag").alias("task")).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("l_linestatus") != "F", 1)).alias("mismatches"), F.max(diff).alias("worst"))
+    """Two recordings of the same requests, joined: one lacks conversations, the other turns; some continuations and scores differ."""
+    rows = table(spark, sf_dir, "conversations").select(F.col("role").alias("task"), "conv_id", "turn", F.explode(choices.question_pairs(F.col("text"), F.array("role"))).alias("p"), (F.length("text") / 8.0).alias("score"))
+    rows = rows.select("task", "conv_id", "turn", "p.context", "p.continuation", "score")
+    made = rows.where("turn <> 2").withColumn("continuation", F.when(F.col("conv_id") % 5 == 0, F.col("task")).otherwise(F.col("continuation")))
+    made = made.withColumn("score", F.col("score") + F.when(F.col("turn") == 1, 0.25).otherwise(0.0))
+    return choices.verified_requests(rows.where("conv_id % 7 <> 0"), made, ["task", "conv_id", "turn"])
+
+
+@query(
+    "gold_losses",
+    "WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey % 4 AS pos, -(l_quantity / 50.0) AS logp, CASE l_orderkey % 2 WHEN 0 THEN 'piqa' ELSE 'arc_easy' END AS task, 1 + l_orderkey % 3 AS label FROM lineitem), g AS (SELECT * FROM t WHERE l_linenumber = label) SELECT 'sequence' AS scope, task, round(-sum(logp) / count(*), 9) AS loss, count(*) AS tokens FROM g GROUP BY task UNION ALL SELECT 'continuation', task, round(-sum(logp) / count(*), 9), count(*) FROM g WHERE pos >= 2 GROUP BY task",
+)
+def gold_losses(spark, sf_dir):
+    """Lines stand for tokens of choices: the loss over the gold choice's tokens, all of them or its answer's alone."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.when(F.col("l_orderkey") % 2 == 0, "piqa").otherwise("arc_easy").alias("task"), F.col("l_orderkey").alias("item"), F.col("l_linenumber").alias("idx"), (1 + F.col("l_orderkey") % 3).alias("label"),
+        (F.col("l_partkey") % 4 >= 2).alias("in_continuation"), (-F.col("l_quantity") / 50.0).alias("logp"),
+    )
+    parts = [choices.gold_loss(rows, scope).select(F.lit(scope).alias("scope"), "task", F.round("loss", 9).alias("loss"), "tokens") for scope in ("sequence", "continuation")]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("model_scores")
@@ -314,28 +424,73 @@ def three_way_rule(spark, sf_dir):
     )
 
 
-@query("metric_acceptance", "SELECT o_orderkey, o_totalprice > 0 AS accepted FROM orders")
+_M = "m AS (SELECT o_orderkey AS k, o_totalprice AS s, o_orderkey % 7 AS n, CASE WHEN o_orderkey % 7 > 0 THEN o_totalprice / (o_orderkey % 7) / 1000000 * CASE WHEN o_orderkey % 3 = 0 THEN 1.000001 ELSE 1 END END AS nll FROM orders)"
+
+
+@query(
+    "metric_acceptance",
+    f"""WITH {_M}, p AS (SELECT *, exp(nll) * CASE WHEN k % 5 = 0 THEN 1.001 ELSE 1 END AS ppl FROM m)
+    SELECT k AS o_orderkey, coalesce(n > 0 AND abs(nll - s / 1000000 / n) <= 1e-9 * greatest(abs(nll), abs(s / 1000000 / n)) AND abs(ln(ppl) - nll) <= 1e-9 * greatest(abs(ln(ppl)), abs(nll)), false) AS accepted FROM p""",
+)
 def metric_acceptance(spark, sf_dir):
-    """Sums, quotients and perplexities that were derived from one another are consistent."""
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("s"))
-    nll = F.col("s") / 100000
-    return rows.select("o_orderkey", decisions.consistent(F.col("s"), F.lit(100000), nll, F.exp(nll)).alias("accepted"))
+    """Sums, counts, quotients and perplexities of which some do not fit: no count, a quotient or a perplexity that is off."""
+    key, s = F.col("o_orderkey"), F.col("o_totalprice")
+    n = key % 7
+    off = F.when(key % 3 == 0, 1.000001).otherwise(1.0)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (s / 1000000).alias("s"), n.alias("n"), F.when(n > 0, s / F.nullif(n, F.lit(0).cast("long")) / 1000000 * off).alias("nll"))
+    ppl = F.exp("nll") * F.when(key % 5 == 0, 1.001).otherwise(1.0)
+    return rows.select("o_orderkey", decisions.consistent(F.col("s"), F.col("n"), F.col("nll"), ppl).alias("accepted"))
+
 
+def _check_sql(*checks: tuple[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{name}' AS \"check\", CASE WHEN bool_and(coalesce({rule}, false)) THEN 'PASS' ELSE 'FAIL' END AS status FROM documents" for name, rule in checks)
 
-@query("integrity_checklist", "SELECT * FROM (VALUES ('ids', 'PASS'), ('chars', 'PASS'), ('long', 'FAIL')) v(\"check\", status)")
+
+_CHECKS = (("ids", "doc_id IS NOT NULL"), ("chars", "n_chars = length(text)"), ("long", "length(text) > 100"), ("languages", "lang IN ('en', 'de', 'fr', 'es')"), ("english", "lang = 'en'"), ("even", "n_chars % 2 = 0 OR n_chars % 2 = 1"))
+
+
+@query("integrity_checklist", _check_sql(*_CHECKS))
 def integrity_checklist(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    checks = [("ids", F.col("doc_id").isNotNull()), ("chars", F.col("n_chars") == F.length("text")), ("long", F.length("text") > 100)]
-    return decisions.checklist(docs, *checks)
+    """Rules over all documents, of which some hold and some do not."""
+    return decisions.checklist(table(spark, sf_dir, "documents"), *((name, F.expr(rule)) for name, rule in _CHECKS))
 
 
-@query("selection_gate", "SELECT s_name AS run FROM supplier WHERE s_suppkey = 3")
+@query(
+    "selection_gate",
+    """SELECT s_name AS run, CASE WHEN s_nationkey % 3 <> 0 THEN 'other_panel' WHEN s_acctbal < 0 THEN 'official_scores_used' WHEN s_suppkey % 5 = 1 THEN 'not_listed'
+    WHEN s_suppkey % 4 = 2 THEN 'weights_changed' ELSE 'accepted' END AS status FROM supplier""",
+)
 def selection_gate(spark, sf_dir):
-    """The one listed run whose record names it; none or several are errors."""
-    from quern.sources.readers import exactly_one
+    """Suppliers stand for selection records: some of another panel, with official scores, without weights or with changed ones."""
+    rows = table(spark, sf_dir, "supplier")
+    hashed = F.md5("s_name")
+    records = rows.select(F.col("s_name").alias("run"), F.when(F.col("s_nationkey") % 3 == 0, "selection").otherwise("monitor").alias("panel"), (F.col("s_acctbal") < 0).alias("official_used"), hashed.alias("hash"))
+    weights = rows.where("s_suppkey % 5 <> 1").select(F.col("s_name").alias("run"), F.when(F.col("s_suppkey") % 4 == 2, F.md5(F.concat("s_name", F.lit("x")))).otherwise(hashed).alias("hash"))
+    return decisions.gate(records, weights)
+
 
-    record = F.broadcast(spark.createDataFrame([(3,)], "idx long"))
-    return exactly_one(_runs(spark, sf_dir).join(record, "idx").select("run"), "selected run")
+@query(
+    "soup_recipes",
+    """WITH m AS (SELECT s_name AS run, s_suppkey AS i FROM supplier), x AS (SELECT p.run AS selected, q.i FROM m p JOIN m q ON q.i // 10 = p.i // 10 AND q.i <> p.i WHERE p.i % 10 = 0 UNION ALL SELECT run, i FROM m WHERE i % 10 = 3)
+    SELECT selected AS run, 'config' || i % 3 AS config, 'arm' || i % 2 AS arm, list_sort(list(DISTINCT i % 5)) AS epochs, max(i % 5) AS last FROM x GROUP BY 1, 2, 3""",
+)
+def soup_recipes(spark, sf_dir):
+    """Every tenth supplier stands for a soup of the nine behind it, every fourth of ten for a single run: the recipes to be run again."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("run"), F.col("s_suppkey").alias("i"))
+    names = rows.select(F.col("run").alias("soup"), F.col("i").alias("j"))
+    members = names.where("j % 10 = 0").join(rows, (F.floor(F.col("i") / 10) == F.floor(F.col("j") / 10)) & (F.col("i") != F.col("j"))).select("soup", "run")
+    recipes = rows.select("run", F.concat(F.lit("config"), F.col("i") % 3).alias("config"), F.concat(F.lit("arm"), F.col("i") % 2).alias("arm"), (F.col("i") % 5).alias("epoch"))
+    made = decisions.expanded(rows.where("i % 10 IN (0, 3)").select("run"), members, recipes)
+    return made.groupBy("run", "config", "arm").agg(F.array_sort(F.collect_set("epoch")).alias("epochs"), F.max("epoch").alias("last"))
+
+
+@query("final_fallback", f"WITH {_R} SELECT a.idx, CASE WHEN b.wiki <= a.wiki + 0.01 + 1e-12 THEN b.run ELSE a.run END AS selected FROM r a LEFT JOIN r b ON b.idx = a.idx + 1")
+def final_fallback(spark, sf_dir):
+    """Each run against the next: the next where it keeps the guard, the run itself where it does not or is not there."""
+    a = _runs(spark, sf_dir).select("idx", "run", "wiki")
+    b = a.select((F.col("idx") - 1).alias("idx"), F.col("run").alias("next"), F.col("wiki").alias("w"))
+    guard = F.col("w") <= F.col("wiki") + 0.01 + decisions.TOLERANCE
+    return a.join(b, "idx", "left").select("idx", decisions.final_choice(F.col("next"), F.col("run"), guard).alias("selected"))
 
 
 @query("recipe_epochs", "SELECT l_returnflag AS config, l_linestatus AS arm, list_sort(list(DISTINCT l_linenumber)) AS epochs, max(l_linenumber) AS last FROM lineitem GROUP BY ALL")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quern.functions import text
 from quern.operators import aggregates, tokenizing
 from quern.plans.base import normal, query, table
+from quern.plans.corpus import _CASCADE_SQL
 from quern.runtime import shared_folder
 from quern.sources import readers, sinks
 
@@ -80,16 +81,75 @@ def journal_roundtrip(spark, sf_dir):
     return readers.journal(spark, place, "event_id long, user_id long, event_type string").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("done_parts", "SELECT DISTINCT source AS part FROM documents WHERE source NOT IN ('src0', 'src1')")
+@query("done_parts", "SELECT source AS part FROM documents GROUP BY source HAVING sum(n_chars) % 2 = 1")
 def done_parts(spark, sf_dir):
-    parts = table(spark, sf_dir, "documents").select(F.col("source").alias("part")).distinct()
-    return sinks.finished_parts(parts, spark.createDataFrame([("src0",), ("src1",)], "part string"))
+    """Sources of an even number of characters have left their completion marker; the others are still to do."""
+    counts = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("part")).agg(F.sum("n_chars").alias("n"))
+    place = _place(spark)
+    sinks.append_events(counts.where("n % 2 = 0").select("part"), place)
+    return sinks.finished_parts(counts.select("part"), readers.journal(spark, place, "part string"))
 
 
-@query("coverage_gaps", "SELECT * FROM (VALUES ('benchmark', 'loaded'), ('missing', 'unavailable')) v(source, status)")
+@query(
+    "coverage_gaps",
+    "SELECT 'benchmark' AS source, 'loaded' AS status, (SELECT count(*) FROM benchmark) AS n UNION ALL SELECT 'conversations', 'loaded', (SELECT count(*) FROM conversations) UNION ALL SELECT 'missing', 'unavailable', NULL",
+)
 def coverage_gaps(spark, sf_dir):
-    _, status = readers.load_or_gap(spark, {"benchmark": f"{sf_dir}/benchmark.parquet", "missing": f"{sf_dir}/missing.parquet"})
-    return status.select("source", "status")
+    """Sets that are there with their rows, and one that is not."""
+    loaded, status = readers.load_or_gap(spark, {name: f"{sf_dir}/{name}.parquet" for name in ("benchmark", "conversations", "missing")})
+    counts = readers.union_sources([df.select(F.lit(name).alias("source")) for name, df in loaded.items()]).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return status.join(counts, "source", "left").select("source", "status", "n")
+
+
+@query("glob_files", "SELECT n_name AS name, n_regionkey AS region FROM nation WHERE n_regionkey IN (1, 3)")
+def glob_files(spark, sf_dir):
+    """A table in files by region; the odd ones are listed by glob, sorted, and read."""
+    place = _place(spark)
+    sinks.write_partitioned(table(spark, sf_dir, "nation"), place, "n_regionkey", form="json")
+    paths = readers.listed(spark, f"{place}/n_regionkey=[13]/part-*")
+    if paths != sorted(paths):
+        raise ValueError("files are not in order")
+    return spark.read.schema("n_name string").json(paths).select(F.col("n_name").alias("name"), F.regexp_extract(F.col("_metadata.file_path"), r"n_regionkey=(\d)", 1).cast("long").alias("region"))
+
+
+@query("byte_ranges", "SELECT doc_id, source FROM documents")
+def byte_ranges(spark, sf_dir):
+    """Compressed JSON lines split over files: every line is read once, whatever the splits."""
+    place = _place(spark)
+    table(spark, sf_dir, "documents").select("doc_id", "source").repartition(7).write.option("compression", "bzip2").json(place)
+    return readers.json_rows(spark, "doc_id long, source string", place)
+
+
+@query("source_fallback_ids", "SELECT CASE WHEN doc_id % 3 = 0 THEN 'x' || doc_id ELSE doc_id::VARCHAR END AS id, '' AS title, source IS NULL AS orphan FROM documents")
+def source_fallback_ids(spark, sf_dir):
+    """Rows in the common columns: an empty id falls back to source_id, an absent title is empty."""
+    rows = table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("doc_id").cast("string")).alias("id"), F.concat(F.lit("x"), "doc_id").alias("source_id"), "text")
+    made = readers.normalized_rows(rows, "documents")
+    return made.select("id", "title", F.col("source").isNull().alias("orphan"))
+
+
+@query("frozen_record", "SELECT source, count(*) AS n FROM documents GROUP BY source")
+def frozen_record(spark, sf_dir):
+    """A record that is written once and read back; a second write is refused."""
+    from pyspark.errors import AnalysisException
+
+    place = _place(spark)
+    counts = table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    sinks.freeze(counts, place)
+    try:
+        sinks.freeze(counts, place)
+    except AnalysisException:
+        return spark.read.schema("source string, n long").json(place)
+    raise AssertionError("a frozen record was written twice")
+
+
+@query("figure_data", "SELECT lang, count(*) AS documents, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY lang")
+def figure_data(spark, sf_dir):
+    """The table behind a figure as one JSON document of columns, published in one step and read back."""
+    place = _place(spark)
+    rows = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("chars"))
+    sinks.publish_figure(spark, rows, f"{place}/languages.data.json")
+    return readers.figure(spark, f"{place}/languages.data.json", "lang string, documents long, chars long")
 
 
 @query("thread_scan", "SELECT 'site:' || doc_id AS id, 'https://site/questions/' || doc_id AS url FROM documents WHERE n_chars % 5 >= 1 AND n_chars % 3 >= 1 AND text <> ''")
@@ -118,9 +178,18 @@ def article_fold(spark, sf_dir):
     return readers.article_fold(rows, "doc_id", "t", ["source"]).select("source", "id", "paragraphs")
 
 
-@query("required_fields", "SELECT doc_id, source FROM documents")
+@query("required_fields", "SELECT 'doc_id' AS field, 0::BIGINT AS missing UNION ALL SELECT 'source', count(*) FILTER (doc_id % 7 = 0 OR source IS NULL OR source = '') FROM documents UNION ALL SELECT 'text', count(*) FILTER (doc_id % 11 = 0 OR text IS NULL OR text = '') FROM documents")
 def required_fields(spark, sf_dir):
-    return readers.required(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", "source")
+    """How many rows lack a required field, where every seventh has no source and every eleventh an empty text."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 7 != 0, F.col("source")).alias("source"), F.when(F.col("doc_id") % 11 != 0, F.col("text")).otherwise("").alias("text"))
+    return readers.missing_fields(rows, "doc_id", "source", "text")
+
+
+@query("complete_rows", "SELECT doc_id, source FROM documents WHERE doc_id % 7 <> 0")
+def complete_rows(spark, sf_dir):
+    """Rows that have what is required, each once; any other would be an error that names the field or the identity."""
+    rows = table(spark, sf_dir, "documents").where("doc_id % 7 <> 0").select("doc_id", "source")
+    return readers.required(readers.unique_rows(rows, "source", "doc_id"), "doc_id", "source")
 
 
 @query("table_digest")
@@ -159,9 +228,9 @@ def decoded_whole_documents(spark, sf_dir):
     return tokenizing.decode(encoded, "ids").select("doc_id", F.col("decoded").alias("text"))
 
 
-@query("corpus_build", "SELECT count(*) AS documents, (SELECT count(DISTINCT source) FROM documents) AS sources FROM documents")
+@query("corpus_build", f"WITH {_CASCADE_SQL} SELECT source, coalesce(reason, 'kept') AS reason, count(*) AS n FROM reasoned GROUP BY ALL")
 def corpus_build(spark, sf_dir):
-    """A whole build with exclusion, deduplication, panels, shards and manifest; its funnel accounts for every document."""
+    """A whole build with exclusion, exact copies, panels, shards and manifest: the funnel that it publishes."""
     from quern.operators import exclusion
     from quern.plans.build import Config, build
 
@@ -169,15 +238,14 @@ def corpus_build(spark, sf_dir):
         F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("id"), "source", F.lit(None).cast("string").alias("url"), F.lit("").alias("title"), "text"
     )
     index = exclusion.index_grams(table(spark, sf_dir, "benchmark"), F.col("text"))
-    made = build(spark, docs, _place(spark), Config(), index)
-    return made["funnel"].agg(F.sum("n").alias("documents"), F.count_distinct("source").alias("sources"))
+    return build(spark, docs, _place(spark), Config(near=False), index)["funnel"].select("source", "reason", "n")
 
 
-@query("run_record_scan", "SELECT count(*) AS n, 4::BIGINT AS total FROM range(2)")
+@query("run_record_scan", "SELECT r_regionkey AS step, r_name AS status FROM region")
 def run_record_scan(spark, sf_dir):
-    """JSON documents under a glob, one row each."""
+    """JSON documents under a glob, one row each; every one was published twice, the second in place of the first."""
     place = _place(spark)
-    for i in (1, 3):
-        sinks.publish_json(spark, f"{place}/run{i}/run.json", {"step": i, "status": "completed"})
-    found = readers.run_records(spark, f"{place}/*/run.json", "step long, status string")
-    return found.agg(F.count(F.lit(1)).alias("n"), F.sum("step").alias("total"))
+    for r in table(spark, sf_dir, "region").collect():  # a table of fixed size
+        for status in ("running", r["r_name"]):
+            sinks.publish_json(spark, f"{place}/run{r['r_regionkey']}/run.json", {"step": r["r_regionkey"], "status": status})
+    return readers.run_records(spark, f"{place}/*/run.json", "step long, status string").select("step", "status")

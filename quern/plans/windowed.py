@@ -203,6 +203,30 @@ def head_by_chars(spark, sf_dir):
     return rows.where("b < 30000").select("doc_id", "source")
 
 
+@query(
+    "head_that_suffices",
+    "WITH o AS (SELECT doc_id, lang, coalesce(sum(n_chars) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM documents) SELECT doc_id, lang FROM o WHERE b < (SELECT min(s) FROM (SELECT sum(n_chars) AS s FROM documents GROUP BY lang))",
+)
+def head_that_suffices(spark, sf_dir):
+    """Rows of each language up to as many characters as the scarcest has; a language with fewer would be an error."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    target = docs.groupBy("lang").agg(F.sum("n_chars").alias("s")).agg(F.min("s")).first()[0]
+    return windows.head_by(docs, "n_chars", ["lang"], ["doc_id"], target).select("doc_id", "lang")
+
+
+@query(
+    "stream_state",
+    "WITH t AS (SELECT sum(n_chars)::BIGINT AS total FROM documents), s AS (SELECT range * 1000003 AS consumed FROM range(50)) SELECT consumed, consumed // total AS cycles, consumed % total AS \"cursor\" FROM s, t",
+)
+def stream_state(spark, sf_dir):
+    """States of a circular stream over the sources' characters, saved and resumed; other shards would be an error."""
+    sizes = table(spark, sf_dir, "documents").groupBy("source").agg(F.sum("n_chars").alias("n")).orderBy("source")
+    shards = [(r["source"], r["n"]) for r in sizes.collect()]  # one row a source
+    states = [windows.stream_state(shards, i * 1000003) for i in range(50)]
+    rows = [(windows.resumed(s, shards), s["cycles"], s["cursor"]) for s in states]
+    return spark.createDataFrame(rows, "consumed long, cycles long, cursor long")
+
+
 @query("length_batches")
 def length_batches(spark, sf_dir):
     """Longest first within each partition, as scoring batches want them."""

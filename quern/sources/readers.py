@@ -22,6 +22,20 @@ def parquet_rows(spark: SparkSession, *paths: str, start: int = 0) -> DataFrame:
     return placed.where(F.col("row") >= start) if start else placed
 
 
+def listed(spark: SparkSession, pattern: str) -> list[str]:
+    """Files under a glob of any file system that Spark knows, in order."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(f.getPath().toString() for f in found or [] if f.isFile())
+
+
+def figure(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of a figure's data table, which holds one list for each column."""
+    kinds = [k.split() for k in schema.split(", ")]
+    columns = spark.read.schema(", ".join(f"{name} array<{kind}>" for name, kind in kinds)).option("multiLine", True).json(path)
+    return columns.select(F.inline(F.arrays_zip(*(name for name, _ in kinds))))
+
+
 def json_rows(spark: SparkSession, schema: str | StructType, *paths: str, strict: bool = True) -> DataFrame:
     """JSON lines, plain or compressed (gzip, bzip2, zstd); strict reading fails at a bad line, else it is left out."""
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(list(paths))
@@ -86,6 +100,20 @@ def required(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
+def missing_fields(df: DataFrame, *columns: str) -> DataFrame:
+    """(field, missing) of each required column: how many rows lack it."""
+    counts = df.agg(*(F.count(F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) == "", 1)).alias(c) for c in columns))
+    return counts.select(F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("missing")) for c in columns))).alias("m")).select("m.field", "m.missing")
+
+
+def unique_rows(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows as they are; a key that several rows hold is an error that names it."""
+    again = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").limit(1).collect()
+    if again:
+        raise ValueError(f"duplicate identity {tuple(again[0])[:-1]}")
+    return df
+
+
 def token_shards(spark: SparkSession, *paths: str) -> DataFrame:
     """(file, pos, token) of little-endian uint16 shards."""
     ship(spark)

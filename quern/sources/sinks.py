@@ -122,6 +122,14 @@ def publish_json(spark: SparkSession, path: str, record: dict) -> None:
     files.rename(beside, target, options)
 
 
+def publish_figure(spark: SparkSession, rows: DataFrame, path: str, most: int = 100_000) -> None:
+    """The table behind a figure, one list for each column; a figure shows few points, and more than ``most`` are an error."""
+    points = rows.limit(most + 1).collect()
+    if len(points) > most:
+        raise ValueError(f"a figure of more than {most} points")
+    publish_json(spark, path, {c: [r[c] for r in points] for c in rows.columns})
+
+
 def append_events(df: DataFrame, path: str) -> None:
     """Append-only journal; each writer adds files of its own, so none waits for another."""
     df.write.mode("append").json(path)

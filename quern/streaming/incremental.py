@@ -11,12 +11,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions.text import digest, normalize
+from quern.functions.text import canonical_url, digest, normalize
+from quern.operators import dedup
+from quern.runtime import cut
+from quern.sources.readers import listed
 
 
-def file_stream(spark: SparkSession, path: str, schema, form: str = "parquet") -> DataFrame:
-    """New files under a path or glob; each is read once."""
-    return spark.readStream.schema(schema).format(form).load(path)
+def file_stream(spark: SparkSession, path: str, schema, form: str = "parquet", files: int | None = None) -> DataFrame:
+    """New files under a path or glob, at most so many a batch; each is read once."""
+    reader = spark.readStream.schema(schema).format(form)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).load(path)
 
 
 def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
@@ -39,6 +43,35 @@ def distinct_documents(stream: DataFrame, text_col: str = "text") -> DataFrame:
     return stream.withColumn("digest", digest(normalize(F.coalesce(F.col(text_col), F.lit(""))))).dropDuplicates(["digest"])
 
 
+def deduplicated(folder: str, order: str = "doc_id", text_col: str = "text", url_col: str = "url") -> Callable[[DataFrame, int], None]:
+    """A batch writer: rows that repeat no digest, URL or near copy of what came before, in ``folder``/out.
+
+    ``folder``/state keeps digest, URL and sketch of every row that stayed, by batch.  A batch reads the state of
+    earlier batches alone and overwrites its own folders, so a batch that runs twice counts once, and a restart goes on
+    where the last finished batch ended.  Among the rows of a batch the least ``order`` wins.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        url = canonical_url(F.col(url_col)) if url_col in batch.columns else F.lit("")
+        rows = cut(batch.withColumns({"digest": digest(normalize(F.coalesce(F.col(text_col), F.lit("")))), "__u": url}))
+        narrow = rows.select(F.col(order).alias("pos"), "digest", F.col("__u").alias("u"), F.lit(1).alias("late"))
+        earlier = [f"{folder}/state/batch={i}" for i in range(number) if listed(spark, f"{folder}/state/batch={i}/part-*")]
+        prior = spark.read.parquet(*earlier) if earlier else None
+        if prior is not None:
+            narrow = narrow.unionByName(prior.select("pos", "digest", "u", F.lit(0).alias("late")))
+        ordered = narrow.withColumn("__order", F.struct("late", "pos"))
+        open_rows = cut(dedup.exact_and_url_reasons(ordered, "digest", "u", "__order").where("late = 1 AND reason IS NULL").select("pos", "digest", "u"))
+        texts = open_rows.select("pos").join(rows.select(F.col(order).alias("pos"), F.col(text_col).alias("text")), "pos")
+        sketched = cut(dedup.sketches(texts, "pos"))
+        near = dedup.near_reasons(sketched, "pos", None if prior is None else prior.select("pos", "sketch"))
+        kept = cut(open_rows.join(near.where("NOT near").select("pos"), "pos").join(sketched, "pos"))
+        rows.join(kept.select(F.col("pos").alias(order)), order, "left_semi").drop("__u").write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        kept.select("pos", "digest", "u", "sketch").write.mode("overwrite").parquet(f"{folder}/state/batch={number}")
+
+    return write
+
+
 def latest_status(stream: DataFrame, key: str, order: Column, fields: list[str]) -> DataFrame:
     """The last event of each key."""
     last = F.max_by(F.struct(*fields), order).alias("last")
