@@ -11,12 +11,14 @@ and writes a seek table; it exists so that payloads can be stored losslessly.
 
 Results that are defined: a null text counts as empty, whose payload is 64 zero bytes; a null medium has
 no blocks; a damaged frame gives a block without bytes that is marked as not verified; equal texts give
-equal media; an empty table gives no rows.
+equal media; texts and streams of any length are encoded and decoded in parts of bounded size; rows that
+repeat an id each get their row; extra columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -37,7 +39,10 @@ UNIT = 64
 RATE = 8000
 #: Distance table of the CRC-16; longer frames are checked in pieces of this many bytes.
 REACH = 8192
-SLICE = 4 << 20
+#: Bytes or samples that are encoded or decoded at a time, in one text or in many; a worker needs some 200 bytes for each.
+SLICE = 3 << 20
+#: Zeros that the texts of a slice may be filled up with beside that.
+FILL = 1 << 18
 
 # ---------------------------------------------------------------------------------- checksums
 
@@ -121,10 +126,40 @@ def _part_size(n: np.ndarray) -> np.ndarray:
     return order
 
 
+def _stream(payload: bytes, parts: list[tuple[bytes, np.ndarray, np.ndarray]], block: int) -> bytes:
+    """Stream header, seek table and frames of one payload; a part is frames, their bytes and their samples."""
+    sizes, samples = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
+    md5 = hashlib.md5(usedforsecurity=False)
+    for a in range(0, len(payload), SLICE):
+        md5.update((np.frombuffer(payload[a : a + SLICE], np.uint8) ^ 0x80).tobytes())
+    info = struct.pack(">HH", int(min(block, max(samples[0], 16))), int(max(samples[0], 16)))
+    info += int(sizes.min()).to_bytes(3, "big") + int(sizes.max()).to_bytes(3, "big")
+    info += (RATE << 44 | 0 << 41 | 7 << 36 | len(payload)).to_bytes(8, "big") + md5.digest()
+    places = np.cumsum(sizes) - sizes
+    points = b"".join(struct.pack(">QQH", j * block, at, n) for j, (at, n) in enumerate(zip(places.tolist(), samples.tolist())))
+    head = b"fLaC" + bytes([0]) + len(info).to_bytes(3, "big") + info + bytes([0x83]) + len(points).to_bytes(3, "big") + points
+    return b"".join([head, *(frames for frames, _, _ in parts)])
+
+
 def encode(payloads: list[bytes], block: int = BLOCK) -> list[bytes]:
-    """A FLAC stream of each payload (lengths are positive multiples of 64), all frames in one pass."""
-    if not payloads:
-        return []
+    """A FLAC stream of each payload (lengths are positive multiples of 64); bounded parts of them at a time."""
+    step = max(SLICE // block, 1) * block
+    pieces = [(i, p[a : a + step], a // block) for i, p in enumerate(payloads) for a in range(0, len(p), step)]
+    parts: list[list] = [[] for _ in payloads]
+    at = 0
+    while at < len(pieces):
+        last, size = at, 0
+        while last < len(pieces) and (last == at or size + len(pieces[last][1]) <= step + FILL):
+            size += len(pieces[last][1])
+            last += 1
+        for (i, _, _), made in zip(pieces[at:last], _frames([p for _, p, _ in pieces[at:last]], [k for _, _, k in pieces[at:last]], block)):
+            parts[i].append(made)
+        at = last
+    return [_stream(p, own, block) for p, own in zip(payloads, parts)]
+
+
+def _frames(payloads: list[bytes], numbers: list[int], block: int) -> list[tuple[bytes, np.ndarray, np.ndarray]]:
+    """Frames of each payload, numbered from ``numbers`` on, with the bytes and the samples of each; all in one pass."""
     raw = np.frombuffer(b"".join(payloads), np.uint8)
     x = raw.astype(np.int32) - 128
     sizes, owner, number = [], [], []
@@ -132,7 +167,7 @@ def encode(payloads: list[bytes], block: int = BLOCK) -> list[bytes]:
         for k, a in enumerate(range(0, len(p), block)):
             sizes.append(min(block, len(p) - a))
             owner.append(i)
-            number.append(k)
+            number.append(numbers[i] + k)
     n = np.array(sizes, np.int64)
     first = np.cumsum(n) - n
     of = np.repeat(np.arange(len(n)), n)
@@ -198,19 +233,12 @@ def encode(payloads: list[bytes], block: int = BLOCK) -> list[bytes]:
     frames[ends], frames[ends + 1] = crc >> 8, crc & 0xFF
 
     out, frame = [], 0
-    for i, p in enumerate(payloads):
+    for i in range(len(payloads)):
         last = frame
         while last < len(owner) and owner[last] == i:
             last += 1
-        own_n, own_start, own_bytes = n[frame:last], start[frame:last], frame_bytes[frame:last]
-        a = int(first[frame])
-        md5 = hashlib.md5(signed[a : a + len(p)].tobytes(), usedforsecurity=False).digest()
-        info = struct.pack(">HH", int(min(block, max(own_n[0], 16))), int(max(own_n[0], 16)))
-        info += int(own_bytes.min()).to_bytes(3, "big") + int(own_bytes.max()).to_bytes(3, "big")
-        info += (RATE << 44 | 0 << 41 | 7 << 36 | len(p)).to_bytes(8, "big") + md5
-        points = b"".join(struct.pack(">QQH", j * block, int(own_start[j] - own_start[0]), int(own_n[j])) for j in range(last - frame))
-        body = frames[int(own_start[0]) : int(own_start[-1] + own_bytes[-1])].tobytes()
-        out.append(b"fLaC" + bytes([0]) + len(info).to_bytes(3, "big") + info + bytes([0x83]) + len(points).to_bytes(3, "big") + points + body)
+        own = frames[int(start[frame]) : int(start[last - 1] + frame_bytes[last - 1])].tobytes()
+        out.append((own, frame_bytes[frame:last], n[frame:last]))
         frame = last
     return out
 
@@ -293,26 +321,46 @@ def _header(data: bytes, at: int, stream: Stream, fixed_size: int) -> tuple[Fram
     return Frame(first, size, assignment, _SAMPLE_BITS.get(bits_code, stream.bits), at, p + 1), number
 
 
+_SYNC = re.compile(rb"\xff[\xf8\xf9]")
+
+
+def _sync(data: bytes, at: int, stream: Stream, fixed: int) -> Frame | None:
+    """The next frame header from ``at`` on that has a right CRC-8."""
+    for code in _SYNC.finditer(data, at):
+        if found := _header(data, code.start(), stream, fixed):
+            return found[0]
+    return None
+
+
+def _whole(data: bytes, frame: Frame, stream: Stream, fixed: int) -> bool:
+    """Whether the bytes up to a header that continues the frame, or to the end, have the frame's CRC-16."""
+    then = frame
+    while then := _sync(data, then.data, stream, fixed):
+        if then.first == frame.first + frame.size:
+            break
+    end = then.start if then else len(data)
+    crc = crc16_many(np.frombuffer(data, np.uint8), np.array([frame.start]), np.array([end - 2]))[0]
+    return int(crc) == int.from_bytes(data[end - 2 : end], "big")
+
+
 def find_frames(data: bytes, stream: Stream) -> list[Frame]:
-    """Frames in order: sync codes with a right CRC-8 whose first sample is the one due."""
+    """Frames in order: headers with a right CRC-8 whose first sample is the one due.
+
+    Behind a damaged frame the next may begin later than due: where the seek table names it, or its CRC-16 is right.
+    """
     frames: list[Frame] = []
+    named = {(stream.body + offset, sample) for sample, offset, _ in stream.seek}
     fixed, due, at = stream.block, 0, stream.body
-    while True:
-        a, b = data.find(b"\xff\xf8", at), data.find(b"\xff\xf9", at)
-        at = min((p for p in (a, b) if p >= 0), default=-1)
-        if at < 0:
-            break
-        found = _header(data, at, stream, fixed)
-        if found and (not frames or found[0].first >= due):
-            frame = found[0]
+    while frame := _sync(data, at, stream, fixed):
+        later = frame.first > due and ((frame.start, frame.first) in named or _whole(data, frame, stream, fixed))
+        if not frames or frame.first == due or later:
             fixed = fixed or frame.size
             if frames:
-                frames[-1].end = at
+                frames[-1].end = frame.start
             frames.append(frame)
-            due = frame.first + frame.size
-            at = frame.data
+            due, at = frame.first + frame.size, frame.data
         else:
-            at += 1
+            at = frame.start + 1
     if frames:
         frames[-1].end = len(data)
     return frames
@@ -558,19 +606,44 @@ def decode_frames(data: bytes, frames: list[Frame], channels: int) -> None:
                 f.channels = [(middle + b) >> 1, (middle - b) >> 1]
 
 
-def decode(streams: list[bytes]) -> list[tuple[Stream, list[Frame]]]:
-    """All streams, their frames in lockstep."""
+def read_back(streams: list[bytes]) -> Iterator[tuple[int, Stream, list[Frame]]]:
+    """(number, stream, frames) in order; at most SLICE bytes or samples are decoded at a time, in lockstep.
+
+    Whoever is done with frames drops their ``channels``.  Frames are placed in ``streams`` as they were found.
+    """
     heads = [parse_stream(s) for s in streams]
-    found = [find_frames(s, h) for s, h in zip(streams, heads)]
+    todo = [(i, f) for i, (s, h) in enumerate(zip(streams, heads)) for f in find_frames(s, h)]
     at = 0
-    for s, frames in zip(streams, found):
-        for f in frames:
-            f.start, f.data, f.end = f.start + at, f.data + at, f.end + at
-        at += len(s)
-    whole = b"".join(streams)
-    for channels in {h.channels for h in heads}:
-        decode_frames(whole, [f for h, frames in zip(heads, found) if h.channels == channels for f in frames], channels)
-    return list(zip(heads, found))
+    while at < len(todo):
+        last, size = at, 0
+        while last < len(todo) and (last == at or size + max(todo[last][1].size, todo[last][1].end - todo[last][1].start) <= SLICE + FILL):
+            size += max(todo[last][1].size, todo[last][1].end - todo[last][1].start)
+            last += 1
+        group = todo[at:last]
+        places = [(f.start, f.data, f.end) for _, f in group]
+        whole = b"".join(streams[i][f.start : f.end] for i, f in group)
+        moved = 0
+        for _, f in group:
+            f.start, f.data, f.end = moved, moved + f.data - f.start, moved + f.end - f.start
+            moved = f.end
+        for channels in {heads[i].channels for i, _ in group}:
+            decode_frames(whole, [f for i, f in group if heads[i].channels == channels], channels)
+        for (_, f), place in zip(group, places):
+            f.start, f.data, f.end = place
+        first = 0
+        for end in range(1, len(group) + 1):
+            if end == len(group) or group[end][0] != group[first][0]:
+                yield group[first][0], heads[group[first][0]], [f for _, f in group[first:end]]
+                first = end
+        at = last
+
+
+def decode(streams: list[bytes]) -> list[tuple[Stream, list[Frame]]]:
+    """All streams and all of their frames."""
+    found: list[list[Frame]] = [[] for _ in streams]
+    for i, _, frames in read_back(streams):
+        found[i] += frames
+    return list(zip(map(parse_stream, streams), found))
 
 
 def pcm(frame: Frame) -> bytes:
@@ -632,16 +705,51 @@ def pcm_blocks(df: DataFrame, id_col: str = "doc_id", media_col: str = "media")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1, SLICE):
-                ids, rows = part.column(0), []
-                for i, (stream, frames) in enumerate(decode(texts_as_bytes(part.column(1)))):
-                    rows += [(i, b, f.first, f.size, stream.channels, f.bits, f.good, pcm(f) if f.good else None) for b, f in enumerate(frames)]
-                columns = list(zip(*rows)) or [()] * 8
-                made = [ids.take(pa.array(columns[0], pa.int64())), *(pa.array(c, pa.int64()) for c in columns[1:6])]
-                yield pa.RecordBatch.from_arrays([*made, pa.array(columns[6], pa.bool_()), pa.array(columns[7], pa.binary())], schema.names)
+                ids, rows, size, blocks = part.column(0), [], 0, {}
+
+                def made() -> pa.RecordBatch:
+                    columns = list(zip(*rows)) or [()] * 8
+                    arrays = [ids.take(pa.array(columns[0], pa.int64())), *(pa.array(c, pa.int64()) for c in columns[1:6])]
+                    return pa.RecordBatch.from_arrays([*arrays, pa.array(columns[6], pa.bool_()), pa.array(columns[7], pa.binary())], schema.names)
+
+                for i, stream, frames in read_back(texts_as_bytes(part.column(1))):
+                    for f in frames:
+                        rows.append((i, blocks.get(i, 0), f.first, f.size, stream.channels, f.bits, f.good, pcm(f) if f.good else None))
+                        blocks[i] = blocks.get(i, 0) + 1
+                        size += len(rows[-1][-1] or b"")
+                        f.channels = []
+                    if size > SLICE:
+                        yield made()
+                        rows, size = [], 0
+                yield made()
 
     return media.mapInArrow(run, schema)
 
 
+class _Heard:
+    """Digests and features of mono 8-bit samples as they are read back, frame by frame."""
+
+    def __init__(self) -> None:
+        self.sha256, self.md5 = hashlib.sha256(), hashlib.md5(usedforsecurity=False)
+        self.frames = self.samples = self.peak = self.energy = self.crossings = 0
+        self.tail, self.last, self.good = b"", None, True
+
+    def add(self, frame: Frame) -> None:
+        x = frame.channels[0]
+        back = (x + 128).astype(np.uint8)
+        self.sha256.update(back.tobytes())
+        self.md5.update((back ^ 0x80).tobytes())
+        up = x >= 0
+        self.crossings += int((up[1:] != up[:-1]).sum()) + (self.last is not None and bool(up[0]) != self.last)
+        self.frames, self.samples, self.last = self.frames + 1, self.samples + len(x), bool(up[-1])
+        self.peak, self.energy = max(self.peak, int(np.abs(x).max())), self.energy + int((x * x).sum())
+        self.tail = (self.tail + back[-UNIT:].tobytes())[-UNIT:]
+        self.good = self.good and frame.good
+
+    def feature(self) -> str:
+        return f"frames={self.frames};peak={self.peak};energy={self.energy};crossings={self.crossings}"
+
+
 def media_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Store each text as FLAC, read it back and describe what was read; one row per row of ``df``.
 
@@ -652,16 +760,17 @@ def media_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def compute(column: pa.Array) -> list[pa.Array]:
         texts = texts_as_bytes(column)
         media = encode([payload(t) for t in texts])
+        found = [_Heard() for _ in texts]
+        for i, stream, frames in read_back(media):
+            for f in frames:
+                found[i].add(f)
+                f.channels = []
         rows = []
-        for text, stored, (stream, frames) in zip(texts, media, decode(media)):
-            x = np.concatenate([f.channels[0] for f in frames])
-            back = (x + 128).astype(np.uint8).tobytes()
-            crossings = int(((x[1:] >= 0) != (x[:-1] >= 0)).sum())
-            feature = f"frames={len(frames)};peak={int(np.abs(x).max())};energy={int((x * x).sum())};crossings={crossings}"
-            good = all(f.good for f in frames) and len(x) == stream.samples and md5_matches(stream, frames)
-            rows.append(
-                (len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, good)
-            )
+        for text, stored, heard in zip(texts, media, found):
+            stream = parse_stream(stored)
+            good = heard.good and heard.samples == stream.samples and heard.md5.digest() == stream.md5
+            digest = hashlib.sha256(stored).hexdigest()
+            rows.append((len(text), heard.samples, heard.sha256.hexdigest(), zlib.crc32(heard.tail), len(stored), digest, heard.feature(), good))
         columns = list(zip(*rows)) or [()] * 8
         return [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_()))]
 

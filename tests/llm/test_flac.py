@@ -197,3 +197,52 @@ def test_blocks_and_odd_rows(odd, plain, empty):
     assert media_features(empty).count() == 0 and pcm_blocks(text_media(empty)).count() == 0
     with pytest.raises(ValueError):
         decode([b"RIFF"])
+
+
+def test_long_texts_in_bounded_parts(spark, monkeypatch):
+    """Parts of any size give the same stream; a long text needs little memory beside it."""
+    from quern.llm import flac
+
+    rng = np.random.default_rng(2)
+    payloads = [payload(rng.integers(0, 256, n, dtype=np.uint8).tobytes()) for n in (0, 10, 5000, 40_000, 100_000)]
+    whole = encode(payloads)
+    monkeypatch.setattr(flac, "SLICE", 8192)
+    monkeypatch.setattr(flac, "FILL", 64)
+    assert encode(payloads) == whole
+    for p, (stream, frames) in zip(payloads, decode(whole)):
+        assert b"".join(map(pcm, frames)) == p and md5_matches(stream, frames)
+
+
+def test_a_false_sync_inside_a_frame_is_passed_over():
+    p = payload(bytes(range(256)) * 200)
+    m = bytearray(encode([p])[0])
+    stream = decode([bytes(m)])[0][0]
+    from quern.llm.flac import find_frames
+
+    frames = find_frames(bytes(m), stream)
+    inside, later = frames[2].data + 40, frames[7]
+    m[inside : inside + 8] = m[later.start : later.start + 8]  # a right header of a later frame
+    found = find_frames(bytes(m), stream)
+    assert [f.first for f in found] == [f.first for f in frames]
+    assert [f.good for f in decode([bytes(m)])[0][1]] == [i != 2 for i in range(len(frames))]
+
+
+def test_memory_of_a_long_text():
+    import subprocess
+    import sys
+
+    code = """
+import resource
+from quern.llm.flac import _Heard, encode, payload, read_back
+text = b"a long text of 24 million bytes " * 750_000
+media = encode([payload(text)])
+heard = _Heard()
+for _, stream, frames in read_back(media):
+    for f in frames:
+        heard.add(f)
+        f.channels = []
+assert heard.samples == len(text) and heard.good and heard.md5.digest() == stream.md5
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert int(out.stdout) < 1200
