@@ -3,6 +3,10 @@
 Each stage reads what the one before it wrote and keeps the columns of documents, but for the last,
 which returns the pieces of the packed sequences.  Rows are told apart by id and text, so that rows
 that repeat an id keep their own decisions; of rows that repeat both, the stages keep one.
+
+Results that are defined: a null text counts as an empty one, and of all of these one row stays; a null id is an id
+like any other, below all others; ties of scores and ids fall as the operators say; texts of any length pass whole;
+extra columns are carried along, whatever their names; an empty table passes every stage without rows.
 """
 
 from __future__ import annotations
