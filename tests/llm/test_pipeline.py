@@ -2,7 +2,7 @@ from collections import Counter
 
 import corpus_pipeline as cp
 from quern.llm.packing import pack
-from tests.llm.test_simhash import definition
+from tests.llm.test_simhash import linked_brute
 
 
 def stage(spark, fn, docs, sf):
@@ -29,19 +29,9 @@ def test_each_stage_against_brute_force(spark, sf):
     assert Counter(r["doc_id"] for r in kept) == Counter(best.values())
 
     near = {r["doc_id"] for r in cp.drop_near_copies(spark, docs, sf).collect()}
-    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    prints = {i: definition(t) for i, t in rows}
-    shingles = {i: {tuple(w[k : k + 5]) for w in [t.lower().split()] for k in range(max(1, len(w) - 4))} for i, t in rows}
-
-    def alike(i, j):
-        return len(shingles[i] & shingles[j]) / len(shingles[i] | shingles[j])
-
-    ids = sorted(prints)
-    for n, i in enumerate(ids):
-        linked = [j for j in ids[:n] if (prints[i] ^ prints[j]).bit_count() <= 2 or alike(i, j) >= 0.88]
-        assert not linked or i not in near  # all but the smallest of a group go
-        if i not in near:
-            assert linked or any(alike(i, j) >= 0.6 for j in ids if j != i)  # and nothing else
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    label = linked_brute([t for _, t in rows])  # 0.8 of the five-word shingles, or two bits
+    assert near == {rows[i][0] for i in set(label)}  # the smallest id of each component, and no other
 
     mixed = cp.mix(spark, docs, sf).collect()
     total = sum(len((r["text"] or "").split()) for r in docs.collect())
