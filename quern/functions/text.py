@@ -16,6 +16,7 @@ from pyspark.sql.types import StringType
 
 # Patterns and names that results depend on.
 WORD = r"[\p{L}\p{N}_]+"
+NO_WORD = r"[^\p{L}\p{N}_]+"
 WORD_OR_MARK = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 HELD_OUT_SPLITS = [
     "controller_0_proposal",
@@ -37,7 +38,7 @@ ARTICLE_HEADING = r"^\s*=\s+[^=].*?\s+=\s*$"
 
 def normalize(text: Column) -> Column:
     """Lower case with sharp s spelt out, single blanks."""
-    return F.trim(F.regexp_replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), r"\s+", " "))
+    return F.trim(F.regexp_replace(folded(text), r"\s+", " "))
 
 
 @F.pandas_udf(StringType())
@@ -75,13 +76,24 @@ def is_development(name: Column, text: Column, fraction: float = 0.2) -> Column:
     return digest_bucket(F.sha2(F.concat(name, F.lit("\n"), text), 256), 1000, digits=8) < int(fraction * 1000)
 
 
+def folded(text: Column) -> Column:
+    """Lower case with sharp s spelt out; ``normalize`` without the single blanks, which words do not need."""
+    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+
+
 def words(normalized: Column) -> Column:
-    return F.regexp_extract_all(normalized, F.lit(f"({WORD})"), F.lit(1))
+    """Runs of word characters, by a split at the runs of others, which is faster than a match of each."""
+    return F.array_remove(F.split(normalized, NO_WORD), "")
+
+
+def word_and_mark_list(text: Column) -> Column:
+    """Words and single punctuation marks of the lower-cased text."""
+    return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD_OR_MARK})"), F.lit(1))
 
 
 def words_and_marks(text: Column) -> Column:
     """Words and single punctuation marks of the lower-cased text, joined by blanks."""
-    return F.array_join(F.regexp_extract_all(F.lower(text), F.lit(f"({WORD_OR_MARK})"), F.lit(1)), " ")
+    return F.array_join(word_and_mark_list(text), " ")
 
 
 def split_words(text: Column) -> Column:
@@ -94,6 +106,17 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def gram_hashes(parts: Column, n: int) -> Column:
+    """XXH64 of all runs of n words, a long each; none of shorter texts."""
+
+    def made(w: Column) -> Column:
+        last = F.size(w) - (n - 1)
+        every = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, n)))
+        return F.when(last >= 1, every).otherwise(F.array().cast("array<bigint>"))
+
+    return let(parts, made)
+
+
 def grams(parts: Column, n: int) -> Column:
     """All runs of n words, joined by blanks; none of shorter texts."""
 

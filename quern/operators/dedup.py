@@ -7,8 +7,9 @@ settle rows whose earlier neighbours are settled, over the rows that have a neig
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -16,8 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.numeric import BANDS, COMPONENTS, LOW, MERSENNE, ROWS, SEED, permuted, shingle_hash
-from quern.functions.text import grams, normalize, split_words
+from quern.functions.numeric import BANDS, COMPONENTS, LOW, MERSENNE, ROWS, SEED, permutation
+from quern.functions.text import normalize
 from quern.runtime import cut, ship, spread
 
 SHINGLE = 5
@@ -58,18 +59,41 @@ def unseen(df: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     return df.join(seen.select(key).distinct(), key, "left_anti")
 
 
+def _shingles(parts: list[str]) -> list[str]:
+    return [" ".join(parts[i : i + SHINGLE]) for i in range(len(parts) - SHINGLE + 1)]
+
+
+def _least(hashes: np.ndarray, permute: Callable[[np.ndarray], np.ndarray]) -> list[int]:
+    """Minima of every permutation over the hashes, a block of them at a time."""
+    least = np.full(COMPONENTS, LOW, np.int64)
+    for i in range(0, len(hashes), 4096):
+        np.minimum(least, permute(hashes[i : i + 4096, None]).min(axis=0).astype(np.int64), out=least)
+    return least.tolist()
+
+
+def portable_sketch(text: str | None) -> list[int]:
+    """32-bit MD5 shingles of the portably normalised text; all zero for a text under five words."""
+    shingles = set(_shingles([w for w in (text or "").split(" ") if w]))
+    if not shingles:
+        return [0] * COMPONENTS
+    hashes = np.fromiter((int.from_bytes(hashlib.md5(s.encode(), usedforsecurity=False).digest()[:4], "big") for s in shingles), np.int64, len(shingles))
+    a, b = (np.array(x, np.int64) for x in zip(*map(permutation, range(COMPONENTS))))
+    return _least(hashes, lambda h: (a * h + b) % MERSENNE & LOW)
+
+
 def sketches(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """(id, sketch) with the portable hash family over five-word shingles of the normalised text.
 
-    Minima are taken before the shuffle, so it moves 32 numbers a document and task; a text under five
-    words has an all-zero sketch.
+    Normalised in generated code, sketched in one Arrow UDF over whole columns, without a row for each shingle and
+    without a shuffle; a text under five words has an all-zero sketch.
     """
-    shingles = spread(df.select(id_col, text_col)).select(id_col, F.explode(grams(split_words(normalize(F.col(text_col))), SHINGLE)).alias("s"))
-    hashed = shingles.select(id_col, shingle_hash(F.col("s")).alias("h"))
-    mins = hashed.groupBy(id_col).agg(*(F.min(permuted(F.col("h"), i)).alias(f"m{i}") for i in range(COMPONENTS)))
-    made = mins.select(id_col, F.array(*(F.col(f"m{i}") for i in range(COMPONENTS))).alias("sketch"))
-    zero = F.array_repeat(F.lit(0).cast("long"), COMPONENTS)
-    return df.select(id_col).join(made, id_col, "left").withColumn("sketch", F.coalesce("sketch", zero))
+    ship(df.sparkSession)
+
+    @F.pandas_udf("array<long>")
+    def sketch(texts: pd.Series) -> pd.Series:
+        return texts.map(portable_sketch)
+
+    return spread(df.select(id_col, text_col)).select(id_col, sketch(normalize(F.col(text_col))).alias("sketch"))
 
 
 def _exact_family() -> tuple[np.ndarray, np.ndarray]:
@@ -82,17 +106,12 @@ def exact_sketch(text: str | None) -> list[int]:
     """32-bit xxHash shingles of the exactly normalised text under 64-bit permutations."""
     import xxhash
 
-    parts = unicodedata.normalize("NFKC", text or "").casefold().split()
-    if len(parts) < SHINGLE:
+    shingles = set(_shingles(unicodedata.normalize("NFKC", text or "").casefold().split()))
+    if not shingles:
         return [0] * COMPONENTS
-    hashes = {xxhash.xxh32_intdigest(" ".join(parts[i : i + SHINGLE])) for i in range(len(parts) - SHINGLE + 1)}
-    values = np.fromiter(hashes, np.uint64, len(hashes))
+    hashes = np.fromiter(map(xxhash.xxh32_intdigest, shingles), np.uint64, len(shingles))
     a, b = _exact_family()
-    least = np.full(COMPONENTS, LOW, np.uint64)
-    for i in range(0, len(values), 4096):
-        block = (values[i : i + 4096, None] * a + b) % np.uint64(MERSENNE) & np.uint64(LOW)
-        least = np.minimum(least, block.min(axis=0))
-    return least.tolist()
+    return _least(hashes, lambda h: (h * a + b) % np.uint64(MERSENNE) & np.uint64(LOW))
 
 
 def exact_sketches(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:

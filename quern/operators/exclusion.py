@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.text import grams, normalize, title_key, words
-from quern.runtime import spread
+from quern.functions.text import folded, gram_hashes, grams, title_key, words
+from quern.runtime import cut, spread
 
 SIZE = 13
 #: The exclusion side is broadcast only where it has at most so many grams; beyond, it is shuffled.
@@ -20,13 +20,13 @@ BROADCAST_GRAMS = 2_000_000
 
 def gram_rows(df: DataFrame, id_col: str, text: Column, n: int = SIZE) -> DataFrame:
     """(id, gram) of every run of n words; narrow before any shuffle."""
-    return df.select(id_col, F.explode(grams(words(normalize(text)), n)).alias("gram"))
+    return df.select(id_col, F.explode(grams(words(folded(text)), n)).alias("gram"))
 
 
 def index_grams(benchmark: DataFrame, *texts: Column, n: int = SIZE) -> DataFrame:
     """Distinct grams of all given text columns."""
     rows = benchmark.select(F.explode(F.array(*texts)).alias("text"))
-    return rows.select(F.explode(grams(words(normalize(F.col("text"))), n)).alias("gram")).distinct()
+    return rows.select(F.explode(grams(words(folded(F.col("text"))), n)).alias("gram")).distinct()
 
 
 def small(df: DataFrame, most: int = BROADCAST_GRAMS) -> DataFrame:
@@ -35,8 +35,17 @@ def small(df: DataFrame, most: int = BROADCAST_GRAMS) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, id_col: str, index: DataFrame, n: int = SIZE) -> DataFrame:
-    """Distinct ids of documents that share a gram with the index."""
-    return gram_rows(spread(docs.select(id_col, "text")), id_col, F.col("text"), n).join(small(index), "gram", "left_semi").select(id_col).distinct()
+    """Distinct ids of documents that share a gram with the index.
+
+    Documents are scanned for hashes of their grams, eight bytes each; the grams themselves are compared in the few
+    documents that hold a hash of the index.
+    """
+    index = cut(index)
+    hashes = index.select(F.xxhash64(F.split("gram", " ")).alias("hash")).distinct()
+    rows = spread(docs.select(id_col, "text")).select(id_col, F.explode(gram_hashes(words(folded(F.col("text"))), n)).alias("hash"))
+    hits = cut(rows.join(small(hashes), "hash", "left_semi").select(id_col).distinct())
+    likely = docs.select(id_col, "text").join(hits, id_col, "left_semi")
+    return gram_rows(likely, id_col, F.col("text"), n).join(small(index), "gram", "left_semi").select(id_col).distinct()
 
 
 def decontaminate(docs: DataFrame, id_col: str, index: DataFrame, titles: DataFrame | None = None, title_col: str | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quern.functions import numeric, text
 from quern.operators import filters
 from quern.plans.base import normal, query, table, words
+from quern.runtime import spread
 
 
 @query("normalize_digest", f"SELECT doc_id, sha256({normal('text')}) AS digest FROM documents")
@@ -72,8 +73,8 @@ def classifier_normalize(spark, sf_dir):
     SELECT doc_id, i::INT AS i, md5(array_to_string(list_slice(w, 60 * floor(i * greatest(n / 64.0, 1))::INT + 1, 60 * floor(i * greatest(n / 64.0, 1))::INT + 60), ' ')) AS h FROM i""",
 )
 def word_windows(spark, sf_dir):
-    parts = F.split(text.words_and_marks(F.col("text")), " ")
-    rows = table(spark, sf_dir, "documents").where(text.words_and_marks(F.col("text")) != "").select("doc_id", F.posexplode(text.word_windows(parts)).alias("i", "w"))
+    windows = text.word_windows(text.word_and_mark_list(F.col("text")))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode(windows).alias("i", "w"))
     return rows.select("doc_id", "i", F.md5("w").alias("h"))
 
 
