@@ -6,6 +6,7 @@ applies NFKC and full case folding in an Arrow UDF.  They agree but for compatib
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -141,23 +142,37 @@ def word_windows(parts: Column, size: int = 60, limit: int = 64) -> Column:
     return let(parts, made)
 
 
-def paragraph_chunks(text: Column, size: int) -> Column:
+_BETWEEN = re.compile(r"\n[ \t\n\x0b\f\r]*\n")
+_BLANKS = " \t\n\x0b\f\r"
+
+
+def packed_paragraphs(text: str | None, size: int) -> list[str] | None:
     """Greedy packing of paragraphs: a chunk ends before the paragraph that takes it over ``size``; each costs 2 more."""
-    paragraphs = F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("now"), F.lit(0).alias("used"))
+    if text is None:
+        return None
+    done: list[str] = []
+    now: list[str] = []
+    used = 0
+    for paragraph in _BETWEEN.split(text):
+        paragraph = paragraph.strip(_BLANKS)
+        if not paragraph:
+            continue
+        if now and used + len(paragraph) > size:
+            done.append("\n\n".join(now))
+            now, used = [], 0
+        now.append(paragraph)
+        used += len(paragraph) + 2
+    return [*done, "\n\n".join(now)] if now else done
 
-    def step(state: Column, p: Column) -> Column:
-        full = (state["used"] + F.length(p) > size) & (F.size(state["now"]) > 0)
-        return F.struct(
-            F.when(full, F.concat(state["done"], F.array(F.array_join(state["now"], "\n\n")))).otherwise(state["done"]).alias("done"),
-            F.when(full, F.array(p)).otherwise(F.concat(state["now"], F.array(p))).alias("now"),
-            (F.when(full, 0).otherwise(state["used"]) + F.length(p) + 2).alias("used"),
-        )
 
-    def finish(state: Column) -> Column:
-        return F.when(F.size(state["now"]) > 0, F.concat(state["done"], F.array(F.array_join(state["now"], "\n\n")))).otherwise(state["done"])
+def paragraph_chunks(text: Column, size: int) -> Column:
+    """Chunks of packed paragraphs, in an Arrow UDF: one pass over a book of any length."""
+
+    @F.pandas_udf("array<string>")
+    def chunks(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: packed_paragraphs(t, size))
 
-    return F.aggregate(paragraphs, start, step, finish)
+    return chunks(text)
 
 
 _AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)"

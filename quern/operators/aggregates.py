@@ -114,3 +114,9 @@ def interpolate(a: DataFrame, b: DataFrame, alpha: float) -> DataFrame:
 def table_digest(df: DataFrame) -> DataFrame:
     """An order-insensitive digest of all rows, and their number."""
     return df.select(F.xxhash64(*df.columns).cast("decimal(38,0)").alias("h")).agg(F.sum("h").alias("digest"), F.count(F.lit(1)).alias("n"))
+
+
+def with_means(rows: DataFrame, by: list[str], name: str, value: str) -> DataFrame:
+    """Rows (by, name, value) and one more of each group, named mean."""
+    means = rows.groupBy(*by).agg(F.avg(value).alias(value)).withColumn(name, F.lit("mean"))
+    return rows.select(*by, name, value).unionByName(means.select(*by, name, value))

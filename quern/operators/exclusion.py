@@ -96,3 +96,10 @@ def hashed_grams(df: DataFrame, id_col: str, text_col: str, n: int = SIZE) -> Da
 
     kind = dict(df.dtypes)[id_col]
     return df.select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, hash long")
+
+
+def hashed_contaminated(docs: DataFrame, id_col: str, benchmark: DataFrame, bench_id: str, text_col: str = "text", n: int = SIZE) -> DataFrame:
+    """(id, hits): documents that share rolling hashes with the benchmark under the exact normalisation, and how many places."""
+    index = cut(hashed_grams(benchmark, bench_id, text_col, n).select("hash").distinct())
+    found = hashed_grams(spread(docs.select(id_col, text_col)), id_col, text_col, n).join(small(index), "hash", "left_semi")
+    return found.groupBy(id_col).agg(F.count(F.lit(1)).alias("hits"))

@@ -44,3 +44,13 @@ def truncate_tokens(tokens: Column, limit: int, end_id: int) -> Column:
 def funnel(df: DataFrame, by: list[str], reason_col: str = "reason", kept: str = "kept") -> DataFrame:
     """Rows by reason; those without one count as kept."""
     return df.groupBy(*by, F.coalesce(reason_col, F.lit(kept)).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def stages(rows: DataFrame, reason: str, order: list[str]) -> DataFrame:
+    """(stage, documents_in, documents_out) of a cascade: what each reason, in order, had before it and left."""
+    counts = rows.agg(F.count(F.lit(1)).alias("n"), *(F.count(F.when(F.col(reason) == r, 1)).alias(f"r{i}") for i, r in enumerate(order)))
+    made, left = [], F.col("n")
+    for i, r in enumerate(order):
+        made.append(F.struct(F.lit(r).alias("stage"), left.alias("documents_in"), (left - F.col(f"r{i}")).alias("documents_out")))
+        left = left - F.col(f"r{i}")
+    return counts.select(F.explode(F.array(*made)).alias("s")).select("s.*")

@@ -159,6 +159,22 @@ def hashed_grams(spark, sf_dir):
     return exclusion.hashed_grams(table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
+@query("hashed_contaminated_docs")
+def hashed_contaminated_docs(spark, sf_dir):
+    """Whole documents against the benchmark by rolling hashes; tests hold it against plain Python."""
+    return exclusion.hashed_contaminated(table(spark, sf_dir, "documents"), "doc_id", table(spark, sf_dir, "benchmark"), "item_id")
+
+
+@query(
+    "stage_table",
+    f"""WITH {_CASCADE_SQL}, c AS (SELECT count(*) AS n, count(*) FILTER (reason = 'length') AS a, count(*) FILTER (reason = 'benchmark_exact') AS b, count(*) FILTER (reason = 'exact_document') AS c FROM reasoned)
+    SELECT 'length' AS stage, n AS documents_in, n - a AS documents_out FROM c UNION ALL SELECT 'benchmark_exact', n - a, n - a - b FROM c UNION ALL SELECT 'exact_document', n - a - b, n - a - b - c FROM c""",
+)
+def stage_table(spark, sf_dir):
+    """Documents into and out of each stage of the cascade."""
+    return filters.stages(staged(spark, sf_dir), "reason", ["length", "benchmark_exact", "exact_document"])
+
+
 @query(
     "title_exclusion",
     f"""WITH t AS (SELECT DISTINCT {normal("replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '_', ' ')")} AS title FROM pages WHERE page_id % 2 = 0)

@@ -232,6 +232,17 @@ def mc_accuracy(spark, sf_dir):
     return choices.accuracy(_choices(spark, sf_dir))
 
 
+@query(
+    "results_table",
+    f"WITH {_C}, r AS (SELECT task, item, idx, label, row_number() OVER (PARTITION BY item ORDER BY score DESC, idx) AS a FROM s), t AS (SELECT item % 3 AS run, task, count(*) FILTER (a = 1 AND idx = label) / count(DISTINCT item) AS acc FROM r GROUP BY 1, 2) SELECT run, task, round(acc, 9) AS acc FROM t UNION ALL SELECT run, 'mean', round(avg(acc), 9) FROM t GROUP BY run",
+)
+def results_table(spark, sf_dir):
+    """Accuracy of each run by task, and the mean over the tasks; thirds of the questions stand for runs."""
+    rows = _choices(spark, sf_dir).withColumn("run", F.col("item") % 3).withColumn("task", F.concat_ws("/", F.col("run").cast("string"), "task"))
+    acc = choices.accuracy(rows).select(F.split_part("task", F.lit("/"), F.lit(1)).cast("long").alias("run"), F.split_part("task", F.lit("/"), F.lit(2)).alias("task"), "acc")
+    return aggregates.with_means(acc, ["run"], "task", "acc").select("run", "task", F.round("acc", 9).alias("acc"))
+
+
 @query("proxy_mean", f"WITH {_C}, r AS (SELECT task, item, idx, label, row_number() OVER (PARTITION BY item ORDER BY score DESC, idx) AS a FROM s), t AS (SELECT task, count(*) FILTER (a = 1 AND idx = label) / count(DISTINCT item) AS acc FROM r GROUP BY task) SELECT CASE WHEN count(*) = 4 THEN avg(acc) END AS proxy FROM t")
 def proxy_mean(spark, sf_dir):
     return choices.proxy_mean(choices.accuracy(_choices(spark, sf_dir)))

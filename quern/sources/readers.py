@@ -7,11 +7,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quern.functions.text import ARTICLE_HEADING, clean_book, clean_thread, paragraph_chunks
+from quern.operators.windows import sums_before
 from quern.runtime import ship
 
 
@@ -72,6 +73,7 @@ def thread_rows(df: DataFrame, site: Column) -> DataFrame:
 
 def book_rows(df: DataFrame, chunk_chars: int = 20_000, least: int = 1000) -> DataFrame:
     """Chunks of books; the text column is ``text`` or else the last one."""
+    ship(df.sparkSession)
     text = "text" if "text" in df.columns else df.columns[-1]
     ident = F.col("id").cast("string") if "id" in df.columns else F.monotonically_increasing_id().cast("string")
     chunks = df.select(ident.alias("book"), F.posexplode(paragraph_chunks(clean_book(F.coalesce(F.col(text), F.lit(""))), chunk_chars)).alias("j", "text"))
@@ -81,12 +83,13 @@ def book_rows(df: DataFrame, chunk_chars: int = 20_000, least: int = 1000) -> Da
 def article_fold(df: DataFrame, order: str, text: str, by: list[str] | None = None) -> DataFrame:
     """Ordered paragraphs folded into articles at level-one headings; blank rows go, the id is the digest.
 
-    ``by`` names the streams of paragraphs (files); without it, all rows are one stream in one task.
+    ``by`` names the streams of paragraphs (files); without it, all rows are one stream.  Articles are numbered by
+    running sums over ranges, so no task holds a stream.
     """
     by = by or []
-    window = Window.partitionBy(*by).orderBy(order) if by else Window.orderBy(order)
-    heading = F.trim(F.col(text)).rlike(ARTICLE_HEADING).cast("int")
-    marked = df.where(F.trim(F.col(text)) != "").withColumn("__article", F.sum(heading).over(window.rowsBetween(Window.unboundedPreceding, 0)))
+    heading = F.trim(F.col(text)).rlike(ARTICLE_HEADING).cast("long")
+    numbered = sums_before(df.where(F.trim(F.col(text)) != "").withColumn("__heading", heading), by, [order], __before="__heading")
+    marked = numbered.withColumn("__article", F.col("__before") + F.col("__heading"))
     rows = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
     folded = marked.groupBy(*by, "__article").agg(F.array_join(F.transform(rows, lambda r: r["t"]), "\n").alias("text"), F.count(F.lit(1)).alias("paragraphs"))
     return folded.select(*by, F.sha2("text", 256).alias("id"), "text", "paragraphs")

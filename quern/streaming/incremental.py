@@ -6,6 +6,7 @@ expire.  Every query runs with AvailableNow and a checkpoint, so that a rerun re
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +24,34 @@ def file_stream(spark: SparkSession, path: str, schema, form: str = "parquet", f
     return (reader.option("maxFilesPerTrigger", files) if files else reader).load(path)
 
 
+def wait_for(spark: SparkSession, pattern: str, files: int, seconds: float, poll: float = 30.0) -> list[str]:
+    """Files under a glob once there are so many; an error where they are not there in time."""
+    end = time.monotonic() + seconds
+    while len(found := listed(spark, pattern)) < files:
+        if time.monotonic() >= end:
+            raise TimeoutError(f"{len(found)} of {files} files under {pattern} after {seconds} s")
+        time.sleep(min(poll, max(0.0, end - time.monotonic())))
+    return found
+
+
+def restart(spark: SparkSession, folder: str, policy: str = "resume") -> str:
+    """What a start finds in its folder: ``new``, ``complete``, or an unfinished run, which is resumed or discarded.
+
+    A run is complete once its manifest is there; what is discarded is deleted.
+    """
+    if policy not in ("resume", "discard"):
+        raise ValueError(f"no policy {policy}")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return "new"
+    if listed(spark, f"{folder}/manifest.json"):
+        return "complete"
+    if policy == "discard":
+        fs.delete(path, True)
+    return {"resume": "resumed", "discard": "discarded"}[policy]
+
+
 def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()

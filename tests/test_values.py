@@ -223,3 +223,62 @@ def test_gate_and_soups(spark):
     rows = spark.createDataFrame([("a", "selection", False, "h"), ("b", "selection", None, "h"), ("c", None, False, "h"), ("d", "selection", False, "h")], "run string, panel string, official_used boolean, hash string")
     weights = spark.createDataFrame([("a", "h"), ("b", "h"), ("c", "h"), ("d", "i")], "run string, hash string")
     assert {r["run"]: r["status"] for r in decisions.gate(rows, weights).collect()} == {"a": "accepted", "b": "official_scores_used", "c": "other_panel", "d": "weights_changed"}
+
+
+def test_hashed_contaminated_docs(spark, sf, docs):
+    import unicodedata
+    import zlib
+
+    def grams(text):
+        w = re.findall(r"\w+", " ".join(unicodedata.normalize("NFKC", text).casefold().split()))
+        return [tuple(zlib.crc32(x.encode()) for x in w[i : i + 13]) for i in range(len(w) - 12)]
+
+    index = {g for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() for g in grams(r["text"])}
+    want = {i: n for i, r in docs.items() if (n := sum(g in index for g in grams(r["text"])))}
+    assert {r["doc_id"]: r["hits"] for r in QUERIES["hashed_contaminated_docs"](spark, sf).collect()} == want and want
+
+
+def test_paragraphs_are_packed_in_one_pass(spark):
+    import time
+
+    from quern.functions.text import packed_paragraphs, paragraph_chunks
+
+    assert packed_paragraphs("aa\n\n bb \n \t\ncc\n\n\n\ndddddddd", 6) == ["aa\n\nbb", "cc", "dddddddd"]
+    assert packed_paragraphs(" \n\n ", 5) == [] and packed_paragraphs(None, 5) is None
+    began = time.time()
+    assert len(packed_paragraphs("a paragraph\n\n" * 200_000, 1000)) > 2000
+    assert time.time() - began < 5
+    row = spark.createDataFrame([("a\n\nb",), (None,)], "t string").select(paragraph_chunks(F.col("t"), 1).alias("c")).collect()
+    assert [r["c"] for r in row] == [["a", "b"], None]
+
+
+def test_waiting_and_restarting(spark, tmp_path):
+    from quern.sources import sinks
+    from quern.streaming import incremental
+
+    with pytest.raises(TimeoutError):
+        incremental.wait_for(spark, f"{tmp_path}/*.json", 1, 0.2, 0.05)
+    (tmp_path / "a.json").write_text("{}")
+    assert len(incremental.wait_for(spark, f"{tmp_path}/*.json", 1, 0.2)) == 1
+    place = str(tmp_path / "run")
+    assert incremental.restart(spark, place) == "new"
+    spark.range(3).write.parquet(f"{place}/index")
+    assert incremental.restart(spark, place) == "resumed" and incremental.restart(spark, place, "discard") == "discarded"
+    assert incremental.restart(spark, place) == "new"
+    sinks.publish_manifest(spark, {"index": spark.range(3)}, place)
+    assert incremental.restart(spark, place, "discard") == "complete"
+
+
+def test_articles_of_one_stream(spark):
+    from quern.sources import readers
+
+    lines = [(i, f" = Title {i} = " if i % 7 == 0 else f"line {i}" if i % 5 else " ") for i in range(200)]
+    got = readers.article_fold(spark.createDataFrame(lines, "i long, t string").repartition(6), "i", "t").collect()
+    want, now = [], []
+    for i, t in lines:
+        if t.strip():
+            if i % 7 == 0 and now:
+                want.append(now)
+                now = []
+            now.append(t)
+    assert sorted(r["text"] for r in got) == sorted("\n".join(a) for a in [*want, now])
