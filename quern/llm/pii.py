@@ -28,6 +28,7 @@ import hashlib
 import hmac
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -72,6 +73,7 @@ _TITLES = frozenset(TITLES)
 #: Words that begin with a capital letter, or are of a script without case.
 _CAPITAL = re.compile(r"(?<!\w)[^\W\d_a-zß-öø-ÿ][^\W\d_]*(?:[-'’][^\W\d_]+)*")
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
+_EAST = re.compile(r"[\u4e00-\u9fff\uac00-\ud7a3]")
 _HAN = re.compile(
     rf"(?:{'|'.join(HAN_SURNAMES)})[\u4e00-\u9fff]{{1,2}}|[\u4e00-\u9fff]{{2,4}}(?=さん|様|氏|先生|女士)|(?<=我叫)[\u4e00-\u9fff]{{2,3}}|(?<=姓名[::])[\u4e00-\u9fff]{{2,4}}|[\uac00-\ud7a3]{{2,4}}(?= ?(?:씨|님))"
 )
@@ -301,6 +303,24 @@ def canonical(kind: str, text: str) -> str:
     return text if kind == "ip" else text.lower()
 
 
+#: What every match holds, and the characters that it may consist of.
+_AROUND = {
+    "email": (re.compile("@"), re.compile(r"[A-Za-z0-9_%+.@-]*"), re.compile(r"[A-Za-z0-9_%+.@-]")),
+    "number": (re.compile(r"\d"), re.compile(r"[A-Z\d .()+-]*"), re.compile(r"[A-Z\d .()+-]")),
+}
+
+
+def _windows(text: str, anchor: re.Pattern, run: re.Pattern, one: re.Pattern) -> Iterator[tuple[int, int]]:
+    """(start, end) of the runs around each anchor, with two characters more for what looks ahead."""
+    at = 0
+    while m := anchor.search(text, at):
+        a = m.start()
+        while a > at and one.match(text, a - 1):
+            a -= 1
+        at = run.match(text, m.start()).end()
+        yield a, at + 2
+
+
 def detect(text: str) -> list[tuple[int, int, str]]:
     """(start, end, type) of the entities in order, none overlapping another."""
     found: list[tuple[int, int, str]] = []
@@ -313,11 +333,9 @@ def detect(text: str) -> list[tuple[int, int, str]]:
             taken[a:b] = bytes([1]) * (b - a)
             found.append((a, b, kind))
 
-    digits = any(c.isdigit() for c in text)
+    windows = {kind: list(_windows(text, *around)) for kind, around in _AROUND.items()}
     for kind, pattern in PATTERNS:
-        if (kind == "email" and "@" not in text) or not digits and kind != "email":
-            continue
-        for m in pattern.finditer(text):
+        for m in (m for a, b in windows["email" if kind == "email" else "number"] for m in pattern.finditer(text, a, b)):
             if kind == "phone" and (not 8 <= sum(c.isdigit() for c in m[0]) <= 16 or not _national(m[0])[1]):
                 continue
             take(m.start(), m.end(), kind)
@@ -330,7 +348,7 @@ def detect(text: str) -> list[tuple[int, int, str]]:
                 for part in re.finditer(r"[^-'’]+", m[0]):
                     if part[0] in names:
                         take(m.start() + part.start(), m.start() + part.end(), names[part[0]])
-    if not text.isascii():
+    if not text.isascii() and _EAST.search(text):
         for m in _HAN.finditer(text):
             take(m.start(), m.end(), "last")
     return sorted(found)
@@ -423,7 +441,7 @@ def pseudonymize(df: DataFrame, key: bytes, id_col: str = "doc_id", text_col: st
 
 def collisions(replaced: DataFrame) -> DataFrame:
     """(type, value, fault): surrogates that stand for several entities, entities that have several or are their own; none is right."""
-    pairs = replaced.select(F.explode("entities").alias("e")).select("e.type", "e.entity", "e.stands").distinct()
+    pairs = cut(replaced.select(F.explode("entities").alias("e")).select("e.type", "e.entity", "e.stands").distinct())
     shared = pairs.groupBy("type", F.col("stands").alias("value")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("type", "value", F.lit("shared").alias("fault"))
     split = pairs.groupBy("type", F.col("entity").alias("value")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("type", "value", F.lit("split").alias("fault"))
     same = pairs.where("entity = stands").select("type", F.col("entity").alias("value"), F.lit("unchanged").alias("fault"))

@@ -151,7 +151,7 @@ def shared_buckets(classes: DataFrame, id_col: str, most: int = BUCKET) -> DataF
     rows = valued(classes.select(id_col, "sketch", F.explode(F.array(*(F.lit(1 << b) for b in range(BANDS)))).alias("mask")))
     done: list[DataFrame] = []
     for level in range(5):
-        counts = cut(rows.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+        counts = rows.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         rows = cut(rows.join(counts, ["mask", "value"]))
         if level == 4 or rows.where(F.col("n") > most).isEmpty():
             return reduce(DataFrame.unionByName, [*done, rows.drop("n")])
@@ -173,7 +173,7 @@ def near_pairs(sketched: DataFrame, id_col: str, least: int = LEAST_EQUAL, most:
     """
     if least < LEAST_EQUAL:
         raise ValueError(f"buckets hold every pair only from {LEAST_EQUAL} equal components on")
-    classes = sketched.groupBy("sketch").agg(F.min(id_col).alias(id_col))
+    classes = cut(sketched.groupBy("sketch").agg(F.min(id_col).alias(id_col)))
     rows = shared_buckets(classes, id_col, most)
     left, right = (rows.select(F.col(id_col).alias(x), F.col("sketch").alias(f"s{x}"), "mask", "value") for x in "ab")
     same = equal_components(F.col("sa"), F.col("sb"))
@@ -187,7 +187,9 @@ def keep_first(pairs: DataFrame, rounds: int = 12) -> DataFrame:
     is settled in order, one component of open rows a task at a time.
     """
     pairs = cut(pairs.select("a", "b"))
-    status = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("kept", F.lit(None).cast("boolean")))
+    # A row that is never the later one of a pair stays.
+    sides = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(False).alias("late")), F.struct(F.col("b").alias("id"), F.lit(True).alias("late")))).alias("s")).select("s.*")
+    status = cut(sides.groupBy("id").agg(F.max("late").alias("late")).select("id", F.when(~F.col("late"), True).alias("kept")))
     for _ in range(rounds):
         if status.where("kept is null").isEmpty():
             return status
