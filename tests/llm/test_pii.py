@@ -132,6 +132,20 @@ def test_check_refuses_collisions(spark):
         checked(broken)
 
 
+def test_windows_lose_no_match(texts):
+    import random
+
+    from quern.llm.pii import _AROUND, PATTERNS, _windows
+
+    rng = random.Random(1)
+    bits = ["123", "45", "-", " ", "+1", "(", ")", ".", "a", "DE89", "3704 ", "x@y.de", "\n", "@", "_", "A", "é", "\u0661"]
+    made = ["".join(rng.choices(bits, k=rng.randint(1, 14))) for _ in range(20_000)]
+    for t in [*texts.values(), *made]:
+        for kind, pattern in PATTERNS:
+            around = _AROUND["email" if kind == "email" else "number"]
+            assert [m.span() for m in pattern.finditer(t)] == [m.span() for a, b in _windows(t, *around) for m in pattern.finditer(t, a, b)]
+
+
 def test_ordinary_text_stays():
     text = "In 2024 the 3 rivers, version 1.2.3, took 12 of 345 days; Dr. no one. A1B2 10:30 5-4-3"
     assert detect(text) == [] and replace(text, KEY)[0] == text
