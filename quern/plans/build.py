@@ -22,11 +22,21 @@ from quern.runtime import cut
 from quern.sources import sinks
 
 
+#: Early reasons of each kind of build, in order; all but the reused corpus go on to exact copies, URLs and near copies.
+CASCADES = {
+    "new": ("length", "domain_blocklist", "benchmark_exact"),
+    "extension": ("length", "benchmark_exact", "prefer_origin"),
+    "reused": ("domain_blocklist",),
+}
+
+
 @dataclass(frozen=True)
 class Config:
     """What a build depends on; two builds with one digest give one result."""
 
+    cascade: str = "new"
     blocklist: tuple[str, ...] = ()
+    avoid: str = ""  # a part of URLs that the extension leaves to their origin
     least_chars: int = filters.LEAST_CHARS
     most_chars: int = filters.MOST_CHARS
     near: bool = True
@@ -68,7 +78,8 @@ def prior_sketches(prior: DataFrame | None) -> DataFrame | None:
 def reasons(docs: DataFrame, index: DataFrame | None, titles: DataFrame | None, prior: DataFrame | None, config: Config) -> DataFrame:
     """Documents (pos, id, source, url, title, text) with a digest and the first reason against them.
 
-    length, blocklist, benchmark, exact copy, same URL, near copy; null for those that stay.  Rows of the
+    For new documents: length, blocklist, benchmark, exact copy, same URL, near copy; null for those that stay.  Other
+    cascades are listed in CASCADES.  Rows of the
     prior corpus (digest, url and, where near copies of it go too, pos and text or sketch) come before all others.
     """
     normal = normalize_exact if config.exact_text else normalize
@@ -81,12 +92,16 @@ def reasons(docs: DataFrame, index: DataFrame | None, titles: DataFrame | None,
         known = titles.select(F.col("title").alias("__key"), F.lit(True).alias("__title")).distinct()
         rows = rows.withColumn("__key", title_key(F.coalesce("title", F.lit("")))).join(known, "__key", "left")
         hit = hit | F.coalesce("__title", F.lit(False))
-    early = filters.first_reason(
-        (~filters.length_ok(F.col("text"), config.least_chars, config.most_chars), "length"),
-        (blocked_host(host(F.col("url")), list(config.blocklist)), "domain_blocklist"),
-        (hit, "benchmark_exact"),
-    )
+    checks = {
+        "length": ~filters.length_ok(F.col("text"), config.least_chars, config.most_chars),
+        "domain_blocklist": blocked_host(host(F.col("url")), list(config.blocklist)),
+        "benchmark_exact": hit,
+        "prefer_origin": F.contains("page", F.lit(config.avoid)) if config.avoid else F.lit(False),
+    }
+    early = filters.first_reason(*((checks[name], name) for name in CASCADES[config.cascade]))
     staged = cut(rows.select("pos", "id", "source", "url", "page", "digest", F.length("text").alias("chars"), early.alias("early")))
+    if config.cascade == "reused":
+        return staged.withColumnRenamed("early", "reason").drop("page")
     passing = staged.where("early IS NULL").select("pos", "digest", F.col("page").alias("u"), F.lit(1).alias("prior"))
     if prior is not None:
         old = prior.select(F.lit(None).cast("long").alias("pos"), "digest", canonical_url(F.col("url")).alias("u"), F.lit(0).alias("prior"))
@@ -143,10 +158,19 @@ def build(
 
 
 def main(arguments: list[str]) -> None:
-    """``python -m quern.plans.build CONFIG.json``: documents, benchmark, out and the fields of Config."""
+    """``python -m quern.plans.build CONFIG.json [STAGE]``: documents, benchmark, out and the fields of Config.
+
+    STAGE is new, extension or reused in place of the configuration's cascade, or manifest, which shows what is built.
+    """
     with open(arguments[0], encoding="utf-8") as f:
         settings = inherited(json.load(f), lambda path: json.load(open(path, encoding="utf-8")))
     spark = SparkSession.builder.appName("quern build").getOrCreate()
+    stage = arguments[1] if len(arguments) > 1 else settings.get("cascade", "new")
+    if stage == "manifest":
+        for table, df in sinks.open_manifest(spark, settings["out"]).items():
+            print(table, df.count())
+        return
+    settings["cascade"] = stage
     docs = spark.read.parquet(settings.pop("documents"))
     bench, out = settings.pop("benchmark", None), settings.pop("out")
     for column in ("url", "title"):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -49,6 +50,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Drop the shuffle and checkpoint files of tables that nothing refers to any more.
+
+    Spark does so when the driver's collector finds them, which with much free memory may be long after; between the
+    phases of a long computation this bounds the disk that it holds.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Inputs up to so many bytes a core are dealt out before heavy work on each row.
 SPREAD_BYTES = 32 << 20
 

@@ -77,3 +77,24 @@ def test_near_copies_of_a_prior_corpus(spark, tmp_path):
         made = build(spark, docs, str(tmp_path / kind), Config(), prior=old)
         assert sorted((r["reason"], r["n"]) for r in made["funnel"].collect()) == [("approximate_near_document", 2), ("kept", 1)]
         assert {r["pos"] for r in made["index"].collect()} | {r["pos"] for r in made["panels"].collect()} == {1}
+
+
+def test_stages_and_command_line(spark, tmp_path, capsys):
+    import json
+
+    from quern.plans.build import main, reasons
+
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(0, "a", "http://x.org/1", text), (1, "a", "https://y.wiki.org/2", text + " more"), (2, "a", "http://bad.com/3", "short"), (3, "b", "http://x.org/4", text)]
+    docs = spark.createDataFrame(rows, "pos long, source string, url string, text string").select("pos", F.col("pos").cast("string").alias("id"), "source", "url", F.lit("").alias("title"), "text")
+    got = {c: {r["pos"]: r["reason"] for r in reasons(docs, None, None, None, Config(cascade=c, blocklist=("bad.com",), avoid=".wiki.org/", near=False)).collect()} for c in ("new", "extension", "reused")}
+    assert got["new"] == {0: None, 1: None, 2: "length", 3: "exact_document"}
+    assert got["extension"] == {0: None, 1: "prefer_origin", 2: "length", 3: "exact_document"}
+    assert got["reused"] == {0: None, 1: None, 2: "domain_blocklist", 3: None}
+    docs.select(F.col("pos").alias("doc_id"), "source", "url", "text").write.parquet(str(tmp_path / "docs"))
+    config = tmp_path / "c.json"
+    config.write_text(json.dumps({"documents": str(tmp_path / "docs"), "out": str(tmp_path / "out"), "blocklist": ["bad.com"], "near": False}))
+    main([str(config), "reused"])
+    main([str(config), "manifest"])
+    shown = capsys.readouterr().out.splitlines()
+    assert shown[:4] == shown[4:] and "funnel 3" in shown
