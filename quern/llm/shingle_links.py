@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from quern.llm.bitslice import within
-from quern.runtime import cut, ship
+from quern.runtime import cut, release, ship
 
 SEED = 42
 #: MinHash bands and the values of each; the first byte of every value is the signature.
@@ -291,12 +291,15 @@ def similar_edges(reps: DataFrame, sets_of: Callable[[DataFrame], DataFrame], co
     sets = cut(sets_of(wanted.select("node", "text_key")))
     about = wanted.drop("text_key")
     first = members.where(F.col("band") < FIRST_BANDS).join(about, "node").withColumn("root", F.col("node"))
-    dealt = _in_parts(cut(first))
-    near = cut(_compared(dealt.join(sets, "node"), similarity, True))
+    near = cut(_compared(_in_parts(cut(first)).join(sets, "node"), similarity, True))
     roots = components(near).withColumnRenamed("u", "node")
     placed = cut(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    del first, shared, members, bands, roots
+    release(reps.sparkSession)
     light = _between_components(placed.withColumn("weight", F.lit(1.0)))
     partners = cut(_compared(light.join(about.drop("weight"), "node"), similarity, False).distinct())
     left = cut(placed.join(partners, ["key", "node"], "left_semi").join(about, "node"))
+    del light, partners, placed
+    release(reps.sparkSession)
     rest = _compared(_between_components(left).join(sets, "node"), similarity, True)
     return near.unionByName(cut(rest))

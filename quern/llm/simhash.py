@@ -34,7 +34,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, Stru
 from quern.llm.bitslice import as_rows, within
 from quern.llm.common import map_text, narrow, texts_as_bytes
 from quern.llm.shingle_links import SEED, band_keys, minima, shingle_set, signature, similar_edges, word_blocks
-from quern.runtime import cut, ship
+from quern.runtime import cut, release, ship
 
 BITS = 64
 RADIUS = 2
@@ -272,6 +272,8 @@ def simhash_components(
         same = reps.join(least, "fp").where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
         links = close.select(F.col("u_node").alias("u"), F.col("v_node").alias("v")).unionByName(same).unionByName(similar_edges(reps, sets_of, components, similarity))
     roots = components(links)
+    del links
+    release(df.sparkSession)
     placed = reps.join(roots.withColumnRenamed("u", "node"), "node", "left").select("node", "lead", F.coalesce("root", "node").alias("root"))
     first = cut(placed.groupBy("root").agg(F.min("lead").alias("first")))
     named = cut(cut(placed).join(first, "root").select("node", "first"))
