@@ -34,6 +34,8 @@ MAX_LABELLED = 20_000
 FOLDS = 5
 #: Bytes whose n-grams are counted at a time; a longer text is counted in parts.
 PART = 1 << 20
+#: Bytes of short texts whose n-grams are counted together; a worker needs some 200 bytes for each.
+SLICE = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -83,7 +85,7 @@ def features(at: np.ndarray, raw: np.ndarray, used: np.ndarray | None = None) ->
     """(row, feature, count) of the texts raw[at[i]:at[i + 1]], each framed by blanks; ``used`` keeps some features."""
     size = np.diff(at)
     n = len(size)
-    if n == 1 and size[0] > PART:
+    if n == 1 and size[0] > min(PART, SLICE):
         code, counts = _long(raw, used)
         return np.zeros(len(code), np.int64), code, counts
     framed = np.full(int(at[-1]) + 2 * n, 32, np.uint8)
@@ -116,7 +118,7 @@ def _sums(sample: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((4, 1 << HASH_BITS))
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, SLICE):
                 row, code, count = features(*utf8_buffers(part.column(1)))
                 toxic = part.column(0).to_numpy(zero_copy_only=False)[row] == 1
                 value = np.log1p(count)
@@ -152,7 +154,7 @@ def _values(sample: DataFrame, used: np.ndarray) -> tuple[np.ndarray, list[np.nd
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, SLICE):
                 row, code, count = features(*utf8_buffers(part.column(1)), shared.value)
                 ends = np.searchsorted(row, np.arange(part.num_rows + 1))
                 lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, pa.int32())) for x in (code, count)]
@@ -244,7 +246,7 @@ def predict(column: pa.Array, model: Model) -> np.ndarray:
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", name: str = "score") -> DataFrame:
     """``keep`` columns and the score of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return map_text(docs, keep, text, lambda column: [pa.array(predict(column, shared.value))], [StructField(name, DoubleType())])
+    return map_text(docs, keep, text, lambda column: [pa.array(predict(column, shared.value))], [StructField(name, DoubleType())], SLICE)
 
 
 def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
