@@ -92,13 +92,13 @@ def done_parts(spark, sf_dir):
 
 @query(
     "coverage_gaps",
-    "SELECT 'benchmark' AS source, 'loaded' AS status, (SELECT count(*) FROM benchmark) AS n UNION ALL SELECT 'conversations', 'loaded', (SELECT count(*) FROM conversations) UNION ALL SELECT 'missing', 'unavailable', NULL",
+    "SELECT 'benchmark' AS source, 'loaded' AS status, (SELECT count(*) FROM benchmark) AS n UNION ALL SELECT 'conversations', 'loaded', (SELECT count(*) FROM conversations) UNION ALL SELECT 'missing', 'unavailable', 0",
 )
 def coverage_gaps(spark, sf_dir):
     """Sets that are there with their rows, and one that is not."""
     loaded, status = readers.load_or_gap(spark, {name: f"{sf_dir}/{name}.parquet" for name in ("benchmark", "conversations", "missing")})
     counts = readers.union_sources([df.select(F.lit(name).alias("source")) for name, df in loaded.items()]).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    return status.join(counts, "source", "left").select("source", "status", "n")
+    return status.join(counts, "source", "left").select("source", "status", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("glob_files", "SELECT n_name AS name, n_regionkey AS region FROM nation WHERE n_regionkey IN (1, 3)")
