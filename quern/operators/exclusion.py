@@ -37,15 +37,17 @@ def small(df: DataFrame, most: int = BROADCAST_GRAMS) -> DataFrame:
 def contaminated(docs: DataFrame, id_col: str, index: DataFrame, n: int = SIZE) -> DataFrame:
     """Distinct ids of documents that share a gram with the index.
 
-    Documents are scanned for hashes of their grams, eight bytes each; the grams themselves are compared in the few
-    documents that hold a hash of the index.
+    A small index is broadcast and meets the grams in one scan.  Beside a large one only hashes of the grams are
+    shuffled, eight bytes each, and the grams themselves are compared in the documents that hold a hash of the index.
     """
     index = cut(index)
-    hashes = index.select(F.xxhash64(F.split("gram", " ")).alias("hash")).distinct()
-    rows = spread(docs.select(id_col, "text")).select(id_col, F.explode(gram_hashes(words(folded(F.col("text"))), n)).alias("hash"))
-    hits = cut(rows.join(small(hashes), "hash", "left_semi").select(id_col).distinct())
-    likely = docs.select(id_col, "text").join(hits, id_col, "left_semi")
-    return gram_rows(likely, id_col, F.col("text"), n).join(small(index), "gram", "left_semi").select(id_col).distinct()
+    texts = docs.select(id_col, "text")
+    if index.count() <= BROADCAST_GRAMS:
+        return gram_rows(spread(texts), id_col, F.col("text"), n).join(F.broadcast(index), "gram", "left_semi").select(id_col).distinct()
+    hashes = index.select(F.xxhash64(F.split("gram", " ")).alias("hash"))
+    rows = texts.select(id_col, F.explode(gram_hashes(words(folded(F.col("text"))), n)).alias("hash"))
+    likely = texts.join(rows.join(hashes, "hash", "left_semi").select(id_col).distinct(), id_col, "left_semi")
+    return gram_rows(likely, id_col, F.col("text"), n).join(index, "gram", "left_semi").select(id_col).distinct()
 
 
 def decontaminate(docs: DataFrame, id_col: str, index: DataFrame, titles: DataFrame | None = None, title_col: str | None = None) -> DataFrame:

@@ -14,7 +14,9 @@ def rows(df, *columns):
     return sorted(tuple(r[c] for c in columns) for r in df.collect())
 
 
-def test_exclusion_by_gram_and_title(spark):
+@pytest.mark.parametrize("most", [2_000_000, 0])
+def test_exclusion_by_gram_and_title(spark, monkeypatch, most):
+    monkeypatch.setattr(exclusion, "BROADCAST_GRAMS", most)
     words = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"
     bench = spark.createDataFrame([(0, words)], "item_id long, text string")
     docs = spark.createDataFrame([(1, "x " + words.upper() + " y", "a"), (2, "other " * 14, "Held_out_article"), (3, " ".join(words.split()[:12]), "c")], "doc_id long, text string, title string")
