@@ -7,16 +7,17 @@ settle rows whose earlier neighbours are settled, over the rows that have a neig
 
 from __future__ import annotations
 
-import hashlib
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.arrays import Words, md5_heads, slices
 from quern.functions.numeric import BANDS, COMPONENTS, LOW, MERSENNE, ROWS, SEED, permutation
 from quern.functions.text import normalize
 from quern.runtime import cut, ship, spread
@@ -63,37 +64,69 @@ def _shingles(parts: list[str]) -> list[str]:
     return [" ".join(parts[i : i + SHINGLE]) for i in range(len(parts) - SHINGLE + 1)]
 
 
-def _least(hashes: np.ndarray, permute: Callable[[np.ndarray], np.ndarray]) -> list[int]:
-    """Minima of every permutation over the hashes, a block of them at a time."""
-    least = np.full(COMPONENTS, LOW, np.int64)
-    for i in range(0, len(hashes), 4096):
-        np.minimum(least, permute(hashes[i : i + 4096, None]).min(axis=0).astype(np.int64), out=least)
-    return least.tolist()
+def _least(hashes: np.ndarray, starts: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(group, component) minima of ((a * h + b) mod 2**61 - 1) mod 2**32; groups begin at ``starts``, none is empty.
 
+    The remainder comes from two folds of the product, which wraps at 64 bits.
+    """
+    h, bits, m = hashes.astype(np.uint64), np.uint64(61), np.uint64(MERSENNE)
+    out = np.empty((len(starts), COMPONENTS), np.int64)
+    x, high = np.empty_like(h), np.empty_like(h)
+    with np.errstate(over="ignore"):
+        for i in range(COMPONENTS):
+            np.multiply(h, np.uint64(a[i]), out=x)
+            x += np.uint64(b[i])
+            np.right_shift(x, bits, out=high)
+            x &= m
+            x += high
+            np.add(x, np.uint64(1), out=high)
+            high >>= bits
+            x += high
+            x &= np.uint64(LOW)
+            out[:, i] = np.minimum.reduceat(x, starts)
+    return out
+
+
+def _sketched(column: pa.Array, hashed: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], a: np.ndarray, b: np.ndarray) -> pa.Array:
+    """Sketches of texts whose words are parted by single blanks; all zero for a text under five words."""
+    out = np.zeros((len(column), COMPONENTS), np.int64)
+    batch = pa.RecordBatch.from_arrays([column], ["text"])
+    done = 0
+    for part in slices(batch, 0, 1 << 18):
+        found = Words(part.column(0))
+        last = len(found.start) - SHINGLE + 1
+        if last > 0:
+            first = np.flatnonzero(found.owner[:last] == found.owner[SHINGLE - 1 :])
+            for k in range(0, len(first), 1 << 16):  # a long text a block at a time
+                some = first[k : k + (1 << 16)]
+                owners, starts = np.unique(found.owner[some], return_index=True)
+                least = _least(hashed(found.raw, found.start[some], found.end[some + SHINGLE - 1]), starts, a, b)
+                before = out[done + owners]
+                out[done + owners] = np.where(before.any(axis=1, keepdims=True), np.minimum(before, least), least)
+        done += part.num_rows
+    return pa.FixedSizeListArray.from_arrays(pa.array(out.ravel()), COMPONENTS).cast(pa.list_(pa.int64()))
+
+
+def with_sketch(df: DataFrame, normal_col: str, name: str = "sketch") -> DataFrame:
+    """``df`` with the portable sketch of a column that is normalised already: 32-bit MD5 of five-word shingles."""
+    ship(df.sparkSession)
 
-def portable_sketch(text: str | None) -> list[int]:
-    """32-bit MD5 shingles of the portably normalised text; all zero for a text under five words."""
-    shingles = set(_shingles([w for w in (text or "").split(" ") if w]))
-    if not shingles:
-        return [0] * COMPONENTS
-    hashes = np.fromiter((int.from_bytes(hashlib.md5(s.encode(), usedforsecurity=False).digest()[:4], "big") for s in shingles), np.int64, len(shingles))
-    a, b = (np.array(x, np.int64) for x in zip(*map(permutation, range(COMPONENTS))))
-    return _least(hashes, lambda h: (a * h + b) % MERSENNE & LOW)
+    @F.arrow_udf("array<long>")
+    def sketch(texts: pa.Array) -> pa.Array:
+        a, b = (np.array(x, np.uint64) for x in zip(*map(permutation, range(COMPONENTS))))
+        return _sketched(texts, md5_heads, a, b)
+
+    return df.withColumn(name, sketch(F.col(normal_col)))
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """(id, sketch) with the portable hash family over five-word shingles of the normalised text.
 
-    Normalised in generated code, sketched in one Arrow UDF over whole columns, without a row for each shingle and
-    without a shuffle; a text under five words has an all-zero sketch.
+    Normalised in generated code, sketched by array arithmetic over slices of a column, without a row for each shingle
+    and without a shuffle; a text under five words has an all-zero sketch.
     """
-    ship(df.sparkSession)
-
-    @F.pandas_udf("array<long>")
-    def sketch(texts: pd.Series) -> pd.Series:
-        return texts.map(portable_sketch)
-
-    return spread(df.select(id_col, text_col)).select(id_col, sketch(normalize(F.col(text_col))).alias("sketch"))
+    normal = spread(df.select(id_col, text_col)).select(id_col, normalize(F.coalesce(F.col(text_col), F.lit(""))).alias("__normal"))
+    return with_sketch(normal, "__normal").select(id_col, "sketch")
 
 
 def _exact_family() -> tuple[np.ndarray, np.ndarray]:
@@ -102,25 +135,30 @@ def _exact_family() -> tuple[np.ndarray, np.ndarray]:
     return multipliers, draws.randint(0, 2**32, size=COMPONENTS, dtype=np.uint64)
 
 
-def exact_sketch(text: str | None) -> list[int]:
-    """32-bit xxHash shingles of the exactly normalised text under 64-bit permutations."""
+def _xxh32(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     import xxhash
 
-    shingles = set(_shingles(unicodedata.normalize("NFKC", text or "").casefold().split()))
-    if not shingles:
-        return [0] * COMPONENTS
-    hashes = np.fromiter(map(xxhash.xxh32_intdigest, shingles), np.uint64, len(shingles))
-    a, b = _exact_family()
-    return _least(hashes, lambda h: (h * a + b) % np.uint64(MERSENNE) & np.uint64(LOW))
+    whole = raw.tobytes()
+    return np.fromiter((xxhash.xxh32_intdigest(whole[a:b]) for a, b in zip(start.tolist(), end.tolist())), np.uint64, len(start))
+
+
+def exact_column(texts: pa.Array) -> pa.Array:
+    normal = pa.array([" ".join(unicodedata.normalize("NFKC", t or "").casefold().split()) for t in texts.to_pylist()], pa.string())
+    return _sketched(normal, _xxh32, *_exact_family())
+
+
+def exact_sketch(text: str | None) -> list[int]:
+    """32-bit xxHash shingles of the exactly normalised text under 64-bit permutations."""
+    return exact_column(pa.array([text], pa.string()))[0].as_py()
 
 
 def exact_sketches(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """(id, sketch) of the exact family, in one Arrow UDF and without a shuffle."""
     ship(df.sparkSession)
 
-    @F.pandas_udf("array<long>")
-    def sketch(texts: pd.Series) -> pd.Series:
-        return texts.map(exact_sketch)
+    @F.arrow_udf("array<long>")
+    def sketch(texts: pa.Array) -> pa.Array:
+        return exact_column(texts)
 
     return spread(df.select(id_col, text_col)).select(id_col, sketch(F.col(text_col)).alias("sketch"))
 

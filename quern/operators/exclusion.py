@@ -7,15 +7,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from quern.functions.text import folded, gram_hashes, grams, title_key, words
-from quern.runtime import cut, spread
+from quern.functions.arrays import HashSet, Words, slices
+from quern.functions.text import NO_WORD, folded, gram_hashes, grams, title_key, words
+from quern.runtime import cut, ship, spread
 
 SIZE = 13
-#: The exclusion side is broadcast only where it has at most so many grams; beyond, it is shuffled.
-BROADCAST_GRAMS = 2_000_000
+#: Hashes of the exclusion side are held by every task only where it has at most so many grams (64 MB); beyond, it is shuffled.
+BROADCAST_GRAMS = 4_000_000
 
 
 def gram_rows(df: DataFrame, id_col: str, text: Column, n: int = SIZE) -> DataFrame:
@@ -34,16 +37,58 @@ def small(df: DataFrame, most: int = BROADCAST_GRAMS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def _spoken(text: Column) -> Column:
+    """The words of a text, parted by single blanks."""
+    return F.trim(F.regexp_replace(folded(text), NO_WORD, " "))
+
+
+def _hashes(grams_: DataFrame, n: int) -> DataFrame:
+    """Hashes of whole grams."""
+    ship(grams_.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(Words(batch.column(0)).grams(n)[1].view(np.int64))], ["hash"])
+
+    return grams_.select("gram").mapInArrow(run, "hash long")
+
+
+def gram_hits(docs: DataFrame, id_col: str, index: DataFrame, n: int = SIZE) -> DataFrame:
+    """(id, gram) of the runs of words whose hash is one of the index's.
+
+    The hashes of all runs of a slice of texts come from prefix sums, and are tested in the task against the hashes of the
+    index, eight bytes a gram; only what hits becomes a row.  The caller compares the grams themselves.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    listed = _hashes(index, n).toArrow()  # the caller has checked how many there are
+    known = spark.sparkContext.broadcast(HashSet(listed.column("hash").combine_chunks().to_numpy().view(np.uint64) if listed.num_rows else np.zeros(0, np.uint64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                words_ = Words(part.column(1))
+                first, hashes = words_.grams(n)
+                hits = first[known.value.places(hashes)]
+                if len(hits):
+                    found = [words_.text(k, n) for k in hits.tolist()]
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(words_.owner[hits])), pa.array(found)], [id_col, "gram"])
+
+    schema = StructType([docs.schema[id_col], StructField("gram", StringType())])
+    return spread(docs.select(id_col, "text")).select(id_col, _spoken(F.col("text")).alias("text")).mapInArrow(run, schema)
+
+
 def contaminated(docs: DataFrame, id_col: str, index: DataFrame, n: int = SIZE) -> DataFrame:
     """Distinct ids of documents that share a gram with the index.
 
-    A small index is broadcast and meets the grams in one scan.  Beside a large one only hashes of the grams are
-    shuffled, eight bytes each, and the grams themselves are compared in the documents that hold a hash of the index.
+    Hashes of the index are tested inside the scan where they are few enough to be held by every task, and only hits are
+    joined to the grams of the index.  Beside a larger index the hashes of all grams are shuffled, eight bytes each, and the
+    grams themselves are compared in the documents that hold a hash of the index.
     """
     index = cut(index)
     texts = docs.select(id_col, "text")
     if index.count() <= BROADCAST_GRAMS:
-        return gram_rows(spread(texts), id_col, F.col("text"), n).join(F.broadcast(index), "gram", "left_semi").select(id_col).distinct()
+        return gram_hits(texts, id_col, index, n).join(index, "gram", "left_semi").select(id_col).distinct()
     hashes = index.select(F.xxhash64(F.split("gram", " ")).alias("hash"))
     rows = texts.select(id_col, F.explode(gram_hashes(words(folded(F.col("text"))), n)).alias("hash"))
     likely = texts.join(rows.join(hashes, "hash", "left_semi").select(id_col).distinct(), id_col, "left_semi")
@@ -80,8 +125,6 @@ def hashed_grams(df: DataFrame, id_col: str, text_col: str, n: int = SIZE) -> Da
     import re
     import unicodedata
 
-    from quern.runtime import ship
-
     ship(df.sparkSession)
     pattern = re.compile(r"\w+")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.operators import aggregates, decisions, windows
 from quern.plans.base import query, table
 from quern.runtime import shared_folder
-from quern.streaming import incremental
+from quern.streaming import incremental, keyed
 
 
 @query("latest_status", "SELECT user_id, count(*) AS events, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
@@ -117,6 +117,21 @@ def stream_near_dedup(spark, sf_dir):
     return spark.read.schema("doc_id long, digest string").parquet(f"{place}/out/batch=*").select("doc_id")
 
 
+@query("stream_keyed_dedup")
+def stream_keyed_dedup(spark, sf_dir):
+    """Documents in three files, one a batch, one of them new at a second start, against keyed state.
+
+    Tests hold it against first wins row by row, where digests and URLs of all rows count and sketches of those that stay.
+    """
+    place = _place(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("https://"), "source", F.lit("/"), F.floor(F.col("doc_id") / 400))).alias("url"))
+    for third in range(3):
+        docs.where(F.col("doc_id") % 3 == third).repartition(1).write.mode("append").parquet(f"{place}/in")
+        if third:
+            keyed.keyed_dedup(spark, f"{place}/in", docs.schema, place, files=1)
+    return spark.read.schema(docs.schema).parquet(f"{place}/out/batch=*").select("doc_id")
+
+
 @query("decay_plans")
 def decay_plans(spark, sf_dir):
     """Events stand for plans that a run reads: which are refused, and why; tests hold it against a fold in plain Python."""

@@ -9,7 +9,7 @@ from quern.operators import aggregates, tokenizing
 from quern.plans.base import normal, query, table
 from quern.plans.corpus import _CASCADE_SQL
 from quern.runtime import shared_folder
-from quern.sources import readers, sinks
+from quern.sources import commits, ranges, readers, sinks
 
 
 def _place(spark) -> str:
@@ -120,6 +120,47 @@ def byte_ranges(spark, sf_dir):
     return readers.json_rows(spark, "doc_id long, source string", place)
 
 
+@query("line_ranges", "SELECT doc_id, md5(text) AS digest FROM documents")
+def line_ranges(spark, sf_dir):
+    """JSON lines of whole documents read by byte range, a quarter of a megabyte a task: every line is in one range."""
+    place = _place(spark)
+    table(spark, sf_dir, "documents").select("doc_id", "text").write.json(place)
+    rows = ranges.json_lines(spark, "doc_id long, text string", *readers.listed(spark, f"{place}/part-*"), range_bytes=1 << 18)
+    return rows.select("doc_id", F.md5("text").alias("digest"))
+
+
+@query("resumed_lines", "SELECT doc_id, source FROM documents")
+def resumed_lines(spark, sf_dir):
+    """JSON lines read up to a position near the middle of each file, then from there on, as a restart does."""
+    place = _place(spark)
+    table(spark, sf_dir, "documents").select("doc_id", "source").write.json(place)
+    files = readers.listed(spark, f"{place}/part-*")
+    # A position is where a line ends: the first one behind the middle, from the lines around it.
+    middle = {f: ranges.size_of(f) // 2 for f in files}
+    near = ranges.line_ranges(spark, *files, start=middle).groupBy("file").agg(F.min("position").alias("at"))
+    at = {r["file"]: r["at"] for r in near.collect()}  # one row a file
+    first = ranges.json_lines(spark, "doc_id long, source string", *files, stop={f: at.get(f, 0) for f in files})
+    rest = ranges.json_lines(spark, "doc_id long, source string", *files, start={f: at.get(f, 0) for f in files})
+    return first.unionByName(rest).select("doc_id", "source")
+
+
+@query(
+    "two_phase_commits",
+    f"SELECT doc_id, source, (doc_id % 3)::BIGINT AS batch, sha256({normal('text')}) AS digest FROM documents",
+)
+def two_phase_commits(spark, sf_dir):
+    """Output and state of three batches, each under one commit; a batch that comes again changes nothing."""
+    place = _place(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", text.digest(text.normalize(F.col("text"))).alias("digest"))
+    for batch in (0, 1, 1, 2):
+        rows = docs.where(F.col("doc_id") % 3 == batch)
+        commits.commit_batch(spark, place, batch, {"out": rows.select("doc_id", "source"), "state": rows.select("doc_id", "digest")}, {"done": batch})
+    if commits.last_commit(place)["progress"] != {"done": 2} or commits.recover(place):
+        raise ValueError("a commit is missing, or a file is that no commit names")
+    out, state = (commits.committed(spark, place, name, f"doc_id long, {c} string") for name, c in (("out", "source"), ("state", "digest")))
+    return out.join(state, ["doc_id", "batch"]).select("doc_id", "source", "batch", "digest")
+
+
 @query("source_fallback_ids", "SELECT CASE WHEN doc_id % 3 = 0 THEN 'x' || doc_id ELSE doc_id::VARCHAR END AS id, '' AS title, source IS NULL AS orphan FROM documents")
 def source_fallback_ids(spark, sf_dir):
     """Rows in the common columns: an empty id falls back to source_id, an absent title is empty."""

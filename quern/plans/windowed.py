@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text
-from quern.operators import sampling, windows
+from quern.operators import sampling, tokenizing, windows
 from quern.plans.base import normal, query, table, words
+from quern.runtime import shared_folder
+from quern.sources import ranges, sinks
 
 
 def tokens(spark, sf_dir):
@@ -136,6 +138,37 @@ def stream_cycles(spark, sf_dir):
     return spark.range(1000).select(F.col("id").alias("step"), cycles.alias("cycles"), cursor.alias("cursor"), (cycles * 50021 + cursor).alias("consumed"))
 
 
+@query(
+    "stream_batches",
+    r"""WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT + 4) || [2] AS t FROM documents),
+    b AS (SELECT doc_id, len(t) AS n, sum(len(t)) OVER (ORDER BY doc_id) - len(t) AS before, t FROM d),
+    e AS (SELECT before + unnest(range(n)) AS pos, unnest(t) AS token FROM b),
+    s AS (SELECT sum(n)::BIGINT AS total FROM b),
+    p AS (SELECT 1000 + range * 1024 AS p0, range AS id, total FROM s, range(0, (total * 5 // 4 // 8192 * 8))),
+    k AS (SELECT id, p0, total, unnest(range(1025)) AS i FROM p),
+    j AS (SELECT id, p0, total, i, token FROM k JOIN e ON (p0 + i) % total = pos)
+    SELECT (id // 8)::BIGINT AS batch, (id % 8)::BIGINT AS row, (any_value(p0) // any_value(total))::BIGINT AS cycle,
+           (sum(token * i) FILTER (i < 1024))::BIGINT AS x, (sum(token * i) FILTER (i > 0))::BIGINT AS y FROM j GROUP BY id""",
+)
+def stream_batches(spark, sf_dir):
+    """A circular stream over the bytes of all documents in uint16 shards, from token 1,000 once around and a quarter more.
+
+    Sums of the inputs and targets by place stand for the arrays.
+    """
+    place = f"{shared_folder(spark)}/shards/{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    encoded = tokenizing.encode(table(spark, sf_dir, "documents").select(F.lit("all").alias("part"), "doc_id", "text"), "text")
+    numbered = sinks.numbered_shards(encoded, "part", "doc_id", "ids")
+    paths = sinks.shard_files(numbered, place)
+    stream = ranges.TokenStream(spark, paths, 1024, windows.stream_state(ranges.shard_table(paths), 1000) | {"length": 1024})
+    total = sum(n for _, n in stream.shards)
+    made = stream.next(8, total * 5 // 4 // 8192)
+
+    def by_place(column: str, first: int) -> Column:
+        return F.aggregate(F.transform(column, lambda t, i: t.cast("long") * (i + first)), F.lit(0).cast("long"), lambda a, t: a + t).alias(column)
+
+    return made.select("batch", "row", "cycle", by_place("x", 0), by_place("y", 1))
+
+
 # ------------------------------------------------------------------- sorting and sampling
 
 _U = "((('0x' || substr(md5('{0}:' || doc_id), 1, 13))::UBIGINT::DOUBLE + 0.5) / 4503599627370496.0)"

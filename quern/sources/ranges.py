@@ -1,0 +1,298 @@
+"""Byte ranges of files as Spark data sources: lines of JSON, and blocks of uint16 token shards.
+
+Ranges are planned from the sizes of the files, one partition a range, so that one large file is read by many tasks.
+Any file system that ``pyarrow.fs`` knows will do (local, HDFS, object stores): only what a range holds is read.
+"""
+
+from __future__ import annotations
+
+import json
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
+
+from quern.operators import windows
+from quern.runtime import ship
+
+RANGE_BYTES = 768 << 20
+CHUNK = 1 << 20
+#: Tokens of a row of a shard.
+BLOCK = 1 << 15
+
+
+def _file_system(path: str):
+    """(file system, path there) of a path or URI; Hadoop writes ``file:/x`` for ``file:///x``."""
+    from pyarrow import fs
+
+    if not re.match(r"[A-Za-z][\w+.-]*:", path):
+        return fs.LocalFileSystem(), path
+    return fs.FileSystem.from_uri(re.sub(r"^(\w+):/+(?=[^/])", r"\1:///", path) if path.startswith("file:") else path)
+
+
+def size_of(path: str) -> int:
+    system, inner = _file_system(path)
+    found = system.get_file_info(inner)
+    if not found.is_file:
+        raise FileNotFoundError(path)
+    return found.size
+
+
+@dataclass
+class Range(InputPartition):
+    """Bytes [start, end) of a file; ``base`` is what the source needs to know of what lies before."""
+
+    path: str
+    start: int
+    end: int
+    base: int = 0
+    number: int = 0
+
+
+def lines_of(path: str, start: int, end: int, stop: int | None = None) -> Iterator[tuple[int, int, bytes]]:
+    """(start, position, line) of the lines whose first byte lies in [start, end).
+
+    A line that begins exactly at ``start`` is of this range: what is skipped is the rest of the line that holds the
+    byte before.  ``position`` is where the next line begins.  Nothing is read from byte ``stop`` on, which ends a
+    file that a writer has left longer than it has committed.
+    """
+    system, inner = _file_system(path)
+    with system.open_input_file(inner) as f:
+        size = f.size() if stop is None else min(stop, f.size())
+        at = max(0, start - 1)
+        f.seek(at)
+        held: list[bytes] = []  # parts of a line that goes on
+        begin, skipping = at, start > 0
+        while at < size:
+            chunk = f.read(min(CHUNK, size - at))
+            if not chunk:
+                break
+            at += len(chunk)
+            *whole, rest = chunk.split(b"\n")
+            for part in whole:
+                line = b"".join([*held, part]) if held else part
+                held = []
+                after = begin + len(line) + 1
+                if not skipping:
+                    yield begin, after, line
+                begin, skipping = after, False
+                if begin >= end:
+                    return
+            if rest:
+                held.append(rest)
+        if held and not skipping:
+            line = b"".join(held)
+            yield begin, begin + len(line), line
+
+
+class LineRanges(DataSource):
+    """(file, start, position, line) of text files; options: files (JSON of [path, from, stop]), range_bytes."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "line_ranges"
+
+    def schema(self) -> str:
+        return "file string, start long, position long, line string"
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return LineReader(json.loads(self.options["files"]), int(self.options["range_bytes"]))
+
+
+class LineReader(DataSourceReader):
+    def __init__(self, files: list, range_bytes: int):
+        self.files, self.range_bytes = files, range_bytes
+
+    def partitions(self) -> list[Range]:
+        out = []
+        for path, first, stop in self.files:
+            size = size_of(path)
+            if stop is not None and size < stop:
+                raise ValueError(f"{path} holds {size} bytes of {stop}")
+            last = size if stop is None else stop
+            out += [Range(path, a, min(last, a + self.range_bytes), base=last) for a in range(first, last, self.range_bytes)]
+        return out
+
+    def read(self, part: Range | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # Spark asks once where there is no range at all
+            return
+        names, rows, held = ["file", "start", "position", "line"], [], 0
+        for row in lines_of(part.path, part.start, part.end, part.base):
+            rows.append(row)
+            held += len(row[2])
+            if held > CHUNK or len(rows) >= 4096:
+                yield _line_batch(part.path, rows, names)
+                rows, held = [], 0
+        if rows:
+            yield _line_batch(part.path, rows, names)
+
+
+def _line_batch(path: str, rows: list, names: list[str]) -> pa.RecordBatch:
+    starts, positions, lines = zip(*rows)
+    text = [line.decode("utf-8", "replace") for line in lines]
+    return pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), pa.array(starts, pa.int64()), pa.array(positions, pa.int64()), pa.array(text, pa.string())], names)
+
+
+def line_ranges(spark: SparkSession, *paths: str, range_bytes: int = RANGE_BYTES, start: dict[str, int] | None = None, stop: dict[str, int] | None = None) -> DataFrame:
+    """Lines of plain text files by byte range, with where they begin and where the next one does.
+
+    ``start`` resumes a file at a position that an earlier read has given; ``stop`` ends it there.
+    """
+    if range_bytes < 1:
+        raise ValueError("a range holds at least one byte")
+    ship(spark)
+    spark.dataSource.register(LineRanges)
+    files = [[p, (start or {}).get(p, 0), (stop or {}).get(p)] for p in paths]
+    return spark.read.format("line_ranges").option("files", json.dumps(files)).option("range_bytes", str(range_bytes)).load()
+
+
+def json_lines(spark: SparkSession, schema: str | StructType, *paths: str, strict: bool = True, **more) -> DataFrame:
+    """Rows of JSON lines with file, start and _position; blank lines are none, a bad line is an error or left out."""
+    from pyspark.errors import PySparkValueError
+
+    rows = line_ranges(spark, *paths, **more).where(F.trim("line") != "")
+    kind = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    taken = {"file", "start", "_position", "__bad"} & set(kind.names)
+    if taken:
+        raise PySparkValueError(f"columns of the reader: {sorted(taken)}")
+    full = StructType([*kind.fields, StructType.fromDDL("__bad string").fields[0]])
+    parsed = rows.select(F.from_json("line", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}).alias("r"), "file", "start", F.col("position").alias("_position"), "line")
+    bad = F.col("r").isNull() | F.col("r.__bad").isNotNull()
+    if strict:
+        where = F.concat(F.lit("bad line at byte "), F.col("start").cast("string"), F.lit(" of "), F.col("file"))
+        parsed = parsed.where(F.when(bad, F.raise_error(where).cast("boolean")).otherwise(F.lit(True)))
+    else:
+        parsed = parsed.where(~bad)
+    return parsed.select(*(F.col(f"r.`{c}`") for c in kind.names), "file", "start", "_position")
+
+
+# ------------------------------------------------------------------- token shards
+
+
+class TokenBlocks(DataSource):
+    """(shard, block, pos, tokens): uint16 shards as one sequence; options: shards (JSON of [path, number, first token,
+    from, to]), block, partition (tokens of a task)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "token_blocks"
+
+    def schema(self) -> str:
+        return "shard int, block long, pos long, tokens array<int>"
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return TokenReader(json.loads(self.options["shards"]), int(self.options["block"]), int(self.options["partition"]))
+
+
+class TokenReader(DataSourceReader):
+    def __init__(self, shards: list, block: int, partition: int):
+        self.shards, self.block, self.partition = shards, block, partition
+
+    def partitions(self) -> list[Range]:
+        return [Range(path, a, min(to, a + self.partition), first, number) for path, number, first, since, to in self.shards for a in range(since, to, self.partition)]
+
+    def read(self, part: Range | None) -> Iterator[pa.RecordBatch]:
+        """Positions part.start to part.end of the whole sequence, cut where blocks of it begin."""
+        if part is None:
+            return
+        system, inner = _file_system(part.path)
+        with system.open_input_file(inner) as f:
+            at = part.start
+            f.seek(2 * (at - part.base))
+            while at < part.end:
+                stop = min(part.end, (at // self.block + 1) * self.block)
+                tokens = np.frombuffer(f.read(2 * (stop - at)), "<u2").astype(np.int32)
+                if len(tokens) != stop - at:
+                    raise ValueError(f"{part.path} ends early")
+                columns = [pa.array([part.number], pa.int32()), pa.array([at // self.block]), pa.array([at]), pa.array([tokens], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "block", "pos", "tokens"])
+                at = stop
+
+
+def shard_table(paths: list[str]) -> list[tuple[str, int]]:
+    """(path, tokens) of the shards of a sequence; an odd number of bytes, or under two tokens in all, is an error."""
+    sizes = [(p, size_of(p)) for p in paths]
+    for path, size in sizes:
+        if size % 2:
+            raise ValueError(f"{path} holds half a token")
+    if sum(size for _, size in sizes) < 4:
+        raise ValueError("a stream holds two tokens at least")
+    return [(p, size // 2) for p, size in sizes]
+
+
+def token_blocks(spark: SparkSession, shards: list[tuple[str, int]], first: int = 0, last: int | None = None, block: int = BLOCK, partition: int = 1 << 24) -> DataFrame:
+    """(shard, block, pos, tokens) of positions [first, last) of the sequence of all shards; only these bytes are read."""
+    ship(spark)
+    spark.dataSource.register(TokenBlocks)
+    total = sum(n for _, n in shards)
+    last, at, wanted = total if last is None else last, 0, []
+    for number, (path, n) in enumerate(shards):
+        since, to = max(first, at), min(last, at + n)
+        if since < to:
+            wanted.append([path, number, at, since, to])
+        at += n
+    return spark.read.format("token_blocks").option("shards", json.dumps(wanted)).option("block", str(block)).option("partition", str(partition)).load()
+
+
+def stream_batches(spark: SparkSession, shards: list[tuple[str, int]], length: int, rows: int, batches: int, consumed: int = 0, block: int = BLOCK) -> DataFrame:
+    """(batch, row, cycle, x, y): ``batches`` batches of ``rows`` examples of ``length`` targets, from token ``consumed`` on.
+
+    The shards are one circular sequence; examples overlap by one token, across shards and across the end.  An example
+    is joined to the blocks that it covers by their numbers, so a task holds blocks and no shard.
+    """
+    if length < 1 or rows < 1 or batches < 0:
+        raise ValueError("a batch holds at least one example of one target")
+    total = sum(n for _, n in shards)
+    count = batches * rows
+    span = count * length + 1
+    if span >= total:
+        blocks = token_blocks(spark, shards, block=block)
+    else:
+        first = consumed % total
+        blocks = token_blocks(spark, shards, first, min(total, first + span), block)
+        if first + span > total:
+            blocks = blocks.unionByName(token_blocks(spark, shards, 0, first + span - total, block))
+    examples = spark.range(count).select(F.col("id"), (F.lit(consumed) + F.col("id") * length).alias("p"))
+    cycles = F.sequence(F.floor(F.col("p") / total), F.floor((F.col("p") + length) / total))
+    laps = examples.select("id", "p", F.explode(cycles).alias("lap"))
+    low = F.greatest(F.col("p") - F.col("lap") * total, F.lit(0))
+    high = F.least(F.col("p") + length - F.col("lap") * total, F.lit(total - 1))
+    needs = laps.select("id", "p", "lap", low.alias("low"), high.alias("high"))
+    needs = needs.withColumn("block", F.explode(F.sequence(F.floor(F.col("low") / block), F.floor(F.col("high") / block))))
+    met = needs.join(blocks, "block").where((F.col("pos") <= F.col("high")) & (F.col("pos") + F.size("tokens") > F.col("low")))
+    begin, end = F.greatest("low", "pos"), F.least(F.col("high") + 1, F.col("pos") + F.size("tokens"))
+    piece = F.slice("tokens", (begin - F.col("pos") + 1).cast("int"), (end - begin).cast("int"))
+    pieces = met.select("id", "p", F.struct((F.col("lap") * total + begin).alias("at"), piece.alias("tokens")).alias("piece"))
+    whole = pieces.groupBy("id", "p").agg(F.flatten(F.transform(F.sort_array(F.collect_list("piece")), lambda s: s["tokens"])).alias("tokens"))
+    return whole.select(
+        F.floor(F.col("id") / rows).cast("long").alias("batch"),
+        (F.col("id") % rows).cast("long").alias("row"),
+        F.floor(F.col("p") / total).cast("long").alias("cycle"),
+        F.slice("tokens", 1, length).alias("x"),
+        F.slice("tokens", 2, length).alias("y"),
+    )
+
+
+class TokenStream:
+    """Batches of a circular stream with a state that is saved and resumed; another set of shards is an error."""
+
+    def __init__(self, spark: SparkSession, paths: list[str], length: int, state: dict | None = None, block: int = BLOCK):
+        self.spark, self.length, self.block = spark, length, block
+        self.shards = shard_table(paths)
+        if state is not None and state["length"] != length:
+            raise ValueError("the saved state is of another length")
+        self.consumed = 0 if state is None else windows.resumed(state, self.shards)
+
+    def next(self, rows: int, batches: int = 1) -> DataFrame:
+        made = stream_batches(self.spark, self.shards, self.length, rows, batches, self.consumed, self.block)
+        self.consumed += rows * batches * self.length
+        return made
+
+    def state(self) -> dict:
+        return windows.stream_state(self.shards, self.consumed) | {"length": self.length}

@@ -100,6 +100,35 @@ def numbered_shards(df: DataFrame, part: str, order: str, tokens: str, most_toke
     return cells.repartition("part", "number").sortWithinPartitions("part", "number", "at", "o").mapInPandas(pack, "part string, number long, shard binary, tokens long, documents long")
 
 
+def shard_files(shards: DataFrame, folder: str) -> list[str]:
+    """Write shards (part, number, shard) as raw files, one a shard, and list them by part and number.
+
+    A task writes the shards it holds, under another name first, so that a task that runs twice leaves one file.
+    """
+    ship(shards.sparkSession)
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import uuid
+
+        from quern.sources.ranges import _file_system
+
+        system, inner = _file_system(folder)
+        system.create_dir(inner, recursive=True)
+        for batch in batches:
+            paths = []
+            for part, number, shard in zip(batch["part"], batch["number"], batch["shard"]):
+                name = f"{part}-{number:08d}.bin"
+                beside = f"{inner}/{name}.{uuid.uuid4().hex}"
+                with system.open_output_stream(beside) as f:
+                    f.write(shard)
+                system.move(beside, f"{inner}/{name}")
+                paths.append(f"{folder}/{name}")
+            yield pd.DataFrame({"part": batch["part"].astype(str), "number": batch["number"], "path": paths})
+
+    written = shards.select("part", "number", "shard").mapInPandas(write, "part string, number long, path string")
+    return [r["path"] for r in sorted(written.collect(), key=lambda r: (r["part"], r["number"]))]  # one row a shard
+
+
 def freeze(df: DataFrame, path: str) -> None:
     """A record that is written once; a second write is an error."""
     df.write.mode("errorifexists").json(path)
