@@ -108,8 +108,7 @@ def _rows(keys: DataFrame, stored: bool, groups: int) -> DataFrame:
 
 
 def decided(hits: DataFrame) -> DataFrame:
-    """(pos, digest, u, sketch, payload) of the rows of a batch that stay, from what the state said of their keys."""
-    hits = cut(hits)
+    """(pos, digest, u, sketch, payload) of the rows of a batch that stay, from what the state said of their keys (a written table)."""
     parsed = hits.where("payload IS NOT NULL").select("pos", F.from_json("payload", "digest string, u string, sketch array<long>, payload string").alias("p"))
     rows = cut(parsed.select("pos", "p.*"))
     fresh = dedup.exact_and_url_reasons(rows.select("pos", "digest", "u"), "digest", "u", "pos").where("reason IS NULL").select("pos")
@@ -131,8 +130,9 @@ def keyed_dedup(spark: SparkSession, source: str, schema: StructType, folder: st
     spark.createDataFrame([], marked).write.mode("ignore").parquet(f"{back}/batch=start")
 
     def write(hits: DataFrame, number: int) -> None:
-        kept = decided(hits)
-        if kept.isEmpty():
+        hits = cut(hits)
+        # A batch that only stores bands writes nothing: an empty file of bands would call for a batch of its own.
+        if hits.isEmpty() or (kept := decided(hits)).isEmpty():
             return
         rows = kept.select(F.from_json("payload", schema).alias("r")).select("r.*")
         rows.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
