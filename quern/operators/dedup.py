@@ -305,7 +305,46 @@ def connected(links: DataFrame) -> DataFrame:
         now = cut(moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
 
 
-def near_reasons(sketched: DataFrame, id_col: str, prior: DataFrame | None = None) -> DataFrame:
+def _bands_of(classes: DataFrame) -> DataFrame:
+    """(row, band, key): the eight bands of each sketch, eight bytes a key."""
+    keys = F.array(*(F.struct(F.lit(b).alias("band"), F.xxhash64(F.slice("sketch", b * ROWS + 1, ROWS)).alias("key")) for b in range(BANDS)))
+    return classes.select("row", F.explode(keys).alias("k")).select("row", "k.band", "k.key")
+
+
+def crowds(classes: DataFrame, most: int = BUCKET, rounds: int = 6) -> tuple[DataFrame, DataFrame | None]:
+    """(rest, settled): settle the rows of crowded buckets without pairs; ``settled`` is (row, kept), or none.
+
+    The first row of all its buckets stays whatever else happens, as no earlier row can be near it.  So every other row is
+    compared with the first rows of its eight buckets alone, where these are such leaders, and goes where one is near.  What
+    is left has been compared with all leaders it shares a bucket with, so the same holds for it again.  A crowd of mutual
+    near copies is settled in one round, by as many comparisons as it has rows; rounds end when no bucket is crowded, or
+    when a round settles less than a tenth.  Rows are structs (late, id); those that are not late always stay.
+    """
+    rest, settled = classes, None
+    for _ in range(rounds):
+        keyed = _bands_of(rest)
+        buckets = cut(keyed.groupBy("band", "key").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+        if buckets.where(F.col("n") > most).isEmpty():
+            break
+        met = cut(keyed.join(buckets, ["band", "key"]).select("row", "first"))
+        # Rows that meet no other are settled as well: nothing is near them.
+        behind = met.groupBy("row").agg(F.max(F.col("row") != F.col("first")).alias("behind"))
+        placed = cut(rest.join(behind, "row", "left").withColumn("behind", F.coalesce("behind", F.lit(False))))
+        leaders = placed.where("NOT behind").select(F.col("row").alias("first"), F.col("sketch").alias("leader"))
+        pairs = met.where((F.col("row") != F.col("first")) & (F.col("row.late") == 1)).distinct()
+        compared = pairs.join(leaders, "first").join(rest, "row").where(equal_components(F.col("sketch"), F.col("leader")) >= LEAST_EQUAL)
+        gone = compared.select("row", F.lit(True).alias("gone")).distinct()
+        marked = cut(placed.join(gone, "row", "left").withColumn("kept", F.when(F.col("gone"), False).when(~F.col("behind"), True)))
+        now = marked.where("kept IS NOT NULL").select("row", "kept")
+        settled = now if settled is None else settled.unionByName(now)
+        rest = marked.where("kept IS NULL").select("row", "sketch")
+        open_rows, done = rest.count(), now.count()
+        if done * 9 < open_rows or not open_rows:
+            break
+    return rest, settled
+
+
+def near_reasons(sketched: DataFrame, id_col: str, prior: DataFrame | None = None, most: int = BUCKET) -> DataFrame:
     """(id, near): true where an earlier kept row has an equal or near sketch.
 
     All rows of ``prior``, with the same columns, come before and are kept.
@@ -314,13 +353,17 @@ def near_reasons(sketched: DataFrame, id_col: str, prior: DataFrame | None = Non
     if prior is not None:
         rows = rows.unionByName(prior.select(F.struct(F.lit(0).alias("late"), F.col(id_col).alias("id")).alias("row"), "sketch"))
     rows = cut(rows)
-    pairs = near_pairs(rows, "row")
+    classes = cut(rows.groupBy("sketch").agg(F.min("row").alias("row")))
+    rest, settled = crowds(classes, most)
+    pairs = near_pairs(rest, "row", most=most)
     if prior is not None:
         # Prior rows are kept whatever lies near them: among themselves they make no pairs.
         pairs = pairs.where("b.late = 1")
     status = keep_first(pairs)
-    classes = rows.groupBy("sketch").agg(F.min("row").alias("first"))
-    placed = rows.where("row.late = 1").join(classes, "sketch").join(status.withColumnRenamed("id", "first"), "first", "left")
+    if settled is not None:
+        status = status.unionByName(settled.withColumnRenamed("row", "id"))
+    firsts = classes.withColumnRenamed("row", "first")
+    placed = rows.where("row.late = 1").join(firsts, "sketch").join(status.withColumnRenamed("id", "first"), "first", "left")
     return placed.select(F.col("row.id").alias(id_col), ((F.col("row") != F.col("first")) | ~F.coalesce("kept", F.lit(True))).alias("near"))
 
 

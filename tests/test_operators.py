@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -75,6 +76,61 @@ def test_near_copies(spark, make):
     assert rows(dedup.near_reasons(sketched, "doc_id"), "doc_id", "near") == [(1, False), (2, True), (3, False), (4, False), (5, True)]
 
 
+def crowd(rng, base, n, changes):
+    """Distinct sketches that differ from a base in a few components each."""
+    out = set()
+    while len(out) < n:
+        s = list(base)
+        for c in rng.sample(range(32), rng.randint(1, changes)):
+            s[c] = rng.randrange(1, 10_000)
+        out.add(tuple(s))
+    return list(out)
+
+
+def first_wins(rows):
+    kept, out = np.zeros((0, 32), np.int64), {}
+    for i, s in sorted(rows):
+        near = bool(len(kept)) and bool(((kept == np.array(s)).sum(axis=1) >= 28).any())
+        out[i] = near
+        if not near:
+            kept = np.vstack([kept, s])
+    return out
+
+
+@pytest.mark.parametrize("changes", [2, 4])
+def test_crowds_against_first_wins(spark, changes):
+    """Crowds, of near copies or of rows around one sketch, beside rows that share a band and are not near."""
+    rng = random.Random(changes)
+    base, other = ([rng.randrange(2**32) for _ in range(32)] for _ in range(2))
+    sketches_ = crowd(rng, base, 150, changes) + crowd(rng, other, 60, 3) + [tuple(base), tuple(base)]
+    sketches_ += [tuple([*base[:4], *(rng.randrange(2**32) for _ in range(28))]) for _ in range(80)]
+    rng.shuffle(sketches_)
+    data = list(enumerate(sketches_))
+    df = spark.createDataFrame([(i, list(s)) for i, s in data], "doc_id long, sketch array<long>")
+    assert dict(rows(dedup.near_reasons(df, "doc_id", most=16), "doc_id", "near")) == first_wins(data)
+    # Behind a prior corpus whose rows all stay.
+    old = [(i, s) for i, s in data if i % 3 == 0]
+    prior = df.where("doc_id % 3 = 0")
+    kept, want = np.array([s for _, s in old]), {}
+    for i, s in sorted(d for d in data if d[0] % 3):
+        want[i] = bool(((kept == np.array(s)).sum(axis=1) >= 28).any())
+        if not want[i]:
+            kept = np.vstack([kept, s])
+    assert dict(rows(dedup.near_reasons(df.where("doc_id % 3 > 0"), "doc_id", prior, most=16), "doc_id", "near")) == want
+
+
+def test_a_large_crowd_makes_no_pairs(spark):
+    """20,000 mutual near copies are settled by the first of them, and nothing is left to pair."""
+    rng = random.Random(9)
+    base = [rng.randrange(2**32) for _ in range(32)]
+    data = crowd(rng, base, 20_000, 2)
+    df = spark.createDataFrame([(i, list(s)) for i, s in enumerate(data)], "doc_id long, sketch array<long>").repartition(4)
+    classes = cut(df.select(F.struct(F.lit(1).alias("late"), F.col("doc_id").alias("id")).alias("row"), "sketch"))
+    rest, settled = dedup.crowds(classes)
+    assert rest.isEmpty() and settled.where("kept").count() == 1 and settled.count() == 20_000
+    assert rows(dedup.near_reasons(df, "doc_id").groupBy("near").count(), "near", "count") == [(False, 1), (True, 19_999)]
+
+
 def test_exact_sketch_against_definition():
     import xxhash
 
