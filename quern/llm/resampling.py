@@ -35,6 +35,10 @@ SHARE = 25
 SEED = 7
 #: Texts are read in slices, and one long text in pieces, of about so many bytes.
 PIECE = 4 << 20
+#: Slices over which a task adds up strings before they are shuffled.
+SUMMED = 8 << 20
+#: Deals among which the strings of one first word are split, a power of two.
+SPLIT = 16
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -134,31 +138,65 @@ def pair_crcs(left: np.ndarray, right: np.ndarray, length: np.ndarray) -> np.nda
     return out
 
 
+def _lines(p: Piece, deals: int) -> pa.RecordBatch:
+    """(deal, lines): the distinct strings of a piece, a line for each first word: ``first:n last:n last ...``.
+
+    The number behind a word counts the string that ends with it; without one, it is once.  Lines of a first word go to
+    ``SPLIT`` deals by their last words, so none of these grows with a frequent word alone.
+    """
+    v = len(p.words)
+    crc = _crcs(p.words)
+    alone = np.arange(v)
+    i, j, which = p.pairs()
+    n = np.r_[np.bincount(p.ids[p.skip :], minlength=v), np.bincount(which, minlength=len(i))]
+    deal = np.r_[crc, crc[i] ^ (crc[j] & np.uint32(SPLIT - 1))].astype(np.int64) % deals
+    # Of a first word and a deal, the word alone comes first, where the deal is its own.
+    i, j, pair = np.r_[alone, i], np.r_[alone, j], np.r_[np.zeros(v, bool), np.ones(len(i), bool)]
+    order = np.lexsort((pair, i, deal))
+    i, j, n, deal, pair = i[order], j[order], n[order], deal[order], pair[order]
+    new = np.r_[True, (i[1:] != i[:-1]) | (deal[1:] != deal[:-1])]
+    words = p.words.cast(pa.binary())
+    counted = pc.binary_join_element_wise(words.take(pa.array(j)), pa.array(n).cast(pa.string()).cast(pa.binary()), pa.scalar(b":", pa.binary()))
+    token = pc.if_else(pa.array((n != 1) | ~pair), counted, words.take(pa.array(j)))
+    # A line that lacks the word alone begins with it all the same, counted as none.
+    bare = np.flatnonzero(new & pair)
+    named = pc.binary_join_element_wise(words.take(pa.array(i[bare])), pa.array([b"0"] * len(bare), pa.binary()), pa.scalar(b":", pa.binary()))
+    head = pc.binary_join_element_wise(named, token.take(pa.array(bare)), pa.scalar(b" ", pa.binary()))
+    token = pc.replace_with_mask(token, pa.array(new & pair), head)
+    blank = pa.scalar(b" ", pa.binary())
+    starts = np.flatnonzero(new)
+    line = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[starts, len(i)], pa.int32()), token), blank)
+    first = np.flatnonzero(np.r_[True, deal[starts][1:] != deal[starts][:-1]])
+    lines = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[first, len(starts)], pa.int32()), line), pa.scalar(b"\n", pa.binary()))
+    return pa.RecordBatch.from_arrays([pa.array(deal[starts][first]), lines.cast(pa.string())], ["deal", "lines"])
+
+
 def feature_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(feature, n): every distinct run of one or two words with its count over all texts.
 
-    A task adds up its own texts, a slice at a time, before the shuffle.
+    A task adds up its own texts, a slice at a time, before the shuffle, which carries the strings that begin alike in
+    one line and many lines in one row; so a string costs little more than its last word.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
+    deals = 1 << (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 0, PIECE):
+            for part in slices(batch, 0, SUMMED):
                 at, raw = utf8_buffers(part.column(0))
-                for p in pieces(raw, at):
-                    if not len(p.words):
-                        continue
-                    single = np.bincount(p.ids[p.skip :], minlength=len(p.words))
-                    i, j, which = p.pairs()
-                    joined = pc.binary_join_element_wise(p.words.take(pa.array(i)), p.words.take(pa.array(j)), pa.scalar(b" ", pa.large_binary()))
-                    names = [p.words.filter(pa.array(single > 0)), joined]
-                    counts = [single[single > 0], np.bincount(which, minlength=len(i))]
-                    for feature, n in zip(names, counts):
-                        for k in range(0, len(feature), 65_536):
-                            yield pa.RecordBatch.from_arrays([feature.slice(k, 65_536).cast(pa.binary()), pa.array(n[k : k + 65_536], pa.int64())], ["feature", "n"])
-
-    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "feature binary, n long")
-    return rows.groupBy("feature").agg(F.sum("n").alias("n"))
+                for p in pieces(raw, at, SUMMED):
+                    if len(p.words):
+                        yield _lines(p, deals)
+
+    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "deal long, lines string").repartition("deal")
+    line = rows.select("deal", F.explode(F.split("lines", "\n")).alias("line"))
+    first = F.substring_index("line", ":", 1)
+    each = line.select("deal", first.alias("first"), F.posexplode(F.split("line", " ")).alias("place", "token"))
+    count = F.when(F.instr("token", ":") > 0, F.substring_index("token", ":", -1).cast("long")).otherwise(1)
+    word = F.when(F.col("place") > 0, F.substring_index("token", ":", 1))
+    feature = F.concat_ws(" ", "first", word)
+    return each.select("deal", feature.alias("feature"), count.alias("n")).where("n > 0").groupBy("deal", "feature").agg(F.sum("n").alias("n")).select("feature", "n")
 
 
 def bucket_counts(docs: DataFrame, text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
