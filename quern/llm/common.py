@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from quern.runtime import ship
+from quern.runtime import shared_folder, ship
 
 #: A slice handed to a Python function holds at most so many bytes of text, unless one text is longer.
 SLICE_BYTES = 1 << 20
@@ -86,3 +86,11 @@ def narrow(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
         F.col(f"`{text_col}`").cast("string").alias("text"),
         *(F.col(f"`{c}`").alias(c) for c in more),
     )
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder as Parquet, which is smaller than a checkpoint, and read again."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

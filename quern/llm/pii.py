@@ -6,7 +6,8 @@ over the domain gives x -> P^-1(P(x) + 1).  So distinct entities get distinct su
 surrogates in all documents, and nothing stays as it was, without any table of the corpus.
 
 What is mapped is the entity, not its spelling: an address without regard to case, a number without its blanks
-and signs, a telephone number without its country or trunk prefix, a name without regard to case.  The
+and signs, a telephone number without its country or trunk prefix, a name without regard to case; digits of all scripts are
+read alike and written as they stood.  Dates and ranges of years are no telephone numbers.  The
 surrogate is then written in the form of the mention, so all mentions of an entity stay together.  Check digits
 follow from the mapped body; a wrong check digit stays wrong by the same difference.  Walks on the cycle pass
 over values that are not allowed (listed names, reserved addresses), which keeps the map one to one.
@@ -26,7 +27,9 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -79,7 +82,8 @@ _HAN = re.compile(
 )
 #: In this order; a later kind never overlaps an earlier one.
 PATTERNS = [
-    ("email", re.compile(r"(?<![\w.+-])[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-])")),
+    ("email", re.compile(r"(?<![\w.+-])[\w%+-]+(?:\.[\w%+-]+)*@(?:(?:[^\W_]|-)+\.)+[^\W\d_]{2,}(?![\w-])")),
+    ("ipv6", re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f:]*:[0-9A-Fa-f:]*:)(?=[A-Fa-f:]*[0-9])[0-9A-Fa-f:]{2,39}(?![\w:]|\.\d)")),
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
     ("card", re.compile(r"(?<![\w.+-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])")),
@@ -124,6 +128,9 @@ class Cycle:
         return self._walk(y, range(self.ROUNDS - 1, -1, -1))
 
 
+#: Signs that may be all of the name in an e-mail address.
+SIGNS = "%+-_"
+
 _VOWELS = {"latin": "aeiouy", "cyrillic": "аеёиоуыэюя", "greek": "αεηιουω"}
 
 
@@ -135,16 +142,6 @@ _RANGES = ((0xC0, 0x17F), (0x370, 0x3FF), (0x400, 0x4FF), (0x531, 0x587), (0x5D0
 def _classes() -> dict[str, str]:
     """For each replaceable character all characters of its class, in order."""
     found: dict[str, str] = {}
-    for low, high in _RANGES:
-        by_kind: dict[str, list[str]] = {}
-        for c in map(chr, range(low, high + 1)):
-            kind = unicodedata.category(c)
-            if kind in ("Lo", "Ll", "Lu") and (kind == "Lo" or len(c.lower()) == len(c.upper()) == 1 and c.lower() != c.upper() and c.lower().upper() == c.upper() and c.upper().lower() == c.lower()):
-                by_kind.setdefault(kind, []).append(c)
-        # Capital letters are exchanged as their small ones are, so that case can be put back.
-        small = "".join(x for x in by_kind.get("Ll", []) if x.upper() in by_kind.get("Lu", []))
-        for own in (small, small.upper(), "".join(by_kind.get("Lo", []))):
-            found |= dict.fromkeys(own, own)
     digits = "0123456789"
     found |= dict.fromkeys(digits, digits)
     scripts = {"latin": [chr(c) for c in range(ord("a"), ord("z") + 1)], "cyrillic": [chr(c) for c in range(0x430, 0x450)], "greek": [chr(c) for c in range(0x3B1, 0x3CA) if c != 0x3C2]}
@@ -153,13 +150,58 @@ def _classes() -> dict[str, str]:
             own = "".join(c for c in letters if (c in _VOWELS[script]) == vowel)
             found |= dict.fromkeys(own, own)
             found |= dict.fromkeys(own.upper(), own.upper())
+    for low, high in _RANGES:
+        by_kind: dict[str, list[str]] = {}
+        for c in map(chr, range(low, high + 1)):
+            kind = unicodedata.category(c)
+            if c not in found and kind in ("Lo", "Ll", "Lu") and (kind == "Lo" or len(c.lower()) == len(c.upper()) == 1 and c.lower() != c.upper() and c.lower().upper() == c.upper() and c.upper().lower() == c.lower()):
+                by_kind.setdefault(kind, []).append(c)
+        # Capital letters are exchanged as their small ones are, so that case can be put back.
+        small = "".join(x for x in by_kind.get("Ll", []) if x.upper() in by_kind.get("Lu", []))
+        for own in (small, small.upper(), "".join(by_kind.get("Lo", []))):
+            if len(own) > 1:
+                found |= dict.fromkeys(own, own)
     return found
 
 
+@lru_cache(maxsize=None)
+def _others() -> dict[str, str]:
+    """Classes of all further letters, digits and numerals: by block, category and whether case goes there and back.
+
+    Every character is of one class, of at least two: what is alone in its block is put together with its like.
+    """
+    known, kinds = _classes(), {}
+    for c in map(chr, range(sys.maxunicode + 1)):
+        kind = unicodedata.category(c)
+        if kind[0] not in "LN" or c in known:
+            continue
+        if kind == "Nd":
+            key = (kind, ord(c) - unicodedata.decimal(c), True)
+        else:
+            key = (kind, ord(c) >> 8, len(c.lower()) == len(c.upper()) == 1 and c.upper().lower() == c.lower() and c.lower().upper() == c.upper())
+        kinds.setdefault(key, []).append(c)
+    alone: dict[tuple, list[str]] = {}
+    for (kind, _, cased), own in kinds.items():
+        if len(own) == 1:
+            alone.setdefault((kind, cased), []).extend(own)
+    groups = [own for own in kinds.values() if len(own) > 1] + [own for own in alone.values() if len(own) > 1]
+    rest = [c for own in alone.values() if len(own) == 1 for c in own]
+    return {c: "".join(own) for own in [*groups, rest] for c in own}
+
+
+def _class(c: str) -> str | None:
+    own = _classes().get(c)
+    return own if own or not c.isalnum() else _others().get(c)
+
+
 def same_shape(text: str, key: bytes, label: str, allowed=lambda s: True) -> str:
-    """Another string of the same shape: digits, vowels and consonants by script and case, the rest as it is."""
-    classes = _classes()
-    radix = [classes.get(c) for c in text]
+    """Another string of the same shape: digits, vowels and consonants by script and case, the rest as it is.
+
+    A string without letters and digits changes its signs instead.
+    """
+    radix = [_class(c) for c in text]
+    if not any(radix):
+        radix = [SIGNS if c in SIGNS else None for c in text]
     size, x = 1, 0
     for c, own in zip(text, radix):
         if own:
@@ -249,20 +291,35 @@ def _recased(form: str, made: str) -> str:
     return "".join(m.upper() if f.isupper() else m for f, m in zip(form, made))
 
 
+def _caseless(text: str) -> str:
+    """Small letters where case goes there and back, else the text itself."""
+    lower = "".join(c.lower() for c in text)  # a letter at a time: a final sigma is a sigma
+    return lower if len(lower) == len(text) and _recased(text, lower) == text else text
+
+
 def _reserved(domain: str) -> bool:
     return bool(re.search(r"(^|\.)example\.(com|org|net)$", domain))
 
 
 def _email(text: str, key: bytes) -> str:
-    local, _, domain = text.lower().rpartition("@")
+    lower = _caseless(text)
+    local, _, domain = lower.rpartition("@")
     name, dot, top = domain.rpartition(".")
     new = domain if _reserved(domain) else same_shape(name, key, "domain." + top, lambda s: not _reserved(s + dot + top)) + dot + top
-    return _recased(text, same_shape(local, key, "email@" + domain) + "@" + new)
+    made = same_shape(local, key, "email@" + domain) + "@" + new
+    return made if lower is text else _recased(text, made)
+
+
+def _ipv6(text: str, key: bytes) -> str:
+    value = int(ipaddress.IPv6Address(text))
+    low = (1 << 112) - 1  # the first group tells what kind of address it is, and stays
+    made = str(ipaddress.IPv6Address(value & ~low | Cycle(key, f"ipv6{value >> 112}", 1 << 112).next(value & low)))
+    return made.upper() if text.upper() == text and text.lower() != text else made
 
 
 def _national(text: str) -> tuple[str, str]:
     """The number without and its digits within: country code and trunk zeros stay, the rest is the entity."""
-    country = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d\d(?=\d)", text)
+    country = re.match(r"(?:\+|00)[1-9]\d{0,2}(?=[ .(-])|(?:\+|00)[1-9]\d(?=\d)", text)
     head = len(country[0]) if country else 0
     digits = re.sub(r"\D", "", text[head:])
     if not head and len(digits) == 11 and digits[0] == "1":
@@ -285,13 +342,13 @@ def _listed(key: bytes, name: str) -> str:
 
 
 def _surname(text: str, key: bytes) -> str:
-    lower = text.lower()
-    if len(lower) != len(text) or _recased(text, lower) != text:  # letters whose case is not one to one
+    lower = _caseless(text)
+    if lower is text and text.lower() != text:  # letters whose case is not one to one
         return same_shape(text, key, "name", lambda s: s not in _SPELT and s not in _TITLES)
     return _recased(text, same_shape(lower, key, "surname", lambda s: s.capitalize() not in _SPELT and s.capitalize() not in _TITLES))
 
 
-MAKERS = {"email": _email, "iban": _iban, "ssn": lambda t, k: same_shape(t, k, "ssn"), "card": _card, "ip": _ip, "phone": _phone, "first": lambda t, k: _listed(k, t), "last": _surname}
+MAKERS = {"email": _email, "iban": _iban, "ssn": lambda t, k: same_shape(t, k, "ssn"), "card": _card, "ip": _ip, "ipv6": _ipv6, "phone": _phone, "first": lambda t, k: _listed(k, t), "last": _surname}
 
 
 def canonical(kind: str, text: str) -> str:
@@ -300,12 +357,53 @@ def canonical(kind: str, text: str) -> str:
         return _national(text)[1]
     if kind in ("iban", "ssn", "card"):
         return re.sub(r"\W", "", text)
-    return text if kind == "ip" else text.lower()
+    if kind == "ipv6":
+        return ipaddress.IPv6Address(text).exploded
+    return text if kind == "ip" else _caseless(text)
+
+
+#: Kinds that are read as numbers, whatever the script of their digits.
+NUMBERS = ("iban", "ssn", "card", "ip", "phone")
+_FOREIGN = re.compile(r"[^\D0-9]")
+
+
+def plain_digits(text: str) -> str:
+    """The text with the digits of all scripts as 0 to 9, a character for a character."""
+    found = set(_FOREIGN.findall(text)) if not text.isascii() else None
+    return text.translate({ord(c): str(unicodedata.decimal(c)) for c in found}) if found else text
+
+
+def _in_digits_of(form: str, made: str) -> str:
+    """``made`` in the digits of the mention: place for place, or those of its first digit where the lengths differ."""
+    zeros = [ord(c) - unicodedata.decimal(c) if c.isdecimal() else None for c in form]
+    first = next((z for z in zeros if z is not None), ord("0"))
+    places = zeros if len(form) == len(made) else [first] * len(made)
+    return "".join(chr((first if z is None else z) + int(c)) if "0" <= c <= "9" else c for z, c in zip(places, made))
+
+
+_DATE = re.compile(r"(?:1\d|20)\d\d([-./ ])(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01])(?!\d)|(?:0?[1-9]|[12]\d|3[01])([-./ ])(?:0?[1-9]|[12]\d|3[01])\2(?:1\d|20)\d\d(?!\d)|(?:1\d|20)\d\d ?[-.] ?(?:1\d|20)\d\d(?![\d-])")
+
+
+def _matches(pattern: re.Pattern, text: str, a: int, b: int, kind: str) -> Iterator[re.Match]:
+    """Matches from left to right; a date or a range of years is no telephone number, and the search goes on behind it."""
+    while m := pattern.search(text, a, b):
+        a = max(m.end(), m.start() + 1)
+        if kind == "phone" and (date := _DATE.match(m[0])):
+            a = m.start() + date.end()
+        elif kind == "ipv6":
+            try:
+                ipaddress.IPv6Address(m[0])
+                yield m
+            except ValueError:
+                pass
+        else:
+            yield m
 
 
 #: What every match holds, and the characters that it may consist of.
 _AROUND = {
-    "email": (re.compile("@"), re.compile(r"[A-Za-z0-9_%+.@-]*"), re.compile(r"[A-Za-z0-9_%+.@-]")),
+    "email": (re.compile("@"), re.compile(r"[\w%+.@-]*"), re.compile(r"[\w%+.@-]")),
+    "ipv6": (re.compile(r"(?<=:)[0-9A-Fa-f]{0,4}:"), re.compile(r"[0-9A-Fa-f:]*"), re.compile(r"[0-9A-Fa-f:]")),
     "number": (re.compile(r"\d"), re.compile(r"[A-Z\d .()+-]*"), re.compile(r"[A-Z\d .()+-]")),
 }
 
@@ -333,9 +431,10 @@ def detect(text: str) -> list[tuple[int, int, str]]:
             taken[a:b] = bytes([1]) * (b - a)
             found.append((a, b, kind))
 
-    windows = {kind: list(_windows(text, *around)) for kind, around in _AROUND.items()}
+    flat = plain_digits(text)
+    windows = {kind: list(_windows(flat, *around)) for kind, around in _AROUND.items()}
     for kind, pattern in PATTERNS:
-        for m in (m for a, b in windows["email" if kind == "email" else "number"] for m in pattern.finditer(text, a, b)):
+        for m in (m for a, b in windows[kind if kind in _AROUND else "number"] for m in _matches(pattern, flat if kind in NUMBERS else text, a, b, kind)):
             if kind == "phone" and (not 8 <= sum(c.isdigit() for c in m[0]) <= 16 or not _national(m[0])[1]):
                 continue
             take(m.start(), m.end(), kind)
@@ -366,6 +465,7 @@ def _names(text: str, emails: list[int]) -> dict[str, str]:
     def next_to(i: int, j: int, after: tuple[str, ...] = (" ",)) -> bool:
         return 0 <= i and j < len(words) and text[words[i][1] : words[j][0]] in after
 
+    chained = 0
     ends = {b: i for i, (_, b, _) in enumerate(words)}
     for a in emails:  # First Last <address>
         i = ends.get(len(text[max(0, a - 3) : a].rstrip(" <(")) + max(0, a - 3))
@@ -379,7 +479,7 @@ def _names(text: str, emails: list[int]) -> dict[str, str]:
                 add(words[i + 1][2])
         elif word in _TITLES:
             j = i
-            while next_to(j, j + 1, (" ", ". ") if j == i else (" ",)) and j - i < 4 and len(words[j + 1][2]) > 1:
+            while next_to(j, j + 1, (" ", ". ") if j == i else (" ",)) and words[j + 1][2] not in NO_NAMES | _TITLES and len(words[j + 1][2]) > 1:
                 j += 1
                 add(words[j][2])
         else:
@@ -392,9 +492,10 @@ def _names(text: str, emails: list[int]) -> dict[str, str]:
             if word not in NO_NAMES and len(word) > 1 and _cued(text[max(0, a - 28) : a]):
                 add(word)
                 j = i
-                while next_to(j, j + 1) and j - i < 3 and len(words[j + 1][2]) > 1:
+                while i >= chained and next_to(j, j + 1) and words[j + 1][2] not in NO_NAMES | _TITLES and len(words[j + 1][2]) > 1:
                     j += 1
                     add(words[j][2])
+                chained = max(chained, j)
     return names
 
 
@@ -413,10 +514,12 @@ def surrogate(kind: str, text: str, key: bytes) -> str:
 def replace(text: str, key: bytes) -> tuple[str, list[dict]]:
     out, at, rows = [], 0, []
     for start, end, kind in detect(text):
-        new = surrogate(kind, text[start:end], key)
-        out += [text[at:start], new]
         old = text[start:end]
-        rows.append({"type": kind, "start": start, "end": end, "original": old, "surrogate": new, "entity": canonical(kind, old), "stands": canonical(kind, new)})
+        read = plain_digits(old) if kind in NUMBERS else old
+        made = surrogate(kind, read, key)
+        new = made if read == old else _in_digits_of(old, made)
+        out += [text[at:start], new]
+        rows.append({"type": kind, "start": start, "end": end, "original": old, "surrogate": new, "entity": canonical(kind, read), "stands": canonical(kind, made)})
         at = end
     return "".join([*out, text[at:]]), rows
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.caps import embedding_components
+from quern.llm.common import written
 from quern.llm.exact_dedup import exact_dedup
 from quern.llm.flac import media_features
 from quern.llm.html_text import extract_text
@@ -57,7 +58,7 @@ DEMONSTRATION_KEY = b"quern demonstration key"
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    replaced = checked(pseudonymize(read(spark, sf_dir, "documents"), DEMONSTRATION_KEY))
+    replaced = checked(written(pseudonymize(read(spark, sf_dir, "documents"), DEMONSTRATION_KEY)))
     places = F.transform("entities", lambda e: F.concat_ws(":", e["type"], e["start"], e["end"]))
     return replaced.select("doc_id", F.size("entities").cast("long").alias("n_entities"), F.array_join(places, ",").alias("entities"), "text")
 

@@ -1,6 +1,9 @@
+import sys
+import unicodedata
+
 import pytest
 
-from quern.llm import queries
+from quern.llm import pii, queries
 from quern.llm.pii import Cycle, _luhn, canonical, checked, collisions, detect, pseudonymize, replace, surrogate
 
 KEY = b"test key"
@@ -165,3 +168,59 @@ def test_queries_and_odd_rows(spark, sf, odd, empty):
     found = pseudonymize(odd, KEY).collect()
     assert len(found) == odd.count() and sum(r["text"] is None for r in found) == 2
     assert pseudonymize(empty, KEY).count() == 0
+
+
+ODD = [
+    "Call ١٢٣-٤٥-٦٧٨٩", "هاتف: ٠١٢ ٣٤٥ ٦٧٨٩", "फोन: ९८७ ६५४ ३२१०", "０３-１２３４-５６７８", "Dr. ＪＯＨＮ", "Dear 𝐉𝐨𝐡𝐧", "Mr. ᎠᎡ", "Mr. Ⰰⰱ", "Mr. ẞß", "_@example.com",
+    "%+@x.org", "jörg@firma.de", "user@münchen.de", "fe80::1ff:fe23:4567:890a", "١٩٢.١٦٨.١.٧", "٤١١١ ١١١١ ١١١١ ١١١١", "DE89 ３７０４ ００４４ ０５３２ ０１３０ ００", "İSTANBUL@ornek.tr", "Dr. DŽORDŽ ǅordǆ",
+]
+
+
+def test_no_script_stays_in_clear(spark):
+    """Through the check of the whole corpus: every mention is found, changed, and of the same form."""
+    df = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string")
+    for r in pii.checked(pii.pseudonymize(df, b"key")).collect():
+        assert r["entities"], ODD[r["doc_id"]]
+        for e in r["entities"]:
+            assert e["entity"] != e["stands"] and e["original"] != e["surrogate"] and e["original"] not in r["text"]
+            if e["type"] not in ("ip", "ipv6"):
+                assert [unicodedata.category(c) for c in e["original"] if c.isdecimal()] == [unicodedata.category(c) for c in e["surrogate"] if c.isdecimal()]
+            if all(c.isdecimal() or not c.isalnum() for c in e["original"]):
+                zeros = [{ord(c) - unicodedata.decimal(c) for c in e[x] if c.isdecimal()} for x in ("original", "surrogate")]
+                assert zeros[0] == zeros[1]
+
+
+def test_digits_and_capitals_of_all_scripts(spark):
+    letters = [chr(c) for c in range(sys.maxunicode + 1)]
+    zeros = [c for c in letters if unicodedata.category(c) == "Nd" and unicodedata.decimal(c) == 0]
+    numbers = ["".join(chr(ord(z) + int(d)) if d.isdigit() else d for d in "212-55-7890") for z in zeros]
+    capitals = [c for c in letters if unicodedata.category(c) == "Lu"]
+    texts = [f"no {n}" for n in numbers] + [f"Mr. {c}{c.lower()}" for c in capitals] + [f"Mr. {c}{c}" for c in capitals]
+    found = [(t, *pii.replace(t, b"key")) for t in texts]
+    assert all(e and new != t for t, new, e in found)
+    assert len({e[0]["stands"] for _, _, e in found[: len(numbers)]}) == 1  # one number in many scripts
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert pii.checked(pii.pseudonymize(df, b"key")).count() == len(texts)
+
+
+def test_classes_are_a_partition():
+    for classes in (pii._classes(), pii._others()):
+        assert all(c in own and len(own) > 1 and all(classes[x] == own for x in own) for c, own in list(classes.items())[::7])
+    assert not set(pii._classes()) & set(pii._others())
+
+
+def test_dates_are_no_telephones():
+    for text in ("on 2024-01-15 and 12.05.1980", "1990-2005", "2024.12.31", "31/12/2023", "2024-01-15 10:30"):
+        assert pii.replace(text, b"key") == (text, [])
+    assert pii.detect("2024-13-45 ")[0][2] == "phone" and pii.detect("2024-01-15 555-123-4567")[0][:2] == (11, 23)
+
+
+def test_prefixes_of_one_number():
+    stands = {pii.replace(t, b"key")[1][0]["stands"] for t in ("0044 20 7946 0958", "+44 20 7946 0958", "+44 (20) 7946-0958")}
+    assert len(stands) == 1
+
+
+def test_long_chains_of_names():
+    text, found = pii.replace("Dr. Anna Maria Luise Berta Zoë Huber and Mr. A Dr Prof Mr Smith", b"key")
+    assert len(found) >= 7 and not any(n in text for n in ("Luise", "Zoë", "Huber"))
+    assert len(pii.replace("Dear " * 20_000 + "Xaver", b"key")[0]) == 5 * 20_000 + 5
