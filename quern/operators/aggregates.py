@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.numeric import perplexity
+from quern.operators.windows import sums_before
+from quern.runtime import cut
 
 
 def corpus_stats(df: DataFrame, by: list[str], tokens: str, chars: Column) -> DataFrame:
@@ -90,9 +94,18 @@ def weighted_threshold(scored: DataFrame, score: str, weight: Column, fraction:
 
 
 def upper_median(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """sorted[n // 2] of each group, by rank and count."""
-    ranked = df.withColumn("__i", F.row_number().over(Window.partitionBy(*by).orderBy(value))).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    return ranked.where(F.col("__i") == F.floor(F.col("__n") / 2) + 1).select(*by, F.col(value).alias("median"))
+    """sorted[n // 2] of each group, exactly, nulls first.
+
+    Equal values are added up before the shuffle, and the numbers before each value are sums over ranges of (group, value),
+    so no task holds or sorts a group, however hot it is.
+    """
+    counted = cut(df.groupBy(*(F.col(b).alias(b) for b in by), F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__k")))
+    totals = counted.groupBy(*(F.col(b).alias(f"__of_{b}") for b in by)).agg(F.sum("__k").alias("__n"))
+    placed = sums_before(counted, by, ["__v"], __at="__k")
+    same = reduce(lambda x, y: x & y, (F.col(b).eqNullSafe(F.col(f"__of_{b}")) for b in by))
+    middle = F.floor(F.col("__n") / 2)
+    found = placed.join(totals, same).where((F.col("__at") <= middle) & (middle < F.col("__at") + F.col("__k")))
+    return found.select(*by, F.col("__v").alias("median"))
 
 
 def parameter_mean(models: DataFrame) -> DataFrame:

@@ -74,7 +74,7 @@ def adoption(results: DataFrame, base: str, min_gain: float) -> DataFrame:
 
 
 def lineage(spark, view: str, child: str, parent: str, most: int = 100) -> DataFrame:
-    """Ancestors of every row of a view by recursive SQL; a path guards against cycles."""
+    """Ancestors of every row of a view by recursive SQL; a path guards against cycles, and ``most`` generations are an error."""
     return spark.sql(f"""
         WITH RECURSIVE up(child, ancestor, depth, path) AS (
             SELECT {child}, {parent}, 1, array({child}) FROM {view} WHERE {parent} IS NOT NULL
@@ -82,7 +82,7 @@ def lineage(spark, view: str, child: str, parent: str, most: int = 100) -> DataF
             SELECT up.child, v.{parent}, up.depth + 1, concat(up.path, array(v.{child}))
             FROM up JOIN {view} v ON v.{child} = up.ancestor
             WHERE v.{parent} IS NOT NULL AND NOT array_contains(up.path, v.{child}) AND up.depth < {most})
-        SELECT child, ancestor, depth FROM up""")
+        SELECT child, ancestor, if(depth < {most}, depth, CAST(raise_error('a line of {most} generations') AS INT)) AS depth FROM up""")
 
 
 def symmetric_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -90,19 +90,20 @@ def unigram_loss(window: list[int], first: int) -> float:
     return sum((t % 97) / 97 for t in window[first:])
 
 
-def greedy_soup(ranked: DataFrame, goal: float, tolerance: float = 1e-12) -> DataFrame:
-    """(run, accepted) of a few ranked candidates: each joins while the trial's score does not fall.
+def greedy_soup(ranked: DataFrame, goal: float, tolerance: float = 1e-12, most: int = 100_000) -> DataFrame:
+    """(run, accepted) of ranked candidates: each joins while the trial's score does not fall.
 
-    A driver loop, as every trial needs a score of its own; the candidates are few by nature.
+    A driver loop, as every trial needs a score of its own; more candidates than ``most`` are an error.
     """
-    rows = ranked.select("run", "proxy").collect()
-    members: list[float] = []
-    best, out = float("-inf"), []
+    rows = ranked.select("run", "proxy").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} candidates")
+    total, members, best, out = 0.0, 0, float("-inf"), []
     for r in rows:
-        trial = [*members, r["proxy"]]
-        value = -abs(sum(trial) / len(trial) - goal)
+        trial = total + r["proxy"]
+        value = -abs(trial / (members + 1) - goal)
         accepted = value >= best - tolerance
         if accepted:
-            members, best = trial, value
+            total, members, best = trial, members + 1, value
         out.append((r["run"], accepted))
     return ranked.sparkSession.createDataFrame(out, "run string, accepted boolean")

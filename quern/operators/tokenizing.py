@@ -9,7 +9,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.text import normalize
@@ -40,6 +40,38 @@ def encode(df: DataFrame, text_col: str, path: str | None = None, end_id: int =
     return df.withColumn("ids", ids(F.col(text_col)))
 
 
+def moved_blanks(context: str | None, continuation: str | None) -> tuple[str, str]:
+    """Blanks at the end of a context belong to what follows; an empty context is an error."""
+    if not context:
+        raise ValueError("a pair without a context")
+    bare = context.rstrip()
+    return bare, context[len(bare) :] + (continuation or "")
+
+
+def encode_pairs(df: DataFrame, context: str, continuation: str, path: str | None = None) -> DataFrame:
+    """``df`` with ``context_ids`` and ``continuation_ids``: both texts are encoded as one, and the context's ids cut off.
+
+    So a token at the border reads as it does in the whole text.  One pass over a column's batches; without a tokenizer
+    file the ids are bytes.
+    """
+    ship(df.sparkSession)
+
+    def ids_of(texts: list[str]) -> list[list[int]]:
+        if path is None:
+            return [[b + SPECIAL for b in t.encode()] for t in texts]
+        return [e.ids for e in _load(path).encode_batch(texts, add_special_tokens=False)]
+
+    @F.pandas_udf("context array<int>, continuation array<int>")
+    def pairs(first: pd.Series, second: pd.Series) -> pd.DataFrame:
+        moved = [moved_blanks(a, b) for a, b in zip(first.astype(object).where(first.notna(), None), second.astype(object).where(second.notna(), None))]
+        begun = ids_of([a for a, _ in moved])
+        whole = ids_of([a + b for a, b in moved])
+        return pd.DataFrame({"context": begun, "continuation": [w[len(c) :] for c, w in zip(begun, whole)]})
+
+    made = df.withColumn("__pair", pairs(F.col(context), F.col(continuation)))
+    return made.withColumns({"context_ids": F.col("__pair.context"), "continuation_ids": F.col("__pair.continuation")}).drop("__pair")
+
+
 def decode(df: DataFrame, ids_col: str, path: str | None = None) -> DataFrame:
     """A ``decoded`` column; special ids are left out."""
     ship(df.sparkSession)
@@ -53,6 +85,12 @@ def decode(df: DataFrame, ids_col: str, path: str | None = None) -> DataFrame:
     return df.withColumn("decoded", text(F.col(ids_col)))
 
 
+def decoded_bytes(ids: Column) -> Column:
+    """The text of byte tokens, in generated code."""
+    digits = F.transform(ids, lambda i: F.lpad(F.hex((i - SPECIAL).cast("long")), 2, "0"))
+    return F.decode(F.unhex(F.array_join(digits, "")), "UTF-8")
+
+
 def pretoken_counts(df: DataFrame, text_col: str, digits: bool = False) -> DataFrame:
     """White-space pre-tokens with their counts, partly summed before the shuffle; on request every digit stands alone."""
     text = normalize(F.col(text_col))

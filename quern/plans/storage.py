@@ -144,6 +144,32 @@ def resumed_lines(spark, sf_dir):
     return first.unionByName(rest).select("doc_id", "source")
 
 
+@query("shuffled_lines", "SELECT doc_id, md5(text) AS digest, true AS placed FROM documents")
+def shuffled_lines(spark, sf_dir):
+    """Lines of documents in the order of a buffer of 1,000 for each range: all are there, each range counts from 0."""
+    place = _place(spark)
+    table(spark, sf_dir, "documents").select("doc_id", "text").write.json(place)
+    rows = ranges.shuffled_lines(spark, *readers.listed(spark, f"{place}/part-*"), most=1000, range_bytes=1 << 20)
+    sizes = rows.groupBy("file", "first").agg((F.max("place") + 1 == F.count(F.lit(1))).alias("placed"))
+    parsed = rows.select("file", "first", F.from_json("line", "doc_id long, text string").alias("r"))
+    return parsed.join(sizes, ["file", "first"]).select("r.doc_id", F.md5("r.text").alias("digest"), "placed")
+
+
+@query(
+    "encode_pairs",
+    r"""WITH d AS (SELECT doc_id, substr(text, 1, length(text) // 2 + 1) AS a, substr(text, length(text) // 2 + 2) AS b FROM documents),
+    m AS (SELECT doc_id, regexp_replace(a, '\s+$', '') AS c, regexp_extract(a, '\s*$') || b AS k FROM d WHERE trim(a) <> '')
+    SELECT doc_id, strlen(c)::BIGINT AS n_context, strlen(k)::BIGINT AS n_continuation, md5(c || '|' || k) AS digest FROM m""",
+)
+def encode_pairs(spark, sf_dir):
+    """Each document as a context and its continuation, encoded as one text; blanks at the border go to the continuation."""
+    half = (F.floor(F.length("text") / 2) + 1).cast("int")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", F.lit(1), half).alias("a"), F.substring("text", half + 1, F.length("text")).alias("b"))
+    made = tokenizing.encode_pairs(docs.where(F.trim("a") != ""), "a", "b")
+    read = [tokenizing.decoded_bytes(F.col(c)) for c in ("context_ids", "continuation_ids")]
+    return made.select("doc_id", F.size("context_ids").cast("long").alias("n_context"), F.size("continuation_ids").cast("long").alias("n_continuation"), F.md5(F.concat(read[0], F.lit("|"), read[1])).alias("digest"))
+
+
 @query(
     "two_phase_commits",
     f"SELECT doc_id, source, (doc_id % 3)::BIGINT AS batch, sha256({normal('text')}) AS digest FROM documents",

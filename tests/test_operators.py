@@ -131,6 +131,26 @@ def test_a_large_crowd_makes_no_pairs(spark):
     assert rows(dedup.near_reasons(df, "doc_id").groupBy("near").count(), "near", "count") == [(False, 1), (True, 19_999)]
 
 
+def test_upper_median_of_a_hot_group(spark):
+    rng = random.Random(5)
+    data = [(1 if rng.random() < 0.9 else rng.randrange(2, 9), float(rng.randrange(400)) / 7) for _ in range(3000)]
+    data += [(None, 1.5), (None, None), (20, None), (21, 2.0), (21, 2.0), (21, 3.0), (22, -0.0), (22, 5.0)]
+    want = {}
+    for g in {g for g, _ in data}:
+        values = sorted((v is not None, v or 0.0) for h, v in data if h == g)
+        want[g] = values[len(values) // 2][1] if values[len(values) // 2][0] else None
+    df = spark.createDataFrame(data, "g int, v double")
+    assert {r["g"]: r["median"] for r in aggregates.upper_median(df, ["g"], "v").collect()} == want
+    assert aggregates.upper_median(df.limit(0), ["g"], "v").count() == 0
+
+
+def test_lineage_beyond_its_bound_is_an_error(spark):
+    spark.createDataFrame([(i, i - 1 if i else None) for i in range(12)], "c int, p int").createOrReplaceTempView("line")
+    assert decisions.lineage(spark, "line", "c", "p", 12).count() == 66
+    with pytest.raises(PySparkException, match="generations"):
+        decisions.lineage(spark, "line", "c", "p", 5).collect()
+
+
 def test_exact_sketch_against_definition():
     import xxhash
 

@@ -171,3 +171,56 @@ def test_two_writers_of_one_batch(spark, tmp_path):
     two.commit([messages[1]])
     assert tables(spark, folder) == [(1, 0)] and commits.recover(folder) == []
     assert ranges.size_of(f"{folder}/{messages[0].files[0][1]}") > 0
+
+
+def test_shuffle_buffer(spark, lines):
+    """The order of a plain buffer of the same seed, for each range; a rerun on other ranges of tasks agrees."""
+    import random
+
+    def plain(rows, most, seed):
+        draws, held, out = random.Random(seed), [], []
+        for row in rows:
+            if len(held) < most:
+                held.append(row)
+                continue
+            k = draws.randrange(most)
+            out.append(held[k])
+            held[k] = row
+        draws.shuffle(held)
+        return out + held
+
+    got = ranges.shuffled_lines(spark, lines, most=20, seed=3).collect()
+    order = [json.loads(r["line"])["id"] for r in sorted(got, key=lambda r: r["place"])]
+    assert order == plain(range(200), 20, "3:0") and order != sorted(order)
+    small = ranges.shuffled_lines(spark, lines, most=20, seed=3, range_bytes=2000).collect()
+    starts = sorted({r["first"] for r in small})
+    assert len(starts) > 2 and sorted(json.loads(r["line"])["id"] for r in small) == list(range(200))
+    for first in starts:
+        part = sorted((r for r in small if r["first"] == first), key=lambda r: r["place"])
+        assert [r["start"] for r in part] == plain(sorted(r["start"] for r in part), 20, f"3:{first}")
+    assert [r["start"] for r in ranges.shuffled_lines(spark, lines, most=1).collect()] == sorted(r["start"] for r in got)
+
+
+def test_pairs_are_encoded_as_one_text(spark):
+    from quern.operators import tokenizing
+
+    rows = [("ab ", "c"), ("ab", " c"), ("größe  \n", "ist"), ("Question: why? Answer:", " because"), ("a", None)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = tokenizing.encode_pairs(df, "a", "b").collect()
+    for r in got:
+        bare = r["a"].rstrip()
+        rest = r["a"][len(bare) :] + (r["b"] or "")
+        assert bytes(i - 4 for i in r["context_ids"]).decode() == bare and bytes(i - 4 for i in r["continuation_ids"]).decode() == rest
+    with pytest.raises(Exception, match="without a context"):
+        tokenizing.encode_pairs(spark.createDataFrame([("", "b")], "a string, b string"), "a", "b").collect()
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    if not os.path.exists(path):
+        pytest.skip("no tokenizer files")
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    for r in tokenizing.encode_pairs(df, "a", "b", path).collect():
+        bare = r["a"].rstrip()
+        whole = tok.encode(r["a"] + (r["b"] or ""), add_special_tokens=False).ids
+        context = tok.encode(bare, add_special_tokens=False).ids
+        assert r["context_ids"] == context and r["continuation_ids"] == whole[len(context) :]
