@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import PANELS, blocked_host, canonical_url, digest, host, normalize, normalize_exact, panel_of, title_key
 from quern.operators import dedup, exclusion, filters, tokenizing, windows
+from quern.plans import ranged
 from quern.runtime import cut
-from quern.sources import sinks
+from quern.sources import ranges, sinks
 
 
 #: Early reasons of each kind of build, in order; all but the reused corpus go on to exact copies, URLs and near copies.
@@ -158,9 +159,12 @@ def build(
 
 
 def main(arguments: list[str]) -> None:
-    """``python -m quern.plans.build CONFIG.json [STAGE]``: documents, benchmark, out and the fields of Config.
+    """``python -m quern.plans.build CONFIG.json [STAGE [SOURCES]]``: documents, benchmark, prior, titles, out and the fields of Config.
 
-    STAGE is new, extension or reused in place of the configuration's cascade, or manifest, which shows what is built.
+    STAGE is new, extension or reused in place of the configuration's cascade, manifest, which shows what is built, or
+    ranges, which builds the JSON lines of ``files`` (a list of paths for each source) by byte range and goes on where it was
+    stopped.  SOURCES, parted by commas, names the ones to build now.  ``prior`` is a table of digest and url, and pos and
+    text or sketch where its near copies go too; ``titles`` one of held-out titles.
     """
     with open(arguments[0], encoding="utf-8") as f:
         settings = inherited(json.load(f), lambda path: json.load(open(path, encoding="utf-8")))
@@ -170,6 +174,15 @@ def main(arguments: list[str]) -> None:
         for table, df in sinks.open_manifest(spark, settings["out"]).items():
             print(table, df.count())
         return
+    sources = arguments[2].split(",") if len(arguments) > 2 else None
+    if stage == "ranges":
+        work = ranged.reused_rows(tuple(settings.get("blocklist", ())), settings.get("tokenizer"))
+        schema = settings.get("schema", "id string, url string, title string, text string")
+        made = ranged.build_parts(spark, settings["files"], settings["out"], schema, work, settings.get("range_bytes", ranges.RANGE_BYTES), sources=sources)
+        print("parts", len(made))
+        for r in ranged.built(spark, settings["out"]).groupBy("source", "reason").count().orderBy("source", "reason").collect():
+            print(r["source"], r["reason"] or "kept", r["count"])
+        return
     settings["cascade"] = stage
     docs = spark.read.parquet(settings.pop("documents"))
     bench, out = settings.pop("benchmark", None), settings.pop("out")
@@ -179,8 +192,13 @@ def main(arguments: list[str]) -> None:
     name = "id" if "id" in docs.columns else "doc_id"
     docs = docs.select(F.col(name).alias("pos"), F.col(name).cast("string").alias("id"), "source", "url", "title", "text")
     index = exclusion.index_grams(spark.read.parquet(bench), F.col("text")) if bench else None
+    if sources is not None:
+        docs = docs.where(F.col("source").isin(sources))
+    prior, titles = (spark.read.parquet(path) if path else None for path in (settings.pop("prior", None), settings.pop("titles", None)))
+    if titles is not None:
+        titles = titles.select(title_key(F.col("title")).alias("title"))
     config = Config(**{k: tuple(v) if isinstance(v, list) else v for k, v in settings.items()})
-    for table, df in build(spark, docs, out, config, index).items():
+    for table, df in build(spark, docs, out, config, index, titles, prior).items():
         print(table, df.count())
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text
 from quern.operators import aggregates, tokenizing
+from quern.plans import ranged
 from quern.plans.base import normal, query, table
 from quern.plans.corpus import _CASCADE_SQL
 from quern.runtime import shared_folder
@@ -144,6 +145,23 @@ def resumed_lines(spark, sf_dir):
     return first.unionByName(rest).select("doc_id", "source")
 
 
+@query(
+    "ranged_build",
+    f"SELECT doc_id, source, sha256({normal('text')}) AS digest, (strlen(text) + 1)::BIGINT AS tokens FROM documents",
+)
+def ranged_build(spark, sf_dir):
+    """JSON lines of each source built by ranges of half a megabyte: some sources at a first start, the rest at a second."""
+    place = _place(spark)
+    table(spark, sf_dir, "documents").select("doc_id", "source", F.lit(None).cast("string").alias("url"), "text").write.option("ignoreNullFields", False).partitionBy("source").json(f"{place}/in")
+    files: dict[str, list[str]] = {}
+    for path in readers.listed(spark, f"{place}/in/source=*/part-*"):
+        files.setdefault(path.split("source=")[1].split("/")[0], []).append(path)
+    first, work = sorted(files)[::2], ranged.reused_rows()
+    for sources in (first, None):
+        ranged.build_parts(spark, files, f"{place}/out", "doc_id long, url string, text string", work, 1 << 19, sources=sources)
+    return ranged.built(spark, f"{place}/out").select("doc_id", "source", "digest", F.size("ids").cast("long").alias("tokens"))
+
+
 @query("shuffled_lines", "SELECT doc_id, md5(text) AS digest, true AS placed FROM documents")
 def shuffled_lines(spark, sf_dir):
     """Lines of documents in the order of a buffer of 1,000 for each range: all are there, each range counts from 0."""

@@ -94,7 +94,7 @@ def lines_of(path: str, start: int, end: int, stop: int | None = None) -> Iterat
 
 
 class LineRanges(DataSource):
-    """(file, start, position, line) of text files; options: files (JSON of [path, from, stop]), range_bytes."""
+    """(file, start, position, line) of text files; options: files (JSON of [path, from, to, stop]), range_bytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -113,12 +113,13 @@ class LineReader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         out = []
-        for path, first, stop in self.files:
+        for path, first, to, stop in self.files:
             size = size_of(path)
             if stop is not None and size < stop:
                 raise ValueError(f"{path} holds {size} bytes of {stop}")
-            last = size if stop is None else stop
-            out += [Range(path, a, min(last, a + self.range_bytes), base=last) for a in range(first, last, self.range_bytes)]
+            size = size if stop is None else stop
+            last = size if to is None else min(to, size)
+            out += [Range(path, a, min(last, a + self.range_bytes), base=size) for a in range(first, last, self.range_bytes)]
         return out
 
     def read(self, part: Range | None) -> Iterator[pa.RecordBatch]:
@@ -141,16 +142,24 @@ def _line_batch(path: str, rows: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), pa.array(starts, pa.int64()), pa.array(positions, pa.int64()), pa.array(text, pa.string())], names)
 
 
-def line_ranges(spark: SparkSession, *paths: str, range_bytes: int = RANGE_BYTES, start: dict[str, int] | None = None, stop: dict[str, int] | None = None) -> DataFrame:
+def line_ranges(
+    spark: SparkSession,
+    *paths: str,
+    range_bytes: int = RANGE_BYTES,
+    start: dict[str, int] | None = None,
+    stop: dict[str, int] | None = None,
+    spans: list[tuple[str, int, int]] | None = None,
+) -> DataFrame:
     """Lines of plain text files by byte range, with where they begin and where the next one does.
 
-    ``start`` resumes a file at a position that an earlier read has given; ``stop`` ends it there.
+    ``start`` resumes a file at a position that an earlier read has given; ``stop`` ends it there.  ``spans`` names the
+    ranges (path, from, to) in place of whole files: lines that begin in one, whole where they end behind it.
     """
     if range_bytes < 1:
         raise ValueError("a range holds at least one byte")
     ship(spark)
     spark.dataSource.register(LineRanges)
-    files = [[p, (start or {}).get(p, 0), (stop or {}).get(p)] for p in paths]
+    files = [[p, a, b, None] for p, a, b in spans] if spans is not None else [[p, (start or {}).get(p, 0), None, (stop or {}).get(p)] for p in paths]
     return spark.read.format("line_ranges").option("files", json.dumps(files)).option("range_bytes", str(range_bytes)).load()
 
 

@@ -98,3 +98,75 @@ def test_stages_and_command_line(spark, tmp_path, capsys):
     main([str(config), "manifest"])
     shown = capsys.readouterr().out.splitlines()
     assert shown[:4] == shown[4:] and "funnel 3" in shown
+
+
+def test_ranges_go_on_where_they_were_stopped(spark, tmp_path):
+    """A build that dies after some of its ranges repeats none of them; sources can be built apart."""
+    import json
+
+    from quern.plans import ranged
+
+    files = {}
+    for source in ("a", "b"):
+        files[source] = [str(tmp_path / f"{source}{k}.jsonl") for k in range(2)]
+        for k, path in enumerate(files[source]):
+            with open(path, "w") as f:
+                for i in range(120):
+                    f.write(json.dumps({"id": f"{source}{k}-{i}", "url": "http://bad.com/" if i % 10 == 0 else None, "text": "word " * (i % 13)}) + "\n")
+    out, schema, seen = str(tmp_path / "out"), "id string, url string, text string", []
+    plain = ranged.reused_rows(("bad.com",))
+
+    def work(rows):
+        seen.append(sorted(r["part"] for r in rows.select("part").distinct().collect()))
+        if len(seen) == 3:
+            raise KeyboardInterrupt
+        return plain(rows)
+
+    every = ranged.parts_of(files, 1000)
+    assert len(every) > 20
+    with pytest.raises(KeyboardInterrupt):
+        ranged.build_parts(spark, files, out, schema, work, 1000, together=4)
+    assert ranged.entered(spark, out) == {p.name for p in every[:8]}
+    partly = {r["id"] for r in ranged.built(spark, out).select("id").collect()}
+    assert 0 < len(partly) < 480
+    again = ranged.build_parts(spark, files, out, schema, work, 1000, together=4, sources=["a"])
+    assert [p.name for p in again] == [p.name for p in every[8:] if p.source == "a"]
+    rest = ranged.build_parts(spark, files, out, schema, work, 1000, together=64)
+    assert {p.source for p in rest} == {"b"} and ranged.build_parts(spark, files, out, schema, work, 1000) == []
+    rows = ranged.built(spark, out).collect()
+    assert sorted(r["id"] for r in rows) == sorted(f"{s}{k}-{i}" for s in "ab" for k in range(2) for i in range(120))
+    for r in rows:
+        i = int(r["id"].split("-")[1])
+        assert (r["reason"], len(r["ids"])) == (("domain_blocklist", 0) if i % 10 == 0 else (None, 5 * (i % 13) + 1))
+    names = [n for batch in seen for n in batch]
+    assert len(names) - len(set(names)) <= 4  # only those of the job that died
+    with pytest.raises(ValueError):
+        ranged.build_parts(spark, files, out, schema, work, 999)
+
+
+def test_command_line_with_prior_titles_and_ranges(spark, tmp_path, capsys):
+    import json
+
+    from quern.functions.text import digest, normalize
+    from quern.plans.build import main
+
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(0, "a", "http://x.org/1", "t", text), (1, "a", "http://x.org/2", "Held_Out", text + " more"), (2, "b", "http://x.org/3", "u", text + " and more")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, url string, title string, text string")
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs.limit(1).select(digest(normalize(F.col("text"))).alias("digest"), F.lit("http://old.org/").alias("url")).write.parquet(str(tmp_path / "prior"))
+    spark.createDataFrame([("held out",)], "title string").write.parquet(str(tmp_path / "titles"))
+    config = tmp_path / "c.json"
+    settings = {"documents": str(tmp_path / "docs"), "prior": str(tmp_path / "prior"), "titles": str(tmp_path / "titles"), "out": str(tmp_path / "out"), "near": False}
+    config.write_text(json.dumps(settings))
+    main([str(config), "extension"])
+    got = {(r["source"], r["reason"]): r["n"] for r in spark.read.parquet(str(tmp_path / "out" / "funnel")).collect()}
+    assert got == {("a", "exact_document"): 1, ("a", "benchmark_exact"): 1, ("b", "kept"): 1}
+    with open(tmp_path / "a.jsonl", "w") as f:
+        f.write("".join(json.dumps({"id": str(i), "url": None, "title": "", "text": text}) + "\n" for i in range(9)))
+    config.write_text(json.dumps({"files": {"a": [str(tmp_path / "a.jsonl")], "b": [str(tmp_path / "a.jsonl")]}, "out": str(tmp_path / "parts"), "range_bytes": 700}))
+    capsys.readouterr()
+    main([str(config), "ranges", "a"])
+    main([str(config), "ranges"])
+    shown = capsys.readouterr().out.splitlines()
+    assert shown[0] == shown[2] and shown[1] == "a kept 9" and shown[3:] == ["a kept 9", "b kept 9"]
