@@ -18,6 +18,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -296,19 +297,29 @@ def declared(block: str) -> dict[str, tuple[bool, str]]:
 
 
 class Sheet:
-    """Rules of simple selectors, by a mark, type or ``*`` that an element must have."""
+    """Rules of simple selectors, by a mark, type or ``*`` that an element must have.
+
+    Rules of equal selectors are folded into one, and each stands under the mark that the fewest rules need, so that an
+    element meets few beside those that hold for it; elements of equal type and marks are worked out once.
+    """
 
     def __init__(self, root: Node) -> None:
-        self.rules: dict[str, list[tuple]] = {}
         self.size = 0
+        folded: dict[tuple[str, frozenset], dict[str, tuple]] = {}
         todo = [root]
         while todo:
             node = todo.pop()
-            if node.name == "style":
-                self._add("".join(c for c in node.children if isinstance(c, str)))
+            if node.name == "style" and _on_screen("@media " + node.values().get("media", "")):
+                self._add("".join(c for c in node.children if isinstance(c, str)), folded)
             todo += [c for c in reversed(node.children) if isinstance(c, Node)]  # sheets in document order
+        needs = Counter(mark for _, marks in folded for mark in marks)
+        self.rules: dict[str, list[tuple]] = {}
+        for (tag, marks), own in folded.items():
+            key = min(marks, key=lambda m: (needs[m], m)) if marks else tag or "*"
+            self.rules.setdefault(key, []).append((tag, marks, own))
+        self.known: dict[tuple[str, frozenset], dict[str, tuple]] = {}
 
-    def _add(self, css: str) -> None:
+    def _add(self, css: str, folded: dict) -> None:
         for selectors, block in rules(css):
             if not (own := declared(block)):
                 continue
@@ -321,30 +332,41 @@ class Sheet:
                 ids = sum(m[0] == "#" for m in marks)
                 self.size += 1
                 rank = (0, ids, len(marks) - ids, bool(tag), self.size)
-                self.rules.setdefault(marks[0] if marks else tag or "*", []).append((rank, tag, frozenset(marks), own))
+                _put(folded.setdefault((tag, frozenset(marks)), {}), own, rank)
+
+    def _of(self, name: str, marks: frozenset) -> dict[str, tuple]:
+        """Values that the rules give to elements of a type and marks, with what they won by."""
+        if (name, marks) not in self.known:
+            found: dict[str, tuple] = {}
+            for key in (*marks, name, "*"):
+                for tag, need, own in self.rules.get(key, ()):
+                    if (not tag or tag == name) and need <= marks:
+                        for c, won in own.items():
+                            if c not in found or won[0] >= found[c][0]:
+                                found[c] = won
+            self.known[name, marks] = found
+        return self.known[name, marks]
 
     def style(self, node: Node, values: dict[str, str]) -> dict[str, str]:
         """The winning values of an element."""
         found: dict[str, tuple] = {}
-
-        def put(own: dict[str, tuple[bool, str]], rank: tuple) -> None:
-            for name, (important, value) in own.items():
-                if name not in found or (important, rank) >= found[name][0]:
-                    found[name] = ((important, rank), value)
-
         if self.rules:
             marks = {"." + c for c in values.get("class", "").split()}
             if "id" in values:
                 marks.add("#" + values["id"])
-            for key in (*marks, node.name, "*"):
-                for rank, tag, need, own in self.rules.get(key, ()):
-                    if (not tag or tag == node.name) and need <= marks:
-                        put(own, rank)
+            found = dict(self._of(node.name, frozenset(marks)))
         if "style" in values:
-            put(declared(values["style"]), (1,))
+            _put(found, declared(values["style"]), (1,))
         return {name: value for name, (_, value) in found.items()}
 
 
+def _put(found: dict[str, tuple], own: dict[str, tuple[bool, str]], rank: tuple) -> None:
+    """Values of a rule over those of weaker ones: important ones first, then by rank."""
+    for name, (important, value) in own.items():
+        if name not in found or (important, rank) >= found[name][0]:
+            found[name] = ((important, rank), value)
+
+
 class Writer:
     """Lines with collapsed white space and margins."""
 
@@ -429,7 +451,7 @@ def _width(s: str) -> int:
 
 def _number(values: dict[str, str], name: str) -> int:
     digits = re.match(r"\s*(\d{1,4})", values.get(name, ""))
-    return min(max(1, int(digits[1])), 200) if digits else 1
+    return min(max(1, int(digits[1])), 1000) if digits else 1
 
 
 class Renderer:

@@ -152,3 +152,29 @@ def test_odd_rows(odd, empty):
     rows = extract_text(odd, "doc_id", "text").collect()
     assert len(rows) == odd.count() and all(r["text"] is not None for r in rows)
     assert extract_text(empty, "doc_id", "text").count() == 0
+
+
+def test_sheets_of_other_media_hide_nothing():
+    for media in ("print", "PRINT", "speech, print", "(min-width: 9px)", "not screen"):
+        assert page_text(f"<style media='{media}'>.y{{display:none}}</style><p class=y>visible") == "visible"
+    for media in ("", "all", "screen", "print, screen", "Screen"):
+        assert page_text(f"<style media='{media}'>.y{{display:none}}</style><p class=y>hidden<p>seen") == "seen"
+
+
+def test_many_rules_of_one_class():
+    """Rules times elements would take minutes here; folded, under their rarest mark and once a kind of element, seconds."""
+    import time
+
+    n = 20_000
+    compound = "".join(f".y.a{i}{{display:none}}" for i in range(n))
+    plain = ".y{visibility:hidden}.y{visibility:visible}" * n
+    page = f"<style>{compound}{plain}</style>" + "".join(f"<p class='y b{i}'>t{i}" for i in range(n // 10)) + "<p class='y a7'>gone"
+    began = time.process_time()
+    text = page_text(page)
+    assert time.process_time() - began < 8
+    assert text.split() == [f"t{i}" for i in range(n // 10)]
+
+
+def test_folded_rules_keep_the_cascade():
+    sheet = "<style>.a{display:none} p.a{display:block} .a.b{display:none} #i{display:block!important} .b.a{display:inline}</style>"
+    assert page_text(sheet + "<p class=a>one<div class=a>two</div><p class='a b'>three<p class='b a' id=i>four").split() == ["one", "three", "four"]
