@@ -171,13 +171,50 @@ class Model:
             if wide and a < wide[-1][1]:
                 a, ratio = wide[-1][0], ratio + wide.pop()[2]
             wide.append((a, b, ratio))
-        return [x for x in wide if x[1] - x[0] >= shortest and _varied(text[x[0] : x[1]])]
-
-
-def _varied(text: str) -> bool:
-    """Whether pairs of characters seldom come back: fillers such as ``=-=-`` repeat few."""
-    head = text[:64]
-    return 2 * len(set(zip(head, head[1:]))) >= len(head) - 1
+        known = [m.span() for m in _UUID.finditer(text)]
+        out = []
+        for a, b, ratio in wide:
+            parts = _varied(text, a, b)
+            for c, d in parts:
+                own = ratio if (c, d) == (a, b) else self.best(text[c:d])
+                if d - c >= shortest and own > self.threshold and not any(x <= c and d <= y for x, y in known):
+                    out.append((c, d, own))
+        return out
+
+
+#: Identifiers that are random by design and no secrets.
+_UUID = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![0-9A-Za-z])")
+#: A pair of characters comes back if it stood so few places before; so many of these in a row are filler.
+AGAIN, FILLER = 64, 12
+
+
+def _varied(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """The parts of text[a:b] without fillers such as ``=-=-``, in which at most half of the pairs come back."""
+    last: dict[str, int] = {}
+    again = []
+    for i in range(a, b - 1):
+        pair = text[i : i + 2]
+        again.append(i - last.get(pair, i - AGAIN - 1) <= AGAIN)
+        last[pair] = i
+    parts, begin, run = [], a, 0
+    for i, back in enumerate([*again, False]):
+        if back:
+            run += 1
+            continue
+        if run >= FILLER:  # the pairs i - run ... i - 1 came back
+            parts.append((begin, a + i - run + 1))
+            begin = a + i
+        run = 0
+    parts.append((begin, b))
+    out = []
+    for c, d in parts:
+        while c < d and text[c] in "/._-=+" and c > a:
+            c += 1
+        while c < d and text[d - 1] in "/._-" and d < b:
+            d -= 1
+        if d > c and 2 * sum(again[c - a : d - a - 1]) <= d - c - 1:
+            out.append((c, d))
+    return out
 
 
 _CODE = np.full(128, len(ALPHABET) - 1, np.int64)

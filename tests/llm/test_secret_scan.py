@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import string
 from collections import Counter
 
 from quern.llm import queries
@@ -120,3 +122,24 @@ def test_odd_rows(odd, empty):
     rows = find_secrets(odd).collect()
     assert len(rows) == odd.count()
     assert find_secrets(empty).count() == 0
+
+
+def test_fillers_before_a_secret_and_uuids():
+    """What repeats is cut off, wherever it stands; the rest of the run is still looked at."""
+    rng = random.Random(8)
+    letters = string.ascii_letters + string.digits
+    model, found = default_model(), 0
+    for _ in range(20):
+        secret = "".join(rng.choice(letters) for _ in range(40))
+        filler = "".join(rng.choice(letters) for _ in range(8)) * 8
+        alone = model.stretches(secret)
+        for text in (filler + secret, secret + filler, "=-" * 80 + secret, filler + secret + filler):
+            got = model.stretches(text)
+            at = text.index(secret)
+            if alone:
+                assert any(a < at + 30 and b > at + 10 for a, b, _ in got), text
+        found += bool(alone)
+    assert found > 15
+    assert model.stretches("=-" * 500) == [] and model.stretches("ab12" * 100) == []
+    for u in ("550e8400-e29b-41d4-a716-446655440000", "F47AC10B-58CC-4372-A567-0E02B2C3D479"):
+        assert model.stretches(u) == [] and model.stretches("id/" + u) == []
