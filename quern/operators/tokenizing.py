@@ -6,12 +6,17 @@ tokenizer file of the ``tokenizers`` library may take its place.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from quern.functions.arrays import slices
 from quern.functions.text import normalize
 from quern.runtime import ship
 
@@ -51,25 +56,31 @@ def moved_blanks(context: str | None, continuation: str | None) -> tuple[str, st
 def encode_pairs(df: DataFrame, context: str, continuation: str, path: str | None = None) -> DataFrame:
     """``df`` with ``context_ids`` and ``continuation_ids``: both texts are encoded as one, and the context's ids cut off.
 
-    So a token at the border reads as it does in the whole text.  One pass over a column's batches; without a tokenizer
-    file the ids are bytes.
+    So a token at the border reads as it does in the whole text.  Slices of bounded text go through at a time; without a
+    tokenizer file the ids are bytes.
     """
     ship(df.sparkSession)
+    schema = StructType([*df.schema.fields, *(StructField(c, ArrayType(IntegerType())) for c in ("context_ids", "continuation_ids"))])
+    first, second = df.columns.index(context), df.columns.index(continuation)
 
-    def ids_of(texts: list[str]) -> list[list[int]]:
+    def listed(ids: list[np.ndarray]) -> pa.Array:
+        offsets = np.r_[0, np.cumsum([len(x) for x in ids])]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
+
+    def ids_of(texts: list[str]) -> list[np.ndarray]:
         if path is None:
-            return [[b + SPECIAL for b in t.encode()] for t in texts]
-        return [e.ids for e in _load(path).encode_batch(texts, add_special_tokens=False)]
-
-    @F.pandas_udf("context array<int>, continuation array<int>")
-    def pairs(first: pd.Series, second: pd.Series) -> pd.DataFrame:
-        moved = [moved_blanks(a, b) for a, b in zip(first.astype(object).where(first.notna(), None), second.astype(object).where(second.notna(), None))]
-        begun = ids_of([a for a, _ in moved])
-        whole = ids_of([a + b for a, b in moved])
-        return pd.DataFrame({"context": begun, "continuation": [w[len(c) :] for c, w in zip(begun, whole)]})
-
-    made = df.withColumn("__pair", pairs(F.col(context), F.col(continuation)))
-    return made.withColumns({"context_ids": F.col("__pair.context"), "continuation_ids": F.col("__pair.continuation")}).drop("__pair")
+            return [np.frombuffer(t.encode(), np.uint8).astype(np.int32) + SPECIAL for t in texts]
+        return [np.array(e.ids, np.int32) for e in _load(path).encode_batch(texts, add_special_tokens=False)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, first, 1 << 19):
+                moved = [moved_blanks(a, b) for a, b in zip(part.column(first).to_pylist(), part.column(second).to_pylist())]
+                begun, whole = ids_of([a for a, _ in moved]), ids_of([a + b for a, b in moved])
+                rest = [w[len(c) :] for c, w in zip(begun, whole)]
+                yield pa.RecordBatch.from_arrays([*part.columns, listed(begun), listed(rest)], schema.names)
+
+    return df.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, ids_col: str, path: str | None = None) -> DataFrame:
