@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from quern.functions.text import PANELS, blocked_host, canonical_url, digest, host, normalize, normalize_exact, panel_of, title_key
 from quern.operators import dedup, exclusion, filters, tokenizing, windows
 from quern.plans import ranged
-from quern.runtime import cut
+from quern.runtime import cut, release, written
 from quern.sources import ranges, sinks
 
 
@@ -84,23 +84,30 @@ def reasons(docs: DataFrame, index: DataFrame | None, titles: DataFrame | None,
     prior corpus (digest, url and, where near copies of it go too, pos and text or sketch) come before all others.
     """
     normal = normalize_exact if config.exact_text else normalize
-    rows = docs.withColumn("digest", digest(normal(F.coalesce("text", F.lit(""))))).withColumn("page", canonical_url(F.col("url")))
+    # Everything that needs a text is computed in the scan, so that no text crosses the joins.
+    rows = docs.withColumns({
+        "digest": digest(normal(F.coalesce("text", F.lit("")))),
+        "page": canonical_url(F.col("url")),
+        "chars": F.length("text"),
+        "__length": ~filters.length_ok(F.col("text"), config.least_chars, config.most_chars),
+        "__key": title_key(F.coalesce("title", F.lit(""))) if titles is not None else F.lit(None).cast("string"),
+    }).drop("text")
     hit = F.lit(False)
     if index is not None:
         found = exclusion.contaminated(docs, "pos", index).withColumn("__gram", F.lit(True))
         rows, hit = rows.join(found, "pos", "left"), hit | F.coalesce("__gram", F.lit(False))
     if titles is not None:
         known = titles.select(F.col("title").alias("__key"), F.lit(True).alias("__title")).distinct()
-        rows = rows.withColumn("__key", title_key(F.coalesce("title", F.lit("")))).join(known, "__key", "left")
+        rows = rows.join(known, "__key", "left")
         hit = hit | F.coalesce("__title", F.lit(False))
     checks = {
-        "length": ~filters.length_ok(F.col("text"), config.least_chars, config.most_chars),
+        "length": F.col("__length"),
         "domain_blocklist": blocked_host(host(F.col("url")), list(config.blocklist)),
         "benchmark_exact": hit,
         "prefer_origin": F.contains("page", F.lit(config.avoid)) if config.avoid else F.lit(False),
     }
     early = filters.first_reason(*((checks[name], name) for name in CASCADES[config.cascade]))
-    staged = cut(rows.select("pos", "id", "source", "url", "page", "digest", F.length("text").alias("chars"), early.alias("early")))
+    staged = cut(rows.select("pos", "id", "source", "url", "page", "digest", "chars", early.alias("early")))
     if config.cascade == "reused":
         return staged.withColumnRenamed("early", "reason").drop("page")
     passing = staged.where("early IS NULL").select("pos", "digest", F.col("page").alias("u"), F.lit(1).alias("prior"))
@@ -141,16 +148,19 @@ def build(
         raise ValueError("the folder holds a build of another configuration")
     placed = cut(reasons(docs, index, titles, prior, config).withColumn("panel", panel_of(F.col("digest"), list(config.panels))))
     kept = placed.where("reason IS NULL").join(docs.select("pos", "text"), "pos")
-    encoded = tokenizing.encode(kept, "text", config.tokenizer).drop("text")
+    # Ids are encoded once and kept packed: a checkpoint of lists of four-byte ids is several times the texts.
+    packed = tokenizing.encode_packed(kept, "text", config.tokenizer).drop("text")
+    encoded = written(packed.withColumn("length", F.floor(F.octet_length("packed") / 2)))
+    release(spark)
     rank = F.row_number().over(Window.partitionBy("source", "panel").orderBy("digest", "pos"))
-    panels = encoded.where("panel IS NOT NULL").withColumn("rank", rank).where(F.col("rank") <= config.panel_quota).drop("rank")
-    train = cut(encoded.where("panel IS NULL"))
-    entries = train.select("pos", "id", "source", "url", "digest", "chars", F.size("ids").cast("long").alias("length"))
+    panels = encoded.where("panel IS NOT NULL").withColumn("rank", rank).where(F.col("rank") <= config.panel_quota).drop("rank", "length")
+    train = encoded.where("panel IS NULL")
+    entries = train.select("pos", "id", "source", "url", "digest", "chars", "length")
     entries = windows.sums_before(entries, ["source"], ["pos"], offset="length").withColumn("number", F.floor(F.col("offset") / config.shard_tokens))
     tables = {
         "index": entries,
-        "panels": panels.withColumnRenamed("ids", "tokens"),
-        "shards": sinks.numbered_shards(train, "source", "pos", "ids", config.shard_tokens),
+        "panels": tokenizing.unpacked(panels, "tokens"),
+        "shards": sinks.numbered_shards(train, "source", "pos", "packed", config.shard_tokens),
         "funnel": filters.funnel(placed, ["source"]),
     }
     sinks.publish_manifest(spark, tables, folder)

@@ -50,6 +50,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder as compressed Parquet, a fraction of a checkpoint, and read again."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tables/{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def release(spark: SparkSession) -> None:
     """Drop the shuffle and checkpoint files of tables that nothing refers to any more.
 

@@ -170,3 +170,34 @@ def test_command_line_with_prior_titles_and_ranges(spark, tmp_path, capsys):
     main([str(config), "ranges"])
     shown = capsys.readouterr().out.splitlines()
     assert shown[0] == shown[2] and shown[1] == "a kept 9" and shown[3:] == ["a kept 9", "b kept 9"]
+
+
+def test_a_build_keeps_no_lists_of_ids(spark, sf):
+    """Ids are held packed: what a build leaves in the shared folder is less than the texts as two-byte ids."""
+    import glob
+    import os
+
+    from pyspark.sql import functions as F
+
+    from quern.operators import exclusion
+    from quern.plans.build import Config, build
+    from quern.runtime import shared_folder
+
+    place = f"{shared_folder(spark)}/packed-build"
+    path = place.removeprefix("file:")
+    docs = spark.range(400).selectExpr("id AS pos", "cast(id AS string) AS id", "'s' AS source", "cast(NULL AS string) AS url", "'' AS title", "repeat(concat('word', cast(id AS string), ' '), 3000) AS text")
+    top = os.path.dirname(path)
+
+    def held():
+        return sum(os.path.getsize(f) for f in glob.glob(f"{top}/**", recursive=True) if os.path.isfile(f))
+
+    before, texts = held(), docs.selectExpr("sum(length(text))").first()[0]
+    index = exclusion.index_grams(spark.createDataFrame([("no such words",)], "text string"), F.col("text"))
+    made = build(spark, docs, place, Config(near=False, panel_quota=0, shard_tokens=1 << 16), index)
+    shards = made["shards"].orderBy("number").collect()
+    train = made["index"].orderBy("pos").collect()
+    whole = b"".join(bytes(r["shard"]) for r in shards)
+    assert sum(r["tokens"] for r in shards) == sum(r["length"] for r in train) == len(whole) // 2
+    want = b"".join(b"".join((b + 4).to_bytes(2, "little") for b in (f"word{r['pos']} " * 3000).encode()) + (2).to_bytes(2, "little") for r in train)
+    assert whole == want and sum(r["documents"] for r in shards) == len(train)
+    assert held() - before < 2 * texts
