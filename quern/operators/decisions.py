@@ -100,12 +100,17 @@ def reconciled(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def first_crossing(rows: DataFrame, by: list[str], order: str, value: str, milestones: list[int]) -> DataFrame:
-    """Rows whose running sum passes a milestone; of several passed at once the last."""
-    window = Window.partitionBy(*by).orderBy(order)
-    upto = F.sum(value).over(window.rowsBetween(Window.unboundedPreceding, 0))
+    """Rows whose running sum passes a milestone; of several passed at once the last.
+
+    Values are added as decimals of ten places, so that a sum that meets a milestone exactly does so in any order of
+    addition; rows of equal ``order`` come by value.
+    """
+    exact = F.col(value).cast("decimal(38,10)")
+    window = Window.partitionBy(*by).orderBy(order, value)
+    upto = F.sum("__exact").over(window.rowsBetween(Window.unboundedPreceding, 0))
     marks = F.array(*map(F.lit, milestones))
-    passed = F.array_max(F.filter(marks, lambda m: (F.col("__upto") - F.col(value) < m) & (m <= F.col("__upto"))))
-    return rows.withColumn("__upto", upto).withColumn("milestone", passed).where("milestone IS NOT NULL").drop("__upto")
+    passed = F.array_max(F.filter(marks, lambda m: (F.col("__upto") - F.col("__exact") < m) & (m <= F.col("__upto"))))
+    return rows.withColumn("__exact", exact).withColumn("__upto", upto).withColumn("milestone", passed).where("milestone IS NOT NULL").drop("__exact", "__upto")
 
 
 def gate(results: DataFrame, weights: DataFrame, panel: str = "selection") -> DataFrame:

@@ -282,3 +282,12 @@ def test_articles_of_one_stream(spark):
                 now = []
             now.append(t)
     assert sorted(r["text"] for r in got) == sorted("\n".join(a) for a in [*want, now])
+
+
+def test_milestones_are_met_exactly(spark):
+    """Ten tenths are one, which a sum of doubles misses; rows of equal order come by value."""
+    from quern.operators import decisions
+
+    rows = spark.createDataFrame([("a", i, 0.1) for i in range(20)] + [("b", 0, 3.0), ("b", 0, 0.5), ("b", 1, 0.25)], "u string, k long, v double")
+    got = sorted((r["u"], r["k"], r["v"], r["milestone"]) for r in decisions.first_crossing(rows, ["u"], "k", "v", [1, 2]).collect())
+    assert got == [("a", 9, 0.1, 1), ("a", 19, 0.1, 2), ("b", 0, 3.0, 2)]
