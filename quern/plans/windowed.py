@@ -156,8 +156,8 @@ def stream_batches(spark, sf_dir):
     Sums of the inputs and targets by place stand for the arrays.
     """
     place = f"{shared_folder(spark)}/shards/{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
-    encoded = tokenizing.encode(table(spark, sf_dir, "documents").select(F.lit("all").alias("part"), "doc_id", "text"), "text")
-    numbered = sinks.numbered_shards(encoded, "part", "doc_id", "ids")
+    encoded = tokenizing.encode_packed(table(spark, sf_dir, "documents").select(F.lit("all").alias("part"), "doc_id", "text"), "text")
+    numbered = sinks.numbered_shards(encoded, "part", "doc_id", "packed")
     paths = sinks.shard_files(numbered, place)
     stream = ranges.TokenStream(spark, paths, 1024, windows.stream_state(ranges.shard_table(paths), 1000) | {"length": 1024})
     total = sum(n for _, n in stream.shards)

@@ -224,3 +224,24 @@ def test_pairs_are_encoded_as_one_text(spark):
         whole = tok.encode(r["a"] + (r["b"] or ""), add_special_tokens=False).ids
         context = tok.encode(bare, add_special_tokens=False).ids
         assert r["context_ids"] == context and r["continuation_ids"] == whole[len(context) :]
+
+
+def test_examples_are_read_without_a_shuffle(spark, tmp_path):
+    """Examples over small shards, more than once around, and no exchange in the plan."""
+    import numpy as np
+
+    from quern.sources import ranges
+
+    tokens, paths = np.arange(1000, dtype="<u2"), []
+    for k, (a, b) in enumerate(((0, 7), (7, 500), (500, 1000))):
+        paths.append(f"{tmp_path}/{k}.bin")
+        tokens[a:b].tofile(paths[-1])
+    df = ranges.stream_batches(spark, ranges.shard_table(paths), 6, 3, 150, consumed=995, block=1)
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    got = {(r["batch"], r["row"]): (r["cycle"], r["x"], r["y"]) for r in df.collect()}
+    want = {}
+    for i in range(450):
+        p = 995 + 6 * i
+        run = [(p + j) % 1000 for j in range(7)]
+        want[i // 3, i % 3] = (p // 1000, run[:-1], run[1:])
+    assert got == want
