@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quern.functions.arrays import HashSet, Words, slices
 from quern.functions.text import NO_WORD, folded, gram_hashes, grams, title_key, words
@@ -115,36 +116,54 @@ def rolling_hashes(parts: list[str], n: int = SIZE) -> np.ndarray:
     if len(parts) < n:
         return np.zeros(0, np.uint64)
     values = np.array([zlib.crc32(w.encode()) + 1 for w in parts], np.uint64)
-    powers = np.array([pow(1_000_003, n - 1 - i, 1 << 64) for i in range(n)], np.uint64)
+    last = len(parts) - n + 1
+    out = np.zeros(last, np.uint64)
     with np.errstate(over="ignore"):
-        return (np.lib.stride_tricks.sliding_window_view(values, n) * powers).sum(axis=1, dtype=np.uint64)
+        for i in range(n):
+            out += values[i : i + last] * np.uint64(pow(1_000_003, n - 1 - i, 1 << 64))
+    return out
+
+
+_EXACT_WORD = re.compile(r"\w+")
+
+
+def exact_hashes(text: str | None, n: int = SIZE) -> np.ndarray:
+    """Rolling hashes of a text under the exact normalisation."""
+    return rolling_hashes(_EXACT_WORD.findall(" ".join(unicodedata.normalize("NFKC", text or "").casefold().split())), n)
 
 
 def hashed_grams(df: DataFrame, id_col: str, text_col: str, n: int = SIZE) -> DataFrame:
     """(id, hash) with the exact normalisation and the 64-bit rolling hash, as a decimal string of the unsigned value."""
-    import re
-    import unicodedata
-
     ship(df.sparkSession)
-    pattern = re.compile(r"\w+")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, values = [], []
-            for i, text in zip(batch[id_col], batch[text_col]):
-                parts = pattern.findall(" ".join(unicodedata.normalize("NFKC", text or "").casefold().split()))
-                found = rolling_hashes(parts, n).view(np.int64)
-                ids.append(np.full(len(found), i))
-                values.append(found)
-            if ids:
-                yield pd.DataFrame({id_col: np.concatenate(ids), "hash": np.concatenate(values)})
+            for part in slices(batch, 1):
+                found = [exact_hashes(t, n) for t in part.column(1).to_pylist()]
+                owners = np.repeat(np.arange(len(found)), [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owners)), pa.array(np.concatenate(found).view(np.int64))], [id_col, "hash"])
 
-    kind = dict(df.dtypes)[id_col]
-    return df.select(id_col, text_col).mapInPandas(run, f"{id_col} {kind}, hash long")
+    return df.select(id_col, text_col).mapInArrow(run, StructType([df.schema[id_col], StructField("hash", LongType())]))
 
 
 def hashed_contaminated(docs: DataFrame, id_col: str, benchmark: DataFrame, bench_id: str, text_col: str = "text", n: int = SIZE) -> DataFrame:
     """(id, hits): documents that share rolling hashes with the benchmark under the exact normalisation, and how many places."""
     index = cut(hashed_grams(benchmark, bench_id, text_col, n).select("hash").distinct())
-    found = hashed_grams(spread(docs.select(id_col, text_col)), id_col, text_col, n).join(small(index), "hash", "left_semi")
-    return found.groupBy(id_col).agg(F.count(F.lit(1)).alias("hits"))
+    texts = spread(docs.select(id_col, text_col))
+    if index.limit(BROADCAST_GRAMS + 1).count() > BROADCAST_GRAMS:
+        found = hashed_grams(texts, id_col, text_col, n).join(index, "hash", "left_semi")
+        return found.groupBy(id_col).agg(F.count(F.lit(1)).alias("hits"))
+    # Few enough hashes are tested in the scan, a bounded amount of text at a time; only documents that hit become rows.
+    listed = index.toArrow()
+    known = docs.sparkSession.sparkContext.broadcast(HashSet(listed.column("hash").combine_chunks().to_numpy().view(np.uint64) if listed.num_rows else np.zeros(0, np.uint64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                hits = np.array([len(known.value.places(exact_hashes(t, n))) for t in part.column(1).to_pylist()], np.int64)
+                some = np.flatnonzero(hits)
+                if len(some):
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(some)), pa.array(hits[some])], [id_col, "hits"])
+
+    counted = texts.mapInArrow(run, StructType([docs.schema[id_col], StructField("hits", LongType())]))
+    return counted.groupBy(id_col).agg(F.sum("hits").alias("hits"))

@@ -291,3 +291,25 @@ def test_milestones_are_met_exactly(spark):
     rows = spark.createDataFrame([("a", i, 0.1) for i in range(20)] + [("b", 0, 3.0), ("b", 0, 0.5), ("b", 1, 0.25)], "u string, k long, v double")
     got = sorted((r["u"], r["k"], r["v"], r["milestone"]) for r in decisions.first_crossing(rows, ["u"], "k", "v", [1, 2]).collect())
     assert got == [("a", 9, 0.1, 1), ("a", 19, 0.1, 2), ("b", 0, 3.0, 2)]
+
+
+def test_exact_hashes_and_normalisation_hold_few_texts(spark, monkeypatch):
+    """Hits are counted in the scan, not from a row for each hash; a batch is normalised 16 texts at a time."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from quern.functions import text
+    from quern.operators import exclusion
+
+    bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(14)))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(f"W{i}" for i in range(20))), (2, "other words"), (3, None), (1, " ".join(f"w{i}" for i in range(13)))], "doc_id long, text string")
+    found = exclusion.hashed_contaminated(docs, "doc_id", bench, "item_id")
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [(1, 3)]
+
+    texts = [None if i % 7 == 0 else f"  ＡßC{i}\n x" for i in range(100)]
+    sizes, plain = [], pa.array
+    monkeypatch.setattr(pa, "array", lambda x, *a, **b: sizes.append(len(x)) or plain(x, *a, **b))
+    got = text.normalize_exact.func(plain(texts)).to_pylist()
+    assert got == [None if t is None else f"assc{i} x" for i, t in enumerate(texts)] and max(sizes) == 16
+    assert spark.range(3).select(text.normalize_exact(F.lit("Ａ")).alias("t")).distinct().collect()[0]["t"] == "a"
