@@ -11,6 +11,7 @@ import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -42,9 +43,13 @@ def normalize(text: Column) -> Column:
     return F.trim(F.regexp_replace(folded(text), r"\s+", " "))
 
 
-@F.pandas_udf(StringType())
-def normalize_exact(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()))
+@F.arrow_udf(StringType())
+def normalize_exact(text: pa.Array) -> pa.Array:
+    """NFKC, full case folding and single blanks; 16 texts are held as Python strings at a time."""
+    done = []
+    for k in range(0, len(text), 16):
+        done.append(pa.array([None if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()) for t in text.slice(k, 16).to_pylist()], pa.string()))
+    return pa.concat_arrays(done) if done else pa.array([], pa.string())
 
 
 def digest(normalized: Column) -> Column:
