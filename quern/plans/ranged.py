@@ -21,6 +21,10 @@ from quern.sources import ranges, sinks
 from quern.sources.readers import listed
 
 
+#: Small ranges are built together until they are so many bytes.
+JOB_BYTES = 2 << 30
+
+
 @dataclass(frozen=True)
 class Part:
     source: str
@@ -59,14 +63,17 @@ def build_parts(
     schema: str,
     work: Callable[[DataFrame], DataFrame],
     range_bytes: int = ranges.RANGE_BYTES,
-    together: int = 64,
+    together: int | None = None,
     sources: list[str] | None = None,
 ) -> list[Part]:
     """Build what the ledger lacks of the given sources, ``together`` ranges a job; returns the parts that were built.
 
+    By default a job has 64 ranges, and as many as hold 2 GB where ranges are small, as each job has its fixed cost.
+
     ``work`` gets the rows of JSON lines with source, part, file, start and _position, and keeps the column part.  The
     size of ranges belongs to the folder: another one there is an error.
     """
+    together = together or max(64, JOB_BYTES // range_bytes)
     want = {"range_bytes": range_bytes, "schema": schema}
     if listed(spark, f"{folder}/ranges.json"):
         have = json.loads("\n".join(r["value"] for r in spark.read.text(f"{folder}/ranges.json").collect()))

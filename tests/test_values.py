@@ -313,3 +313,14 @@ def test_exact_hashes_and_normalisation_hold_few_texts(spark, monkeypatch):
     got = text.normalize_exact.func(plain(texts)).to_pylist()
     assert got == [None if t is None else f"assc{i} x" for i, t in enumerate(texts)] and max(sizes) == 16
     assert spark.range(3).select(text.normalize_exact(F.lit("Ａ")).alias("t")).distinct().collect()[0]["t"] == "a"
+
+
+def test_small_ranges_share_a_job(spark, tmp_path):
+    """100 ranges of a small file are one job and one entry of the ledger."""
+    from quern.plans import ranged
+
+    (tmp_path / "a.json").write_text("".join(f'{{"id": "{i}", "text": "some text"}}\n' for i in range(200)))
+    size = (tmp_path / "a.json").stat().st_size
+    made = ranged.build_parts(spark, {"s": [f"{tmp_path}/a.json"]}, f"{tmp_path}/out", "id string, url string, title string, text string", ranged.reused_rows(), size // 99)
+    assert len(made) > 64 and len(list((tmp_path / "out" / "ledger").glob("*.json"))) == 1
+    assert ranged.built(spark, f"{tmp_path}/out").count() == 200
