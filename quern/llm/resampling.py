@@ -36,7 +36,7 @@ SEED = 7
 #: Texts are read in slices, and one long text in pieces, of about so many bytes.
 PIECE = 4 << 20
 #: Slices over which a task adds up strings before they are shuffled.
-SUMMED = 8 << 20
+SUMMED = 4 << 20
 #: Deals among which the strings of one first word are split, a power of two.
 SPLIT = 16
 
