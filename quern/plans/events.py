@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quern.operators import aggregates, decisions, windows
 from quern.plans.base import query, table
 from quern.runtime import shared_folder
+from quern.sources.readers import listed
 from quern.streaming import incremental, keyed
 
 
@@ -101,35 +105,53 @@ def stream_dedup(spark, sf_dir):
     return spark.read.schema("digest string").parquet(f"{place}/out/batch=*")
 
 
+def _landed(rows: DataFrame, folder: str, files: int) -> None:
+    """Add rows to a folder as just so many files, one a task; empty ones make up for tasks without rows."""
+    spark, names = rows.sparkSession, f"{folder}/part-*"
+    before = len(listed(spark, names))
+    rows.repartition(files).write.option("maxRecordsPerFile", 0).mode("append").parquet(folder)
+    for _ in range(before + files - len(listed(spark, names))):
+        spark.createDataFrame([], rows.schema).write.mode("append").parquet(folder)
+
+
+def _in_thirds(spark, sf_dir, place: str, start: Callable[[str, StructType, int], None]) -> DataFrame:
+    """Documents with a section as their URL, a third of them a batch; two are there at the first start, one at the second.
+
+    A third is as many files as the input has splits, or the session cores, so that neither its writer nor its readers
+    are one task; ``start`` takes so many files a batch.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("https://"), "source", F.lit("/"), F.floor(F.col("doc_id") / 400))).alias("url"))
+    files = max(spark.sparkContext.defaultParallelism, docs.rdd.getNumPartitions())
+    for third in range(3):
+        _landed(docs.where(F.col("doc_id") % 3 == third), f"{place}/in", files)
+        if third:
+            start(f"{place}/in", docs.schema, files)
+    return spark.read.schema(docs.schema).parquet(f"{place}/out/batch=*").select("doc_id")
+
+
 @query("stream_near_dedup")
 def stream_near_dedup(spark, sf_dir):
-    """Documents in three files; two are there at the first start and one at the second.
+    """Documents in three batches; two are there at the first start and one at the second.
 
     Repeats of digest and section of URL and near copies of earlier batches go; tests hold it against first wins row by row.
     """
     place = _place(spark)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("https://"), "source", F.lit("/"), F.floor(F.col("doc_id") / 400))).alias("url"))
-    for third in range(3):
-        docs.where(F.col("doc_id") % 3 == third).repartition(1).write.mode("append").parquet(f"{place}/in")
-        if third:
-            stream = incremental.file_stream(spark, f"{place}/in", docs.schema, files=1)
-            incremental.run_available(stream, incremental.deduplicated(place), f"{place}/checkpoint")
-    return spark.read.schema("doc_id long, digest string").parquet(f"{place}/out/batch=*").select("doc_id")
+
+    def start(source: str, schema: StructType, files: int) -> None:
+        stream = incremental.file_stream(spark, source, schema, files=files)
+        incremental.run_available(stream, incremental.deduplicated(place), f"{place}/checkpoint")
+
+    return _in_thirds(spark, sf_dir, place, start)
 
 
 @query("stream_keyed_dedup")
 def stream_keyed_dedup(spark, sf_dir):
-    """Documents in three files, one a batch, one of them new at a second start, against keyed state.
+    """Documents in three batches, one of them new at a second start, against keyed state.
 
     Tests hold it against first wins row by row, where digests and URLs of all rows count and sketches of those that stay.
     """
     place = _place(spark)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("https://"), "source", F.lit("/"), F.floor(F.col("doc_id") / 400))).alias("url"))
-    for third in range(3):
-        docs.where(F.col("doc_id") % 3 == third).repartition(1).write.mode("append").parquet(f"{place}/in")
-        if third:
-            keyed.keyed_dedup(spark, f"{place}/in", docs.schema, place, files=1)
-    return spark.read.schema(docs.schema).parquet(f"{place}/out/batch=*").select("doc_id")
+    return _in_thirds(spark, sf_dir, place, lambda source, schema, files: keyed.keyed_dedup(spark, source, schema, place, files=files))
 
 
 @query("decay_plans")

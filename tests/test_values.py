@@ -324,3 +324,24 @@ def test_small_ranges_share_a_job(spark, tmp_path):
     made = ranged.build_parts(spark, {"s": [f"{tmp_path}/a.json"]}, f"{tmp_path}/out", "id string, url string, title string, text string", ranged.reused_rows(), size // 99)
     assert len(made) > 64 and len(list((tmp_path / "out" / "ledger").glob("*.json"))) == 1
     assert ranged.built(spark, f"{tmp_path}/out").count() == 200
+
+
+def test_streams_of_thirds_are_dealt_over_files(spark, sf):
+    """A third is a batch, but no single task writes or reads it; tasks without rows leave empty files, so batches stay thirds."""
+    from quern.plans.events import _landed
+    from quern.runtime import shared_folder
+    from quern.sources.readers import listed
+
+    streams = f"{shared_folder(spark)}/streams/*"
+    for name in ("stream_near_dedup", "stream_keyed_dedup"):
+        before = set(listed(spark, f"{streams}/in/part-*"))
+        QUERIES[name](spark, sf)
+        new = set(listed(spark, f"{streams}/in/part-*")) - before
+        place = next(iter(new)).rsplit("/in/", 1)[0]
+        assert len(new) == 3 * spark.sparkContext.defaultParallelism > 3
+        thirds = [{r[0] for r in spark.read.parquet(f).selectExpr("doc_id % 3").distinct().collect()} for f in listed(spark, f"{place}/out/batch=*/part-*")]
+        assert all(len(t) <= 1 for t in thirds) and len(listed(spark, f"{place}/checkpoint/commits/*")) >= 3
+    few = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    for _ in range(2):
+        _landed(few, f"{shared_folder(spark)}/few", 5)
+    assert len(listed(spark, f"{shared_folder(spark)}/few/part-*")) == 10 and spark.read.parquet(f"{shared_folder(spark)}/few").count() == 4
