@@ -11,7 +11,9 @@ runs twice counts once and a stream that is stopped anywhere goes on where the l
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
-from quern.functions.numeric import BANDS, COMPONENTS, ROWS
+from quern.functions.numeric import COMPONENTS, ROWS
 from quern.functions.text import canonical_url, digest, normalize
 from quern.operators import dedup
 from quern.runtime import cut, ship
@@ -30,48 +32,78 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 #: Groups of keys, each of which is one call of the operator in a batch; fixed for the life of a stream.
 GROUPS = 64
 
+#: A near copy differs in so many components less one at most and each spoils one band, so one of these bands is equal.
+STORED_BANDS = COMPONENTS - dedup.LEAST_EQUAL + 1
+#: Bits of a group's filter, a power of two: 256 KB, whatever the state.
+FILTER_BITS = 1 << 21
+
 _HITS = "pos long, key string, hit boolean, payload string"
 
 
+def _places(marks: np.ndarray, size: int = FILTER_BITS) -> list[np.ndarray]:
+    """Two bits of a filter for each 64-bit hash; its low bits name the group."""
+    hashes = marks.astype(np.int64).view(np.uint64)
+    return [((hashes >> np.uint64(shift)) & np.uint64(size - 1)).astype(np.int64) for shift in (22, 43)]
+
+
 class Seen(StatefulProcessor):
     """Stores keys and tells which were there before.
 
-    Input rows are (grp, stored, key, pos, sketch, payload): stored rows of a band add their sketch; other rows ask.  Keys
-    without a sketch are stored by asking.  Rows with a payload always come out, others only where they hit.
+    Input rows are (grp, mark, stored, key, pos, sketch, payload): stored rows of a band add their sketch; other rows ask.
+    Keys without a sketch are stored by asking.  Rows with a payload always come out, others only where they hit.
+
+    Every key that is looked up or stored costs a call to the store, so a filter of fixed size tells of most new keys that
+    they are not there; where it fills, more keys are looked up and the result is the same.
     """
 
+    def __init__(self, size: int = FILTER_BITS):
+        self.size = size
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.keys = handle.getMapState("keys", "key string", "sketches binary")
+        self.filter = handle.getValueState("filter", "bits binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True)
+        places = _places(batch["mark"].to_numpy(), self.size)
+        if (kept := self.filter.get()) is not None:
+            bits = np.frombuffer(bytes(kept[0]), np.uint8).copy()
+        else:
+            # State of a stream that began without a filter is looked up key by key.
+            bits = np.full(self.size // 8, 255 if self.keys.exists() else 0, np.uint8)
+        batch["there"] = np.logical_and(*((bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1 for p in places))
         held: dict[str, bytes | None] = {}
 
-        def get(name: str) -> bytes | None:
+        def get(name: str, there: bool) -> bytes | None:
             if name not in held:
-                held[name] = bytes(self.keys.getValue((name,))[0]) if self.keys.containsKey((name,)) else None
+                value = self.keys.getValue((name,)) if there else None
+                held[name] = None if value is None else bytes(value[0])
             return held[name]
 
-        new: dict[str, list[bytes]] = {}
-        for name, sketch in batch.loc[batch["stored"], ["key", "sketch"]].itertuples(index=False):
-            new.setdefault(name, []).append(np.asarray(sketch, "<u4").tobytes())
-        for name, sketches in new.items():
-            held[name] = (get(name) or b"") + b"".join(sketches)
+        new: dict[str, tuple[bool, list[bytes]]] = {}
+        for name, there, sketch in batch.loc[batch["stored"], ["key", "there", "sketch"]].itertuples(index=False):
+            new.setdefault(name, (there, []))[1].append(np.asarray(sketch, "<u4").tobytes())
+        for name, (there, sketches) in new.items():
+            held[name] = (get(name, there) or b"") + b"".join(sketches)
             self.keys.updateValue((name,), (held[name],))
         out, asked = [], {}
-        for pos, name, sketch, payload in batch.loc[~batch["stored"], ["pos", "key", "sketch", "payload"]].itertuples(index=False):
-            before = get(name)
+        for pos, name, there, sketch, payload in batch.loc[~batch["stored"], ["pos", "key", "there", "sketch", "payload"]].itertuples(index=False):
+            before = get(name, there)
             if sketch is None:
                 hit = before is not None
                 if not hit:
                     asked[name] = b""
             else:
-                there = np.frombuffer(before or b"", "<u4").reshape(-1, COMPONENTS)
-                hit = bool(((there == np.asarray(sketch, "<u4")).sum(axis=1) >= dedup.LEAST_EQUAL).any())
+                hit = bool(before) and bool(((np.frombuffer(before, "<u4").reshape(-1, COMPONENTS) == np.asarray(sketch, "<u4")).sum(axis=1) >= dedup.LEAST_EQUAL).any())
             if hit or payload is not None:
                 out.append((pos, name, hit, payload))
         for name, value in asked.items():
             self.keys.updateValue((name,), (value,))
+        # Bands are in the store once their sketches are; keys without a sketch once they were asked for.
+        added = (batch["stored"] | batch["sketch"].isna()).to_numpy()
+        for p in places:
+            np.bitwise_or.at(bits, p[added] >> 3, np.left_shift(1, p[added] & 7).astype(np.uint8))
+        self.filter.update((bits.tobytes(),))
         yield pd.DataFrame(out, columns=["pos", "key", "hit", "payload"])
 
     def close(self) -> None:
@@ -79,7 +111,7 @@ class Seen(StatefulProcessor):
 
 
 def _bands(sketch: Column) -> list[Column]:
-    return [F.concat(F.lit(f"band{b}:"), F.array_join(F.slice(sketch, b * ROWS + 1, ROWS), ",")) for b in range(BANDS)]
+    return [F.concat(F.lit(f"band{b}:"), F.array_join(F.slice(sketch, b * ROWS + 1, ROWS), ",")) for b in range(STORED_BANDS)]
 
 
 def _key(name: Column, pos: Column | None, sketch: Column | None = None, payload: Column | None = None) -> Column:
@@ -92,24 +124,25 @@ def _key(name: Column, pos: Column | None, sketch: Column | None = None, payload
 
 
 def _asked(stream: DataFrame, order: str, text_col: str, url_col: str) -> DataFrame:
-    """The keys of each row; the row itself travels with the key of its digest."""
+    """The keys of each row; what decides about it and the file that holds it travel with the key of its digest."""
     url = canonical_url(F.col(url_col)) if url_col in stream.columns else F.lit("")
     normal = normalize(F.coalesce(F.col(text_col), F.lit("")))
-    row = F.to_json(F.struct(*(F.col(f"`{c}`") for c in stream.columns)))
-    known = dedup.with_sketch(stream.select(F.col(order).cast("long").alias("pos"), digest(normal).alias("digest"), F.coalesce(url, F.lit("")).alias("u"), row.alias("payload"), normal.alias("normal")), "normal")
-    payload = F.to_json(F.struct("digest", "u", "sketch", "payload"))
+    rows = stream.select(F.col(order).cast("long").alias("pos"), F.coalesce(url, F.lit("")).alias("u"), F.col("_metadata.file_path").alias("file"), normal.alias("normal"))
+    known = dedup.with_sketch(rows, "normal").withColumn("digest", digest(F.col("normal")))
+    payload = F.to_json(F.struct("digest", "u", "sketch", "file"))
     first = [_key(F.concat(F.lit("digest:"), "digest"), F.col("pos"), payload=payload), _key(F.concat(F.lit("url:"), F.when(F.col("u") != "", F.sha2("u", 256))), F.col("pos"))]
     keys = F.filter(F.array(*first, *(_key(b, F.col("pos"), F.col("sketch")) for b in _bands(F.col("sketch")))), lambda k: k["key"].isNotNull())
     return known.select(F.explode(keys).alias("k"))
 
 
 def _rows(keys: DataFrame, stored: bool, groups: int) -> DataFrame:
-    return keys.select(F.pmod(F.xxhash64("k.key"), F.lit(groups)).cast("int").alias("grp"), F.lit(stored).alias("stored"), "k.key", "k.pos", "k.sketch", "k.payload")
+    mark = F.xxhash64("k.key")
+    return keys.select(F.pmod(mark, F.lit(groups)).cast("int").alias("grp"), mark.alias("mark"), F.lit(stored).alias("stored"), "k.key", "k.pos", "k.sketch", "k.payload")
 
 
 def decided(hits: DataFrame) -> DataFrame:
-    """(pos, digest, u, sketch, payload) of the rows of a batch that stay, from what the state said of their keys (a written table)."""
-    parsed = hits.where("payload IS NOT NULL").select("pos", F.from_json("payload", "digest string, u string, sketch array<long>, payload string").alias("p"))
+    """(pos, digest, u, sketch, file) of the rows of a batch that stay, from what the state said of their keys (a written table)."""
+    parsed = hits.where("payload IS NOT NULL").select("pos", F.from_json("payload", "digest string, u string, sketch array<long>, file string").alias("p"))
     rows = cut(parsed.select("pos", "p.*"))
     fresh = dedup.exact_and_url_reasons(rows.select("pos", "digest", "u"), "digest", "u", "pos").where("reason IS NULL").select("pos")
     open_rows = rows.join(fresh, "pos").join(hits.where("hit").select("pos").distinct(), "pos", "left_anti")
@@ -118,11 +151,17 @@ def decided(hits: DataFrame) -> DataFrame:
     return cut(open_rows.join(near, "pos"))
 
 
-def keyed_dedup(spark: SparkSession, source: str, schema: StructType, folder: str, order: str = "doc_id", text_col: str = "text", url_col: str = "url", files: int | None = None, groups: int = GROUPS) -> None:
+def _literal(url: str) -> str:
+    """The path of a file, as Spark's metadata give it, for a reader, which would take some signs for a glob's."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", unquote(url))
+
+
+def keyed_dedup(spark: SparkSession, source: str, schema: StructType, folder: str, order: str = "doc_id", text_col: str = "text", url_col: str = "url", files: int | None = None, groups: int = GROUPS, size: int = FILTER_BITS) -> None:
     """Read what is new under ``source`` and write the rows that repeat nothing before them to ``folder``/out/batch=N.
 
     A row repeats an earlier one of equal digest or URL, whether that stayed or not, or one that stayed and whose sketch
     is near.  Rows of a batch come in the order of ``order``, which is unique; batches in their own order.
+    ``size``, the bits of a group's filter, is fixed for the life of a stream.
     """
     ship(spark)
     back = f"{folder}/bands"
@@ -134,7 +173,9 @@ def keyed_dedup(spark: SparkSession, source: str, schema: StructType, folder: st
         # A batch that only stores bands writes nothing: an empty file of bands would call for a batch of its own.
         if hits.isEmpty() or (kept := decided(hits)).isEmpty():
             return
-        rows = kept.select(F.from_json("payload", schema).alias("r")).select("r.*")
+        # Texts pass neither the state nor a checkpoint: rows that stay are read again from the files of the batch.
+        rows = spark.read.schema(schema).parquet(*(_literal(r["file"]) for r in kept.select("file").distinct().collect()))
+        rows = rows.join(kept.select("pos"), F.col(order).cast("long") == F.col("pos"), "left_semi")
         rows.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
         bands = kept.select(F.explode(F.array(*_bands(F.col("sketch")))).alias("key"), "sketch")
         bands.write.mode("overwrite").parquet(f"{back}/batch={number}")
@@ -145,7 +186,7 @@ def keyed_dedup(spark: SparkSession, source: str, schema: StructType, folder: st
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     try:
-        hits = asked.unionByName(stored).groupBy("grp").transformWithStateInPandas(Seen(), _HITS, "Append", "None")
+        hits = asked.unionByName(stored).groupBy("grp").transformWithStateInPandas(Seen(size), _HITS, "Append", "None")
         query = hits.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").start()
         try:
             query.processAllAvailable()
