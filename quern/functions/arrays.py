@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -82,7 +83,10 @@ class Words:
         self.start = np.flatnonzero(inside & ~before)
         self.end = np.flatnonzero(inside & ~after) + 1
         self.owner = np.searchsorted(at, self.start, side="right") - 1
-        self.hashes = _mixed(_spans(self.raw.astype(np.uint64) + np.uint64(1), self.start, self.end, _BASE) + (self.end - self.start).astype(np.uint64))
+
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        return _mixed(_spans(self.raw.astype(np.uint64) + np.uint64(1), self.start, self.end, _BASE) + (self.end - self.start).astype(np.uint64))
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(first word, hash) of every run of n words within a text."""
@@ -182,3 +186,45 @@ def md5_heads(raw: np.ndarray, start: np.ndarray, end: np.ndarray, block: int =
     for k in long.tolist():
         out[k] = int.from_bytes(hashlib.md5(raw[start[k] : end[k]], usedforsecurity=False).digest()[:4], "big")
     return out
+
+
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint32(by)) | (x >> np.uint32(32 - by))
+
+
+def _mixed_in(h: np.ndarray, k: np.ndarray) -> np.ndarray:
+    return h ^ (_turned(k * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593))
+
+
+def murmurs(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 42, most: int = 64) -> np.ndarray:
+    """32-bit MurmurHash3 of raw[start:end] for all spans at once, as Spark's HashingTF has it; of over ``most`` blocks one by one."""
+    size = end - start
+    blocks = size // 4
+    # Small integers are sorted by radix; how longer spans lie among themselves does not matter.
+    order = np.argsort((-np.minimum(blocks, most + 1)).astype(np.int8), kind="stable")
+    begin, many = start[order], blocks[order]
+    least = -np.minimum(many, most + 1)
+    padded = np.r_[raw, np.zeros(4, np.uint8)].astype(np.uint32)
+    quads = padded[:-3] | padded[1:-2] << np.uint32(8) | padded[2:-1] << np.uint32(16) | padded[3:] << np.uint32(24)
+    h = np.full(len(start), seed, np.uint32)
+    with np.errstate(over="ignore"):
+        long = int(np.searchsorted(least, -most))
+        for i in range(long):
+            x = seed
+            for k in quads[begin[i] : begin[i] + 4 * many[i] : 4].tolist():
+                k = k * 0xCC9E2D51 & 0xFFFFFFFF
+                x ^= (k << 15 | k >> 17) * 0x1B873593 & 0xFFFFFFFF
+                x = ((x << 13 | x >> 19) * 5 + 0xE6546B64) & 0xFFFFFFFF
+            h[i] = x
+        for k in range(int(many[long]) if long < len(many) else 0):
+            some = slice(long, int(np.searchsorted(least, -k)))
+            h[some] = _turned(_mixed_in(h[some], quads[begin[some] + 4 * k]), 13) * np.uint32(5) + np.uint32(0xE6546B64)
+        length = size[order]
+        rest = quads[begin + 4 * many] & ((np.uint32(1) << (length & 3).astype(np.uint32) * np.uint32(8)) - np.uint32(1))
+        h = _mixed_in(h, rest) ^ length.astype(np.uint32)
+        h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+        h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+        h ^= h >> np.uint32(16)
+    out = np.empty_like(h)
+    out[order] = h
+    return out

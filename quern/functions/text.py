@@ -19,6 +19,7 @@ from pyspark.sql.types import StringType
 # Patterns and names that results depend on.
 WORD = r"[\p{L}\p{N}_]+"
 NO_WORD = r"[^\p{L}\p{N}_]+"
+MARK = r"([^\p{L}\p{N}_\s])"
 WORD_OR_MARK = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 HELD_OUT_SPLITS = [
     "controller_0_proposal",
@@ -98,8 +99,8 @@ def word_and_mark_list(text: Column) -> Column:
 
 
 def words_and_marks(text: Column) -> Column:
-    """Words and single punctuation marks of the lower-cased text, joined by blanks."""
-    return F.array_join(word_and_mark_list(text), " ")
+    """Words and single punctuation marks of the lower-cased text, joined by blanks; marks are set apart, without a match a word."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), MARK, " $1 "), r"[ \t\n\x0B\f\r]+", " "))
 
 
 def split_words(text: Column) -> Column:

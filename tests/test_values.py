@@ -345,3 +345,24 @@ def test_streams_of_thirds_are_dealt_over_files(spark, sf):
     for _ in range(2):
         _landed(few, f"{shared_folder(spark)}/few", 5)
     assert len(listed(spark, f"{shared_folder(spark)}/few/part-*")) == 10 and spark.read.parquet(f"{shared_folder(spark)}/few").count() == 4
+
+
+def test_windows_are_scored_in_the_scan(spark):
+    """No row a window and no shuffle; hashes are those of HashingTF for words of every length and script, windows those of word_windows."""
+    from pyspark.ml.functions import vector_to_array
+
+    from quern.functions.text import word_windows, words_and_marks
+
+    words = ["a", "bc", "def", "ghij", "klmno", "é", "日本語", "𝔘x", "z" * 255, "y" * 256, "x" * 261, "w" * 5000, "!", "1234567"]
+    texts = [" ".join(words[(i * k) % 14] for i in range(n)) for k, n in enumerate((1, 59, 60, 61, 121, 5000, 3840, 3841), 1)] + ["", None, "  \n "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labelled = docs.where("text <> ''").select("text", (F.col("doc_id") % 2).cast("double").alias("label"))
+    model = learning.train_windows(labelled, 1 << 10)
+    scored = learning.document_scores(model, docs, "doc_id")
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan and "Join" not in plan
+    parts = F.filter(F.split(words_and_marks(F.col("text")), " "), lambda w: w != "")
+    rows = model.transform(docs.select("doc_id", F.explode(word_windows(parts)).alias("text"))).groupBy("doc_id").agg(F.avg(vector_to_array("probability")[1]).alias("p")).collect()
+    want = {i: 0.0 for i in range(len(texts))} | {r["doc_id"]: r["p"] for r in rows}
+    got = {r["doc_id"]: r["score"] for r in scored.collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in want) and len({round(x, 6) for x in want.values()}) > 4
