@@ -99,18 +99,18 @@ def reconciled(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     return joined.select(key, checked.alias(value))
 
 
-def first_crossing(rows: DataFrame, by: list[str], order: str, value: str, milestones: list[int]) -> DataFrame:
-    """Rows whose running sum passes a milestone; of several passed at once the last.
+def first_crossing(rows: DataFrame, by: list[str], order: str, value: str, milestones: list[int], exact: bool = True) -> DataFrame:
+    """Rows whose running sum passes a milestone; of several passed at once the last; rows of equal ``order`` come by value.
 
     Values are added as decimals of ten places, so that a sum that meets a milestone exactly does so in any order of
-    addition; rows of equal ``order`` come by value.
+    addition; if not ``exact``, as they are and in the order of the rows, as SQL over doubles has it.
     """
-    exact = F.col(value).cast("decimal(38,10)")
     window = Window.partitionBy(*by).orderBy(order, value)
-    upto = F.sum("__exact").over(window.rowsBetween(Window.unboundedPreceding, 0))
+    upto = F.sum("__added").over(window.rowsBetween(Window.unboundedPreceding, 0))
     marks = F.array(*map(F.lit, milestones))
-    passed = F.array_max(F.filter(marks, lambda m: (F.col("__upto") - F.col("__exact") < m) & (m <= F.col("__upto"))))
-    return rows.withColumn("__exact", exact).withColumn("__upto", upto).withColumn("milestone", passed).where("milestone IS NOT NULL").drop("__exact", "__upto")
+    passed = F.array_max(F.filter(marks, lambda m: (F.col("__upto") - F.col("__added") < m) & (m <= F.col("__upto"))))
+    added = rows.withColumn("__added", F.col(value).cast("decimal(38,10)") if exact else F.col(value))
+    return added.withColumn("__upto", upto).withColumn("milestone", passed).where("milestone IS NOT NULL").drop("__added", "__upto")
 
 
 def gate(results: DataFrame, weights: DataFrame, panel: str = "selection") -> DataFrame:

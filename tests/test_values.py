@@ -366,3 +366,17 @@ def test_windows_are_scored_in_the_scan(spark):
     want = {i: 0.0 for i in range(len(texts))} | {r["doc_id"]: r["p"] for r in rows}
     got = {r["doc_id"]: r["score"] for r in scored.collect()}
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in want) and len({round(x, 6) for x in want.values()}) > 4
+
+
+def test_milestones_query_adds_doubles(spark, tmp_path):
+    """Ten values are 500 as decimals and less as doubles: the milestone is that of the SQL, one event later."""
+    import duckdb
+
+    from quern.plans.registry import ORACLE_SQL
+
+    values = [25.31, 16.52, 78.42, 78.9, 80.12, 47.75, 31.92, 10.57, 61.66, 68.83, 7.0]
+    spark.createDataFrame([(1, i, v) for i, v in enumerate(values)] + [(2, i, 250.0) for i in range(5)], "user_id long, event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(tuple(r) for r in QUERIES["milestones"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert got == sorted(con.execute(ORACLE_SQL["milestones"]).fetchall()) == [(1, 10, 500), (2, 1, 500), (2, 3, 1000)]
