@@ -37,35 +37,48 @@ def train_windows(labelled: DataFrame, features: int = 1 << 14) -> PipelineModel
     return Pipeline(stages=stages).fit(labelled)
 
 
-def _window_means(texts: pa.Array, weights: np.ndarray, bias: float, size: int, limit: int) -> np.ndarray:
-    """The mean probability over the windows of each text of words parted by blanks, cut as ``word_windows`` does."""
-    found, half = Words(texts), len(weights) // 2
+#: Words of so many windows are looked up at a time, however long a text is.
+_WINDOWS = 1024
+
+
+def _window_scores(found: Words, first: np.ndarray, n: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
+    """The probability of each window of n words from ``first`` on; windows ascend."""
+    half = len(weights) // 2
+    place = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    window = np.repeat(np.arange(len(n)), n)
+    inner = np.ones(len(place), bool)
+    inner[np.cumsum(n) - 1] = False
+    paired = place[inner]
+    low, high = found.start[place[0]], found.end[place[-1]]
+    raw = found.raw[low:high]
+    total = np.bincount(window, weights[murmurs(raw, found.start[place] - low, found.end[place] - low) % half], len(n))
+    # Two words that follow each other stand one blank apart, as in the gram.
+    total += np.bincount(window[inner], weights[half + murmurs(raw, found.start[paired] - low, found.end[paired + 1] - low) % half], len(n))
+    with np.errstate(over="ignore"):
+        return 1 / (1 + np.exp(-(total + bias)))
+
+
+def _window_means(texts: pa.Array, weights: np.ndarray, bias: float, size: int, limit: int | None) -> np.ndarray:
+    """The mean probability over the windows of each text of words parted by blanks: all of them, or with a limit those of ``word_windows``."""
+    found = Words(texts)
     means, windows, owners = np.zeros(len(texts)), [], []
     words = np.bincount(found.owner, minlength=len(texts))
     for row, (first, n) in enumerate(zip(np.cumsum(words) - words, words)):
         all_windows = -(-n // size)
-        at = np.floor(np.arange(min(all_windows, limit)) * max(1.0, all_windows / limit)).astype(np.int64) * size
+        most = limit or max(1, all_windows)
+        at = np.floor(np.arange(min(all_windows, most)) * max(1.0, all_windows / most)).astype(np.int64) * size
         windows.append(np.c_[first + at, np.minimum(size, n - at)])
         owners.append(np.full(len(at), row))
     (first, n), owner = np.concatenate(windows).T, np.concatenate(owners)
     if not len(first):
         return means
-    place = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    window = np.repeat(np.arange(len(n)), n)
-    inner = np.ones(len(place), bool)
-    inner[np.cumsum(n) - 1] = False
-    paired = place[inner]
-    total = np.bincount(window, weights[murmurs(found.raw, found.start[place], found.end[place]) % half], len(n))
-    # Two words that follow each other stand one blank apart, as in the gram.
-    total += np.bincount(window[inner], weights[half + murmurs(found.raw, found.start[paired], found.end[paired + 1]) % half], len(n))
-    with np.errstate(over="ignore"):
-        scores = 1 / (1 + np.exp(-(total + bias)))
+    scores = np.concatenate([_window_scores(found, first[i : i + _WINDOWS], n[i : i + _WINDOWS], weights, bias) for i in range(0, len(first), _WINDOWS)])
     counts = np.bincount(owner, minlength=len(texts))
     return np.divide(np.bincount(owner, scores, len(texts)), counts, out=means, where=counts > 0)
 
 
-def document_scores(model: PipelineModel, docs: DataFrame, id_col: str, size: int = 60, limit: int = 64) -> DataFrame:
-    """The mean positive probability over a document's windows; 0 for a document without words.
+def document_scores(model: PipelineModel, docs: DataFrame, id_col: str, size: int = 60, limit: int | None = 64) -> DataFrame:
+    """The mean positive probability over a document's windows, all of them if ``limit`` is None; 0 for a document without words.
 
     A row's windows are scored where its text is read, by array arithmetic over slices of a column, without a row each.
     """

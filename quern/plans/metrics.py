@@ -198,10 +198,10 @@ def route_targeted(spark, sf_dir):
 
 @query("classifier_score")
 def classifier_score(spark, sf_dir):
-    """A bag of one- and two-word grams; every document scored as the mean over its windows."""
+    """A bag of one- and two-word grams; every document scored as the mean over all of its windows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labelled = docs.join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
-    return learning.document_scores(learning.train_windows(labelled.select(text.words_and_marks(F.col("text")).alias("text"), "label")), docs, "doc_id")
+    return learning.document_scores(learning.train_windows(labelled.select(text.words_and_marks(F.col("text")).alias("text"), "label")), docs, "doc_id", limit=None)
 
 
 # ------------------------------------------------------------------- multiple choice

@@ -380,3 +380,27 @@ def test_milestones_query_adds_doubles(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     assert got == sorted(con.execute(ORACLE_SQL["milestones"]).fetchall()) == [(1, 10, 500), (2, 1, 500), (2, 3, 1000)]
+
+
+def test_classifier_scores_every_window(spark, tmp_path, monkeypatch):
+    """The query's mean is over all 60-word windows of a text, of one longer than a block of windows too."""
+    from pyspark.ml.functions import vector_to_array
+
+    from quern.functions.text import word_and_mark_list
+
+    lengths = [30, 60, 121, 3840, 3841, 5000, 70_000, 0]
+    texts = [" ".join("good fine" if (j // 60) % 3 == k % 2 else f"bad w{j % 11}" for j in range(0, n, 2)) for k, n in enumerate(lengths)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, k % 2) for k in range(5)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    fitted = []
+    plain = learning.train_windows
+    monkeypatch.setattr(learning, "train_windows", lambda *a: fitted.append(plain(*a)) or fitted[-1])
+    got = {r["doc_id"]: r["score"] for r in QUERIES["classifier_score"](spark, str(tmp_path)).collect()}
+    words = word_and_mark_list(F.col("text"))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", words.alias("w")).where(F.size("w") > 0)
+    starts = F.explode(F.sequence(F.lit(1), F.size("w"), F.lit(60)))
+    windows = docs.select("doc_id", "w", starts.alias("at")).select("doc_id", F.array_join(F.slice("w", F.col("at"), 60), " ").alias("text"))
+    rows = fitted[0].transform(windows).groupBy("doc_id").agg(F.count("text").alias("n"), F.avg(vector_to_array("probability")[1]).alias("p")).collect()
+    assert {r["doc_id"]: r["n"] for r in rows} == {k: math.ceil(n / 60) for k, n in enumerate(lengths) if n}
+    want = {7: 0.0} | {r["doc_id"]: r["p"] for r in rows}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
