@@ -15,6 +15,7 @@ from quern.operators import aggregates, choices, decisions, learning, windows
 from quern.plans.base import query, table
 from quern.plans.corpus import HOST_SQL
 from quern.plans.windowed import tokens
+from quern.runtime import written
 
 _T = r"t AS (SELECT doc_id, source, lang, n_chars, text, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> ''))::BIGINT AS tokens FROM documents)"
 
@@ -198,10 +199,14 @@ def route_targeted(spark, sf_dir):
 
 @query("classifier_score")
 def classifier_score(spark, sf_dir):
-    """A bag of one- and two-word grams; every document scored as the mean over all of its windows."""
+    """A bag of one- and two-word grams; every document scored as the mean over all of its windows.
+
+    The labelled texts are written once, as the fit reads them several times and would join them anew each time.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labelled = docs.join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
-    return learning.document_scores(learning.train_windows(labelled.select(text.words_and_marks(F.col("text")).alias("text"), "label")), docs, "doc_id", limit=None)
+    model = learning.train_windows(written(labelled.select(text.words_and_marks(F.col("text")).alias("text"), "label")))
+    return learning.document_scores(model, docs, "doc_id", limit=None)
 
 
 # ------------------------------------------------------------------- multiple choice

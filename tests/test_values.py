@@ -404,3 +404,11 @@ def test_classifier_scores_every_window(spark, tmp_path, monkeypatch):
     assert {r["doc_id"]: r["n"] for r in rows} == {k: math.ceil(n / 60) for k, n in enumerate(lengths) if n}
     want = {7: 0.0} | {r["doc_id"]: r["p"] for r in rows}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_fit_of_the_classifier_joins_its_texts_once(spark, sf, monkeypatch):
+    """What the fit reads in each of its passes is a written table, no join of texts."""
+    plans, plain = [], learning.train_windows
+    monkeypatch.setattr(learning, "train_windows", lambda rows: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or plain(rows))
+    QUERIES["classifier_score"](spark, sf)
+    assert len(plans) == 1 and "Join" not in plans[0]
